@@ -7,11 +7,12 @@ is found with an n-gram equi-join:
   window ``substring(bytes, pos-1, maxlen+2)`` (never the document);
 * each position yields one candidate per distinct pattern length;
 * candidates are probed against the pattern table, broadcast after a size
-  check (it is bounded by the vocabulary, not the corpus).
+  check (it is bounded by the vocabulary, not the corpus), on a 64-bit
+  hash key with the bytes compared exactly after the probe.
 
 Generate, probe and the partial aggregate run in one codegen stage, so
-candidates are never materialised; only per-task partial counts
-(<= patterns x 2 x 257 rows) reach the single shuffle. A pattern that
+candidates are never materialised; only per-task partial counts per
+``(pattern, left byte, right byte)`` reach the single shuffle. A pattern that
 matches a third of the corpus is one row per task in that shuffle.
 Matches never cross document boundaries (a document is the unit of work).
 """
@@ -26,9 +27,10 @@ from tokscope.functions.text import (
     MEANINGLESS_FREQ_BELOW,
     MEANINGLESS_RATIO_BELOW,
     STANDALONE_EPSILON,
+    VISIBLE_BYTE_HIGH,
+    VISIBLE_BYTE_LOW,
     byte_value,
     has_control_byte,
-    is_visible_byte,
 )
 
 # Patterns are broadcast only up to this many rows (a 150K-entry vocabulary
@@ -37,13 +39,18 @@ BROADCAST_MAX_PATTERNS = 5_000_000
 
 
 def distinct_patterns(vocab_bytes: DataFrame) -> DataFrame:
-    """Distinct non-empty ``token_bytes`` with a pattern length ``plen``."""
-    return (
-        vocab_bytes.select("token_bytes")
-        .filter(F.octet_length("token_bytes") > 0)
-        .distinct()
-        .withColumn("plen", F.octet_length("token_bytes"))
+    """Distinct non-empty ``token_bytes`` with an id ``pid`` and length ``plen``.
+
+    The id is an int key for the match aggregate (ints hash faster than
+    binaries): the smallest token id sharing those bytes, so it is
+    deterministic and lets the planner reuse the match shuffle.
+    """
+    pats = (
+        vocab_bytes.filter(F.octet_length("token_bytes") > 0)
+        .groupBy("token_bytes")
+        .agg(F.min("token_id").cast("int").alias("pid"))
     )
+    return pats.select("pid", "token_bytes", F.octet_length("token_bytes").alias("plen"))
 
 
 def pattern_lengths(patterns: DataFrame) -> list[int]:
@@ -53,13 +60,13 @@ def pattern_lengths(patterns: DataFrame) -> list[int]:
 
 def match_neighbours(docs: DataFrame, patterns: DataFrame, lengths: list[int], text_col: str = "text",
                      n_patterns: int | None = None) -> DataFrame:
-    """One row per occurrence: ``(token_bytes, left, right)``.
+    """One row per occurrence: ``(pid, left, right)``.
 
-    ``left``/``right`` are the unsigned neighbour bytes, NULL at a
-    document edge.
+    ``left``/``right`` are the neighbour bytes as 1-byte binaries, NULL at
+    a document edge (converted to ints only after aggregation).
     """
     if not lengths:
-        return patterns.sparkSession.createDataFrame([], "token_bytes binary, left int, right int")
+        return patterns.sparkSession.createDataFrame([], "pid int, left binary, right binary")
     maxlen = max(lengths)
     b = F.encode(F.col(text_col), "UTF-8")
     with_bytes = docs.select(b.alias("b")).withColumn("n", F.octet_length("b")).filter("n > 0")
@@ -78,76 +85,108 @@ def match_neighbours(docs: DataFrame, patterns: DataFrame, lengths: list[int], t
         "n", "pos", "w", "has_left", off.alias("off"), F.explode(lens).alias("plen")
     ).filter(F.col("pos") + F.col("plen") - 1 <= F.col("n"))
     cand = cand.select(
-        "plen",
-        F.substring(F.col("w"), F.col("off"), F.col("plen")).alias("token_bytes"),
-        F.when(F.col("has_left"), byte_value(F.col("w"), F.lit(1))).alias("left"),
-        F.when(
-            F.col("pos") + F.col("plen") <= F.col("n"), byte_value(F.col("w"), F.col("off") + F.col("plen"))
-        ).alias("right"),
+        "plen", F.substring(F.col("w"), F.col("off"), F.col("plen")).alias("token_bytes"), "w", "off", "pos", "n", "has_left"
     )
-    pats = patterns.select("plen", "token_bytes")
+    # Probe on a 64-bit hash of the bytes (a long key takes the planner's
+    # fast hashed-relation path, ~7x faster than a binary key here), then
+    # check the bytes themselves: a hash collision can never make a match.
+    # The check is wrapped in coalesce so it stays a join condition instead
+    # of becoming a second (binary) join key.
+    cand = cand.withColumn("h", F.xxhash64("token_bytes"))
+    pats = patterns.select("pid", F.col("token_bytes").alias("pattern_bytes"), F.xxhash64("token_bytes").alias("h"))
     if n_patterns is None or n_patterns <= BROADCAST_MAX_PATTERNS:
         pats = F.broadcast(pats)
-    return cand.join(pats, ["plen", "token_bytes"]).select("token_bytes", "left", "right")
+    same_bytes = F.coalesce(F.col("token_bytes") == F.col("pattern_bytes"), F.lit(False))
+    matched = cand.join(pats, "h").filter(same_bytes)
+    # Neighbours are cut only for the candidates that matched.
+    return matched.select(
+        "pid",
+        F.when(F.col("has_left"), F.substring(F.col("w"), 1, 1)).alias("left"),
+        F.when(
+            F.col("pos") + F.col("plen") <= F.col("n"), F.substring(F.col("w"), F.col("off") + F.col("plen"), F.lit(1))
+        ).alias("right"),
+    )
 
 
-def side_histogram(matches: DataFrame) -> DataFrame:
-    """A3-A5 in one aggregate: ``(token_bytes, side, byte, c, freq, standalone)``.
+def neighbour_pairs(matches: DataFrame) -> DataFrame:
+    """A3-A5 in one aggregate: ``(pid, left, right, c)`` occurrence counts.
 
-    Each occurrence emits an ``L`` and an ``R`` row; ``freq`` and
-    ``standalone`` are carried on the ``L`` row only so they sum exactly.
+    The only shuffle of the byte-match program. Each task first combines
+    its matches per key, so at most patterns x 257 x 257 rows (in practice
+    far fewer) leave a task, however hot a pattern is.
     """
-    standalone = (
-        F.col("left").isNotNull()
-        & F.col("right").isNotNull()
-        & ~is_visible_byte("left")
-        & ~is_visible_byte("right")
-    ).cast("long")
+    return matches.groupBy("pid", "left", "right").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _visible(b) -> F.Column:
+    return (b >= F.lit(bytes([VISIBLE_BYTE_LOW]))) & (b <= F.lit(bytes([VISIBLE_BYTE_HIGH])))
+
+
+def _standalone(pairs_left: F.Column, pairs_right: F.Column) -> F.Column:
+    return pairs_left.isNotNull() & pairs_right.isNotNull() & ~_visible(pairs_left) & ~_visible(pairs_right)
+
+
+def side_histogram(pairs: DataFrame) -> DataFrame:
+    """A5: ``(pid, side, byte, c, s)``; ``byte`` NULL counts occurrences at an edge.
+
+    ``s`` (standalone occurrences) rides on the ``L`` rows only, so
+    per-pattern sums over this table are exact.
+    """
+    s = F.when(_standalone(F.col("left"), F.col("right")), F.col("c")).otherwise(F.lit(0))
     sides = F.array(
-        F.struct(F.lit("L").alias("side"), F.col("left").alias("byte"), F.lit(1).cast("long").alias("f"), standalone.alias("s")),
-        F.struct(F.lit("R").alias("side"), F.col("right").alias("byte"), F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("s")),
+        F.struct(F.lit("L").alias("side"), F.col("left").alias("nb"), s.alias("s")),
+        F.struct(F.lit("R").alias("side"), F.col("right").alias("nb"), F.lit(0).cast("long").alias("s")),
     )
-    rows = matches.select("token_bytes", F.inline(sides))
-    return rows.groupBy("token_bytes", "side", "byte").agg(
-        F.count(F.lit(1)).alias("c"), F.sum("f").alias("freq"), F.sum("s").alias("standalone")
+    rows = pairs.select("pid", "c", F.inline(sides))
+    return rows.groupBy("pid", "side", byte_value(F.col("nb"), 1).alias("byte")).agg(
+        F.sum("c").alias("c"), F.sum("s").alias("s")
     )
 
 
-def byte_token_frequency(hist: DataFrame) -> DataFrame:
-    """A3 + A4: ``(token_bytes, freq, standalone)`` per matched pattern."""
-    return hist.groupBy("token_bytes").agg(
-        F.sum("freq").cast("long").alias("freq"), F.sum("standalone").cast("long").alias("standalone")
+def byte_token_frequency(pairs: DataFrame) -> DataFrame:
+    """A3 + A4: ``(pid, freq, standalone)`` per matched pattern."""
+    standalone = _standalone(F.col("left"), F.col("right"))
+    return pairs.groupBy("pid").agg(
+        F.sum("c").cast("long").alias("freq"),
+        F.coalesce(F.sum(F.when(standalone, F.col("c"))), F.lit(0)).cast("long").alias("standalone"),
     )
 
 
-def neighbor_counts(hist: DataFrame) -> DataFrame:
-    """A5: ``(token_bytes, side, byte, count)`` for present neighbours."""
-    return hist.filter(F.col("byte").isNotNull()).select("token_bytes", "side", "byte", F.col("c").alias("count"))
+def neighbor_counts(pairs: DataFrame) -> DataFrame:
+    """A5: ``(pid, side, byte, count)`` for present neighbours."""
+    hist = side_histogram(pairs)
+    return hist.filter(F.col("byte").isNotNull()).select("pid", "side", "byte", F.col("c").cast("long").alias("count"))
 
 
-def neighbor_entropy(hist: DataFrame) -> DataFrame:
+def neighbor_entropy(pairs: DataFrame) -> DataFrame:
     """Base-2 entropy of the left and right histograms taken together.
 
-    ``H = log2(T) - sum(c log2 c) / T``; a pattern with no neighbour gets 0.
+    ``H = log2(T) - sum(c log2 c) / T``; patterns with no neighbour are absent
+    here and get 0 in ``token_metrics``.
     """
-    nb = hist.filter(F.col("byte").isNotNull())
-    agg = nb.groupBy("token_bytes").agg(
-        F.sum("c").alias("t"), F.sum(F.col("c") * F.log2(F.col("c"))).alias("clc")
-    )
-    return agg.select("token_bytes", (F.log2("t") - F.col("clc") / F.col("t")).alias("entropy"))
+    nb = neighbor_counts(pairs)
+    agg = nb.groupBy("pid").agg(F.sum("count").alias("t"), F.sum(F.col("count") * F.log2(F.col("count"))).alias("clc"))
+    return agg.select("pid", (F.log2("t") - F.col("clc") / F.col("t")).alias("entropy"))
+
 
+def pattern_stats(pairs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """A3, A4, A6 per pattern: ``(token_bytes, freq, standalone, entropy)``.
 
-def pattern_stats(hist: DataFrame) -> DataFrame:
-    """A3, A4, A6 per pattern in one pass over the histogram."""
+    One linear chain over the (small) side histogram, so the match and its
+    shuffle run once.
+    """
+    hist = side_histogram(pairs)
     nb = F.col("byte").isNotNull()
-    agg = hist.groupBy("token_bytes").agg(
-        F.sum("freq").cast("long").alias("freq"),
-        F.sum("standalone").cast("long").alias("standalone"),
+    agg = hist.groupBy("pid").agg(
+        F.sum(F.when(F.col("side") == "L", F.col("c"))).cast("long").alias("freq"),
+        F.sum("s").cast("long").alias("standalone"),
         F.sum(F.when(nb, F.col("c"))).alias("t"),
         F.sum(F.when(nb, F.col("c") * F.log2(F.col("c")))).alias("clc"),
     )
     ent = F.when(F.col("t") > 0, F.log2("t") - F.col("clc") / F.col("t")).otherwise(F.lit(0.0))
-    return agg.select("token_bytes", "freq", "standalone", ent.alias("entropy"))
+    return agg.join(F.broadcast(patterns.select("pid", "token_bytes")), "pid").select(
+        "token_bytes", "freq", "standalone", ent.alias("entropy")
+    )
 
 
 def token_metrics(vocab_bytes: DataFrame, stats: DataFrame) -> DataFrame:
@@ -187,6 +226,5 @@ def token_metrics(vocab_bytes: DataFrame, stats: DataFrame) -> DataFrame:
 def corpus_token_metrics(docs: DataFrame, vocab_bytes: DataFrame, text_col: str = "text") -> DataFrame:
     """The whole byte-match program: corpus + vocabulary -> metrics table."""
     pats = distinct_patterns(vocab_bytes)
-    lengths = pattern_lengths(pats)
-    hist = side_histogram(match_neighbours(docs, pats, lengths, text_col))
-    return token_metrics(vocab_bytes, pattern_stats(hist))
+    pairs = neighbour_pairs(match_neighbours(docs, pats, pattern_lengths(pats), text_col))
+    return token_metrics(vocab_bytes, pattern_stats(pairs, pats))

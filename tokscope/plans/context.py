@@ -7,7 +7,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokscope.operators.bytematch import distinct_patterns, match_neighbours, pattern_lengths, pattern_stats, side_histogram, token_metrics
+from tokscope.operators.bytematch import (
+    distinct_patterns,
+    match_neighbours,
+    neighbour_pairs,
+    pattern_lengths,
+    pattern_stats,
+    token_metrics,
+)
 from tokscope.operators.encode import HFTokenizerEncoder, pretoken_count
 from tokscope.operators.frequency import token_frequency
 from tokscope.operators.mergegraph import merge_closure, merge_edges
@@ -92,13 +99,19 @@ class Context:
         return descendant_frequency(self.closure, self.filled)
 
     @cached_property
-    def byte_hist(self) -> DataFrame:
-        pats = distinct_patterns(self.vocab_bytes)
-        return side_histogram(match_neighbours(self.docs, pats, pattern_lengths(pats)))
+    def patterns(self) -> DataFrame:
+        return distinct_patterns(self.vocab_bytes)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """``(pid, left, right, c)``: all byte-level occurrences, aggregated."""
+        return neighbour_pairs(match_neighbours(self.docs, self.patterns, pattern_lengths(self.patterns)))
 
     @cached_property
     def metrics(self) -> DataFrame:
-        return token_metrics(self.vocab_bytes, pattern_stats(self.byte_hist))
+        return token_metrics(self.vocab_bytes, pattern_stats(self.pairs, self.patterns))
 
-    def hex_token(self, col: str = "token_bytes"):
-        return F.hex(F.col(col)).alias("token_hex")
+    def with_hex(self, df: DataFrame) -> DataFrame:
+        """Replace ``pid`` by the pattern's bytes in hex (``token_hex``)."""
+        p = F.broadcast(self.patterns.select("pid", F.hex("token_bytes").alias("token_hex")))
+        return df.join(p, "pid").drop("pid")

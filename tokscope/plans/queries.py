@@ -138,22 +138,22 @@ def q_rank_by_survival_ratio(spark, sf_dir):
 
 def q_byte_token_frequency(spark, sf_dir):
     c = _ctx(spark, sf_dir)
-    return byte_token_frequency(c.byte_hist).select(c.hex_token(), "freq")
+    return c.with_hex(byte_token_frequency(c.pairs)).select("token_hex", "freq")
 
 
 def q_standalone_frequency(spark, sf_dir):
     c = _ctx(spark, sf_dir)
-    return byte_token_frequency(c.byte_hist).select(c.hex_token(), "standalone")
+    return c.with_hex(byte_token_frequency(c.pairs)).select("token_hex", "standalone")
 
 
 def q_neighbor_counts(spark, sf_dir):
     c = _ctx(spark, sf_dir)
-    return neighbor_counts(c.byte_hist).select(c.hex_token(), "side", "byte", "count")
+    return c.with_hex(neighbor_counts(c.pairs)).select("token_hex", "side", "byte", "count")
 
 
 def q_neighbor_entropy(spark, sf_dir):
     c = _ctx(spark, sf_dir)
-    return neighbor_entropy(c.byte_hist).select(c.hex_token(), F.round("entropy", ROUND).alias("entropy"))
+    return c.with_hex(neighbor_entropy(c.pairs)).select("token_hex", F.round("entropy", ROUND).alias("entropy"))
 
 
 def q_token_metrics(spark, sf_dir):
