@@ -32,9 +32,10 @@ from tokscope.functions.text import (
     byte_value,
     has_control_byte,
 )
+from tokscope.session import bounded_broadcast
 
-# Patterns are broadcast only up to this many rows (a 150K-entry vocabulary
-# is far below it); above, the join falls back to the planner's shuffle join.
+# Patterns are broadcast only up to this many rows (checked; a 150K-entry
+# vocabulary is far below it); above, the planner's shuffle join is used.
 BROADCAST_MAX_PATTERNS = 5_000_000
 
 
@@ -94,8 +95,7 @@ def match_neighbours(docs: DataFrame, patterns: DataFrame, lengths: list[int], t
     # of becoming a second (binary) join key.
     cand = cand.withColumn("h", F.xxhash64("token_bytes"))
     pats = patterns.select("pid", F.col("token_bytes").alias("pattern_bytes"), F.xxhash64("token_bytes").alias("h"))
-    if n_patterns is None or n_patterns <= BROADCAST_MAX_PATTERNS:
-        pats = F.broadcast(pats)
+    pats = bounded_broadcast(pats, BROADCAST_MAX_PATTERNS, n_patterns)
     same_bytes = F.coalesce(F.col("token_bytes") == F.col("pattern_bytes"), F.lit(False))
     matched = cand.join(pats, "h").filter(same_bytes)
     # Neighbours are cut only for the candidates that matched.
@@ -184,7 +184,7 @@ def pattern_stats(pairs: DataFrame, patterns: DataFrame) -> DataFrame:
         F.sum(F.when(nb, F.col("c") * F.log2(F.col("c")))).alias("clc"),
     )
     ent = F.when(F.col("t") > 0, F.log2("t") - F.col("clc") / F.col("t")).otherwise(F.lit(0.0))
-    return agg.join(F.broadcast(patterns.select("pid", "token_bytes")), "pid").select(
+    return agg.join(bounded_broadcast(patterns.select("pid", "token_bytes"), BROADCAST_MAX_PATTERNS), "pid").select(
         "token_bytes", "freq", "standalone", ent.alias("entropy")
     )
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokscope.functions.text import PRETOKEN_PATTERN
+from tokscope.session import bounded_broadcast
 
 WRAP_OPEN = "\u0001"
 WRAP_CLOSE = "\u0002"
@@ -199,9 +200,9 @@ def bpe_fold(pieces: DataFrame, merges: list[tuple[str, str]], piece_col: str =
 def tokens_to_ids(token_rows: DataFrame, vocab: DataFrame, unk_id: int | None) -> DataFrame:
     """Map token strings to ids; a symbol outside the vocabulary becomes ``unk_id``.
 
-    ``vocab`` is bounded by the vocabulary size, so it is broadcast.
+    ``vocab`` is broadcast after its size is checked.
     """
-    v = F.broadcast(vocab.filter(~F.col("special")).select("token", "token_id"))
+    v = bounded_broadcast(vocab.filter(~F.col("special")).select("token", "token_id"))
     joined = token_rows.join(v, "token", "left")
     fill = F.lit(unk_id).cast("int") if unk_id is not None else F.lit(None).cast("int")
     return joined.withColumn("token_id", F.coalesce(F.col("token_id"), fill))

@@ -8,20 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from tokscope.session import cut_lineage
+from tokscope.session import bounded_broadcast, bounded_rows, cut_lineage
 
-# Broadcast a vocabulary-sized side only below this many rows; above it the
-# planner's own choice (sort-merge join) is kept.
-BROADCAST_MAX_ROWS = 2_000_000
 MAX_CLOSURE_ROUNDS = 100
 
 
-def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= BROADCAST_MAX_ROWS else df
-
-
 def merge_edges(merges: DataFrame, vocab: DataFrame, vocab_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(ancestor, descendant)`` edges and the merges that did not resolve.
 
@@ -31,11 +23,11 @@ def merge_edges(merges: DataFrame, vocab: DataFrame, vocab_rows: int | None = No
     Edge order key ``first_rank`` (first merge in which the ancestor
     appears, left before right) is kept for the closure-to-text parity rule.
     """
-    n = vocab_rows if vocab_rows is not None else BROADCAST_MAX_ROWS
     v = vocab.select("token", "token_id")
-    lv = _maybe_broadcast(v.select(F.col("token").alias("left"), F.col("token_id").alias("left_id")), n)
-    rv = _maybe_broadcast(v.select(F.col("token").alias("right"), F.col("token_id").alias("right_id")), n)
-    mv = _maybe_broadcast(v.select(F.col("token").alias("merged"), F.col("token_id").alias("merged_id")), n)
+    n = vocab_rows if vocab_rows is not None else bounded_rows(v)
+    lv = bounded_broadcast(v.select(F.col("token").alias("left"), F.col("token_id").alias("left_id")), known_rows=n)
+    rv = bounded_broadcast(v.select(F.col("token").alias("right"), F.col("token_id").alias("right_id")), known_rows=n)
+    mv = bounded_broadcast(v.select(F.col("token").alias("merged"), F.col("token_id").alias("merged_id")), known_rows=n)
     resolved = (
         merges.withColumn("merged", F.concat("left", "right"))
         .join(lv, "left", "left")
@@ -115,7 +107,9 @@ def closure_adjacency(closure: DataFrame) -> DataFrame:
     )
 
 
-def closure_to_text(closure: DataFrame, vocab_decoded: DataFrame, edges: DataFrame, parity: bool = True) -> DataFrame:
+def closure_to_text(
+    closure: DataFrame, vocab_decoded: DataFrame, edges: DataFrame, parity: bool = True, vocab_rows: int | None = None
+) -> DataFrame:
     """Closure rewritten with decoded text; ids are kept beside the text.
 
     Output ``(token, token_id, descendants array<string>, descendant_ids
@@ -124,13 +118,17 @@ def closure_to_text(closure: DataFrame, vocab_decoded: DataFrame, edges: DataFra
     (the analysed program builds a dict, so the last write wins).
     """
     dv = vocab_decoded.select("token_id", "decoded")
+    n = vocab_rows if vocab_rows is not None else bounded_rows(dv)
     first_seen = edges.groupBy("ancestor").agg(F.min("order_key").alias("order_key"))
     named = (
-        closure.join(F.broadcast(dv.withColumnRenamed("token_id", "descendant").withColumnRenamed("decoded", "d_text")), "descendant")
+        closure.join(
+            bounded_broadcast(dv.withColumnRenamed("token_id", "descendant").withColumnRenamed("decoded", "d_text"), known_rows=n),
+            "descendant",
+        )
         .groupBy("ancestor")
         .agg(F.array_sort(F.collect_list(F.struct("descendant", "d_text"))).alias("ds"))
         .join(first_seen, "ancestor")
-        .join(F.broadcast(dv.withColumnRenamed("token_id", "ancestor")), "ancestor")
+        .join(bounded_broadcast(dv.withColumnRenamed("token_id", "ancestor"), known_rows=n), "ancestor")
     )
     named = named.select(
         F.col("decoded").alias("token"),
@@ -140,16 +138,8 @@ def closure_to_text(closure: DataFrame, vocab_decoded: DataFrame, edges: DataFra
         "order_key",
     )
     if parity:
-        w = Window.partitionBy("token").orderBy(F.desc("order_key"))
-        named = named.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+        keep = F.max_by(F.struct("token_id", "descendants", "descendant_ids"), "order_key")
+        named = named.groupBy("token").agg(keep.alias("k")).select("token", "k.*")
+        return named
     return named.drop("order_key")
 
-
-def closure_or_saved(closure_fn, spark, path: str) -> DataFrame:
-    """K6: load a saved closure table if present, else compute and save it."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent table
-        df = closure_fn()
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)

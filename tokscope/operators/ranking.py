@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tokscope.functions.text import CJK_RANGES, SURVIVAL_SENTINEL, contains_script
 from tokscope.operators.ordinal import with_ordinal
+from tokscope.session import bounded_broadcast
 
 
 def zero_fill(vocab: DataFrame, freq: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def rarest_script_tokens(
 
     Sort order is ascending ``freq`` then ``token_id`` (apply ``ordered_rarest``).
     """
-    dv = F.broadcast(vocab_decoded.select("token_id", F.col("decoded").alias("token")))
+    dv = bounded_broadcast(vocab_decoded.select("token_id", F.col("decoded").alias("token")))
     return with_desc.join(dv, "token_id").filter(contains_script("token", ranges)).select(
         "token_id", "token", "freq", "descendant_freq"
     )

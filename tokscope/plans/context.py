@@ -19,7 +19,7 @@ from tokscope.operators.encode import HFTokenizerEncoder, pretoken_count
 from tokscope.operators.frequency import token_frequency
 from tokscope.operators.mergegraph import merge_closure, merge_edges
 from tokscope.operators.ranking import descendant_frequency, zero_fill
-from tokscope.session import FIXTURE_TOKENIZER, read_table
+from tokscope.session import FIXTURE_TOKENIZER, bounded_broadcast, bounded_rows, read_table
 from tokscope.sources.tables import drop_empty_text
 from tokscope.sources.vocab import load_merges, load_vocab, read_tokenizer, vocab_with_bytes
 
@@ -61,6 +61,11 @@ class Context:
     def vocab(self) -> DataFrame:
         return load_vocab(self.tokenizer)
 
+    @cached_property
+    def vocab_rows(self) -> int:
+        """Vocabulary size, counted once (bounded count) for broadcast decisions."""
+        return bounded_rows(self.vocab)
+
     @cached_property
     def vocab_bytes(self) -> DataFrame:
         return vocab_with_bytes(self.vocab, self.vocab_mode)
@@ -88,7 +93,7 @@ class Context:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return merge_edges(self.merges, self.vocab)[0]
+        return merge_edges(self.merges, self.vocab, self.vocab_rows)[0]
 
     @cached_property
     def closure(self) -> DataFrame:
@@ -105,7 +110,8 @@ class Context:
     @cached_property
     def pairs(self) -> DataFrame:
         """``(pid, left, right, c)``: all byte-level occurrences, aggregated."""
-        return neighbour_pairs(match_neighbours(self.docs, self.patterns, pattern_lengths(self.patterns)))
+        pats = self.patterns
+        return neighbour_pairs(match_neighbours(self.docs, pats, pattern_lengths(pats), n_patterns=self.vocab_rows))
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -113,5 +119,5 @@ class Context:
 
     def with_hex(self, df: DataFrame) -> DataFrame:
         """Replace ``pid`` by the pattern's bytes in hex (``token_hex``)."""
-        p = F.broadcast(self.patterns.select("pid", F.hex("token_bytes").alias("token_hex")))
+        p = bounded_broadcast(self.patterns.select("pid", F.hex("token_bytes").alias("token_hex")), known_rows=self.vocab_rows)
         return df.join(p, "pid").drop("pid")

@@ -7,6 +7,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Default ceiling for broadcasting a vocabulary-sized table. A 150K-entry
+# vocabulary with short byte strings is a few MB; the check below makes the
+# bound explicit instead of assumed.
+BROADCAST_MAX_ROWS = 2_000_000
 
 PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 FIXTURE_TOKENIZER = os.path.join(PACKAGE_DIR, "resources", "tokenizer.json")
@@ -68,3 +74,19 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def bounded_rows(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> int:
+    """Row count of ``df``, counting at most ``max_rows + 1`` rows."""
+    return df.limit(max_rows + 1).count()
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
+    """Broadcast hint only when ``df`` is checked to hold at most ``max_rows`` rows.
+
+    Above the bound the hint is omitted and the planner picks a shuffle
+    join, so a larger-than-expected side degrades to a slower plan instead
+    of an out-of-memory broadcast.
+    """
+    n = known_rows if known_rows is not None else bounded_rows(df, max_rows)
+    return F.broadcast(df) if n <= max_rows else df
