@@ -109,3 +109,14 @@ def test_frequency_independent_of_partitioning(spark):
     assert sorted(a) == sorted(b)
     assert all(r.freq_in_corpus > 0 for r in a)
     assert F is not None
+
+
+@pytest.mark.parametrize("seg", [1, 2, 3, 5, 17])
+def test_long_documents_segmented_exactly(spark, seg):
+    docs = ["baaab\naab a", "x", "aaaaaaaaaaaaaaaaaaaaab", "ab\x01ab"]
+    tokens = ["a", "aa", "ab", "baa", "aaaab", "\x01"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    whole = corpus_token_metrics(d, _vocab(spark, tokens), max_segment_bytes=10_000).collect()
+    cut = corpus_token_metrics(d, _vocab(spark, tokens), max_segment_bytes=seg).collect()
+    key = lambda r: r.token_id
+    assert sorted(whole, key=key) == sorted(cut, key=key)

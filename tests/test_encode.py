@@ -62,3 +62,17 @@ def test_unknown_characters_map_to_unk(spark):
 def test_top_k_tie_break(spark):
     df = spark.createDataFrame([(3, 5), (1, 5), (2, 9), (4, 1)], "token_id int, count long")
     assert [r.token_id for r in top_k(df, 3).collect()] == [2, 1, 3]
+
+
+def test_segmented_pretokens_equal_whole(spark):
+    from tokscope.operators.encode import text_segments
+
+    docs = _docs(spark).union(
+        spark.createDataFrame([(10_000, "ab  cd,ef 12 gh\n\n x!y " * 50), (10_001, "z" * 300)], "doc_id long, text string")
+    )
+    whole = sorted(tuple(r) for r in pretoken_count(docs).collect())
+    for n in (7, 64, 1000):
+        assert sorted(tuple(r) for r in pretoken_count(docs, max_chars=n).collect()) == whole
+    # Segments cover the text exactly.
+    joined = "".join(r.text for r in text_segments(docs.filter("doc_id = 10000"), max_chars=7).collect())
+    assert sorted(joined) == sorted("ab  cd,ef 12 gh\n\n x!y " * 50)

@@ -14,7 +14,9 @@ Generate, probe and the partial aggregate run in one codegen stage, so
 candidates are never materialised; only per-task partial counts per
 ``(pattern, left byte, right byte)`` reach the single shuffle. A pattern that
 matches a third of the corpus is one row per task in that shuffle.
-Matches never cross document boundaries (a document is the unit of work).
+Matches never cross document boundaries (a document is the unit of work);
+a very long document is cut into overlapping segments spread over tasks,
+with no occurrence lost or counted twice.
 """
 
 from __future__ import annotations
@@ -59,8 +61,42 @@ def pattern_lengths(patterns: DataFrame) -> list[int]:
     return sorted(r[0] for r in patterns.select("plen").distinct().collect())
 
 
+# Documents longer than this many bytes are cut into overlapping segments
+# that are spread over tasks, so one huge document never sits in one task.
+MAX_SEGMENT_BYTES = 4 * 1024 * 1024
+
+
+def byte_segments(docs: DataFrame, maxlen: int, text_col: str = "text", max_segment_bytes: int = MAX_SEGMENT_BYTES) -> DataFrame:
+    """``(s, lo, hi)``: byte strings and the 1-based candidate start range in each.
+
+    A document of at most ``max_segment_bytes`` is one segment (no shuffle).
+    A longer one is cut into ``max_segment_bytes`` pieces of candidate
+    starts; each segment keeps one byte of left context and ``maxlen``
+    bytes of right context, so every occurrence and both of its neighbours
+    are seen exactly once. Only these long-document segments are
+    redistributed (round robin) across tasks.
+    """
+    c = max_segment_bytes
+    b = F.encode(F.col(text_col), "UTF-8")
+    with_bytes = docs.select(b.alias("b")).withColumn("n", F.octet_length("b")).filter("n > 0")
+    short = with_bytes.filter(F.col("n") <= c).select(F.col("b").alias("s"), F.lit(1).alias("lo"), F.col("n").alias("hi"))
+    long_docs = with_bytes.filter(F.col("n") > c)
+    k = F.col("k")
+    seg_first = k * c + 1  # first candidate start (document position)
+    seg_last = F.least((k + 1) * c, F.col("n"))
+    from_pos = F.greatest(seg_first - 1, F.lit(1))  # one byte of left context
+    to_pos = F.least(seg_last + maxlen, F.col("n"))  # maxlen bytes of right context
+    chunks = long_docs.select("b", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / c).cast("int") - 1)).alias("k"))
+    segs = chunks.select(
+        F.substring("b", from_pos, to_pos - from_pos + 1).alias("s"),
+        (seg_first - from_pos + 1).alias("lo"),
+        (seg_last - from_pos + 1).alias("hi"),
+    ).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    return short.unionByName(segs)
+
+
 def match_neighbours(docs: DataFrame, patterns: DataFrame, lengths: list[int], text_col: str = "text",
-                     n_patterns: int | None = None) -> DataFrame:
+                     n_patterns: int | None = None, max_segment_bytes: int = MAX_SEGMENT_BYTES) -> DataFrame:
     """One row per occurrence: ``(pid, left, right)``.
 
     ``left``/``right`` are the neighbour bytes as 1-byte binaries, NULL at
@@ -69,9 +105,8 @@ def match_neighbours(docs: DataFrame, patterns: DataFrame, lengths: list[int], t
     if not lengths:
         return patterns.sparkSession.createDataFrame([], "pid int, left binary, right binary")
     maxlen = max(lengths)
-    b = F.encode(F.col(text_col), "UTF-8")
-    with_bytes = docs.select(b.alias("b")).withColumn("n", F.octet_length("b")).filter("n > 0")
-    pos = with_bytes.select("n", "b", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("pos"))
+    segs = byte_segments(docs, maxlen, text_col, max_segment_bytes).withColumn("n", F.octet_length("s"))
+    pos = segs.select("n", F.col("s").alias("b"), F.explode(F.sequence(F.col("lo"), F.col("hi"))).alias("pos"))
     # The window starts one byte before the candidate (when there is one).
     start = F.greatest(F.col("pos") - 1, F.lit(1))
     win = pos.select(
@@ -223,8 +258,12 @@ def token_metrics(vocab_bytes: DataFrame, stats: DataFrame) -> DataFrame:
     return out.withColumn("meaningless", meaningless).drop("_ctrl")
 
 
-def corpus_token_metrics(docs: DataFrame, vocab_bytes: DataFrame, text_col: str = "text") -> DataFrame:
+def corpus_token_metrics(
+    docs: DataFrame, vocab_bytes: DataFrame, text_col: str = "text", max_segment_bytes: int = MAX_SEGMENT_BYTES
+) -> DataFrame:
     """The whole byte-match program: corpus + vocabulary -> metrics table."""
     pats = distinct_patterns(vocab_bytes)
-    pairs = neighbour_pairs(match_neighbours(docs, pats, pattern_lengths(pats), text_col))
+    pairs = neighbour_pairs(
+        match_neighbours(docs, pats, pattern_lengths(pats), text_col, max_segment_bytes=max_segment_bytes)
+    )
     return token_metrics(vocab_bytes, pattern_stats(pairs, pats))

@@ -99,14 +99,49 @@ def tiktoken_available(name: str = "cl100k_base") -> bool:
 # -- pre-tokens (T3 first half) ------------------------------------------------
 
 
-def pretokens(df: DataFrame, text_col: str = "text", pattern: str = PRETOKEN_PATTERN) -> DataFrame:
+# Texts longer than this many characters are cut before the regex split so
+# one huge document is spread over tasks instead of exploding in one.
+MAX_SEGMENT_CHARS = 1_000_000
+
+# A cut point the pre-token pattern never crosses: before a space that sits
+# between two non-space characters (no alternative of the pattern can take a
+# space after a non-space character, and a piece may start with one space).
+SAFE_CUT = r"(?<=\S)(?= \S)"
+
+
+def text_segments(
+    df: DataFrame, text_col: str = "text", max_chars: int = MAX_SEGMENT_CHARS, safe_cut: str = SAFE_CUT
+) -> DataFrame:
+    """Texts as segments of about ``max_chars`` characters, cut only at ``safe_cut``.
+
+    Short texts pass through unchanged (no shuffle); long ones are cut by
+    one JVM regex (a segment runs to the last cut point within
+    ``max_chars``, or on to the next one if there is none) and the
+    segments are spread across tasks. Splitting the segments gives exactly
+    the pieces of the whole text.
+    """
+    t = F.col(text_col)
+    short = df.filter(F.length(t) <= max_chars).select(t.alias(text_col))
+    cut = f"(?s).{{1,{max_chars}}}(?:{safe_cut}|\\z)|(?s).+?(?:{safe_cut}|\\z)"
+    long_texts = df.filter(F.length(t) > max_chars)
+    segs = long_texts.select(F.explode(F.regexp_extract_all(t, F.lit(cut), 0)).alias(text_col))
+    segs = segs.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return short.unionByName(segs)
+
+
+def pretokens(
+    df: DataFrame, text_col: str = "text", pattern: str = PRETOKEN_PATTERN, max_chars: int = MAX_SEGMENT_CHARS
+) -> DataFrame:
     """One row per pre-token piece, cut by a JVM regex."""
-    return df.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0)).alias("piece"))
+    segs = text_segments(df, text_col, max_chars)
+    return segs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0)).alias("piece"))
 
 
-def pretoken_count(df: DataFrame, text_col: str = "text", pattern: str = PRETOKEN_PATTERN) -> DataFrame:
+def pretoken_count(
+    df: DataFrame, text_col: str = "text", pattern: str = PRETOKEN_PATTERN, max_chars: int = MAX_SEGMENT_CHARS
+) -> DataFrame:
     """``(piece, n)``: how often each distinct pre-token occurs."""
-    return pretokens(df, text_col, pattern).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    return pretokens(df, text_col, pattern, max_chars).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- encoder over rows (T1/T2) and over distinct pieces (T3) -------------------
