@@ -27,7 +27,7 @@ def test_descendant_frequency(spark):
 
 def test_entropy_rank_curve_dense(spark):
     vals = [0.5, 2.0, 2.0, 1.0, 0.0, 3.5] * 50
-    df = spark.createDataFrame([(float(v),) for v in vals], "entropy double").repartition(5)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "token_id int, entropy double").repartition(5)
     got = sorted((r.x, r.y) for r in entropy_rank_curve(df).collect())
     assert [x for x, _ in got] == list(range(len(vals)))
     assert [y for _, y in got] == sorted(vals, reverse=True)

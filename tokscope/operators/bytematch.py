@@ -5,7 +5,8 @@ is found with an n-gram equi-join:
 
 * each document becomes one row per byte position, carrying only a small
   window ``substring(bytes, pos-1, maxlen+2)`` (never the document);
-* each position yields one candidate per distinct pattern length;
+* each position yields one candidate per length that some pattern
+  starting with that position's byte has (a <=256-row broadcast table);
 * candidates are probed against the pattern table, broadcast after a size
   check (it is bounded by the vocabulary, not the corpus), on a 64-bit
   hash key with the bytes compared exactly after the probe.
@@ -116,10 +117,18 @@ def match_neighbours(docs: DataFrame, patterns: DataFrame, lengths: list[int], t
         (F.col("pos") > 1).alias("has_left"),
     )
     off = F.when(F.col("has_left"), F.lit(2)).otherwise(F.lit(1))
-    lens = F.array(*[F.lit(x) for x in lengths])
-    cand = win.select(
-        "n", "pos", "w", "has_left", off.alias("off"), F.explode(lens).alias("plen")
-    ).filter(F.col("pos") + F.col("plen") - 1 <= F.col("n"))
+    # Pattern lengths that start with each first byte (at most 256 rows):
+    # a position is expanded only into lengths some pattern could have there.
+    by_first = patterns.groupBy(F.substring("token_bytes", 1, 1).alias("fb")).agg(
+        F.array_sort(F.collect_set("plen")).alias("lens")
+    )
+    by_first = F.broadcast(by_first.withColumn("fh", F.xxhash64("fb")))
+    first = F.substring(F.col("w"), off, F.lit(1))
+    keyed = win.select("n", "pos", "w", "has_left", off.alias("off"), first.alias("first"), F.xxhash64(first).alias("fh"))
+    starts = keyed.join(by_first, "fh").filter(F.coalesce(F.col("first") == F.col("fb"), F.lit(False)))
+    cand = starts.select("n", "pos", "w", "has_left", "off", F.explode("lens").alias("plen")).filter(
+        F.col("pos") + F.col("plen") - 1 <= F.col("n")
+    )
     cand = cand.select(
         "plen", F.substring(F.col("w"), F.col("off"), F.col("plen")).alias("token_bytes"), "w", "off", "pos", "n", "has_left"
     )

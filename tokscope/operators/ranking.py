@@ -70,9 +70,13 @@ def ordered_by_ratio(ranked: DataFrame) -> DataFrame:
     return ranked.orderBy("ratio", "freq", "token_id")
 
 
-def entropy_rank_curve(metrics: DataFrame, value_col: str = "entropy") -> DataFrame:
-    """``(x, y)`` with ``y`` the values sorted descending and ``x`` the 0-based rank."""
-    vals = metrics.select(F.col(value_col).alias("y"), F.monotonically_increasing_id().alias("_tie"))
+def entropy_rank_curve(metrics: DataFrame, value_col: str = "entropy", tie: str = "token_id") -> DataFrame:
+    """``(x, y)`` with ``y`` the values sorted descending and ``x`` the 0-based rank.
+
+    ``tie`` (a unique column) only spreads equal values over ranges; equal
+    values get consecutive ranks either way.
+    """
+    vals = metrics.select(F.col(value_col).alias("y"), F.col(tie).alias("_tie"))
     ranked = with_ordinal(vals, [F.desc("y"), F.asc("_tie")], "x")
     return ranked.select("x", "y")
 
