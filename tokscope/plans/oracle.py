@@ -250,4 +250,20 @@ def oracle_sql() -> dict[str, str]:
         "shuffle_rows": "SELECT doc_id, length(text)::INTEGER AS n_chars FROM documents WHERE text IS NOT NULL AND length(text) > 0",
     }
     sql["running_token_frequency"] = sql["token_frequency"]
+    sql["write_frequencies"] = sql["token_frequency"]
+    sql["progress_metrics"] = _with(
+        "SELECT 0::INTEGER AS batch_id, (SELECT count(*) FROM docs)::BIGINT AS n_docs, "
+        "(SELECT count(DISTINCT token_id) FROM freq)::BIGINT AS unique_tokens"
+    )
+    sql["write_metrics"] = _with(
+        f"SELECT token, freq_in_corpus, round(standalone_ratio, {R}) AS standalone_ratio, "
+        f"round(entropy, {R}) AS entropy, length_bytes, {meaningless} AS meaningless FROM metrics",
+        byte=True,
+    )
+    sql["write_ranked"] = _with(
+        f"SELECT token_id::INTEGER AS token_id, token, freq, descendant_freq, ratio, "
+        "(row_number() OVER (ORDER BY ratio, freq, token_id) - 1)::BIGINT AS rank "
+        f"FROM (SELECT token_id, token, freq, descendant_freq, {ratio} AS ratio FROM rarest)"
+    )
+    sql["corpus_from_jsonl_tree"] = "SELECT text FROM documents"
     return sql

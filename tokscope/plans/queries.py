@@ -23,7 +23,16 @@ from tokscope.operators.frequency import distinct_token_count, top_k
 from tokscope.operators.mergegraph import closure_adjacency, closure_to_text, distinct_edges
 from tokscope.operators.ranking import entropy_rank_curve, rank_by_survival_ratio, rarest_script_tokens, shuffle_rows
 from tokscope.plans.context import Context
-from tokscope.sources.tables import conversations_as_jsonl, line_count, parse_conversation_lines
+from tokscope.session import scratch_path
+from tokscope.sinks.writers import write_frequencies, write_metrics, write_ranked
+from tokscope.sources.tables import (
+    conversations_as_jsonl,
+    corpus_from_jsonl_tree,
+    line_count,
+    load_frequencies,
+    load_metrics,
+    parse_conversation_lines,
+)
 
 # Parameters of the registered queries (chosen once; not tuned to pass).
 CHUNK_CHARS = 4096
@@ -243,6 +252,54 @@ def q_running_token_frequency(spark, sf_dir):
     return running_token_frequency_table(spark, sf_dir)
 
 
+def q_progress_metrics(spark, sf_dir):
+    from tokscope.streaming.running import running_progress_table
+
+    return running_progress_table(spark, sf_dir)
+
+
+# -- sinks read back by the matching sources --------------------------------------------
+
+
+def q_write_frequencies(spark, sf_dir):
+    """K1 -> S7: the single JSON object written and parsed back."""
+    path = scratch_path(spark, "freq-json")
+    write_frequencies(_ctx(spark, sf_dir).freq, path, "json_object")
+    return load_frequencies(spark, path)
+
+
+def q_write_metrics(spark, sf_dir):
+    """K2 -> S8: the metrics CSV written and read back."""
+    path = scratch_path(spark, "metrics-csv")
+    write_metrics(_ctx(spark, sf_dir).metrics, path)
+    m = load_metrics(spark, path)
+    return m.select(
+        "token",
+        "freq_in_corpus",
+        F.round("standalone_ratio", ROUND).alias("standalone_ratio"),
+        F.round("entropy", ROUND).alias("entropy"),
+        "length_bytes",
+        "meaningless",
+    )
+
+
+def q_write_ranked(spark, sf_dir):
+    """K4: survival ranking written with its rank column and read back."""
+    c = _ctx(spark, sf_dir)
+    r = rank_by_survival_ratio(rarest_script_tokens(c.with_descendants, c.vocab_bytes, LATIN1_LETTER_RANGES))
+    path = scratch_path(spark, "ranked-json")
+    write_ranked(r.withColumn("ratio", F.round("ratio", ROUND)), path, ["ratio", "freq", "token_id"])
+    schema = "token_id int, token string, freq long, descendant_freq long, ratio double, rank long"
+    return spark.read.schema(schema).json(path)
+
+
+def q_corpus_from_jsonl_tree(spark, sf_dir):
+    """Documents written as JSON lines under ``source=…`` folders, read back recursively."""
+    path = scratch_path(spark, "jsonl-tree")
+    _ctx(spark, sf_dir).table("documents").select("doc_id", "text", "source").write.partitionBy("source").json(path)
+    return corpus_from_jsonl_tree(spark, path).select("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pretoken_count": q_pretoken_count,
     "token_frequency": q_token_frequency,
@@ -277,4 +334,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "line_count": q_line_count,
     "shuffle_rows": q_shuffle_rows,
     "running_token_frequency": q_running_token_frequency,
+    "progress_metrics": q_progress_metrics,
+    "write_frequencies": q_write_frequencies,
+    "write_metrics": q_write_metrics,
+    "write_ranked": q_write_ranked,
+    "corpus_from_jsonl_tree": q_corpus_from_jsonl_tree,
 }

@@ -59,9 +59,17 @@ def write_metrics(metrics: DataFrame, path: str) -> bool:
     if not nonempty_or_warn(metrics, "metrics"):
         return False
     cols = ["token", "freq_in_corpus", "standalone_ratio", "entropy", "length_bytes", "meaningless"]
-    metrics.orderBy(F.desc("freq_in_corpus"), F.asc("token")).select(*cols).write.mode("overwrite").option(
-        "header", True
-    ).csv(path)
+    (
+        metrics.orderBy(F.desc("freq_in_corpus"), F.asc("token"))
+        .select(*cols)
+        .write.mode("overwrite")
+        .option("header", True)
+        # Tokens may be spaces, tabs or newlines: keep them, quote everything.
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .option("quoteAll", True)
+        .csv(path)
+    )
     return True
 
 

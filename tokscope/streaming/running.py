@@ -93,3 +93,14 @@ def running_token_frequency_table(spark: SparkSession, sf_dir: str, tokenizer_pa
     )
     q.awaitTermination()
     return running_totals(spark, out)
+
+
+def running_progress_table(spark: SparkSession, sf_dir: str, tokenizer_path: str = FIXTURE_TOKENIZER) -> DataFrame:
+    """Registered form of ST2: stream ``documents`` and return per-batch progress."""
+    out = scratch_path(spark, "running-progress")
+    ckpt = scratch_path(spark, "running-progress-ckpt")
+    q = start_running_token_frequency(
+        spark, sf_dir, out, ckpt, HFTokenizerEncoder.from_path(tokenizer_path), file_glob="documents.parquet"
+    )
+    q.awaitTermination()
+    return progress_metrics(spark, out)
