@@ -46,15 +46,22 @@ def test_flatten(spark):
 
 def test_ordinal_is_dense_and_ordered(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(6)
-    got = sorted((r.ordinal, r.k) for r in with_ordinal(df, ["k"], "ordinal", partitions=5).collect())
+    got = sorted((r.ordinal, r.k) for r in with_ordinal(df, "k", name="ordinal", partitions=5).collect())
     assert [o for o, _ in got] == list(range(5000))
     assert [k for _, k in got] == sorted(k for _, k in got)
 
 
-def test_ordinal_hot_key_spread(spark):
-    # One value holds a third of the rows; the tie-break spreads it over ranges.
+def test_ordinal_ties_descending_and_hot_key(spark):
+    # One value holds a third of the rows; ties are numbered by ``id``.
     df = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("v"), "id")
-    out = with_ordinal(df, ["v", "id"], "o", partitions=6)
-    sizes = out.groupBy(F.spark_partition_id()).count().collect()
-    assert max(r["count"] for r in sizes) < 3000 * 0.5
-    assert sorted(r.o for r in out.collect()) == list(range(3000))
+    rows = with_ordinal(df.repartition(4), "v", ["id"], "o", descending=True, partitions=6).collect()
+    got = [(r.v, r.id) for r in sorted(rows, key=lambda r: r.o)]
+    assert got == sorted(((r.v, r.id) for r in rows), key=lambda t: (-t[0], t[1]))
+    assert sorted(r.o for r in rows) == list(range(3000))
+
+
+def test_ordinal_large_sparse_keys(spark):
+    keys = [(1 << 62) + i * 1_000_003 for i in range(2000)] + [-(1 << 60), 0, 5]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
+    got = [r.k for r in sorted(with_ordinal(df, "k", partitions=7).collect(), key=lambda r: r.ordinal)]
+    assert got == sorted(keys)

@@ -64,7 +64,7 @@ def test_closure_and_ranked_sinks(spark, tmp_path):
     assert spark.read.text(pi).first().value == '{"0":[2,3],"1":[2]}'
     ranked = spark.createDataFrame([(5, 0.5), (6, -1e8), (7, 1.0)], "token_id int, ratio double")
     pr = str(tmp_path / "r")
-    write_ranked(ranked, pr, ["ratio", "token_id"])
+    write_ranked(ranked, pr, "ratio", ("token_id",))
     got = [r.token_id for r in spark.read.json(pr).orderBy("rank").collect()]
     assert got == [6, 5, 7]
 

@@ -44,7 +44,7 @@ def batch_by_count(
     ``batch_size`` texts.
     """
     rows = df.filter(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(order_col, text_col)
-    numbered = with_ordinal(rows, [order_col], "_ord").withColumn("batch_no", F.floor(F.col("_ord") / batch_size).cast("long"))
+    numbered = with_ordinal(rows, order_col, name="_ord").withColumn("batch_no", F.floor(F.col("_ord") / batch_size).cast("long"))
     texts = _sorted_texts("_ord", text_col)
     body = F.array_join(texts, sep) if sep is not None else texts
     return numbered.groupBy("batch_no").agg(
@@ -99,7 +99,7 @@ def batch_by_chars(
     shuffle on the ordinal and concatenated per pack.
     """
     rows = df.filter(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(order_col, text_col)
-    numbered = with_ordinal(rows, [order_col], "_ord").withColumn(
+    numbered = with_ordinal(rows, order_col, name="_ord").withColumn(
         "_seg", F.floor(F.col("_ord") / segment_docs).cast("long")
     )
     lengths = numbered.select("_seg", "_ord", F.length(text_col).alias("_len"))

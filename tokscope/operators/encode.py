@@ -114,19 +114,18 @@ def text_segments(
 ) -> DataFrame:
     """Texts as segments of about ``max_chars`` characters, cut only at ``safe_cut``.
 
-    Short texts pass through unchanged (no shuffle); long ones are cut by
-    one JVM regex (a segment runs to the last cut point within
-    ``max_chars``, or on to the next one if there is none) and the
-    segments are spread across tasks. Splitting the segments gives exactly
-    the pieces of the whole text.
+    One pass, no shuffle: short texts pass through as one segment; long
+    ones are cut by one JVM regex (a segment runs to the last cut point
+    within ``max_chars``, or on to the next one if there is none), so the
+    pre-token split works on bounded strings. Splitting the segments gives
+    exactly the pieces of the whole text. (Segments of one document stay in
+    its task: spreading them would need a second scan of the text column,
+    which costs about as much as the split itself.)
     """
     t = F.col(text_col)
-    short = df.filter(F.length(t) <= max_chars).select(t.alias(text_col))
     cut = f"(?s).{{1,{max_chars}}}(?:{safe_cut}|\\z)|(?s).+?(?:{safe_cut}|\\z)"
-    long_texts = df.filter(F.length(t) > max_chars)
-    segs = long_texts.select(F.explode(F.regexp_extract_all(t, F.lit(cut), 0)).alias(text_col))
-    segs = segs.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return short.unionByName(segs)
+    pieces = F.when(F.length(t) > max_chars, F.regexp_extract_all(t, F.lit(cut), 0)).otherwise(F.array(t))
+    return df.select(F.explode(pieces).alias(text_col))
 
 
 def pretokens(

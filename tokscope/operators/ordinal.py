@@ -1,16 +1,22 @@
 """Dense global row numbers without a single-partition window.
 
 ``row_number() OVER (ORDER BY …)`` with no partition clause moves every
-row into one task. Instead rows are range-partitioned on the order key,
-each range is numbered locally, and a per-range offset (one row per
-range, so a tiny table) is added back.
+row into one task. Instead rows are put into ordered buckets by a
+deterministic function of the sort key (quantile split points computed
+once, then ``Bucketizer``'s binary search), each bucket is numbered
+locally, and a per-bucket offset (one row per bucket, a tiny table) is
+added back. Because the bucket of a row depends only on its key and the
+fixed split points, the per-bucket counts and the local numbers agree even
+when they are computed by different stages or after a task is retried
+(a sampled range partitioning would be re-sampled per exchange).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,18 +26,44 @@ def _parts(df: DataFrame, partitions: int | None) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def with_ordinal(df: DataFrame, order: Sequence[Column | str], name: str = "ordinal", partitions: int | None = None) -> DataFrame:
-    """Add a 0-based ``name`` following ``order``.
+def split_points(df: DataFrame, key: str, buckets: int, rel_error: float = 0.001) -> list[float]:
+    """Strictly increasing split points for ``buckets`` ordered buckets of ``key``.
 
-    Give a total order (add a unique tie-break) when ties must be numbered
-    repeatably. A hot key value is split across ranges by the tie-break, so
-    no range holds more than its share of rows.
+    ``approxQuantile`` runs one job and returns at most ``buckets - 1``
+    values to the driver (a bound independent of the data size).
     """
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(_parts(df, partitions), *order_cols).withColumn("_pid", F.spark_partition_id())
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
-    out = local.join(F.broadcast(offsets), "_pid").withColumn(name, (F.col("_off") + F.col("_local") - 1).cast("long"))
-    return out.drop("_pid", "_off", "_local")
+    probs = [i / buckets for i in range(1, buckets)]
+    qs = df.approxQuantile(key, probs, rel_error) if probs else []
+    inner = sorted({float(q) for q in qs})
+    return [float("-inf"), *inner, float("inf")]
+
+
+def with_ordinal(
+    df: DataFrame,
+    key: str,
+    ties: Sequence[str] = (),
+    name: str = "ordinal",
+    descending: bool = False,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Add a 0-based ``name`` following numeric ``key`` (then ``ties``, ascending).
+
+    ``descending`` orders by ``key`` from high to low. Give unique ``ties``
+    when equal keys must be numbered repeatably. All rows with one key value
+    share a bucket, so a key value holding a large share of the rows makes
+    one large bucket (still correct; the uses here sort unique ids or
+    vocabulary-sized tables).
+    """
+    k = F.col(key).cast("double")
+    keyed = df.withColumn("_k", -k if descending else k)
+    splits = split_points(keyed, "_k", _parts(df, partitions))
+    bucketed = Bucketizer(splits=splits, inputCol="_k", outputCol="_b", handleInvalid="keep").transform(keyed)
+    counts = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    order = [F.col("_k").asc_nulls_last(), F.col(key).desc() if descending else F.col(key).asc()]
+    order += [F.col(t).asc() for t in ties]
+    local = bucketed.withColumn("_local", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
+    # ``offsets`` has one row per bucket (at most ``partitions`` + 1 rows).
+    out = local.join(F.broadcast(offsets), "_b").withColumn(name, (F.col("_off") + F.col("_local") - 1).cast("long"))
+    return out.drop("_k", "_b", "_off", "_local")

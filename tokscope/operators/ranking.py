@@ -77,7 +77,7 @@ def entropy_rank_curve(metrics: DataFrame, value_col: str = "entropy", tie: str
     values get consecutive ranks either way.
     """
     vals = metrics.select(F.col(value_col).alias("y"), F.col(tie).alias("_tie"))
-    ranked = with_ordinal(vals, [F.desc("y"), F.asc("_tie")], "x")
+    ranked = with_ordinal(vals, "y", ["_tie"], "x", descending=True)
     return ranked.select("x", "y")
 
 

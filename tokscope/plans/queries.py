@@ -288,7 +288,7 @@ def q_write_ranked(spark, sf_dir):
     c = _ctx(spark, sf_dir)
     r = rank_by_survival_ratio(rarest_script_tokens(c.with_descendants, c.vocab_bytes, LATIN1_LETTER_RANGES))
     path = scratch_path(spark, "ranked-json")
-    write_ranked(r.withColumn("ratio", F.round("ratio", ROUND)), path, ["ratio", "freq", "token_id"])
+    write_ranked(r.withColumn("ratio", F.round("ratio", ROUND)), path, "ratio", ("freq", "token_id"))
     schema = "token_id int, token string, freq long, descendant_freq long, ratio double, rank long"
     return spark.read.schema(schema).json(path)
 

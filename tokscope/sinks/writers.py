@@ -94,11 +94,11 @@ def write_merge_closure(closure: DataFrame, closure_text: DataFrame, path_ids: s
     return True
 
 
-def write_ranked(ranked: DataFrame, path: str, order: list) -> bool:
-    """K4: rows in ``order`` with an explicit ``rank`` column (order survives partitions)."""
+def write_ranked(ranked: DataFrame, path: str, key: str, ties: tuple[str, ...] = ()) -> bool:
+    """K4: rows by ``key`` then ``ties`` with an explicit ``rank`` column (order survives partitions)."""
     if not nonempty_or_warn(ranked, "ranked tokens"):
         return False
-    with_ordinal(ranked, order, "rank").orderBy("rank").write.mode("overwrite").json(path)
+    with_ordinal(ranked, key, ties, "rank").orderBy("rank").write.mode("overwrite").json(path)
     return True
 
 
