@@ -76,3 +76,24 @@ def test_segmented_pretokens_equal_whole(spark):
     # Segments cover the text exactly.
     joined = "".join(r.text for r in text_segments(docs.filter("doc_id = 10000"), max_chars=7).collect())
     assert sorted(joined) == sorted("ab  cd,ef 12 gh\n\n x!y " * 50)
+
+
+def test_tiktoken_plugin_with_local_encoding(spark):
+    """A tiktoken encoding runs through the same encoder operator."""
+    import tiktoken
+
+    from tokscope.operators.encode import TiktokenEncoder, encode_column
+
+    ranks = {bytes([b]): b for b in range(256)}
+    for extra in (b"th", b"the", b" the"):
+        ranks[extra] = len(ranks)
+    enc = tiktoken.Encoding(name="local-test", pat_str=r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+", mergeable_ranks=ranks, special_tokens={})
+
+    class LocalTiktoken(TiktokenEncoder):
+        def _get(self):
+            return enc
+
+    df = spark.createDataFrame([(1, "the theme"), (2, "")], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in encode_column(df, LocalTiktoken(), "text").collect()}
+    assert got[1] == [ranks[b"the"], ranks[b" the"], ranks[b"m"], ranks[b"e"]]
+    assert got[2] == []

@@ -91,3 +91,11 @@ def test_vocab_includes_added_tokens(spark):
     got = sorted((r.token_id, r.token, r.special) for r in load_vocab(tok).collect())
     assert got == [(0, "a", False), (1, "b", False), (2, "<s>", True)]
     assert read_tokenizer is not None
+
+
+def test_rejected_lines_observed(spark, tmp_path):
+    p = tmp_path / "c.jsonl"
+    p.write_text('{"conversations":[{"content":"hi"}]}\nbad{\n\n{"conversations":[{"content":5}]}\n')
+    kept, obs = scan_conversations(spark, str(p), observation=True)
+    assert [r.content for r in kept.collect()] == ["hi"]
+    assert obs.get["rejected"] == 3 and obs.get["lines"] == 4

@@ -34,20 +34,26 @@ MAX_FOLD_MERGES = 5000
 class HFTokenizerEncoder:
     """Picklable factory for a ``tokenizers`` encoder built from JSON text.
 
-    Only the JSON string travels to executors (in the task closure); the
+    With a session the JSON is shipped once per executor as a broadcast
+    variable (a production vocabulary file is several MB; a closure would
+    carry it in every task); without one it rides in the closure. The
     encoder is built once per Python worker and reused across batches.
     """
 
-    def __init__(self, tokenizer_json: str, add_special_tokens: bool = False):
-        self.tokenizer_json = tokenizer_json
+    def __init__(self, tokenizer_json, add_special_tokens: bool = False):
+        self.tokenizer_json = tokenizer_json  # str or Broadcast[str]
         self.add_special_tokens = add_special_tokens
         self._tok = None
 
+    def __getstate__(self):
+        return {"tokenizer_json": self.tokenizer_json, "add_special_tokens": self.add_special_tokens, "_tok": None}
+
     def _get(self):
         if self._tok is None:
             from tokenizers import Tokenizer
 
-            self._tok = Tokenizer.from_str(self.tokenizer_json)
+            src = self.tokenizer_json
+            self._tok = Tokenizer.from_str(src if isinstance(src, str) else src.value)
         return self._tok
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
@@ -55,9 +61,12 @@ class HFTokenizerEncoder:
         return [e.ids for e in encs]
 
     @classmethod
-    def from_path(cls, path: str, add_special_tokens: bool = False) -> HFTokenizerEncoder:
+    def from_path(cls, path: str, add_special_tokens: bool = False, spark: SparkSession | None = None) -> HFTokenizerEncoder:
         with open(path, encoding="utf-8") as f:
-            return cls(f.read(), add_special_tokens)
+            text = f.read()
+        if spark is not None:
+            return cls(spark.sparkContext.broadcast(text), add_special_tokens)
+        return cls(text, add_special_tokens)
 
 
 class TiktokenEncoder:

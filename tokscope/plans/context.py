@@ -76,7 +76,7 @@ class Context:
 
     @cached_property
     def encoder(self) -> HFTokenizerEncoder:
-        return HFTokenizerEncoder.from_path(self.tokenizer_path)
+        return HFTokenizerEncoder.from_path(self.tokenizer_path, spark=self.spark)
 
     @cached_property
     def pieces(self) -> DataFrame:

@@ -7,7 +7,7 @@ driver-side chunk.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,10 +81,26 @@ def parse_conversation_lines(lines: DataFrame, line_col: str = "value") -> DataF
     )
 
 
-def scan_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """S3: read JSONL files and keep first-turn contents; bad lines dropped."""
+def observe_rejected(parsed: DataFrame, name: str = "rejected_lines") -> tuple[DataFrame, Observation]:
+    """Count rows with ``ok = false`` as a side metric while they are dropped.
+
+    The count is filled in when the returned frame is first computed
+    (``observation.get["rejected"]``); nothing extra is scanned.
+    """
+    obs = Observation(name)
+    watched = parsed.observe(obs, F.count_if(~F.col("ok")).alias("rejected"), F.count(F.lit(1)).alias("lines"))
+    return watched.filter("ok").drop("ok"), obs
+
+
+def scan_conversations(spark: SparkSession, path: str, observation: bool = False):
+    """S3: read JSONL files and keep first-turn contents; bad lines dropped.
+
+    With ``observation=True`` returns ``(frame, Observation)`` whose
+    ``rejected`` / ``lines`` counts report what was skipped.
+    """
     parsed = parse_conversation_lines(spark.read.text(path))
-    return parsed.filter("ok").drop("ok")
+    kept, obs = observe_rejected(parsed)
+    return (kept, obs) if observation else kept
 
 
 def conversations_as_jsonl(conversations: DataFrame) -> DataFrame:

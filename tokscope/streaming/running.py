@@ -88,9 +88,8 @@ def running_token_frequency_table(spark: SparkSession, sf_dir: str, tokenizer_pa
     """Registered form: stream ``documents`` to completion, return the totals."""
     out = scratch_path(spark, "running-freq")
     ckpt = scratch_path(spark, "running-freq-ckpt")
-    q = start_running_token_frequency(
-        spark, sf_dir, out, ckpt, HFTokenizerEncoder.from_path(tokenizer_path), file_glob="documents.parquet"
-    )
+    enc = HFTokenizerEncoder.from_path(tokenizer_path, spark=spark)
+    q = start_running_token_frequency(spark, sf_dir, out, ckpt, enc, file_glob="documents.parquet")
     q.awaitTermination()
     return running_totals(spark, out)
 
@@ -99,8 +98,7 @@ def running_progress_table(spark: SparkSession, sf_dir: str, tokenizer_path: str
     """Registered form of ST2: stream ``documents`` and return per-batch progress."""
     out = scratch_path(spark, "running-progress")
     ckpt = scratch_path(spark, "running-progress-ckpt")
-    q = start_running_token_frequency(
-        spark, sf_dir, out, ckpt, HFTokenizerEncoder.from_path(tokenizer_path), file_glob="documents.parquet"
-    )
+    enc = HFTokenizerEncoder.from_path(tokenizer_path, spark=spark)
+    q = start_running_token_frequency(spark, sf_dir, out, ckpt, enc, file_glob="documents.parquet")
     q.awaitTermination()
     return progress_metrics(spark, out)
