@@ -17,12 +17,22 @@ from tokscope.operators.ordinal import with_ordinal
 log = logging.getLogger(__name__)
 
 
-def nonempty_or_warn(df: DataFrame, what: str) -> bool:
-    """``False`` (and a warning) when there is nothing to write."""
-    if df.isEmpty():
-        log.warning("no %s were produced; nothing written (is the corpus empty or the path wrong?)", what)
-        return False
-    return True
+def _written_empty(spark: SparkSession, path: str, fmt: str, what: str) -> bool:
+    """After writing, warn when the output holds no rows.
+
+    The check reads the files just written (cheap) instead of running the
+    producing plan a second time.
+    """
+    reader = spark.read.format(fmt)
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    if fmt == "text":
+        empty = reader.load(path).filter(F.col("value") != "{}").isEmpty()
+    else:
+        empty = reader.load(path).isEmpty()
+    if empty:
+        log.warning("no %s were produced (is the corpus empty or the path wrong?)", what)
+    return empty
 
 
 def write_frequencies(freq: DataFrame, path: str, fmt: str = "parquet") -> bool:
@@ -30,11 +40,11 @@ def write_frequencies(freq: DataFrame, path: str, fmt: str = "parquet") -> bool:
 
     ``fmt='parquet'|'json'`` writes one row per token (range-partitioned
     sort, so part files are in order); ``fmt='json_object'`` writes the
-    single ``{"<id>": count, …}`` object, entries in sorted order.
+    single ``{"<id>": count, …}`` object, entries in sorted order (one row
+    whose size is bounded by the vocabulary). Returns ``False`` (and warns)
+    when there were no tokens.
     """
-    if not nonempty_or_warn(freq, "token counts"):
-        return False
-    ordered = freq.orderBy(F.desc("count"), F.asc("token_id"))
+    spark = freq.sparkSession
     if fmt == "json_object":
         entries = F.array_sort(
             F.collect_list(F.struct((-F.col("count")).alias("k"), F.col("token_id").alias("i"), F.col("count").alias("c")))
@@ -45,9 +55,9 @@ def write_frequencies(freq: DataFrame, path: str, fmt: str = "parquet") -> bool:
             )
         )
         obj.coalesce(1).write.mode("overwrite").text(path)
-    else:
-        ordered.write.mode("overwrite").format(fmt).save(path)
-    return True
+        return not _written_empty(spark, path, "text", "token counts")
+    freq.orderBy(F.desc("count"), F.asc("token_id")).write.mode("overwrite").format(fmt).save(path)
+    return not _written_empty(spark, path, fmt, "token counts")
 
 
 def write_metrics(metrics: DataFrame, path: str) -> bool:
@@ -56,8 +66,6 @@ def write_metrics(metrics: DataFrame, path: str) -> bool:
     Spark's CSV writer adds no UTF-8 byte-order mark (the analysed program
     writes one); readers that need it can prepend it.
     """
-    if not nonempty_or_warn(metrics, "metrics"):
-        return False
     cols = ["token", "freq_in_corpus", "standalone_ratio", "entropy", "length_bytes", "meaningless"]
     (
         metrics.orderBy(F.desc("freq_in_corpus"), F.asc("token"))
@@ -70,7 +78,7 @@ def write_metrics(metrics: DataFrame, path: str) -> bool:
         .option("quoteAll", True)
         .csv(path)
     )
-    return True
+    return not _written_empty(metrics.sparkSession, path, "csv", "metrics")
 
 
 def write_merge_closure(closure: DataFrame, closure_text: DataFrame, path_ids: str, path_text: str) -> bool:
@@ -78,8 +86,6 @@ def write_merge_closure(closure: DataFrame, closure_text: DataFrame, path_ids: s
 
     One map entry per ancestor; the map is vocabulary-sized.
     """
-    if not nonempty_or_warn(closure, "merge closure pairs"):
-        return False
     adj = closure.groupBy("ancestor").agg(F.array_sort(F.collect_set("descendant")).alias("d"))
     ids = adj.agg(
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("ancestor").cast("string"), "d"))))).alias(
@@ -91,15 +97,13 @@ def write_merge_closure(closure: DataFrame, closure_text: DataFrame, path_ids: s
         F.to_json(F.map_from_entries(F.collect_list(F.struct("token", "descendants")))).alias("value")
     )
     txt.coalesce(1).write.mode("overwrite").text(path_text)
-    return True
+    return not _written_empty(closure.sparkSession, path_ids, "text", "merge closure pairs")
 
 
 def write_ranked(ranked: DataFrame, path: str, key: str, ties: tuple[str, ...] = ()) -> bool:
     """K4: rows by ``key`` then ``ties`` with an explicit ``rank`` column (order survives partitions)."""
-    if not nonempty_or_warn(ranked, "ranked tokens"):
-        return False
     with_ordinal(ranked, key, ties, "rank").orderBy("rank").write.mode("overwrite").json(path)
-    return True
+    return not _written_empty(ranked.sparkSession, path, "json", "ranked tokens")
 
 
 def read_or_compute(spark: SparkSession, path: str, compute) -> DataFrame:
