@@ -97,3 +97,9 @@ def test_tiktoken_plugin_with_local_encoding(spark):
     got = {r.doc_id: r.ids for r in encode_column(df, LocalTiktoken(), "text").collect()}
     assert got[1] == [ranks[b"the"], ranks[b" the"], ranks[b"m"], ranks[b"e"]]
     assert got[2] == []
+
+
+def test_distinct_count_approx(spark):
+    df = spark.range(0, 5000).select((F.col("id") % 700).alias("token_id"))
+    assert distinct_token_count(df).first()[0] == 700
+    assert abs(distinct_token_count(df, approx=True).first()[0] - 700) <= 35

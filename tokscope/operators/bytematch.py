@@ -101,7 +101,8 @@ def match_neighbours(docs: DataFrame, patterns: DataFrame, lengths: list[int], t
     """One row per occurrence: ``(pid, left, right)``.
 
     ``left``/``right`` are the neighbour bytes as 1-byte binaries, NULL at
-    a document edge (converted to ints only after aggregation).
+    a document edge (converted to ints only after aggregation). ``lengths``
+    are the distinct pattern lengths; the longest sets the window size.
     """
     if not lengths:
         return patterns.sparkSession.createDataFrame([], "pid int, left binary, right binary")

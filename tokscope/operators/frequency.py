@@ -35,9 +35,14 @@ def token_frequency_whole_text(docs: DataFrame, encoder, text_col: str = "text")
     )
 
 
-def distinct_token_count(freq: DataFrame, key: str = "token_id") -> DataFrame:
-    """A2: number of distinct tokens (exact)."""
-    return freq.agg(F.count_distinct(key).alias("n_distinct"))
+def distinct_token_count(freq: DataFrame, key: str = "token_id", approx: bool = False) -> DataFrame:
+    """A2: number of distinct tokens; exact, or HyperLogLog++ with ``approx``.
+
+    On a ``(token_id, count)`` table the keys are already unique, so the
+    exact form is a plain count; on raw token rows it de-duplicates.
+    """
+    n = F.approx_count_distinct(key) if approx else F.count_distinct(key)
+    return freq.agg(n.alias("n_distinct"))
 
 
 def top_k(freq: DataFrame, k: int = 20, count_col: str = "count", key: str = "token_id") -> DataFrame:

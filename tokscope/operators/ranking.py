@@ -44,14 +44,17 @@ def survival_ratio(freq: str = "freq", desc: str = "descendant_freq"):
 
 
 def rarest_script_tokens(
-    with_desc: DataFrame, vocab_decoded: DataFrame, ranges: Sequence[tuple[int, int]] = CJK_RANGES
+    with_desc: DataFrame,
+    vocab_decoded: DataFrame,
+    ranges: Sequence[tuple[int, int]] = CJK_RANGES,
+    vocab_rows: int | None = None,
 ) -> DataFrame:
     """R2 (+P3/P4, T5): tokens whose decoded text holds a character of
     ``ranges``, as ``(token_id, token, freq, descendant_freq)``.
 
     Sort order is ascending ``freq`` then ``token_id`` (apply ``ordered_rarest``).
     """
-    dv = bounded_broadcast(vocab_decoded.select("token_id", F.col("decoded").alias("token")))
+    dv = bounded_broadcast(vocab_decoded.select("token_id", F.col("decoded").alias("token")), known_rows=vocab_rows)
     return with_desc.join(dv, "token_id").filter(contains_script("token", ranges)).select(
         "token_id", "token", "freq", "descendant_freq"
     )

@@ -114,7 +114,7 @@ def q_closure_adjacency(spark, sf_dir):
 
 def q_closure_to_text(spark, sf_dir):
     c = _ctx(spark, sf_dir)
-    txt = closure_to_text(c.closure, c.vocab_bytes, c.edges)
+    txt = closure_to_text(c.closure, c.vocab_bytes, c.edges, vocab_rows=c.vocab_rows)
     return txt.join(c.filled, "token_id").select(
         "token_id", "token", F.array_join("descendants", "|").alias("descendants"), "freq"
     )
@@ -133,12 +133,12 @@ def q_descendant_frequency(spark, sf_dir):
 
 def q_rarest_script_tokens(spark, sf_dir):
     c = _ctx(spark, sf_dir)
-    return rarest_script_tokens(c.with_descendants, c.vocab_bytes, LATIN1_LETTER_RANGES)
+    return rarest_script_tokens(c.with_descendants, c.vocab_bytes, LATIN1_LETTER_RANGES, c.vocab_rows)
 
 
 def q_rank_by_survival_ratio(spark, sf_dir):
     c = _ctx(spark, sf_dir)
-    r = rank_by_survival_ratio(rarest_script_tokens(c.with_descendants, c.vocab_bytes, LATIN1_LETTER_RANGES))
+    r = rank_by_survival_ratio(rarest_script_tokens(c.with_descendants, c.vocab_bytes, LATIN1_LETTER_RANGES, c.vocab_rows))
     return r.withColumn("ratio", F.round("ratio", ROUND))
 
 
@@ -286,7 +286,7 @@ def q_write_metrics(spark, sf_dir):
 def q_write_ranked(spark, sf_dir):
     """K4: survival ranking written with its rank column and read back."""
     c = _ctx(spark, sf_dir)
-    r = rank_by_survival_ratio(rarest_script_tokens(c.with_descendants, c.vocab_bytes, LATIN1_LETTER_RANGES))
+    r = rank_by_survival_ratio(rarest_script_tokens(c.with_descendants, c.vocab_bytes, LATIN1_LETTER_RANGES, c.vocab_rows))
     path = scratch_path(spark, "ranked-json")
     write_ranked(r.withColumn("ratio", F.round("ratio", ROUND)), path, "ratio", ("freq", "token_id"))
     schema = "token_id int, token string, freq long, descendant_freq long, ratio double, rank long"
