@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,8 @@ from tokscope.operators.encode import HFTokenizerEncoder, pretoken_count
 from tokscope.operators.frequency import token_frequency
 from tokscope.operators.mergegraph import merge_closure, merge_edges
 from tokscope.operators.ranking import descendant_frequency, zero_fill
-from tokscope.session import FIXTURE_TOKENIZER, bounded_broadcast, bounded_rows, read_table
+from tokscope.session import FIXTURE_TOKENIZER, bounded_broadcast, bounded_rows, ensure_checkpoint_dir, read_table
+from tokscope.sinks.writers import read_or_compute
 from tokscope.sources.tables import drop_empty_text
 from tokscope.sources.vocab import load_merges, load_vocab, read_tokenizer, vocab_with_bytes
 
@@ -97,7 +99,13 @@ class Context:
 
     @cached_property
     def closure(self) -> DataFrame:
-        return merge_closure(self.edges)
+        """G1, reused across jobs (K6): the closure depends only on the
+        vocabulary, so it is saved once per tokenizer content under the
+        shared checkpoint folder and read back afterwards."""
+        with open(self.tokenizer_path, "rb") as f:
+            digest = hashlib.sha1(f.read()).hexdigest()[:16]
+        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/merge-closure-{digest}"
+        return read_or_compute(self.spark, path, lambda: merge_closure(self.edges))
 
     @cached_property
     def with_descendants(self) -> DataFrame:
