@@ -57,9 +57,9 @@ def distinct_patterns(vocab_bytes: DataFrame) -> DataFrame:
     return pats.select("pid", "token_bytes", F.octet_length("token_bytes").alias("plen"))
 
 
-def pattern_lengths(patterns: DataFrame) -> list[int]:
-    """Distinct pattern lengths: at most the longest token's byte length."""
-    return sorted(r[0] for r in patterns.select("plen").distinct().collect())
+def max_pattern_length(patterns: DataFrame) -> int:
+    """Byte length of the longest pattern (0 when there is none): one aggregated value."""
+    return int(patterns.agg(F.coalesce(F.max("plen"), F.lit(0))).first()[0])
 
 
 # Documents longer than this many bytes are cut into overlapping segments
@@ -96,17 +96,17 @@ def byte_segments(docs: DataFrame, maxlen: int, text_col: str = "text", max_segm
     return short.unionByName(segs)
 
 
-def match_neighbours(docs: DataFrame, patterns: DataFrame, lengths: list[int], text_col: str = "text",
+def match_neighbours(docs: DataFrame, patterns: DataFrame, maxlen: int, text_col: str = "text",
                      n_patterns: int | None = None, max_segment_bytes: int = MAX_SEGMENT_BYTES) -> DataFrame:
     """One row per occurrence: ``(pid, left, right)``.
 
     ``left``/``right`` are the neighbour bytes as 1-byte binaries, NULL at
-    a document edge (converted to ints only after aggregation). ``lengths``
-    are the distinct pattern lengths; the longest sets the window size.
+    a document edge (converted to ints only after aggregation). ``maxlen``
+    is the longest pattern's byte length (``max_pattern_length``); it sets
+    the window size.
     """
-    if not lengths:
+    if maxlen <= 0:
         return patterns.sparkSession.createDataFrame([], "pid int, left binary, right binary")
-    maxlen = max(lengths)
     segs = byte_segments(docs, maxlen, text_col, max_segment_bytes).withColumn("n", F.octet_length("s"))
     pos = segs.select("n", F.col("s").alias("b"), F.explode(F.sequence(F.col("lo"), F.col("hi"))).alias("pos"))
     # The window starts one byte before the candidate (when there is one).
@@ -274,6 +274,6 @@ def corpus_token_metrics(
     """The whole byte-match program: corpus + vocabulary -> metrics table."""
     pats = distinct_patterns(vocab_bytes)
     pairs = neighbour_pairs(
-        match_neighbours(docs, pats, pattern_lengths(pats), text_col, max_segment_bytes=max_segment_bytes)
+        match_neighbours(docs, pats, max_pattern_length(pats), text_col, max_segment_bytes=max_segment_bytes)
     )
     return token_metrics(vocab_bytes, pattern_stats(pairs, pats))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tokscope.operators.bytematch import (
     distinct_patterns,
     match_neighbours,
+    max_pattern_length,
     neighbour_pairs,
-    pattern_lengths,
     pattern_stats,
     token_metrics,
 )
@@ -119,7 +119,7 @@ class Context:
     def pairs(self) -> DataFrame:
         """``(pid, left, right, c)``: all byte-level occurrences, aggregated."""
         pats = self.patterns
-        return neighbour_pairs(match_neighbours(self.docs, pats, pattern_lengths(pats), n_patterns=self.vocab_rows))
+        return neighbour_pairs(match_neighbours(self.docs, pats, max_pattern_length(pats), n_patterns=self.vocab_rows))
 
     @cached_property
     def metrics(self) -> DataFrame:
