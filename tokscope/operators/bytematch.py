@@ -6,7 +6,8 @@ is found with an n-gram equi-join:
 * each document becomes one row per byte position, carrying only a small
   window ``substring(bytes, pos-1, maxlen+2)`` (never the document);
 * each position yields one candidate per length that some pattern
-  starting with that position's byte has (a <=256-row broadcast table);
+  starting with that position's two bytes has (a broadcast table of at
+  most 65,536 + 256 rows);
 * candidates are probed against the pattern table, broadcast after a size
   check (it is bounded by the vocabulary, not the corpus), on a 64-bit
   hash key with the bytes compared exactly after the probe.
@@ -96,6 +97,39 @@ def byte_segments(docs: DataFrame, maxlen: int, text_col: str = "text", max_segm
     return short.unionByName(segs)
 
 
+def start_lengths(patterns: DataFrame) -> DataFrame:
+    """``(k, lens)``: the pattern lengths that can start with the bytes ``k``.
+
+    ``k`` is every 2-byte string (lengths of patterns of 2+ bytes with that
+    prefix, plus 1 when the first byte alone is a pattern) and every single
+    byte (for the last position of a segment: ``[1]`` when it is a
+    pattern). Built from ``range(65536)`` and equi-joins; at most
+    65,536 + 256 rows whatever the vocabulary size.
+    """
+    spark = patterns.sparkSession
+    two = spark.range(65536).select(F.unhex(F.lpad(F.hex("id"), 4, "0")).alias("k"))
+    longer = patterns.filter(F.col("plen") >= 2).groupBy(F.substring("token_bytes", 1, 2).alias("k")).agg(
+        F.collect_set("plen").alias("ls")
+    )
+    single = patterns.filter(F.col("plen") == 1).select(F.col("token_bytes").alias("b1"))
+    empty = F.array().cast("array<int>")
+    two_tab = (
+        two.join(longer, "k", "left")
+        .join(single, F.substring("k", 1, 1) == F.col("b1"), "left")
+        .select(
+            "k",
+            F.array_sort(
+                F.array_union(
+                    F.coalesce(F.col("ls"), empty), F.when(F.col("b1").isNotNull(), F.array(F.lit(1))).otherwise(empty)
+                )
+            ).alias("lens"),
+        )
+        .filter(F.size("lens") > 0)
+    )
+    one_tab = single.select(F.col("b1").alias("k"), F.array(F.lit(1)).alias("lens"))
+    return two_tab.unionByName(one_tab)
+
+
 def match_neighbours(docs: DataFrame, patterns: DataFrame, maxlen: int, text_col: str = "text",
                      n_patterns: int | None = None, max_segment_bytes: int = MAX_SEGMENT_BYTES) -> DataFrame:
     """One row per occurrence: ``(pid, left, right)``.
@@ -118,15 +152,13 @@ def match_neighbours(docs: DataFrame, patterns: DataFrame, maxlen: int, text_col
         (F.col("pos") > 1).alias("has_left"),
     )
     off = F.when(F.col("has_left"), F.lit(2)).otherwise(F.lit(1))
-    # Pattern lengths that start with each first byte (at most 256 rows):
-    # a position is expanded only into lengths some pattern could have there.
-    by_first = patterns.groupBy(F.substring("token_bytes", 1, 1).alias("fb")).agg(
-        F.array_sort(F.collect_set("plen")).alias("lens")
-    )
-    by_first = F.broadcast(by_first.withColumn("fh", F.xxhash64("fb")))
-    first = F.substring(F.col("w"), off, F.lit(1))
-    keyed = win.select("n", "pos", "w", "has_left", off.alias("off"), first.alias("first"), F.xxhash64(first).alias("fh"))
-    starts = keyed.join(by_first, "fh").filter(F.coalesce(F.col("first") == F.col("fb"), F.lit(False)))
+    # Lengths of the patterns that can start at a position, looked up by the
+    # position's first two bytes (one byte at a segment end) in a table of
+    # at most 65,536 + 256 rows (``start_lengths``).
+    starts_tab = F.broadcast(start_lengths(patterns).withColumn("kh", F.xxhash64("k")))
+    key = F.substring(F.col("w"), off, F.lit(2))
+    keyed = win.select("n", "pos", "w", "has_left", off.alias("off"), key.alias("key"), F.xxhash64(key).alias("kh"))
+    starts = keyed.join(starts_tab, "kh").filter(F.coalesce(F.col("key") == F.col("k"), F.lit(False)))
     cand = starts.select("n", "pos", "w", "has_left", "off", F.explode("lens").alias("plen")).filter(
         F.col("pos") + F.col("plen") - 1 <= F.col("n")
     )
