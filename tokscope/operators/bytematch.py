@@ -114,7 +114,7 @@ def start_lengths(patterns: DataFrame) -> DataFrame:
     single = patterns.filter(F.col("plen") == 1).select(F.col("token_bytes").alias("b1"))
     empty = F.array().cast("array<int>")
     two_tab = (
-        two.join(bounded_broadcast(longer, 65536), "k", "left")
+        two.join(F.broadcast(longer), "k", "left")  # <= 65,536 distinct two-byte prefixes
         .join(F.broadcast(single), F.substring("k", 1, 1) == F.col("b1"), "left")  # <= 256 rows
         .select(
             "k",
