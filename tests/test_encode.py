@@ -103,3 +103,15 @@ def test_distinct_count_approx(spark):
     df = spark.range(0, 5000).select((F.col("id") % 700).alias("token_id"))
     assert distinct_token_count(df).first()[0] == 700
     assert abs(distinct_token_count(df, approx=True).first()[0] - 700) <= 35
+
+
+def test_decode_sequences_joins_partial_bytes(spark):
+    from tokscope.operators.encode import decode_sequences
+
+    vocab = spark.createDataFrame(
+        [(0, bytearray(b" \xe6\xa0")), (1, bytearray(b"\xb9")), (2, bytearray(b"x"))], "token_id int, raw_bytes binary"
+    )
+    seqs = spark.createDataFrame([(1, [0, 1]), (2, [0]), (3, [2, 0, 1, 2]), (4, [])], "k long, ids array<int>")
+    got = {r.k: r.text for r in decode_sequences(seqs, vocab, "k").collect()}
+    assert got[1] == " 根" and got[2] == " �" and got[3] == "x 根x"
+    assert got[4] == ""

@@ -269,3 +269,27 @@ def unk_id_of(spark: SparkSession, tokenizer_path: str) -> int | None:
         if a["content"] == unk:
             return int(a["id"])
     return d["model"]["vocab"].get(unk)
+
+
+# -- decoding (T5) ----------------------------------------------------------------
+
+
+def decode_sequences(seqs: DataFrame, vocab_bytes: DataFrame, key: str, ids_col: str = "ids", vocab_rows: int | None = None) -> DataFrame:
+    """T5: token id sequences back to text, ``(key, text)``.
+
+    Ids are exploded with their positions, joined to their raw bytes (the
+    vocabulary is broadcast after a size check), and each sequence's bytes
+    are put back in order and decoded once, so two partial tokens can form
+    one character (``20 E6 A0`` + ``B9`` -> " 根") while a lone partial token
+    gives U+FFFD. An id outside the vocabulary decodes to nothing and an
+    empty sequence to ``""``. One
+    shuffle on ``key``; a group is one sequence (one document).
+    """
+    raw = "raw_bytes" if "raw_bytes" in vocab_bytes.columns else "token_bytes"
+    v = bounded_broadcast(vocab_bytes.select("token_id", F.hex(raw).alias("hx")), known_rows=vocab_rows)
+    items = seqs.select(key, F.posexplode_outer(ids_col).alias("i", "token_id"))
+    joined = items.join(v, "token_id", "left")
+    parts = F.array_sort(F.collect_list(F.struct("i", F.coalesce("hx", F.lit("")).alias("hx"))))
+    grouped = joined.groupBy(key).agg(parts.alias("p"))
+    text = F.make_valid_utf8(F.unhex(F.array_join(F.transform("p", lambda x: x["hx"]), "")).cast("string"))
+    return grouped.select(key, text.alias("text"))

@@ -266,4 +266,5 @@ def oracle_sql() -> dict[str, str]:
         f"FROM (SELECT token_id, token, freq, descendant_freq, {ratio} AS ratio FROM rarest)"
     )
     sql["corpus_from_jsonl_tree"] = "SELECT text FROM documents"
+    sql["decode_sequence"] = "SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND length(text) > 0"
     return sql

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokscope.functions.text import LATIN1_LETTER_RANGES, byte_length, contains_script, has_control_byte, utf8_bytes
 from tokscope.operators.batching import batch_by_chars, batch_by_count, batch_docs_newline, chunk_fixed
 from tokscope.operators.bytematch import byte_token_frequency, neighbor_counts, neighbor_entropy
-from tokscope.operators.encode import bpe_fold, encode_distinct, read_merge_pairs
+from tokscope.operators.encode import bpe_fold, decode_sequences, encode_column, encode_distinct, read_merge_pairs
 from tokscope.operators.frequency import distinct_token_count, top_k
 from tokscope.operators.mergegraph import closure_adjacency, closure_to_text, distinct_edges
 from tokscope.operators.ranking import entropy_rank_curve, rank_by_survival_ratio, rarest_script_tokens, shuffle_rows
@@ -79,6 +79,13 @@ def q_bpe_fold(spark, sf_dir):
     return folded.select("piece", "n", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("tokens"))
 
 
+def q_decode_sequence(spark, sf_dir):
+    """T1 then T5: every document encoded whole and decoded back."""
+    c = _ctx(spark, sf_dir)
+    encoded = encode_column(c.docs.select("doc_id", "text"), c.encoder, "text").select("doc_id", "ids")
+    return decode_sequences(encoded, c.vocab_bytes, "doc_id", vocab_rows=c.vocab_rows)
+
+
 # -- merge graph, with the corpus frequencies it feeds ---------------------------------
 
 
@@ -307,6 +314,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "distinct_token_count": q_distinct_token_count,
     "encode_distinct": q_encode_distinct,
     "bpe_fold": q_bpe_fold,
+    "decode_sequence": q_decode_sequence,
     "merge_edges": q_merge_edges,
     "merge_closure": q_merge_closure,
     "closure_adjacency": q_closure_adjacency,
