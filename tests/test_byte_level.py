@@ -51,3 +51,28 @@ def test_byte_level_vocab_metrics(spark, byte_level_json):
     assert len(m) == vocab.count()
     the = [r for r in m if r.token == " the"]
     assert the and the[0].freq_in_corpus > 100
+
+
+def test_byte_level_alphabet_round_trip(spark):
+    from tokscope.functions.text import byte_level_to_bytes, to_byte_level
+
+    texts = ["héllo wörld", "根 x\n\t\x00\x7f­ end", "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    back = [bytes(r[0]).decode("utf-8") for r in df.select(byte_level_to_bytes(to_byte_level("t"))).collect()]
+    assert back == texts
+    assert df.select(to_byte_level(F.lit(" a"))).first()[0] == "Ġa"
+
+
+def test_byte_level_fold_equals_encoder(spark, byte_level_json):
+    from tokscope.operators.encode import fold_token_frequency, merge_pairs_from_json, pretoken_count
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    tok = spark.createDataFrame([(byte_level_json,)], "value string").select(F.parse_json("value").alias("v"))
+    vocab = load_vocab(tok)
+    pieces = pretoken_count(docs, pattern=GPT2_PATTERN)
+    folded = {
+        r.token_id: r["count"]
+        for r in fold_token_frequency(pieces, merge_pairs_from_json(byte_level_json), vocab, None, byte_level=True).collect()
+    }
+    want = {r.token_id: r["count"] for r in token_frequency_whole_text(docs, HFTokenizerEncoder(byte_level_json)).collect()}
+    assert folded == want

@@ -128,7 +128,6 @@ def byte_level_to_bytes(token_col: Column | str) -> Column:
     """
     c = F.col(token_col) if isinstance(token_col, str) else token_col
     chars = F.split(c, "")
-    n = F.lit(0)  # placeholder to keep lambdas readable
 
     def to_byte(ch: Column) -> Column:
         cp = F.ascii(ch)
@@ -141,5 +140,27 @@ def byte_level_to_bytes(token_col: Column | str) -> Column:
         )
         return F.lpad(F.hex(b), 2, "0")
 
-    del n
     return F.unhex(F.array_join(F.transform(chars, to_byte), ""))
+
+
+def to_byte_level(text_col: Column | str) -> Column:
+    """Text in the byte-level alphabet: each UTF-8 byte becomes one character.
+
+    The inverse of ``byte_level_to_bytes`` (same public rule): bytes
+    0x21-0x7E, 0xA1-0xAC and 0xAE-0xFF keep their value as code point;
+    0x00-0x20 map to 256-288, 0x7F-0xA0 to 289-322 and 0xAD to 323. The
+    code point's UTF-8 form is assembled arithmetically (all are < 0x800).
+    """
+    c = F.col(text_col) if isinstance(text_col, str) else text_col
+    hexes = F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit(".."), 0)
+
+    def one(h: Column) -> Column:
+        b = F.conv(h, 16, 10).cast("int")
+        keep = b.between(0x21, 0x7E) | b.between(0xA1, 0xAC) | b.between(0xAE, 0xFF)
+        shifted = F.when(b <= 0x20, b + 256).when(b <= 0xA0, b - 0x7F + 289).otherwise(F.lit(323))
+        cp = F.when(keep, b).otherwise(shifted)
+        one_byte = F.lpad(F.hex(cp), 2, "0")
+        two_bytes = F.concat(F.hex(F.shiftright(cp, 6) + 0xC0), F.hex(cp % 64 + 0x80))
+        return F.when(cp < 0x80, one_byte).otherwise(two_bytes)
+
+    return F.unhex(F.array_join(F.transform(hexes, one), "")).cast("string")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokscope.functions.text import PRETOKEN_PATTERN
+from tokscope.functions.text import PRETOKEN_PATTERN, to_byte_level
 from tokscope.session import bounded_broadcast
 
 WRAP_OPEN = "\u0001"
@@ -213,7 +213,12 @@ def merges_literal(merges: list[tuple[str, str]]) -> Column:
 def read_merge_pairs(tokenizer_path: str) -> list[tuple[str, str]]:
     """Rank-ordered merge pairs from a tokenizer file (config-sized input)."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        return merge_pairs_from_json(f.read())
+
+
+def merge_pairs_from_json(tokenizer_json: str) -> list[tuple[str, str]]:
+    """Rank-ordered merge pairs from tokenizer JSON text (both merge forms)."""
+    model = json.loads(tokenizer_json)["model"]
     out = []
     for m in model["merges"]:
         if isinstance(m, str):
@@ -224,18 +229,23 @@ def read_merge_pairs(tokenizer_path: str) -> list[tuple[str, str]]:
     return out
 
 
-def bpe_fold(pieces: DataFrame, merges: list[tuple[str, str]], piece_col: str = "piece") -> DataFrame:
+def bpe_fold(
+    pieces: DataFrame, merges: list[tuple[str, str]], piece_col: str = "piece", byte_level: bool = False
+) -> DataFrame:
     """T4: BPE as a fold of ``replace`` over rank-ordered merges, no Python worker.
 
     Adds ``tokens array<string>``. Exact for trained BPE vocabularies
-    (a pair can only form after the merge that created its parts). Linear
-    in merges per piece: for small vocabularies and cross-checks.
+    (a pair can only form after the merge that created its parts). With
+    ``byte_level`` the piece is first spelled in the byte-level alphabet,
+    as byte-level vocabularies expect. Linear in merges per piece: for small
+    vocabularies and cross-checks.
     """
     if len(merges) > MAX_FOLD_MERGES:
         raise ValueError(
             f"{len(merges)} merges: the literal fold is for small vocabularies; use encode_distinct"
         )
-    folded = F.aggregate(merges_literal(merges), wrap_symbols(F.col(piece_col)), lambda acc, m: F.replace(acc, m["f"], m["t"]))
+    src = to_byte_level(F.col(piece_col)) if byte_level else F.col(piece_col)
+    folded = F.aggregate(merges_literal(merges), wrap_symbols(src), lambda acc, m: F.replace(acc, m["f"], m["t"]))
     inner = F.substring(folded, F.lit(2), F.length(folded) - 2)
     return pieces.withColumn("tokens", F.split(inner, WRAP_CLOSE + WRAP_OPEN))
 
@@ -251,9 +261,11 @@ def tokens_to_ids(token_rows: DataFrame, vocab: DataFrame, unk_id: int | None) -
     return joined.withColumn("token_id", F.coalesce(F.col("token_id"), fill))
 
 
-def fold_token_frequency(pieces: DataFrame, merges: list[tuple[str, str]], vocab: DataFrame, unk_id: int | None) -> DataFrame:
+def fold_token_frequency(
+    pieces: DataFrame, merges: list[tuple[str, str]], vocab: DataFrame, unk_id: int | None, byte_level: bool = False
+) -> DataFrame:
     """A1 through the literal fold: ``(token_id, count)`` from ``(piece, n)``."""
-    folded = bpe_fold(pieces, merges)
+    folded = bpe_fold(pieces, merges, byte_level=byte_level)
     toks = folded.select(F.explode("tokens").alias("token"), "n")
     ided = tokens_to_ids(toks, vocab, unk_id)
     return ided.groupBy("token_id").agg(F.sum("n").cast("long").alias("count"))
