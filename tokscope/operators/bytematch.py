@@ -36,7 +36,7 @@ from tokscope.functions.text import (
     byte_value,
     has_control_byte,
 )
-from tokscope.session import bounded_broadcast
+from tokscope.session import bounded_broadcast, default_parallelism
 
 # Patterns are broadcast only up to this many rows (checked; a 150K-entry
 # vocabulary is far below it); above, the planner's shuffle join is used.
@@ -93,7 +93,7 @@ def byte_segments(docs: DataFrame, maxlen: int, text_col: str = "text", max_segm
         F.substring("b", from_pos, to_pos - from_pos + 1).alias("s"),
         (seg_first - from_pos + 1).alias("lo"),
         (seg_last - from_pos + 1).alias("hi"),
-    ).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    ).repartition(default_parallelism(docs.sparkSession))
     return short.unionByName(segs)
 
 

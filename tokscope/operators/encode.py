@@ -65,7 +65,10 @@ class HFTokenizerEncoder:
         with open(path, encoding="utf-8") as f:
             text = f.read()
         if spark is not None:
-            return cls(spark.sparkContext.broadcast(text), add_special_tokens)
+            try:
+                return cls(spark.sparkContext.broadcast(text), add_special_tokens)
+            except Exception:  # noqa: BLE001 - no broadcast variables (Spark Connect)
+                pass
         return cls(text, add_special_tokens)
 
 

@@ -20,7 +20,14 @@ from tokscope.operators.encode import HFTokenizerEncoder, pretoken_count
 from tokscope.operators.frequency import token_frequency
 from tokscope.operators.mergegraph import merge_closure, merge_edges
 from tokscope.operators.ranking import descendant_frequency, zero_fill
-from tokscope.session import FIXTURE_TOKENIZER, bounded_broadcast, bounded_rows, ensure_checkpoint_dir, read_table
+from tokscope.session import (
+    FIXTURE_TOKENIZER,
+    bounded_broadcast,
+    bounded_rows,
+    default_parallelism,
+    ensure_checkpoint_dir,
+    read_table,
+)
 from tokscope.sinks.writers import read_or_compute
 from tokscope.sources.tables import drop_empty_text
 from tokscope.sources.vocab import load_merges, load_vocab, read_tokenizer, vocab_with_bytes
@@ -33,9 +40,12 @@ def spread(df: DataFrame) -> DataFrame:
     alone (no extra shuffle); a tiny file with one row group would
     otherwise run every downstream step in a single task.
     """
-    sc = df.sparkSession.sparkContext
-    want = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    want = default_parallelism(df.sparkSession)
+    try:
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave the scan as is
+        return df
+    if have < want:
         return df.repartition(want)
     return df
 

@@ -23,7 +23,7 @@ from tokscope.operators.frequency import distinct_token_count, top_k
 from tokscope.operators.mergegraph import closure_adjacency, closure_to_text, distinct_edges
 from tokscope.operators.ranking import entropy_rank_curve, rank_by_survival_ratio, rarest_script_tokens, shuffle_rows
 from tokscope.plans.context import Context
-from tokscope.session import scratch_path
+from tokscope.session import default_parallelism, scratch_path
 from tokscope.sinks.writers import write_frequencies, write_metrics, write_ranked
 from tokscope.sources.tables import (
     conversations_as_jsonl,
@@ -68,13 +68,13 @@ def q_distinct_token_count(spark, sf_dir):
 
 def q_encode_distinct(spark, sf_dir):
     c = _ctx(spark, sf_dir)
-    enc = encode_distinct(c.pieces.repartition(spark.sparkContext.defaultParallelism), c.encoder)
+    enc = encode_distinct(c.pieces.repartition(default_parallelism(spark)), c.encoder)
     return enc.select("piece", "n", F.size("ids").alias("n_tokens"), F.array_join("ids", ",").alias("ids"))
 
 
 def q_bpe_fold(spark, sf_dir):
     c = _ctx(spark, sf_dir)
-    pieces = c.pieces.repartition(spark.sparkContext.defaultParallelism)
+    pieces = c.pieces.repartition(default_parallelism(spark))
     folded = bpe_fold(pieces, read_merge_pairs(c.tokenizer_path))
     return folded.select("piece", "n", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("tokens"))
 

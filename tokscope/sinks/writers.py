@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,10 +109,16 @@ def write_ranked(ranked: DataFrame, path: str, key: str, ties: tuple[str, ...] =
 
 def read_or_compute(spark: SparkSession, path: str, compute) -> DataFrame:
     """K6: reuse a saved table when present, else compute, save and reuse it."""
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
+    if not _committed(spark, path):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
+
+def _committed(spark: SparkSession, path: str) -> bool:
+    """True when a write to ``path`` finished (its ``_SUCCESS`` marker exists)."""
+    try:
+        spark.read.text(f"{path.rstrip('/')}/_SUCCESS").limit(1).collect()
+        return True
+    except AnalysisException:
+        return False
+
