@@ -13,7 +13,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,14 +172,19 @@ def _encode_frames(encoder, text_col: str) -> Callable[[Iterator[pd.DataFrame]],
     return run
 
 
-def encode_column(df: DataFrame, encoder, text_col: str = "text") -> DataFrame:
+def encode_column(df: DataFrame, encoder, text_col: str = "text", observation: Observation | None = None) -> DataFrame:
     """Add ``ids array<int>`` by running ``encoder`` in Arrow batches.
 
     ``mapInPandas`` keeps the frame's partitioning; the encoder object is
-    built once per Python worker. NULL ``ids`` marks a row the encoder failed on.
+    built once per Python worker. NULL ``ids`` marks a row the encoder failed
+    on; with ``observation`` those rows are counted (``failed``, ``rows``)
+    instead of disappearing silently downstream.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.mapInPandas(_encode_frames(encoder, text_col), schema)
+    out = df.mapInPandas(_encode_frames(encoder, text_col), schema)
+    if observation is not None:
+        out = out.observe(observation, F.count_if(F.col("ids").isNull()).alias("failed"), F.count(F.lit(1)).alias("rows"))
+    return out
 
 
 def encode_distinct(pieces: DataFrame, encoder, piece_col: str = "piece") -> DataFrame:
