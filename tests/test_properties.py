@@ -97,3 +97,45 @@ def test_byte_match_equals_brute_force(spark, texts, tokens, seg):
         tot = sum(hist)
         ent = 0.0 if tot == 0 else -sum(c / tot * math.log2(c / tot) for c in hist)
         assert abs(got[i].entropy - ent) < 1e-9
+
+
+def _pack_reference(lengths, threshold):
+    packs, cur, run = [], [], 0
+    for i, n in enumerate(lengths):
+        cur.append(i)
+        run += n
+        if run >= threshold:
+            packs.append(cur)
+            cur, run = [], 0
+    if cur:
+        packs.append(cur)
+    return packs
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    lengths=st.lists(st.integers(min_value=1, max_value=9), min_size=1, max_size=25),
+    threshold=st.integers(min_value=1, max_value=20),
+)
+def test_batch_by_chars_matches_sequential_packing(spark, lengths, threshold):
+    from tokscope.operators.batching import batch_by_chars
+
+    texts = ["x" * n for n in lengths]
+    df = spark.createDataFrame([(i * 3 + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [(r.n_docs, r.n_chars) for r in batch_by_chars(df, threshold).orderBy("pack_no").collect()]
+    want = [(len(p), sum(lengths[i] for i in p)) for p in _pack_reference(lengths, threshold)]
+    assert got == want
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    text=st.text(st.sampled_from(list("ab 1,\n\té根!")), min_size=1, max_size=80),
+    max_chars=st.integers(min_value=1, max_value=12),
+)
+def test_segmented_pretokens_random(spark, text, max_chars):
+    from tokscope.operators.encode import pretoken_count
+
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    whole = sorted(tuple(r) for r in pretoken_count(df).collect())
+    cut = sorted(tuple(r) for r in pretoken_count(df, max_chars=max_chars).collect())
+    assert cut == whole
