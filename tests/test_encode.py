@@ -30,7 +30,7 @@ def test_three_encoding_paths_agree(spark):
     c = {
         r.token_id: r["count"]
         for r in fold_token_frequency(
-            pretoken_count(docs), read_merge_pairs(FIXTURE_TOKENIZER), vocab, unk_id_of(spark, FIXTURE_TOKENIZER)
+            pretoken_count(docs), read_merge_pairs(FIXTURE_TOKENIZER), vocab, unk_id_of(FIXTURE_TOKENIZER)
         ).collect()
     }
     assert a == b == c
@@ -52,11 +52,11 @@ def test_unknown_characters_map_to_unk(spark):
     fold = {
         r.token_id: r["count"]
         for r in fold_token_frequency(
-            pretoken_count(docs), read_merge_pairs(FIXTURE_TOKENIZER), vocab, unk_id_of(spark, FIXTURE_TOKENIZER)
+            pretoken_count(docs), read_merge_pairs(FIXTURE_TOKENIZER), vocab, unk_id_of(FIXTURE_TOKENIZER)
         ).collect()
     }
     assert got == fold
-    assert got.get(unk_id_of(spark, FIXTURE_TOKENIZER)) == 1
+    assert got.get(unk_id_of(FIXTURE_TOKENIZER)) == 1
 
 
 def test_top_k_tie_break(spark):

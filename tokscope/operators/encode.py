@@ -111,8 +111,8 @@ def tiktoken_available(name: str = "cl100k_base") -> bool:
 # -- pre-tokens (T3 first half) ------------------------------------------------
 
 
-# Texts longer than this many characters are cut before the regex split so
-# one huge document is spread over tasks instead of exploding in one.
+# Texts longer than this many characters are cut before the regex split, so
+# a huge document is split as bounded strings, not one giant piece array.
 MAX_SEGMENT_CHARS = 1_000_000
 
 # A cut point the pre-token pattern never crosses: before a space that sits
@@ -279,7 +279,8 @@ def fold_token_frequency(
     return ided.groupBy("token_id").agg(F.sum("n").cast("long").alias("count"))
 
 
-def unk_id_of(spark: SparkSession, tokenizer_path: str) -> int | None:
+def unk_id_of(tokenizer_path: str) -> int | None:
+    """Id of the tokenizer's unknown token, or None when it has none."""
     with open(tokenizer_path, encoding="utf-8") as f:
         d = json.load(f)
     unk = d["model"].get("unk_token")
@@ -302,8 +303,8 @@ def decode_sequences(seqs: DataFrame, vocab_bytes: DataFrame, key: str, ids_col:
     are put back in order and decoded once, so two partial tokens can form
     one character (``20 E6 A0`` + ``B9`` -> " 根") while a lone partial token
     gives U+FFFD. An id outside the vocabulary decodes to nothing and an
-    empty sequence to ``""``. One
-    shuffle on ``key``; a group is one sequence (one document).
+    empty sequence to ``""``. One shuffle on ``key``; a group is one
+    sequence (one document).
     """
     raw = "raw_bytes" if "raw_bytes" in vocab_bytes.columns else "token_bytes"
     v = bounded_broadcast(vocab_bytes.select("token_id", F.hex(raw).alias("hx")), known_rows=vocab_rows)
