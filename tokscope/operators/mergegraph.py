@@ -20,8 +20,9 @@ def merge_edges(merges: DataFrame, vocab: DataFrame, vocab_rows: int | None = No
     For merge ``(l, r)`` both ``id(l)`` and ``id(r)`` point to ``id(l+r)``.
     Returns ``(edges, unresolved)``; the analysed program fails on the
     first unresolved merge, here they are reported as rows instead.
-    Edge order key ``first_rank`` (first merge in which the ancestor
-    appears, left before right) is kept for the closure-to-text parity rule.
+    Each edge carries ``order_key`` = 2 x rank (+1 for the right part), so
+    the smallest key per ancestor is where it first entered the graph; the
+    closure-to-text parity rule uses it.
     """
     v = vocab.select("token", "token_id")
     n = vocab_rows if vocab_rows is not None else bounded_rows(v)
