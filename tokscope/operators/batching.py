@@ -34,7 +34,12 @@ def _sorted_texts(order_col: str, text_col: str):
 
 
 def batch_by_count(
-    df: DataFrame, batch_size: int, sep: str | None = " ", order_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame,
+    batch_size: int,
+    sep: str | None = " ",
+    order_col: str = "doc_id",
+    text_col: str = "text",
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
     """B1 (sep ``" "``), B4 (sep ``"\\n"``), B3 (``sep=None``: keep a list).
 
@@ -43,8 +48,10 @@ def batch_by_count(
     global ordinal (no single-task window); each batch holds at most
     ``batch_size`` texts.
     """
-    rows = df.filter(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(order_col, text_col)
-    numbered = with_ordinal(rows, order_col, name="_ord").withColumn("batch_no", F.floor(F.col("_ord") / batch_size).cast("long"))
+    rows = df.filter(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(order_col, *ties, text_col)
+    numbered = with_ordinal(rows, order_col, ties, name="_ord").withColumn(
+        "batch_no", F.floor(F.col("_ord") / batch_size).cast("long")
+    )
     texts = _sorted_texts("_ord", text_col)
     body = F.array_join(texts, sep) if sep is not None else texts
     return numbered.groupBy("batch_no").agg(
@@ -52,9 +59,11 @@ def batch_by_count(
     )
 
 
-def batch_lines(df: DataFrame, n_lines: int, order_col: str = "line_no", text_col: str = "text") -> DataFrame:
-    """``n_lines`` rows per batch, kept as a list."""
-    return batch_by_count(df, n_lines, None, order_col, text_col)
+def batch_lines(
+    df: DataFrame, n_lines: int, order_col: str = "line_no", text_col: str = "text", ties: tuple[str, ...] = ()
+) -> DataFrame:
+    """``n_lines`` non-empty rows per batch, kept as a list."""
+    return batch_by_count(df, n_lines, None, order_col, text_col, ties)
 
 
 def batch_docs_newline(df: DataFrame, batch_size: int = 4096, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:

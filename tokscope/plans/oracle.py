@@ -266,5 +266,13 @@ def oracle_sql() -> dict[str, str]:
         f"FROM (SELECT token_id, token, freq, descendant_freq, {ratio} AS ratio FROM rarest)"
     )
     sql["corpus_from_jsonl_tree"] = "SELECT text FROM documents"
+    sql["sort_by_frequency_desc"] = _with("SELECT token_id, count FROM freq ORDER BY count DESC, token_id")
+    sql["batch_lines"] = (
+        "SELECT batch_no, count(*)::BIGINT AS n_lines, string_agg(line, chr(10) ORDER BY doc_id, i) AS text FROM ("
+        f"SELECT doc_id, i, line, ((row_number() OVER (ORDER BY doc_id, i) - 1) // {Q.LINE_BATCH})::BIGINT AS batch_no FROM ("
+        "SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM ("
+        "SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND length(text) > 0)) "
+        "WHERE length(line) > 0) GROUP BY batch_no"
+    )
     sql["decode_sequence"] = "SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND length(text) > 0"
     return sql

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokscope.functions.text import LATIN1_LETTER_RANGES, byte_length, contains_script, has_control_byte, utf8_bytes
-from tokscope.operators.batching import batch_by_chars, batch_by_count, batch_docs_newline, chunk_fixed
+from tokscope.operators.batching import batch_by_chars, batch_by_count, batch_docs_newline, batch_lines, chunk_fixed
 from tokscope.operators.bytematch import byte_token_frequency, neighbor_counts, neighbor_entropy
 from tokscope.operators.encode import bpe_fold, decode_sequences, encode_column, encode_distinct, read_merge_pairs
-from tokscope.operators.frequency import distinct_token_count, top_k
+from tokscope.operators.frequency import distinct_token_count, sort_by_frequency_desc, top_k
 from tokscope.operators.mergegraph import closure_adjacency, closure_to_text, distinct_edges
 from tokscope.operators.ranking import entropy_rank_curve, rank_by_survival_ratio, rarest_script_tokens, shuffle_rows
 from tokscope.plans.context import Context
@@ -38,6 +38,7 @@ from tokscope.sources.tables import (
 CHUNK_CHARS = 4096
 BATCH_DOCS = 7
 NEWLINE_BATCH_DOCS = 100
+LINE_BATCH = 50
 PACK_THRESHOLD = 65536
 TOP_K = 20
 ROUND = 6
@@ -58,6 +59,10 @@ def q_token_frequency(spark, sf_dir):
     return _ctx(spark, sf_dir).freq
 
 
+def q_sort_by_frequency_desc(spark, sf_dir):
+    return sort_by_frequency_desc(_ctx(spark, sf_dir).freq)
+
+
 def q_top_tokens_report(spark, sf_dir):
     return top_k(_ctx(spark, sf_dir).freq, TOP_K)
 
@@ -231,6 +236,14 @@ def q_batch_docs_newline(spark, sf_dir):
     return batch_docs_newline(_ctx(spark, sf_dir).docs, NEWLINE_BATCH_DOCS)
 
 
+def q_batch_lines(spark, sf_dir):
+    """B3 over the documents' lines, ordered by document then line."""
+    d = _ctx(spark, sf_dir).docs
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_idx", "text"))
+    b = batch_lines(lines, LINE_BATCH, order_col="doc_id", ties=("line_idx",))
+    return b.select("batch_no", F.size("texts").cast("long").alias("n_lines"), F.array_join("texts", "\n").alias("text"))
+
+
 def q_batch_by_chars(spark, sf_dir):
     return batch_by_chars(_ctx(spark, sf_dir).docs, PACK_THRESHOLD)
 
@@ -310,6 +323,7 @@ def q_corpus_from_jsonl_tree(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pretoken_count": q_pretoken_count,
     "token_frequency": q_token_frequency,
+    "sort_by_frequency_desc": q_sort_by_frequency_desc,
     "top_tokens_report": q_top_tokens_report,
     "distinct_token_count": q_distinct_token_count,
     "encode_distinct": q_encode_distinct,
@@ -337,6 +351,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_fixed": q_chunk_fixed,
     "batch_by_count": q_batch_by_count,
     "batch_docs_newline": q_batch_docs_newline,
+    "batch_lines": q_batch_lines,
     "batch_by_chars": q_batch_by_chars,
     "scan_conversations": q_scan_conversations,
     "line_count": q_line_count,
