@@ -266,6 +266,11 @@ def oracle_sql() -> dict[str, str]:
         f"FROM (SELECT token_id, token, freq, descendant_freq, {ratio} AS ratio FROM rarest)"
     )
     sql["corpus_from_jsonl_tree"] = "SELECT text FROM documents"
+    sql["scan_text"] = (
+        "SELECT coalesce(sum(length(text) - length(replace(text, chr(10), '')) + 1), 0)::BIGINT AS n_lines "
+        "FROM documents WHERE text IS NOT NULL"
+    )
+    sql["write_merge_closure"] = sql["merge_closure"]
     sql["sort_by_frequency_desc"] = _with("SELECT token_id, count FROM freq ORDER BY count DESC, token_id")
     sql["batch_lines"] = (
         "SELECT batch_no, count(*)::BIGINT AS n_lines, string_agg(line, chr(10) ORDER BY doc_id, i) AS text FROM ("

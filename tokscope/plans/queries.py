@@ -24,7 +24,7 @@ from tokscope.operators.mergegraph import closure_adjacency, closure_to_text, di
 from tokscope.operators.ranking import entropy_rank_curve, rank_by_survival_ratio, rarest_script_tokens, shuffle_rows
 from tokscope.plans.context import Context
 from tokscope.session import default_parallelism, scratch_path
-from tokscope.sinks.writers import write_frequencies, write_metrics, write_ranked
+from tokscope.sinks.writers import write_frequencies, write_merge_closure, write_metrics, write_ranked
 from tokscope.sources.tables import (
     conversations_as_jsonl,
     corpus_from_jsonl_tree,
@@ -32,6 +32,7 @@ from tokscope.sources.tables import (
     load_frequencies,
     load_metrics,
     parse_conversation_lines,
+    scan_text,
 )
 
 # Parameters of the registered queries (chosen once; not tuned to pass).
@@ -313,6 +314,25 @@ def q_write_ranked(spark, sf_dir):
     return spark.read.schema(schema).json(path)
 
 
+def q_scan_text(spark, sf_dir):
+    """S1 + S9: documents written as text files (one folder per source), read back whole, lines counted."""
+    path = scratch_path(spark, "text-files")
+    docs = _ctx(spark, sf_dir).table("documents").filter(F.col("text").isNotNull())
+    docs.select("text", "source").write.partitionBy("source").text(path)
+    return line_count(scan_text(spark, path, wholetext=True, normalize_newlines=False))
+
+
+def q_write_merge_closure(spark, sf_dir):
+    """K3: the closure as one JSON object ``{id: [ids]}``, parsed back, with descendant frequencies."""
+    c = _ctx(spark, sf_dir)
+    ids_path, text_path = scratch_path(spark, "closure-ids"), scratch_path(spark, "closure-text")
+    write_merge_closure(c.closure, closure_to_text(c.closure, c.vocab_bytes, c.edges, vocab_rows=c.vocab_rows), ids_path, text_path)
+    obj = spark.read.text(ids_path).select(F.explode(F.from_json("value", "map<string,array<int>>")).alias("a", "ds"))
+    pairs = obj.select(F.col("a").cast("int").alias("ancestor"), F.explode("ds").alias("descendant"))
+    f = c.filled.select(F.col("token_id").alias("descendant"), F.col("freq").alias("descendant_freq"))
+    return pairs.join(f, "descendant").select("ancestor", "descendant", "descendant_freq")
+
+
 def q_corpus_from_jsonl_tree(spark, sf_dir):
     """Documents written as JSON lines under ``source=…`` folders, read back recursively."""
     path = scratch_path(spark, "jsonl-tree")
@@ -362,4 +382,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "write_metrics": q_write_metrics,
     "write_ranked": q_write_ranked,
     "corpus_from_jsonl_tree": q_corpus_from_jsonl_tree,
+    "scan_text": q_scan_text,
+    "write_merge_closure": q_write_merge_closure,
 }
