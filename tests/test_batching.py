@@ -65,3 +65,19 @@ def test_ordinal_large_sparse_keys(spark):
     df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
     got = [r.k for r in sorted(with_ordinal(df, "k", partitions=7).collect(), key=lambda r: r.ordinal)]
     assert got == sorted(keys)
+
+
+def test_batch_by_chars_many_segments_exact(spark):
+    lengths = [(i * 7) % 5 + 1 for i in range(90)]
+    df = _docs(spark, ["z" * n for n in lengths])
+    got = [(p.n_docs, p.n_chars) for p in batch_by_chars(df, threshold=6, segment_docs=6).orderBy("pack_no").collect()]
+    want, run, cur = [], 0, []
+    for n in lengths:
+        cur.append(n)
+        run += n
+        if run >= 6:
+            want.append((len(cur), sum(cur)))
+            cur, run = [], 0
+    if cur:
+        want.append((len(cur), sum(cur)))
+    assert got == want  # 15 segments; packs cross segment boundaries

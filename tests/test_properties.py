@@ -127,6 +127,22 @@ def test_batch_by_chars_matches_sequential_packing(spark, lengths, threshold):
     assert got == want
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    lengths=st.lists(st.integers(min_value=1, max_value=12), min_size=1, max_size=60),
+    threshold=st.integers(min_value=1, max_value=15),
+    seg=st.integers(min_value=1, max_value=20),
+)
+def test_batch_by_chars_exact_across_segments(spark, lengths, threshold, seg):
+    from tokscope.operators.batching import batch_by_chars
+
+    texts = ["y" * n for n in lengths]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = [(r.pack_no, r.n_docs, r.n_chars) for r in batch_by_chars(df, threshold, segment_docs=seg).orderBy("pack_no").collect()]
+    want = [(i, len(p), sum(lengths[j] for j in p)) for i, p in enumerate(_pack_reference(lengths, threshold))]
+    assert got == want
+
+
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     text=st.text(st.sampled_from(list("ab 1,\n\té根!")), min_size=1, max_size=80),

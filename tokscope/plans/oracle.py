@@ -236,7 +236,7 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT r.rn, CASE WHEN pk.acc >= {Q.PACK_THRESHOLD} THEN pk.pack_no + 1 ELSE pk.pack_no END, "
             f"CASE WHEN pk.acc >= {Q.PACK_THRESHOLD} THEN r.len ELSE pk.acc + r.len END "
             "FROM pk JOIN r ON r.rn = pk.rn + 1) "
-            "SELECT 0::BIGINT AS segment, pack_no::BIGINT AS pack_no, pack_no::BIGINT AS batch_no, count(*)::BIGINT AS n_docs, "
+            "SELECT pack_no::BIGINT AS pack_no, pack_no::BIGINT AS batch_no, count(*)::BIGINT AS n_docs, "
             "sum(r.len)::BIGINT AS n_chars, string_agg(r.text, ' ' ORDER BY r.rn) AS text "
             "FROM pk JOIN r USING (rn) GROUP BY pack_no"
         ),
