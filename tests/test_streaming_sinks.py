@@ -18,9 +18,11 @@ def test_running_frequency_equals_batch(spark, tmp_path):
     docs.repartition(4).write.parquet(src)
     enc = HFTokenizerEncoder.from_path(FIXTURE_TOKENIZER)
     out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
-    q = start_running_token_frequency(spark, src, out, ckpt, enc, max_files_per_trigger=1)
+    q = start_running_token_frequency(spark, src, out, ckpt, enc, max_files_per_trigger=1, compact_every=3)
     q.awaitTermination()
     got = {r.token_id: r["count"] for r in running_totals(spark, out).collect()}
+    # Batches 0-2 were compacted; the total combines that compaction with batch 3.
+    assert spark.read.parquet(f"{out}/totals").select("upto").distinct().collect()[0].upto == 2
     want = {r.token_id: r["count"] for r in token_frequency(docs, enc).collect()}
     assert got == want
     prog = progress_metrics(spark, out).orderBy("batch_id").collect()
@@ -29,7 +31,7 @@ def test_running_frequency_equals_batch(spark, tmp_path):
     uniq = [r.unique_tokens for r in prog]
     assert uniq == sorted(uniq) and uniq[-1] == len(want)
     # A restart with nothing new adds no batch and keeps the totals.
-    q2 = start_running_token_frequency(spark, src, out, ckpt, enc, max_files_per_trigger=1)
+    q2 = start_running_token_frequency(spark, src, out, ckpt, enc, max_files_per_trigger=1, compact_every=3)
     q2.awaitTermination()
     assert {r.token_id: r["count"] for r in running_totals(spark, out).collect()} == want
 

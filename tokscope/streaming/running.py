@@ -3,14 +3,16 @@
 Each micro-batch is counted with the batch operator (distinct pre-tokens
 encoded once) and written as its own partial table ``batch_id=N``,
 overwritten if the batch is replayed, so a restart after a lost executor
-or driver never counts a batch twice. The running total is the
-re-aggregate of all partials: state lives in the shared sink folder and is
-bounded by the vocabulary per batch. Partial results survive an interrupt,
-as in the analysed program.
+or driver never counts a batch twice. Every ``compact_every`` batches the
+totals so far are written as ``totals/upto=N``; the running total is the
+newest compaction plus the partials after it. State lives in the shared
+sink folder and is bounded by the vocabulary. Partial results survive an
+interrupt, as in the analysed program.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,43 @@ from tokscope.session import FIXTURE_TOKENIZER, scratch_path
 from tokscope.sources.tables import drop_empty_text
 
 
-def _writer(encoder, out_path: str, text_col: str):
+COMPACT_EVERY = 50
+
+
+def _partials(spark: SparkSession, out_path: str) -> DataFrame:
+    return spark.read.parquet(f"{out_path}/partials")
+
+
+def _latest_compaction(spark: SparkSession, out_path: str, before: int | None = None) -> tuple[DataFrame | None, int]:
+    """Newest compacted totals (strictly before ``before``) and the batch id they cover."""
+    try:
+        marks = spark.read.parquet(f"{out_path}/totals").select("upto").distinct()
+    except AnalysisException:
+        return None, -1
+    if before is not None:
+        marks = marks.filter(F.col("upto") < before)
+    upto = marks.agg(F.max("upto")).first()[0]
+    if upto is None:
+        return None, -1
+    totals = spark.read.parquet(f"{out_path}/totals").filter(F.col("upto") == upto).select("token_id", "count")
+    return totals, int(upto)
+
+
+def _totals_upto(spark: SparkSession, out_path: str, last_batch: int | None = None) -> DataFrame:
+    """Running totals: newest compaction plus the partials written after it."""
+    base, upto = _latest_compaction(spark, out_path, None if last_batch is None else last_batch)
+    parts = _partials(spark, out_path).filter(F.col("token_id").isNotNull() & (F.col("batch_id") > upto))
+    if last_batch is not None:
+        parts = parts.filter(F.col("batch_id") <= last_batch)
+    rows = parts.select("token_id", "count")
+    if base is not None:
+        rows = rows.unionByName(base)
+    return rows.groupBy("token_id").agg(F.sum("count").cast("long").alias("count"))
+
+
+def _writer(encoder, out_path: str, text_col: str, compact_every: int):
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         docs = drop_empty_text(batch.select(text_col), text_col)
         counts = token_frequency(docs, encoder, text_col).withColumn("n_docs", F.lit(None).cast("long"))
         n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
@@ -29,10 +66,14 @@ def _writer(encoder, out_path: str, text_col: str):
         marker = n_docs.select(F.lit(None).cast("int").alias("token_id"), F.lit(0).cast("long").alias("count"), "n_docs")
         (
             counts.unionByName(marker)
-            .coalesce(1)
+            .coalesce(1)  # vocabulary-bounded: at most one row per token
             .write.mode("overwrite")
-            .parquet(f"{out_path}/batch_id={batch_id}")
+            .parquet(f"{out_path}/partials/batch_id={batch_id}")
         )
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            # Deterministic in batch_id, so a replayed batch rewrites the same totals.
+            totals = _totals_upto(spark, out_path, batch_id)
+            totals.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/totals/upto={batch_id}")
 
     return write_batch
 
@@ -47,14 +88,20 @@ def start_running_token_frequency(
     text_col: str = "text",
     max_files_per_trigger: int | None = None,
     available_now: bool = True,
+    compact_every: int = COMPACT_EVERY,
 ):
-    """Start the stream; returns the ``StreamingQuery``."""
+    """Start the stream; returns the ``StreamingQuery``.
+
+    Every ``compact_every`` batches the running totals are also written as
+    ``totals/upto=N``, so reading the totals never scans more than that many
+    per-batch partials (state stays bounded by the vocabulary).
+    """
     schema = spark.read.parquet(f"{source_dir.rstrip('/')}/{file_glob}").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir).select(text_col)
-    writer = stream.writeStream.foreachBatch(_writer(encoder, out_path, text_col)).option(
+    writer = stream.writeStream.foreachBatch(_writer(encoder, out_path, text_col, compact_every)).option(
         "checkpointLocation", checkpoint_path
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -63,8 +110,7 @@ def start_running_token_frequency(
 
 def running_totals(spark: SparkSession, out_path: str) -> DataFrame:
     """ST1 result: ``(token_id, count)`` over all batches written so far."""
-    parts = spark.read.parquet(out_path).filter(F.col("token_id").isNotNull())
-    return parts.groupBy("token_id").agg(F.sum("count").cast("long").alias("count"))
+    return _totals_upto(spark, out_path)
 
 
 def progress_metrics(spark: SparkSession, out_path: str) -> DataFrame:
@@ -72,7 +118,7 @@ def progress_metrics(spark: SparkSession, out_path: str) -> DataFrame:
 
     ``(batch_id, n_docs, unique_tokens)``; one row per micro-batch.
     """
-    parts = spark.read.parquet(out_path)
+    parts = _partials(spark, out_path)
     docs = parts.filter(F.col("token_id").isNull()).groupBy("batch_id").agg(F.sum("n_docs").alias("n_docs"))
     first = parts.filter(F.col("token_id").isNotNull()).groupBy("token_id").agg(F.min("batch_id").alias("batch_id"))
     new_per_batch = first.groupBy("batch_id").agg(F.count(F.lit(1)).alias("new_tokens"))
