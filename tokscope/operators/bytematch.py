@@ -246,7 +246,7 @@ def neighbor_entropy(pairs: DataFrame) -> DataFrame:
     return agg.select("pid", (F.log2("t") - F.col("clc") / F.col("t")).alias("entropy"))
 
 
-def pattern_stats(pairs: DataFrame, patterns: DataFrame) -> DataFrame:
+def pattern_stats(pairs: DataFrame, patterns: DataFrame, n_patterns: int | None = None) -> DataFrame:
     """A3, A4, A6 per pattern: ``(token_bytes, freq, standalone, entropy)``.
 
     One linear chain over the (small) side histogram, so the match and its
@@ -261,7 +261,8 @@ def pattern_stats(pairs: DataFrame, patterns: DataFrame) -> DataFrame:
         F.sum(F.when(nb, F.col("c") * F.log2(F.col("c")))).alias("clc"),
     )
     ent = F.when(F.col("t") > 0, F.log2("t") - F.col("clc") / F.col("t")).otherwise(F.lit(0.0))
-    return agg.join(bounded_broadcast(patterns.select("pid", "token_bytes"), BROADCAST_MAX_PATTERNS), "pid").select(
+    pats = bounded_broadcast(patterns.select("pid", "token_bytes"), BROADCAST_MAX_PATTERNS, n_patterns)
+    return agg.join(pats, "pid").select(
         "token_bytes", "freq", "standalone", ent.alias("entropy")
     )
 

@@ -133,7 +133,7 @@ class Context:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        return token_metrics(self.vocab_bytes, pattern_stats(self.pairs, self.patterns))
+        return token_metrics(self.vocab_bytes, pattern_stats(self.pairs, self.patterns, self.vocab_rows))
 
     def with_hex(self, df: DataFrame) -> DataFrame:
         """Replace ``pid`` by the pattern's bytes in hex (``token_hex``)."""
