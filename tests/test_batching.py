@@ -81,3 +81,12 @@ def test_batch_by_chars_many_segments_exact(spark):
     if cur:
         want.append((len(cur), sum(cur)))
     assert got == want  # 15 segments; packs cross segment boundaries
+
+
+def test_ordinal_with_infinities_and_nulls(spark):
+    vals = [float("inf"), 1.0, float("-inf"), None, 2.0, float("inf")] * 20
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double")
+    rows = with_ordinal(df, "v", ["i"], "o", partitions=4).collect()
+    assert sorted(r.o for r in rows) == list(range(len(vals)))
+    finite_first = [r.v for r in sorted(rows, key=lambda r: r.o)]
+    assert finite_first[:20] == [float("-inf")] * 20 and finite_first[-20:] == [None] * 20

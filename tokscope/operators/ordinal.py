@@ -13,6 +13,7 @@ when they are computed by different stages or after a task is retried
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -34,7 +35,7 @@ def split_points(df: DataFrame, key: str, buckets: int, rel_error: float = 0.001
     """
     probs = [i / buckets for i in range(1, buckets)]
     qs = df.approxQuantile(key, probs, rel_error) if probs else []
-    inner = sorted({float(q) for q in qs})
+    inner = sorted({float(q) for q in qs if math.isfinite(q)})
     return [float("-inf"), *inner, float("inf")]
 
 
@@ -58,6 +59,8 @@ def with_ordinal(
     keyed = df.withColumn("_k", -k if descending else k)
     splits = split_points(keyed, "_k", _parts(df, partitions))
     bucketed = Bucketizer(splits=splits, inputCol="_k", outputCol="_b", handleInvalid="keep").transform(keyed)
+    # NaN keys get bucket len(splits) - 1 from ``keep``; NULL keys get the one after it (nulls last).
+    bucketed = bucketed.withColumn("_b", F.coalesce(F.col("_b"), F.lit(float(len(splits)))))
     counts = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
