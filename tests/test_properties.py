@@ -155,3 +155,22 @@ def test_segmented_pretokens_random(spark, text, max_chars):
     whole = sorted(tuple(r) for r in pretoken_count(df).collect())
     cut = sorted(tuple(r) for r in pretoken_count(df, max_chars=max_chars).collect())
     assert cut == whole
+
+
+def test_empty_corpus(spark):
+    from tokscope.operators.batching import batch_by_chars, batch_by_count, chunk_fixed
+    from tokscope.operators.ranking import entropy_rank_curve
+
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    nulls = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    vocab = vocab_with_bytes(load_vocab(read_tokenizer(spark, FIXTURE_TOKENIZER)))
+    enc = HFTokenizerEncoder.from_path(FIXTURE_TOKENIZER)
+    for docs in (empty, nulls):
+        assert token_frequency(docs, enc).count() == 0
+        m = corpus_token_metrics(docs, vocab)
+        assert m.filter("freq_in_corpus > 0").count() == 0 and m.count() == vocab.count()
+        assert m.filter("not meaningless").count() == 0
+        assert batch_by_count(docs, 3).count() == 0
+        assert batch_by_chars(docs, 10).count() == 0
+        assert chunk_fixed(docs, 4).count() == 0
+        assert entropy_rank_curve(m).count() == vocab.count()

@@ -36,7 +36,8 @@ def split_points(df: DataFrame, key: str, buckets: int, rel_error: float = 0.001
     probs = [i / buckets for i in range(1, buckets)]
     qs = df.approxQuantile(key, probs, rel_error) if probs else []
     inner = sorted({float(q) for q in qs if math.isfinite(q)})
-    return [float("-inf"), *inner, float("inf")]
+    # Bucketizer needs at least one inner split (empty input, or one distinct value).
+    return [float("-inf"), *(inner or [0.0]), float("inf")]
 
 
 def with_ordinal(
