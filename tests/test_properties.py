@@ -174,3 +174,26 @@ def test_empty_corpus(spark):
         assert batch_by_chars(docs, 10).count() == 0
         assert chunk_fixed(docs, 4).count() == 0
         assert entropy_rank_curve(m).count() == vocab.count()
+
+
+def test_empty_graph_and_degenerate_vocab(spark):
+    from tokscope.operators.encode import decode_sequences
+    from tokscope.operators.mergegraph import closure_adjacency, merge_closure, merge_edges
+    from tokscope.operators.ranking import descendant_frequency
+
+    vocab = spark.createDataFrame([(0, "a", False), (1, "b", False)], "token_id int, token string, special boolean")
+    merges = spark.createDataFrame([], "rank int, left string, right string")
+    edges, unresolved = merge_edges(merges, vocab)
+    closure = merge_closure(edges)
+    assert closure.count() == 0 and closure_adjacency(closure).count() == 0 and unresolved.count() == 0
+    filled = spark.createDataFrame([(0, 3), (1, 0)], "token_id int, freq long")
+    assert {r.token_id: r.descendant_freq for r in descendant_frequency(closure, filled).collect()} == {0: 0, 1: 0}
+
+    only_empty = spark.createDataFrame([(0, "", bytearray(b""), "")], "token_id int, token string, token_bytes binary, decoded string")
+    docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
+    m = corpus_token_metrics(docs, only_empty).collect()
+    assert len(m) == 1 and m[0].freq_in_corpus == 0 and m[0].meaningless
+
+    vb = spark.createDataFrame([(0, bytearray(b"x"))], "token_id int, raw_bytes binary")
+    seqs = spark.createDataFrame([(1, [0, 99, 0])], "k long, ids array<int>")
+    assert decode_sequences(seqs, vb, "k").first().text == "xx"
