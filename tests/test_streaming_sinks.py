@@ -82,3 +82,16 @@ def test_read_or_compute_reuses(spark, tmp_path):
     assert read_or_compute(spark, p, compute).count() == 3
     assert read_or_compute(spark, p, compute).count() == 3
     assert len(calls) == 1
+
+
+def test_stream_starts_on_empty_folder(spark, tmp_path):
+    src = tmp_path / "empty-src"
+    src.mkdir()
+    enc = HFTokenizerEncoder.from_path(FIXTURE_TOKENIZER)
+    out, ckpt = str(tmp_path / "o"), str(tmp_path / "c")
+    q = start_running_token_frequency(spark, str(src), out, ckpt, enc, schema="doc_id long, text string")
+    q.awaitTermination()
+    spark.createDataFrame([(1, "the cat")], "doc_id long, text string").write.mode("append").parquet(str(src))
+    q = start_running_token_frequency(spark, str(src), out, ckpt, enc, schema="doc_id long, text string")
+    q.awaitTermination()
+    assert sum(r["count"] for r in running_totals(spark, out).collect()) > 0

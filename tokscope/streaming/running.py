@@ -89,14 +89,17 @@ def start_running_token_frequency(
     max_files_per_trigger: int | None = None,
     available_now: bool = True,
     compact_every: int = COMPACT_EVERY,
+    schema: str | None = None,
 ):
     """Start the stream; returns the ``StreamingQuery``.
 
     Every ``compact_every`` batches the running totals are also written as
     ``totals/upto=N``, so reading the totals never scans more than that many
-    per-batch partials (state stays bounded by the vocabulary).
+    per-batch partials (state stays bounded by the vocabulary). Give
+    ``schema`` (DDL) when the source folder may still be empty.
     """
-    schema = spark.read.parquet(f"{source_dir.rstrip('/')}/{file_glob}").schema
+    if schema is None:
+        schema = spark.read.parquet(f"{source_dir.rstrip('/')}/{file_glob}").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
