@@ -100,8 +100,7 @@ def has_control_byte(bytes_col: Column | str) -> Column:
 def byte_value(bytes_col: Column | str, pos: Column | int) -> Column:
     """Unsigned value (0-255) of the byte at 1-based ``pos``; NULL past the end."""
     c = F.col(bytes_col) if isinstance(bytes_col, str) else bytes_col
-    p = F.lit(pos) if isinstance(pos, int) else pos
-    one = F.substring(c, p, F.lit(1)) if not isinstance(pos, int) else F.substring(c, pos, 1)
+    one = F.substring(c, pos, 1) if isinstance(pos, int) else F.substring(c, pos, F.lit(1))
     return F.when(F.octet_length(one) == 1, F.conv(F.hex(one), 16, 10).cast("int"))
 
 
