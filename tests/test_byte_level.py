@@ -76,3 +76,24 @@ def test_byte_level_fold_equals_encoder(spark, byte_level_json):
     }
     want = {r.token_id: r["count"] for r in token_frequency_whole_text(docs, HFTokenizerEncoder(byte_level_json)).collect()}
     assert folded == want
+
+
+def test_pattern_from_tokenizer_file(spark, byte_level_json):
+    import json as _json
+
+    from tokscope.operators.encode import BYTE_LEVEL_PATTERN, distinct_piece_pattern
+    from tokscope.session import FIXTURE_TOKENIZER
+
+    assert distinct_piece_pattern(byte_level_json) == "(?U)" + BYTE_LEVEL_PATTERN
+    with open(FIXTURE_TOKENIZER, encoding="utf-8") as f:
+        fixture = f.read()
+    assert distinct_piece_pattern(fixture).startswith("(?U) ?\\p{L}+")
+    normalized = _json.loads(fixture)
+    normalized["normalizer"] = {"type": "NFC"}
+    assert distinct_piece_pattern(_json.dumps(normalized)) is None
+    # The derived pattern gives exactly the whole-text counts (incl. non-ASCII spaces).
+    docs = spark.createDataFrame([(1, "a b  c　 it's 根 ok\n\n x")], "doc_id long, text string")
+    enc = HFTokenizerEncoder(byte_level_json)
+    a = {r.token_id: r["count"] for r in token_frequency(docs, enc, pattern=distinct_piece_pattern(byte_level_json)).collect()}
+    b = {r.token_id: r["count"] for r in token_frequency_whole_text(docs, enc).collect()}
+    assert a == b

@@ -108,6 +108,49 @@ def tiktoken_available(name: str = "cl100k_base") -> bool:
         return False
 
 
+# -- pre-token pattern of a tokenizer file -------------------------------------
+
+# Fixed value: the public GPT-2 pre-token pattern, which byte-level
+# pre-tokenizers apply when ``use_regex`` is on.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def distinct_piece_pattern(tokenizer_json: str) -> str | None:
+    """The Java regex that splits text exactly as the tokenizer's pre-tokenizer, or None.
+
+    Supported: a ``Split`` with a regex or string pattern (behaviour
+    ``Isolated``), a ``ByteLevel`` with ``use_regex``, and a ``Sequence`` of
+    those in which exactly one splits. ``(?U)`` makes ``\s`` Unicode-aware
+    as in the tokenizer's regex engine. Anything else (a normalizer, other
+    pre-tokenizers) returns None: encode whole texts instead (T1).
+    """
+    import re
+
+    conf = json.loads(tokenizer_json)
+    if conf.get("normalizer") is not None:
+        return None
+    pre = conf.get("pre_tokenizer")
+    parts = pre.get("pretokenizers", []) if pre and pre.get("type") == "Sequence" else [pre] if pre else []
+    found: list[str] = []
+    for p in parts:
+        kind = p.get("type")
+        if kind == "Split":
+            if p.get("behavior") != "Isolated" or p.get("invert"):
+                return None
+            pat = p.get("pattern", {})
+            found.append(pat["Regex"] if "Regex" in pat else re.escape(pat.get("String", "")))
+        elif kind == "ByteLevel":
+            if p.get("add_prefix_space"):
+                return None
+            if p.get("use_regex", True):
+                found.append(BYTE_LEVEL_PATTERN)
+        else:
+            return None
+    if len(found) != 1:
+        return None
+    return "(?U)" + found[0]
+
+
 # -- pre-tokens (T3 first half) ------------------------------------------------
 
 

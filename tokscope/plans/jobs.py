@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tokscope.functions.text import CJK_RANGES
 from tokscope.operators.bytematch import corpus_token_metrics
-from tokscope.operators.encode import HFTokenizerEncoder
-from tokscope.operators.frequency import token_frequency, top_k
+from tokscope.operators.encode import HFTokenizerEncoder, distinct_piece_pattern
+from tokscope.operators.frequency import token_frequency, token_frequency_whole_text, top_k
 from tokscope.operators.mergegraph import closure_to_text, merge_closure, merge_edges
 from tokscope.operators.ranking import descendant_frequency, rank_by_survival_ratio, rarest_script_tokens, zero_fill
 from tokscope.sinks.writers import read_or_compute, write_frequencies, write_merge_closure, write_metrics, write_ranked
@@ -26,8 +26,19 @@ from tokscope.sources.vocab import load_merges, load_vocab, read_tokenizer, voca
 def count_token_frequencies(
     spark: SparkSession, docs: DataFrame, tokenizer_path: str, out_path: str, text_col: str = "text", report: int = 20
 ) -> DataFrame:
-    """Corpus -> ``{"<id>": count}`` JSON (K1); returns the top ``report`` tokens (K5)."""
-    freq = token_frequency(drop_empty_text(docs, text_col), HFTokenizerEncoder.from_path(tokenizer_path, spark=spark), text_col)
+    """Corpus -> ``{"<id>": count}`` JSON (K1); returns the top ``report`` tokens (K5).
+
+    Uses distinct-piece encoding (T3) when the tokenizer's pre-token split
+    can be reproduced exactly in Spark, else encodes whole texts (T1).
+    """
+    with open(tokenizer_path, encoding="utf-8") as f:
+        pattern = distinct_piece_pattern(f.read())
+    encoder = HFTokenizerEncoder.from_path(tokenizer_path, spark=spark)
+    text = drop_empty_text(docs, text_col)
+    if pattern is not None:
+        freq = token_frequency(text, encoder, text_col, pattern)
+    else:
+        freq = token_frequency_whole_text(text, encoder, text_col)
     write_frequencies(freq, out_path, "json_object")
     return top_k(load_frequencies(spark, out_path), report)
 
