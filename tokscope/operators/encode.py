@@ -116,7 +116,7 @@ BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 
 
 def distinct_piece_pattern(tokenizer_json: str) -> str | None:
-    """The Java regex that splits text exactly as the tokenizer's pre-tokenizer, or None.
+    r"""The Java regex that splits text exactly as the tokenizer's pre-tokenizer, or None.
 
     Supported: a ``Split`` with a regex or string pattern (behaviour
     ``Isolated``), a ``ByteLevel`` with ``use_regex``, and a ``Sequence`` of
