@@ -71,7 +71,11 @@ class Context:
 
     @cached_property
     def vocab(self) -> DataFrame:
-        return load_vocab(self.tokenizer)
+        """Vocabulary table, cached: it is read by many branches of a plan
+        (and by later queries with the same plan), and parsing a production
+        tokenizer file costs seconds. Config-sized; recomputed from the file
+        if a cached block is lost."""
+        return load_vocab(self.tokenizer).cache()
 
     @cached_property
     def vocab_rows(self) -> int:
@@ -84,7 +88,7 @@ class Context:
 
     @cached_property
     def merges(self) -> DataFrame:
-        return load_merges(self.tokenizer)
+        return load_merges(self.tokenizer).cache()
 
     @cached_property
     def encoder(self) -> HFTokenizerEncoder:
