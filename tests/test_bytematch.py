@@ -118,3 +118,17 @@ def test_long_documents_segmented_exactly(spark, seg):
     cut = corpus_token_metrics(d, _vocab(spark, tokens), max_segment_bytes=seg).collect()
     key = lambda r: r.token_id
     assert sorted(whole, key=key) == sorted(cut, key=key)
+
+
+def test_raw_bytes_with_invalid_utf8(spark, tmp_path):
+    from tokscope.sources.tables import scan_bytes
+
+    p = tmp_path / "corpus.bin"
+    p.write_bytes(b"ab\xe6\xa0 ab\xff\n\xe6\xa0\xb9ab")
+    raw = scan_bytes(spark, str(p))
+    vocab = spark.createDataFrame(
+        [(0, "ab", bytearray(b"ab"), "ab"), (1, "�", bytearray(b"\xe6\xa0"), "�")],
+        "token_id int, token string, token_bytes binary, decoded string",
+    )
+    got = {r.token_id: r.freq_in_corpus for r in corpus_token_metrics(raw, vocab, text_col="bytes").collect()}
+    assert got == {0: 3, 1: 2}

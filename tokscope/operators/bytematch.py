@@ -71,6 +71,8 @@ MAX_SEGMENT_BYTES = 4 * 1024 * 1024
 def byte_segments(docs: DataFrame, maxlen: int, text_col: str = "text", max_segment_bytes: int = MAX_SEGMENT_BYTES) -> DataFrame:
     """``(s, lo, hi)``: byte strings and the 1-based candidate start range in each.
 
+    ``text_col`` may be a string column (matched as UTF-8) or a binary one.
+
     A document of at most ``max_segment_bytes`` is one segment (no shuffle).
     A longer one is cut into ``max_segment_bytes`` pieces of candidate
     starts; each segment keeps one byte of left context and ``maxlen``
@@ -79,7 +81,9 @@ def byte_segments(docs: DataFrame, maxlen: int, text_col: str = "text", max_segm
     redistributed (round robin) across tasks.
     """
     c = max_segment_bytes
-    b = F.encode(F.col(text_col), "UTF-8")
+    # A binary column (raw file bytes, S2) is matched as is, invalid UTF-8 included.
+    binary = dict(docs.dtypes).get(text_col) == "binary"
+    b = F.col(text_col) if binary else F.encode(F.col(text_col), "UTF-8")
     with_bytes = docs.select(b.alias("b")).withColumn("n", F.octet_length("b")).filter("n > 0")
     short = with_bytes.filter(F.col("n") <= c).select(F.col("b").alias("s"), F.lit(1).alias("lo"), F.col("n").alias("hi"))
     long_docs = with_bytes.filter(F.col("n") > c)
