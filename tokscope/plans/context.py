@@ -51,6 +51,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 class Context:
+    """Inputs shared by the registered queries for one ``(spark, sf_dir)``.
+
+    Each property builds its DataFrame lazily, once; the vocabulary-sized
+    tables are cached and the merge closure is saved per tokenizer content.
+    """
+
     def __init__(self, spark: SparkSession, sf_dir: str, tokenizer_path: str = FIXTURE_TOKENIZER, vocab_mode: str = "text"):
         self.spark = spark
         self.sf_dir = sf_dir
