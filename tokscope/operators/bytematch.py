@@ -147,28 +147,19 @@ def match_neighbours(docs: DataFrame, patterns: DataFrame, maxlen: int, text_col
         return patterns.sparkSession.createDataFrame([], "pid int, left binary, right binary")
     segs = byte_segments(docs, maxlen, text_col, max_segment_bytes).withColumn("n", F.octet_length("s"))
     pos = segs.select("n", F.col("s").alias("b"), F.explode(F.sequence(F.col("lo"), F.col("hi"))).alias("pos"))
-    # The window starts one byte before the candidate (when there is one).
-    start = F.greatest(F.col("pos") - 1, F.lit(1))
-    win = pos.select(
-        "n",
-        "pos",
-        F.substring(F.col("b"), start, F.lit(maxlen + 2)).alias("w"),
-        (F.col("pos") > 1).alias("has_left"),
-    )
-    off = F.when(F.col("has_left"), F.lit(2)).otherwise(F.lit(1))
+    # Candidates are cut straight from the segment bytes (passed by reference
+    # inside the codegen stage), so no per-position window is copied.
     # Lengths of the patterns that can start at a position, looked up by the
     # position's first two bytes (one byte at a segment end) in a table of
     # at most 65,536 + 256 rows (``start_lengths``).
     starts_tab = F.broadcast(start_lengths(patterns).withColumn("kh", F.xxhash64("k")))
-    key = F.substring(F.col("w"), off, F.lit(2))
-    keyed = win.select("n", "pos", "w", "has_left", off.alias("off"), key.alias("key"), F.xxhash64(key).alias("kh"))
+    key = F.substring(F.col("b"), F.col("pos"), F.lit(2))
+    keyed = pos.select("n", "pos", "b", key.alias("key"), F.xxhash64(key).alias("kh"))
     starts = keyed.join(starts_tab, "kh").filter(F.coalesce(F.col("key") == F.col("k"), F.lit(False)))
-    cand = starts.select("n", "pos", "w", "has_left", "off", F.explode("lens").alias("plen")).filter(
+    cand = starts.select("n", "pos", "b", F.explode("lens").alias("plen")).filter(
         F.col("pos") + F.col("plen") - 1 <= F.col("n")
     )
-    cand = cand.select(
-        "plen", F.substring(F.col("w"), F.col("off"), F.col("plen")).alias("token_bytes"), "w", "off", "pos", "n", "has_left"
-    )
+    cand = cand.select("plen", F.substring(F.col("b"), F.col("pos"), F.col("plen")).alias("token_bytes"), "b", "pos", "n")
     # Probe on a 64-bit hash of the bytes (a long key takes the planner's
     # fast hashed-relation path, ~7x faster than a binary key here), then
     # check the bytes themselves: a hash collision can never make a match.
@@ -182,9 +173,9 @@ def match_neighbours(docs: DataFrame, patterns: DataFrame, maxlen: int, text_col
     # Neighbours are cut only for the candidates that matched.
     return matched.select(
         "pid",
-        F.when(F.col("has_left"), F.substring(F.col("w"), 1, 1)).alias("left"),
+        F.when(F.col("pos") > 1, F.substring(F.col("b"), F.col("pos") - 1, F.lit(1))).alias("left"),
         F.when(
-            F.col("pos") + F.col("plen") <= F.col("n"), F.substring(F.col("w"), F.col("off") + F.col("plen"), F.lit(1))
+            F.col("pos") + F.col("plen") <= F.col("n"), F.substring(F.col("b"), F.col("pos") + F.col("plen"), F.lit(1))
         ).alias("right"),
     )
 
