@@ -3,8 +3,9 @@
 Every overlapping occurrence of every pattern's bytes in every document
 is found with an n-gram equi-join:
 
-* each document becomes one row per byte position, carrying only a small
-  window ``substring(bytes, pos-1, maxlen+2)`` (never the document);
+* each document (or segment of at most 4 MiB) becomes one row per byte
+  position inside one codegen stage; candidates and neighbours are sliced
+  from the segment bytes, which are referenced there, not copied per row;
 * each position yields one candidate per length that some pattern
   starting with that position's two bytes has (a broadcast table of at
   most 65,536 + 256 rows);
