@@ -52,3 +52,14 @@ def test_byte_match_plan(plans):
     assert "SortMergeJoin" not in tm
     assert "partial_count" in tm
     assert re.search(r"hashpartitioning\(pid#\d+, left#\d+, right#\d+", tm)
+
+
+def test_spread_only_when_needed(spark):
+    from tokscope.plans.context import spread
+    from tokscope.session import default_parallelism
+
+    want = default_parallelism(spark)
+    many = spark.range(0, 1000, numPartitions=want * 2)
+    assert spread(many) is many
+    one = spark.range(0, 1000, numPartitions=1)
+    assert spread(one).rdd.getNumPartitions() == want
