@@ -14,7 +14,7 @@ from functools import lru_cache
 
 from tokscope.functions.text import PRETOKEN_PATTERN, SURVIVAL_SENTINEL
 from tokscope.plans import queries as Q
-from tokscope.session import FIXTURE_TOKENIZER
+from tokscope.session import FIXTURE_BYTE_LEVEL_TOKENIZER, FIXTURE_TOKENIZER
 
 
 def _q(s: str) -> str:
@@ -95,10 +95,14 @@ rarest AS (
   WHERE regexp_matches(v.token, '[\\x{{C0}}-\\x{{FF}}]'))"""
 
 
-def _byte_ctes(path: str = FIXTURE_TOKENIZER) -> str:
+DEFAULT_PAT = "pat AS (SELECT DISTINCT hex(encode(token)) AS h, octet_length(encode(token)) AS plen FROM vocab_all WHERE token <> '')"
+
+
+def _byte_ctes(path: str = FIXTURE_TOKENIZER, pat_sql: str = DEFAULT_PAT, lengths: list[int] | None = None) -> str:
     vocab, special, merges, unk_id = _tokenizer(path)
-    maxlen = max(len(t.encode("utf-8")) for t in list(vocab) + list(special))
-    lengths = sorted({len(t.encode("utf-8")) for t in list(vocab) + list(special) if t})
+    if lengths is None:
+        lengths = sorted({len(t.encode("utf-8")) for t in list(vocab) + list(special) if t})
+    maxlen = max(lengths)
     leads = ",\n         ".join(f"lead(x, {k}) OVER w AS x{k + 1}" for k in range(1, maxlen + 1))
     cands = "\n    UNION ALL\n    ".join(
         f"SELECT {L} AS plen, {' || '.join(f'x{j}' for j in range(1, L + 1))} AS h, lft, x{L + 1} AS rgt "
@@ -106,7 +110,7 @@ def _byte_ctes(path: str = FIXTURE_TOKENIZER) -> str:
         for L in lengths
     )
     return f""",
-pat AS (SELECT DISTINCT hex(encode(token)) AS h, octet_length(encode(token)) AS plen FROM vocab_all WHERE token <> ''),
+{pat_sql},
 byte_rows AS (
   SELECT doc_id, unnest(xs) AS x, unnest(range(1, len(xs) + 1)) AS pos
   FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS xs FROM docs)),
@@ -140,6 +144,28 @@ metrics AS (
   FROM vocab_all v LEFT JOIN stats s ON s.h = hex(encode(v.token)) LEFT JOIN ent e ON e.h = hex(encode(v.token)))"""
 
 
+def _byte_level_pat(path: str) -> tuple[str, list[int]]:
+    """CTEs giving ``pat`` for a byte-level vocabulary: each character of a
+    token stands for one byte by the public byte-level alphabet rule,
+    applied here in SQL, so partial UTF-8 sequences stay as they are."""
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    rows = ",\n  ".join(f"({i}, {_q(t)})" for t, i in sorted(vocab.items(), key=lambda kv: kv[1]))
+    cp = "unicode(ch)"
+    byte = (
+        f"CASE WHEN {cp} < 256 THEN {cp} WHEN {cp} - 256 <= 32 THEN {cp} - 256 "
+        f"WHEN {cp} - 256 <= 66 THEN {cp} - 256 - 33 + 127 ELSE 173 END"
+    )
+    sql = f"""bl_vocab(token_id, token) AS (VALUES
+  {rows}),
+bl_chars AS (
+  SELECT token_id, unnest(string_split(token, '')) AS ch, unnest(range(1, length(token) + 1)) AS i FROM bl_vocab),
+pat AS (
+  SELECT DISTINCT h, length(h) // 2 AS plen FROM (
+    SELECT token_id, string_agg(printf('%02X', {byte}), '' ORDER BY i) AS h FROM bl_chars GROUP BY token_id))"""
+    return sql, sorted({len(t) for t in vocab if t})
+
+
 def _with(body: str, byte: bool = False) -> str:
     ctes = _base_ctes() + (_byte_ctes() if byte else "")
     return f"WITH RECURSIVE {ctes}\n{body}"
@@ -266,6 +292,11 @@ def oracle_sql() -> dict[str, str]:
         f"FROM (SELECT token_id, token, freq, descendant_freq, {ratio} AS ratio FROM rarest)"
     )
     sql["corpus_from_jsonl_tree"] = "SELECT text FROM documents"
+    bl_pat, bl_lengths = _byte_level_pat(FIXTURE_BYTE_LEVEL_TOKENIZER)
+    sql["byte_level_frequency"] = (
+        f"WITH RECURSIVE {_base_ctes()}{_byte_ctes(pat_sql=bl_pat, lengths=bl_lengths)}\n"
+        "SELECT h AS token_hex, freq, standalone FROM stats"
+    )
     sql["scan_text"] = (
         "SELECT coalesce(sum(length(text) - length(replace(text, chr(10), '')) + 1), 0)::BIGINT AS n_lines "
         "FROM documents WHERE text IS NOT NULL"

@@ -23,7 +23,7 @@ from tokscope.operators.frequency import distinct_token_count, sort_by_frequency
 from tokscope.operators.mergegraph import closure_adjacency, closure_to_text, distinct_edges
 from tokscope.operators.ranking import entropy_rank_curve, rank_by_survival_ratio, rarest_script_tokens, shuffle_rows
 from tokscope.plans.context import Context
-from tokscope.session import default_parallelism, scratch_path
+from tokscope.session import FIXTURE_BYTE_LEVEL_TOKENIZER, default_parallelism, scratch_path
 from tokscope.sinks.writers import write_frequencies, write_merge_closure, write_metrics, write_ranked
 from tokscope.sources.tables import (
     conversations_as_jsonl,
@@ -178,6 +178,12 @@ def q_neighbor_entropy(spark, sf_dir):
     return c.with_hex(neighbor_entropy(c.pairs)).select("token_hex", F.round("entropy", ROUND).alias("entropy"))
 
 
+def q_byte_level_frequency(spark, sf_dir):
+    """J6 + A3/A4 with the byte-level fixture: raw token bytes, partial UTF-8 included."""
+    c = Context(spark, sf_dir, FIXTURE_BYTE_LEVEL_TOKENIZER, vocab_mode="byte_level_raw")
+    return c.with_hex(byte_token_frequency(c.pairs)).select("token_hex", "freq", "standalone")
+
+
 def q_token_metrics(spark, sf_dir):
     m = _ctx(spark, sf_dir).metrics
     return m.select(
@@ -362,6 +368,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "neighbor_counts": q_neighbor_counts,
     "neighbor_entropy": q_neighbor_entropy,
     "token_metrics": q_token_metrics,
+    "byte_level_frequency": q_byte_level_frequency,
     "entropy_rank_curve": q_entropy_rank_curve,
     "drop_empty_text": q_drop_empty_text,
     "contains_script": q_contains_script,

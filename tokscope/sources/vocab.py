@@ -62,14 +62,20 @@ def vocab_with_bytes(vocab: DataFrame, mode: str = "text") -> DataFrame:
     alphabet; bytes are recovered and ``decoded`` replaces invalid UTF-8
     with U+FFFD, so partial-byte tokens all decode to ``"\\ufffd"`` and
     their ``token_bytes`` become ``EF BF BD`` as in the analysed program.
-    Special tokens are always taken as text.
+    ``mode='byte_level_raw'``: as ``byte_level`` but ``token_bytes`` are
+    the token's own bytes, partial UTF-8 sequences kept. Special tokens are
+    always taken as text.
     """
     if mode == "text":
         raw = utf8_bytes("token")
-    elif mode == "byte_level":
+    elif mode in ("byte_level", "byte_level_raw"):
         raw = F.when(F.col("special"), utf8_bytes("token")).otherwise(byte_level_to_bytes("token"))
     else:
         raise ValueError(f"unknown mode {mode!r}")
     with_raw = vocab.withColumn("raw_bytes", raw)
     decoded = replace_invalid("raw_bytes")
-    return with_raw.withColumn("decoded", decoded).withColumn("token_bytes", utf8_bytes("decoded"))
+    out = with_raw.withColumn("decoded", decoded)
+    if mode == "byte_level_raw":
+        # The token's own bytes, partial UTF-8 kept (no U+FFFD collapse).
+        return out.withColumn("token_bytes", F.col("raw_bytes"))
+    return out.withColumn("token_bytes", utf8_bytes("decoded"))
