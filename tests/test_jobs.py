@@ -33,3 +33,22 @@ def test_three_jobs(spark, tmp_path):
     # The saved closure is reused on a second run.
     again = rank_script_tokens(spark, FIXTURE_TOKENIZER, freq_path, str(tmp_path / "rank"), LATIN1_LETTER_RANGES, mode="text")
     assert again.count() == len(rows)
+
+
+def test_jobs_with_byte_level_vocabulary(spark, tmp_path):
+    from tokscope.operators.encode import HFTokenizerEncoder
+    from tokscope.operators.frequency import token_frequency_whole_text
+    from tokscope.session import FIXTURE_BYTE_LEVEL_TOKENIZER
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    freq_path = str(tmp_path / "freq")
+    count_token_frequencies(spark, docs, FIXTURE_BYTE_LEVEL_TOKENIZER, freq_path)
+    got = json.loads(spark.read.text(freq_path).first().value)
+    want = token_frequency_whole_text(docs, HFTokenizerEncoder.from_path(FIXTURE_BYTE_LEVEL_TOKENIZER))
+    assert {int(k): v for k, v in got.items()} == {r.token_id: r["count"] for r in want.collect()}
+    m = score_vocabulary(spark, docs, FIXTURE_BYTE_LEVEL_TOKENIZER, str(tmp_path / "m"), mode="byte_level")
+    rows = m.collect()
+    assert len(rows) == 500
+    partial = [r for r in rows if r.token == "�"]
+    # Partial-byte tokens share the bytes EF BF BD, so they share one frequency (duplicate rows).
+    assert partial and len({r.freq_in_corpus for r in partial}) == 1
