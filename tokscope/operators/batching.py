@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokscope.operators.ordinal import with_ordinal
-from tokscope.session import cut_lineage
+from tokscope.session import cut_lineage, ship_package
 
 SINGLE_CHUNK_CHARS = 64 * 1024
 
@@ -186,6 +186,7 @@ def batch_by_chars(
     joined back on the ordinal and concatenated per pack (a pack holds at
     most ``threshold`` characters plus one document).
     """
+    ship_package(df.sparkSession)
     seg_docs = max(segment_docs, threshold)
     rows = df.filter(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(order_col, text_col)
     numbered = with_ordinal(rows, order_col, name="_ord").withColumn("_seg", F.floor(F.col("_ord") / seg_docs).cast("long"))

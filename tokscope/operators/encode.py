@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokscope.functions.text import PRETOKEN_PATTERN, to_byte_level
-from tokscope.session import bounded_broadcast
+from tokscope.session import bounded_broadcast, ship_package
 
 WRAP_OPEN = "\u0001"
 WRAP_CLOSE = "\u0002"
@@ -223,6 +223,7 @@ def encode_column(df: DataFrame, encoder, text_col: str = "text", observation: O
     on; with ``observation`` those rows are counted (``failed``, ``rows``)
     instead of disappearing silently downstream.
     """
+    ship_package(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     out = df.mapInPandas(_encode_frames(encoder, text_col), schema)
     if observation is not None:

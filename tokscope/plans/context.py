@@ -27,6 +27,7 @@ from tokscope.session import (
     default_parallelism,
     ensure_checkpoint_dir,
     read_table,
+    ship_package,
 )
 from tokscope.sinks.writers import read_or_compute
 from tokscope.sources.tables import drop_empty_text
@@ -59,6 +60,7 @@ class Context:
 
     def __init__(self, spark: SparkSession, sf_dir: str, tokenizer_path: str = FIXTURE_TOKENIZER, vocab_mode: str = "text"):
         self.spark = spark
+        ship_package(spark)
         self.sf_dir = sf_dir
         self.tokenizer_path = tokenizer_path
         self.vocab_mode = vocab_mode

@@ -38,6 +38,7 @@ def get_spark(master: str | None = None, app: str = "tokscope", shuffle_partitio
     if sc is not None:
         sc.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -110,3 +111,38 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_r
     """
     n = known_rows if known_rows is not None else bounded_rows(df, max_rows)
     return F.broadcast(df) if n <= max_rows else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tokscope`` importable in Python workers, once per application.
+
+    Functions run by ``mapInPandas`` / ``applyInPandas`` are pickled by
+    reference to this package, so the workers must import it. The package
+    is zipped on the driver and distributed with ``addPyFile`` (the usual
+    way to ship library code to executors); a cluster where it is already
+    installed can skip it.
+    """
+    sc = _context(spark)
+    if sc is None:
+        return
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    zip_dir = tempfile.mkdtemp(prefix="tokscope-pkg-")
+    zip_path = os.path.join(zip_dir, "tokscope.zip")
+    root = os.path.dirname(PACKAGE_DIR)
+    with zipfile.ZipFile(zip_path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _dirs, files in os.walk(PACKAGE_DIR):
+            if "__pycache__" in folder:
+                continue
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zip_path)
+    _SHIPPED.add(key)
