@@ -113,16 +113,17 @@ def prefix_hash(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the A-Z-lower-cased words of each row of a block.
 
-    Words are runs of bytes outside ``[\\x20\\x09-\\x0D]`` and never cross
-    rows. Returns the hashes in order and the ``n + 1`` word offsets of rows.
+    Words are runs of bytes that are not ``space`` (a mask of 256 bytes, the
+    default being ``[\\x20\\x09-\\x0D]``) and never cross rows. Returns the
+    hashes in order and the ``n + 1`` word offsets of rows.
     """
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_IS_SPACE[data]
+    inside = ~space[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
