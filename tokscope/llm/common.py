@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokscope.session import ensure_checkpoint_dir, read_table, scratch_path, ship_package
+from tokscope.session import default_parallelism, ensure_checkpoint_dir, read_table, scratch_path, ship_package
 
 # Fixed by the result contracts: the bytes that separate words and are stripped from lines.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -25,12 +25,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """Even out partitions before a write: about one file per core instead of one per task.
+
+    The rebalance is a shuffle of the result alone, so a long map stage above
+    it keeps its parallelism.
+    """
+    return df.hint("rebalance").coalesce(default_parallelism(df.sparkSession))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared checkpoint folder and read it back."""
     spark = df.sparkSession
     ship_package(spark)
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    compact(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -164,14 +173,6 @@ def shingle_hashes(words: np.ndarray, word_offsets: np.ndarray, width: int) -> t
     return mix64(acc[keep]), row_of[keep]
 
 
-def long_array(values: list[np.ndarray]) -> pa.Array:
-    """List array of int64 from uint64 numpy arrays."""
-    lengths = np.fromiter((len(v) for v in values), np.int64, len(values))
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    flat = np.concatenate(values) if len(values) else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
-
-
 __all__ = [
     "BLOCK_BYTES",
     "LOWER",
@@ -179,9 +180,9 @@ __all__ = [
     "SPACE_CLASS",
     "UPPER",
     "ascii_lower",
+    "compact",
     "documents",
     "ensure_checkpoint_dir",
-    "long_array",
     "mix64",
     "powers",
     "prefix_hash",

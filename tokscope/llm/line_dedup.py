@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokscope.llm.common import ascii_lower, ensure_checkpoint_dir, scratch_path, strip_spaces, written
+from tokscope.llm.common import ascii_lower, compact, ensure_checkpoint_dir, scratch_path, strip_spaces, written
 
 HASH = ["h1", "h2"]
 
@@ -63,7 +63,7 @@ class LineRuns:
     def _write(self, run: DataFrame, level: int) -> str:
         self._made += 1
         path = f"{self.root}/level{level}/run{self._made:05d}"
-        run.select(*HASH, "n_docs", "max_doc", "fresh").sortWithinPartitions(*HASH).write.parquet(path)
+        compact(run.select(*HASH, "n_docs", "max_doc", "fresh")).sortWithinPartitions(*HASH).write.parquet(path)
         return path
 
     def runs(self) -> DataFrame | None:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokscope.llm.common import long_array, mix64, shingle_hashes, text_blocks, word_hashes, written
+from tokscope.llm.common import mix64, shingle_hashes, text_blocks, word_hashes, written
 from tokscope.llm.components import connected_components
 from tokscope.session import ship_package
 
@@ -264,7 +264,6 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
 
     wanted = written(tokens.select("doc_id").distinct(), "ngram-wanted")
     few = wanted.count() <= MAX_BROADCAST_IDS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = written(rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), "ngram-texts")
 
     links = written(same.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "ngram-links")
