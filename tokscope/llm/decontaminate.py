@@ -16,13 +16,13 @@ restricting fingerprints to shared regions loses nothing.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokscope.llm.common import mix64, shingle_hashes, text_blocks, word_hashes
@@ -181,7 +181,60 @@ class Benchmark:
         return best
 
 
-SCHEMA = "doc_id long, row_hash long, item_id long, similarity double, word_start long, n_words int, distance int"
+LEAK = "item_id long, similarity double, word_start long, n_words int, distance int"
+
+
+def leak_finder(spark: SparkSession, items: list[tuple[int, str]], similarity: float, radius: int, width: int):
+    """Column function ``text -> array of`` :data:`LEAK` for some benchmark items."""
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(([i for i, _ in items], [t for _, t in items]))
+    key = uuid.uuid4().hex
+
+    @F.arrow_udf(f"array<struct<{LEAK.replace(' ', ':').replace(',:', ',')}>>")
+    def leaks(text: pa.Array) -> pa.Array:
+        bench = _benchmark(key, shared, width, similarity, radius)
+        shortest = min(bench.lengths, default=0)
+        found: list[list[tuple]] = [[] for _ in range(len(text))]
+        for first, last, data, offsets in text_blocks(pa.RecordBatch.from_arrays([text], ["text"])) if bench.ids else ():
+            words, bounds = word_hashes(data, offsets, _SEPARATOR)
+            shingles, row_of = shingle_hashes(words, bounds, width)
+            # Rows that share a full shingle, or that may hold an item shorter than one.
+            share = np.zeros(last - first, bool)
+            share[row_of[bench.contains(shingles)]] = True
+            if shortest < width:
+                share |= np.diff(bounds) >= shortest
+            for r in np.flatnonzero(share):
+                found[first + r] = [(bench.ids[i], *m) for i, m in sorted(bench.match_row(words[bounds[r] : bounds[r + 1]]).items())]
+        flat = list(zip(*(x for f in found for x in f), strict=True)) or [[]] * 5
+        types = [pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int32()]
+        structs = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, types, strict=True)], [x.split()[0] for x in LEAK.split(", ")])
+        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32), structs)
+
+    return leaks
+
+
+_built: dict[str, Benchmark] = {}
+
+
+def _benchmark(key: str, shared, width: int, similarity: float, radius: int) -> Benchmark:
+    """The tables of a broadcast benchmark, built once per Python worker."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Benchmark(*shared.value, width, similarity, radius)
+    return _built[key]
+
+
+def _with_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float, radius: int, width: int) -> DataFrame:
+    """``docs`` with ``__llm_leaks``: all leaks of a row."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    passes = max(1, -(-size // MAX_BROADCAST_CHARS))
+    columns = []
+    for k in range(passes):
+        # At most about MAX_BROADCAST_CHARS characters of benchmark text per pass.
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
+        columns.append(leak_finder(docs.sparkSession, [(r["item_id"], r["text"]) for r in part], similarity, radius, width)(F.col("text").cast("string")))
+    return docs.withColumn("__llm_leaks", F.concat(*columns) if passes > 1 else columns[0])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = MIN_SIMILARITY, radius: int = RADIUS, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -189,52 +242,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = MIN_SI
 
     ``docs`` needs ``doc_id, text``, ``benchmark`` needs ``item_id, text``; other
     columns are ignored. Words are runs of letters and digits, A-Z
-    lower-cased. ``word_start`` and ``n_words`` give the window in words.
+    lower-cased. Returns ``doc_id, item_id, similarity, word_start, n_words,
+    distance``; the window is given in words.
 
     Edge cases: null or empty texts match nothing, on either side. Items of
     fewer than five words are one shingle. Items with equal texts are
     all reported; the earliest of equally similar windows counts. Repeated
-    rows are reported once each. Empty tables give an empty result.
+    rows are reported each. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = max(1, -(-size // MAX_BROADCAST_CHARS))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("row_hash"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    found = None
-    for k in range(passes):
-        # At most about MAX_BROADCAST_CHARS characters of benchmark text per pass.
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(([r["item_id"] for r in part], [r["text"] for r in part]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(*shared.value, width, similarity, radius)
-            shortest = min(bench.lengths, default=0)
-            for batch in batches:
-                docs_, hashes_, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
-                for first, last, data, offsets in text_blocks(batch) if bench.ids else ():
-                    words, bounds = word_hashes(data, offsets, _SEPARATOR)
-                    shingles, row_of = shingle_hashes(words, bounds, width)
-                    # Rows that share a full shingle, or that may hold an item shorter than one.
-                    share = np.zeros(last - first, bool)
-                    share[row_of[bench.contains(shingles)]] = True
-                    if shortest < width:
-                        share |= np.diff(bounds) >= shortest
-                    for r in np.flatnonzero(share):
-                        for item, m in sorted(bench.match_row(words[bounds[r] : bounds[r + 1]]).items()):
-                            out.append((docs_[first + r], hashes_[first + r], bench.ids[item], *m))
-                cols = list(zip(*out, strict=True)) or [[]] * 7
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
-
-        leaks = rows.mapInArrow(run, SCHEMA)
-        found = leaks if found is None else found.unionByName(leaks)
-    return found
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    found = _with_leaks(docs.select("doc_id", "text"), benchmark, similarity, radius, width)
+    return found.select("doc_id", F.explode("__llm_leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = MIN_SIMILARITY, radius: int = RADIUS, width: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs`` without a benchmark item in them, all columns unchanged."""
-    leaks = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__llm_id"), F.col("row_hash").alias("__llm_rh")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("__llm_id")) & F.xxhash64("text").eqNullSafe(F.col("__llm_rh"))
-    return docs.join(leaks, on, "left_anti")
+    found = _with_leaks(docs, benchmark, similarity, radius, width)
+    return found.filter(F.size("__llm_leaks") == 0).drop("__llm_leaks")
