@@ -11,9 +11,12 @@ begin alike share the nodes of their common part, a probe walks the tree
 once for all of them, and a subtree is left as soon as its remaining lengths
 cannot reach the needed overlap. Documents with equal sets are one node from
 the start. First each prefix n-gram's documents are compared with one *leader*
-(linear in the group, which settles groups of copies); what still lies in
-different components afterwards is compared block by block. Only verified
-links between components leave a task, never all pairs of a group.
+(linear in the group, which settles groups of copies). What still lies in
+different components afterwards is looked through block by block on sketches,
+counts of members per hash range, whose sums of minima bound every
+overlap from above; only pairs of different components that may still link
+are fetched and verified, until none is left. Never do all pairs of a group
+leave a task.
 """
 
 from __future__ import annotations
@@ -222,9 +225,110 @@ def _linked(width: int, percent: int, shared):
     return run
 
 
-def _verify(groups: DataFrame, texts: DataFrame, run) -> DataFrame:
-    """Fetch the texts of ``groups(g1, g2, g3, probe, doc_id, root)`` and look for links group by group."""
-    rows = groups.join(texts, "doc_id").select("g1", "g2", "g3", "probe", "doc_id", "root", "text")
+def sketch(values: np.ndarray) -> np.ndarray:
+    """How many members of a sorted 63-bit set fall into each of ``2**k`` hash ranges (about four a range)."""
+    k = max(3, int(np.ceil(np.log2(max(len(values), 1) / 4))))
+    counts = np.bincount((values >> np.uint64(63 - k)).astype(np.int64), minlength=1 << k)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Upper bound of the intersection of two sets from their sketches (255 counts as unbounded)."""
+    a, b = (x.astype(np.int32) for x in (a, b))
+    while len(a) > len(b):
+        a = a.reshape(-1, 2).sum(axis=1) + 1_000_000 * (a.reshape(-1, 2) >= 255).any(axis=1)
+    while len(b) > len(a):
+        b = b.reshape(-1, 2).sum(axis=1) + 1_000_000 * (b.reshape(-1, 2) >= 255).any(axis=1)
+    return int(np.minimum(np.where(a == 255, 1 << 30, a), np.where(b == 255, 1 << 30, b)).astype(np.int64).sum())
+
+
+def _may_link(n: int, a: np.ndarray, m: int, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    return overlap_bound(a, b) >= needed_overlap(n, m, percent)
+
+
+def _sketch_rows(width: int):
+    """Task: ``(doc_id, n, sketch)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, out = [], []
+            for _, _, data, offsets in text_blocks(batch):
+                for s in _sets(data, offsets, width):
+                    n.append(len(s))
+                    out.append(sketch(s).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(out, pa.binary())], ["doc_id", "n", "sketch"])
+
+    return run
+
+
+def _pair_filter(percent: int):
+    """Column function: whether two sets may link, by sizes and sketches."""
+
+    @F.arrow_udf("boolean")
+    def may(n: pa.Array, a: pa.Array, m: pa.Array, b: pa.Array) -> pa.Array:
+        sides = [[np.frombuffer(x, np.uint8) for x in col.to_pylist()] for col in (a, b)]
+        return pa.array([_may_link(i, x, j, y, percent) for i, x, j, y in zip(n.to_pylist(), sides[0], m.to_pylist(), sides[1], strict=True)], pa.bool_())
+
+    return may
+
+
+def _candidates(percent: int, per_component: int | None):
+    """Task over rows sorted by group, ``(g1, g2, g3, probe, doc_id, root, n, sketch)``: pairs that may link.
+
+    Only pairs of different components; with ``per_component``, each document
+    names its closest ones in every other component up to that number.
+    """
+
+    def solve(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
+        rows.sort(key=lambda r: (r[3], r[1]))
+        for i, (kind, doc, root, n, own) in enumerate(rows):
+            near: dict[int, list] = {}
+            for kind2, doc2, root2, m, other in rows[i + 1 :]:
+                if percent * m > 100 * n:
+                    break
+                if root2 == root or (kind == kind2 and kind != 2):
+                    continue
+                if (bound := overlap_bound(own, other)) >= needed_overlap(n, m, percent):
+                    near.setdefault(root2, []).append((-bound, doc2))
+            for root2, found in near.items():
+                for _, doc2 in sorted(found)[:per_component]:
+                    yield doc, root, doc2, root2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, pairs = None, [], []
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*pairs, strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["g1", "lead_root", "doc_id", "root"])
+
+        for batch in batches:
+            for *g, kind, doc, root, n, data in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if g != group:
+                    pairs.extend(solve(rows))
+                    group, rows = g, []
+                rows.append((kind, doc, root, n, np.frombuffer(data, np.uint8)))
+            if pairs:
+                yield out()
+                pairs = []
+        pairs.extend(solve(rows))
+        yield out()
+
+    return run
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, run) -> DataFrame:
+    """Links among ``pairs(g1, lead_root, doc_id, root)``: each ``g1`` is looked up in the trees of its partners.
+
+    Partners of one document are dealt into chunks of ``BLOCK_SETS``.
+    """
+    sizes = pairs.groupBy("g1").agg(F.count(F.lit(1)).alias("m"))
+    chunk = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_SETS)))
+    members = pairs.join(sizes, "g1").withColumn("g2", chunk).withColumn("g3", F.lit(0))
+    groups = members.select("g1", "g2", "g3", F.lit(0).alias("probe"), "doc_id", "root")
+    leaders = members.select("g1", "g2", "g3", F.lit(1).alias("probe"), F.col("g1").alias("doc_id"), F.col("lead_root").alias("root")).distinct()
+    rows = groups.unionByName(leaders).join(texts, "doc_id").select("g1", "g2", "g3", "probe", "doc_id", "root", "text")
     rows = rows.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "probe", "doc_id")
     return rows.mapInArrow(run, "a long, b long")
 
@@ -266,28 +370,43 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
     few = wanted.count() <= MAX_BROADCAST_IDS
     texts = written(rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), "ngram-texts")
 
+    sketches = written(texts.mapInArrow(_sketch_rows(width), "doc_id long, n int, sketch binary").dropDuplicates(["doc_id"]), "ngram-sketches")
+
     links = written(same.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "ngram-links")
-    roots = None
-    run = _linked(width, percent, shared)
-    for turn in range(LEADER_ROUNDS + 1):
-        t = tokens.withColumn("root", F.col("doc_id")) if roots is None else tokens.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    roots, tested = None, None
+    run, may = _linked(width, percent, shared), _pair_filter(percent)
+    steps: list[int | str | None] = [*(f"leader {k}" for k in range(LEADER_ROUNDS)), 1, None]
+    turn = 0
+    while True:
+        step = steps[min(turn, len(steps) - 1)]
+        rooted = roots if roots is None else roots.select(F.col("node").alias("doc_id"), "root")
+        t = tokens.withColumn("root", F.col("doc_id")) if rooted is None else tokens.join(rooted, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         t = t.withColumn("lo", F.min("root").over(window)).withColumn("hi", F.max("root").over(window)).filter("lo <> hi").drop("lo", "hi")
-        if turn < LEADER_ROUNDS:
+        if isinstance(step, str):
             order = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
             lead = F.first(F.struct("doc_id", "n", "root")).over(window.orderBy(order))
             pairs = t.withColumn("lead", lead).filter("root <> lead.root and 100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % percent)
-            pairs = written(pairs.select(F.col("lead.doc_id").alias("g1"), F.col("lead.root").alias("lead_root"), "doc_id", "root").distinct(), "ngram-pairs")
-            chunk = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_SETS)))
-            sizes = pairs.groupBy("g1").agg(F.count(F.lit(1)).alias("m"))
-            members = pairs.join(sizes, "g1").withColumn("g2", chunk).withColumn("g3", F.lit(0))
-            groups = members.select("g1", "g2", "g3", F.lit(0).alias("probe"), "doc_id", "root")
-            leaders = members.select("g1", "g2", "g3", F.lit(1).alias("probe"), F.col("g1").alias("doc_id"), F.col("lead_root").alias("root")).distinct()
-            groups = groups.unionByName(leaders)
+            pairs = pairs.select(F.col("lead.doc_id").alias("g1"), F.col("lead.root").alias("lead_root"), "doc_id", "root").distinct()
+            pairs = pairs.join(sketches, "doc_id").join(sketches.select(F.col("doc_id").alias("g1"), F.col("n").alias("n1"), F.col("sketch").alias("sketch1")), "g1")
+            pairs = pairs.filter(may("n", "sketch", "n1", "sketch1")).select("g1", "lead_root", "doc_id", "root")
+        else:
+            groups = _residual_groups(t).join(sketches, "doc_id").select("g1", "g2", "g3", "probe", "doc_id", "root", "n", "sketch")
+            groups = groups.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "doc_id")
+            pairs = groups.mapInArrow(_candidates(percent, step), "g1 long, lead_root long, doc_id long, root long").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["g1", "doc_id"], "left_anti")
+        pairs = written(pairs, f"ngram-pairs{turn}")
+        if pairs.isEmpty():
+            if step is None:
+                break
         else:
-            groups = _residual_groups(t)
-        found = written(_verify(groups, texts, run), f"ngram-found{turn}")
-        links = links.unionByName(found)
-        roots = connected_components(links, "ngram-roots")
+            links = links.unionByName(written(_verify(pairs, texts, run), f"ngram-found{turn}"))
+            both = pairs.select("g1", "doc_id").unionByName(pairs.select(F.col("doc_id").alias("g1"), F.col("g1").alias("doc_id")))
+            tested = both if tested is None else tested.unionByName(both)
+            roots = None
+        if roots is None:
+            roots = connected_components(links, "ngram-roots")
+        turn += 1
     out = sets.join(roots, sets["doc_id"] == roots["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
