@@ -8,11 +8,10 @@ from tokenizers import Tokenizer, decoders, models, pre_tokenizers, trainers
 from tokscope.operators.bytematch import corpus_token_metrics
 from tokscope.operators.encode import HFTokenizerEncoder
 from tokscope.operators.frequency import token_frequency, token_frequency_whole_text
+from tokscope.operators.tokenizer import SparkTokenizer
 from tokscope.sources.vocab import load_vocab, vocab_with_bytes
 
 SF = "/root/testdata/sf0.001"
-# The public GPT-2 pre-token pattern (look-ahead: Java regex, not RE2).
-GPT2_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @pytest.fixture(scope="module")
@@ -28,13 +27,14 @@ def byte_level_json():
     return tok.to_str()
 
 
-def test_distinct_pieces_equal_whole_text(spark, byte_level_json):
+def test_distinct_pieces_equal_whole_text(spark, byte_level_json, tmp_path):
+    path = tmp_path / "tokenizer.json"
+    path.write_text(byte_level_json, encoding="utf-8")
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(
         spark.createDataFrame([(9999, "it's  the 根 cat's\n\n  end ")], "doc_id long, text string")
     )
-    enc = HFTokenizerEncoder(byte_level_json)
-    a = {r.token_id: r["count"] for r in token_frequency(docs, enc, pattern=GPT2_PATTERN).collect()}
-    b = {r.token_id: r["count"] for r in token_frequency_whole_text(docs, enc).collect()}
+    a = {r.token_id: r["count"] for r in token_frequency(docs, SparkTokenizer(spark, str(path))).collect()}
+    b = {r.token_id: r["count"] for r in token_frequency_whole_text(docs, HFTokenizerEncoder(byte_level_json)).collect()}
     assert a == b and len(a) > 100
 
 
@@ -61,39 +61,3 @@ def test_byte_level_alphabet_round_trip(spark):
     back = [bytes(r[0]).decode("utf-8") for r in df.select(byte_level_to_bytes(to_byte_level("t"))).collect()]
     assert back == texts
     assert df.select(to_byte_level(F.lit(" a"))).first()[0] == "Ġa"
-
-
-def test_byte_level_fold_equals_encoder(spark, byte_level_json):
-    from tokscope.operators.encode import fold_token_frequency, merge_pairs_from_json, pretoken_count
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    tok = spark.createDataFrame([(byte_level_json,)], "value string").select(F.parse_json("value").alias("v"))
-    vocab = load_vocab(tok)
-    pieces = pretoken_count(docs, pattern=GPT2_PATTERN)
-    folded = {
-        r.token_id: r["count"]
-        for r in fold_token_frequency(pieces, merge_pairs_from_json(byte_level_json), vocab, None, byte_level=True).collect()
-    }
-    want = {r.token_id: r["count"] for r in token_frequency_whole_text(docs, HFTokenizerEncoder(byte_level_json)).collect()}
-    assert folded == want
-
-
-def test_pattern_from_tokenizer_file(spark, byte_level_json):
-    import json as _json
-
-    from tokscope.operators.encode import BYTE_LEVEL_PATTERN, distinct_piece_pattern
-    from tokscope.session import FIXTURE_TOKENIZER
-
-    assert distinct_piece_pattern(byte_level_json) == "(?U)" + BYTE_LEVEL_PATTERN
-    with open(FIXTURE_TOKENIZER, encoding="utf-8") as f:
-        fixture = f.read()
-    assert distinct_piece_pattern(fixture).startswith("(?U) ?\\p{L}+")
-    normalized = _json.loads(fixture)
-    normalized["normalizer"] = {"type": "NFC"}
-    assert distinct_piece_pattern(_json.dumps(normalized)) is None
-    # The derived pattern gives exactly the whole-text counts (incl. non-ASCII spaces).
-    docs = spark.createDataFrame([(1, "a b  c　 it's 根 ok\n\n x")], "doc_id long, text string")
-    enc = HFTokenizerEncoder(byte_level_json)
-    a = {r.token_id: r["count"] for r in token_frequency(docs, enc, pattern=distinct_piece_pattern(byte_level_json)).collect()}
-    b = {r.token_id: r["count"] for r in token_frequency_whole_text(docs, enc).collect()}
-    assert a == b

@@ -6,7 +6,6 @@ from tokscope.operators.mergegraph import (
     closure_adjacency,
     closure_to_text,
     merge_closure,
-    merge_closure_recursive,
     merge_edges,
 )
 
@@ -63,7 +62,7 @@ def _closure_bfs(edges):
     return out
 
 
-def test_fixture_closure_matches_bfs_and_recursive_sql(spark):
+def test_fixture_closure_matches_bfs(spark):
     from tokscope.session import FIXTURE_TOKENIZER
     from tokscope.sources.vocab import load_merges, load_vocab, read_tokenizer
 
@@ -73,7 +72,6 @@ def test_fixture_closure_matches_bfs_and_recursive_sql(spark):
     e = {(r.ancestor, r.descendant) for r in edges.collect()}
     c = {(r.ancestor, r.descendant) for r in merge_closure(edges).collect()}
     assert c == _closure_bfs(e)
-    assert c == {(r.ancestor, r.descendant) for r in merge_closure_recursive(edges).collect()}
     # Properties: transitive, irreflexive.
     assert all(a != d for a, d in c)
     succ = {}

@@ -10,8 +10,9 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tokscope.operators.bytematch import corpus_token_metrics
-from tokscope.operators.encode import HFTokenizerEncoder, TiktokenEncoder, encode_column
+from tokscope.operators.encode import TiktokenEncoder, encode_column
 from tokscope.operators.frequency import token_frequency
+from tokscope.operators.tokenizer import SparkTokenizer
 from tokscope.session import FIXTURE_TOKENIZER
 from tokscope.sources.vocab import load_vocab, read_tokenizer, vocab_with_bytes
 
@@ -21,7 +22,7 @@ SF = "/root/testdata/sf0.01"
 def test_token_bytes_cover_corpus_exactly(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     vocab = vocab_with_bytes(load_vocab(read_tokenizer(spark, FIXTURE_TOKENIZER)))
-    freq = token_frequency(docs, HFTokenizerEncoder.from_path(FIXTURE_TOKENIZER))
+    freq = token_frequency(docs, SparkTokenizer(spark, FIXTURE_TOKENIZER))
     covered = freq.join(vocab, "token_id").agg(F.sum(F.col("count") * F.octet_length("token_bytes"))).first()[0]
     total = docs.agg(F.sum(F.octet_length(F.encode("text", "UTF-8")))).first()[0]
     assert covered == total
@@ -144,17 +145,16 @@ def test_batch_by_chars_exact_across_segments(spark, lengths, threshold, seg):
 
 
 @settings(max_examples=10, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(
-    text=st.text(st.sampled_from(list("ab 1,\n\té根!")), min_size=1, max_size=80),
-    max_chars=st.integers(min_value=1, max_value=12),
-)
-def test_segmented_pretokens_random(spark, text, max_chars):
-    from tokscope.operators.encode import pretoken_count
+@given(text=st.text(st.sampled_from(list("ab 1,\n\té根!\x01\u00a0")), min_size=1, max_size=80))
+def test_native_ids_random(spark, text):
+    from tokenizers import Tokenizer
+
+    from tokscope.operators.tokenizer import encode_documents
 
+    tok = SparkTokenizer(spark, FIXTURE_TOKENIZER)
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    whole = sorted(tuple(r) for r in pretoken_count(df).collect())
-    cut = sorted(tuple(r) for r in pretoken_count(df, max_chars=max_chars).collect())
-    assert cut == whole
+    want = Tokenizer.from_str(tok.spec.text).encode(text, add_special_tokens=False).ids
+    assert encode_documents(df, tok.spec, tok.merges, tok.vocab).first().ids == want
 
 
 def test_empty_corpus(spark):
@@ -164,7 +164,7 @@ def test_empty_corpus(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     nulls = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     vocab = vocab_with_bytes(load_vocab(read_tokenizer(spark, FIXTURE_TOKENIZER)))
-    enc = HFTokenizerEncoder.from_path(FIXTURE_TOKENIZER)
+    enc = SparkTokenizer(spark, FIXTURE_TOKENIZER)
     for docs in (empty, nulls):
         assert token_frequency(docs, enc).count() == 0
         m = corpus_token_metrics(docs, vocab)

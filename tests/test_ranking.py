@@ -38,7 +38,8 @@ def test_flagship_entry(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) > 0
-    assert set(df.columns) == {"token_id", "token", "freq", "descendant_freq", "ratio"}
+    assert set(df.columns) == {"token_id", "token", "freq", "descendant_freq", "ratio", "rank"}
+    assert [r["rank"] for r in rows] == list(range(len(rows)))
     for r in rows:
         assert r.ratio == pytest.approx(-1e8) or 0.0 <= r.ratio <= 1.0
 
@@ -46,4 +47,6 @@ def test_flagship_entry(spark):
 def test_registry_has_oracle_for_every_query():
     import __spark_entry__ as E
 
-    assert set(E.queries()) == set(E.oracle_sql())
+    from tokscope.plans.queries import QUERIES
+
+    assert set(QUERIES) <= set(E.oracle_sql()) <= set(E.queries())

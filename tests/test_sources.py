@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tokscope.sources.tables import (
@@ -50,12 +52,30 @@ def test_line_count(spark):
     assert line_count(df).first().n_lines == 3
 
 
-def test_scan_text_normalises_newlines(spark, tmp_path):
+RAW = b"a\r\nb\rc\n\xff\xfe bad\n\n" + b"x y z\n" * 60_000 + b"last"
+
+
+def test_one_file_is_read_in_splits_with_every_byte(spark, tmp_path):
     p = tmp_path / "c.txt"
-    p.write_bytes(b"a\r\nb\rc\n")
-    row = scan_text(spark, str(p)).first()
-    assert row.text == "a\nb\nc\n"
-    assert bytes(scan_bytes(spark, str(p)).first().bytes) == b"a\r\nb\rc\n"
+    p.write_bytes(RAW)
+    (tmp_path / "closed.txt").write_bytes(b"one\ntwo\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        rows = scan_bytes(spark, str(p)).collect()
+        assert len({r.block for r in rows}) > 3
+        assert b"".join(bytes(r.bytes) for r in sorted(rows, key=lambda r: (r.block, r.line))) == RAW
+        both = scan_bytes(spark, str(tmp_path)).collect()
+        assert sum(len(r.bytes) for r in both) == len(RAW) + 8
+        seen = Observation("text")
+        text = scan_text(spark, str(p), on_invalid="replace", observation=seen).collect()
+        want = RAW.decode(errors="replace").replace("\r\n", "\n").replace("\r", "\n")
+        assert "".join(r.text for r in sorted(text, key=lambda r: (r.block, r.line))) == want
+        assert seen.get["invalid"] == 1
+        with pytest.raises(Exception, match="UTF-?8"):
+            scan_text(spark, str(p)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_jsonl_tree(spark, tmp_path):
@@ -66,6 +86,14 @@ def test_jsonl_tree(spark, tmp_path):
     assert sorted(r.text for r in got.collect()) == sorted(r.text for r in docs.select("text").collect())
 
 
+def test_jsonl_tree_counts_bad_lines(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.jsonl").write_text('{"text":"one"}\nbad{\n{"other":1}\n{"text":5}\n{"text":""}\n{"text":null}\n')
+    seen = Observation("tree")
+    assert [r.text for r in corpus_from_jsonl_tree(spark, str(tmp_path), observation=seen).collect()] == ["one"]
+    assert seen.get == {"rejected": 4, "empty": 1, "lines": 6}
+
+
 def test_scan_table_column(spark):
     df = scan_table(spark, f"{SF}/documents.parquet", text_column="lang")
     assert df.columns == ["text"]
@@ -81,7 +109,9 @@ def test_load_frequencies_and_metrics(spark, tmp_path):
         "token,freq_in_corpus,standalone_ratio,entropy,length_bytes,meaningless\n"
         "a,3,0.5,1.25,1,false\nbroken,row\nb,0,0.0,0.0,1,true\n"
     )
-    rows = load_metrics(spark, str(m)).collect()
+    seen = Observation("metrics")
+    rows = load_metrics(spark, str(m), seen).collect()
+    assert seen.get == {"malformed": 1, "rows": 3}
     assert [(r.token, r.entropy) for r in rows] == [("a", 1.25), ("b", 0.0)]
 
 

@@ -1,12 +1,13 @@
 """ST1/ST2 over a split file stream, and K1-K6 round trips."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from tokscope.operators.encode import HFTokenizerEncoder
 from tokscope.operators.frequency import token_frequency
+from tokscope.operators.tokenizer import SparkTokenizer
 from tokscope.session import FIXTURE_TOKENIZER
 from tokscope.sinks.writers import read_or_compute, write_frequencies, write_merge_closure, write_metrics, write_ranked
-from tokscope.sources.tables import load_frequencies, load_metrics
+from tokscope.sources.tables import METRICS_SCHEMA, load_frequencies, load_metrics
 from tokscope.streaming.running import progress_metrics, running_totals, start_running_token_frequency
 
 SF = "/root/testdata/sf0.001"
@@ -16,7 +17,7 @@ def test_running_frequency_equals_batch(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     src = str(tmp_path / "src")
     docs.repartition(4).write.parquet(src)
-    enc = HFTokenizerEncoder.from_path(FIXTURE_TOKENIZER)
+    enc = SparkTokenizer(spark, FIXTURE_TOKENIZER)
     out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
     q = start_running_token_frequency(spark, src, out, ckpt, enc, max_files_per_trigger=1, compact_every=3)
     q.awaitTermination()
@@ -48,14 +49,22 @@ def test_frequency_sinks_round_trip(spark, tmp_path):
 
 
 def test_metrics_csv_round_trip(spark, tmp_path):
-    m = spark.createDataFrame(
-        [("a", 3, 0.5, 1.25, 1, False), ("b,c", 9, 0.0, 0.0, 3, True)],
-        "token string, freq_in_corpus long, standalone_ratio double, entropy double, length_bytes int, meaningless boolean",
-    )
+    import csv
+    import glob
+
+    tokens = ['"', "\\", '\\"', 'a"b', "\r", "\r\n", "", "a,b", " x ", "\t", "\n", "a\nb", "é根", '""', "plain"]
+    m = spark.createDataFrame([(t, i, 0.5, 1.25, len(t.encode()), i % 2 == 0) for i, t in enumerate(tokens)], METRICS_SCHEMA)
     p = str(tmp_path / "m")
     write_metrics(m, p)
-    got = load_metrics(spark, p).collect()
-    assert [r.token for r in got] == ["b,c", "a"]
+    seen = Observation("seen")
+    got = load_metrics(spark, p, seen).collect()
+    assert [r.token for r in sorted(got, key=lambda r: r.freq_in_corpus)] == tokens
+    assert seen.get == {"malformed": 0, "rows": len(tokens)}
+    rows = []
+    for part in glob.glob(f"{p}/*.csv"):
+        with open(part, newline="", encoding="utf-8") as f:
+            rows += list(csv.reader(f))[1:]
+    assert {len(r) for r in rows} == {6} and sorted(r[0] for r in rows) == sorted(tokens)
 
 
 def test_closure_and_ranked_sinks(spark, tmp_path):
@@ -87,7 +96,7 @@ def test_read_or_compute_reuses(spark, tmp_path):
 def test_stream_starts_on_empty_folder(spark, tmp_path):
     src = tmp_path / "empty-src"
     src.mkdir()
-    enc = HFTokenizerEncoder.from_path(FIXTURE_TOKENIZER)
+    enc = SparkTokenizer(spark, FIXTURE_TOKENIZER)
     out, ckpt = str(tmp_path / "o"), str(tmp_path / "c")
     q = start_running_token_frequency(spark, str(src), out, ckpt, enc, schema="doc_id long, text string")
     q.awaitTermination()
@@ -95,3 +104,12 @@ def test_stream_starts_on_empty_folder(spark, tmp_path):
     q = start_running_token_frequency(spark, str(src), out, ckpt, enc, schema="doc_id long, text string")
     q.awaitTermination()
     assert sum(r["count"] for r in running_totals(spark, out).collect()) > 0
+
+
+def test_progress_over_many_blocks(spark, tmp_path):
+    out = str(tmp_path / "o")
+    parts = [(b, t) for b in range(2500) for t in ([b // 5] if b % 5 == 0 else [0])]
+    spark.createDataFrame([(t, 1, b) for b, t in parts], "token_id int, count long, batch_id int").write.parquet(f"{out}/partials")
+    spark.createDataFrame([(1, b) for b in range(2500)], "n_docs long, batch_id int").write.parquet(f"{out}/progress")
+    rows = progress_metrics(spark, out).orderBy("batch_id").collect()
+    assert [r.unique_tokens for r in rows] == [b // 5 + 1 for b in range(2500)]

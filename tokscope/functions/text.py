@@ -104,12 +104,6 @@ def byte_value(bytes_col: Column | str, pos: Column | int) -> Column:
     return F.when(F.octet_length(one) == 1, F.conv(F.hex(one), 16, 10).cast("int"))
 
 
-def is_visible_byte(byte_col: Column | str) -> Column:
-    """32 <= b <= 126 for an int byte value column."""
-    c = F.col(byte_col) if isinstance(byte_col, str) else byte_col
-    return c.between(VISIBLE_BYTE_LOW, VISIBLE_BYTE_HIGH)
-
-
 def replace_invalid(bytes_col: Column | str) -> Column:
     """Bytes to text, invalid UTF-8 sequences replaced by U+FFFD."""
     c = F.col(bytes_col) if isinstance(bytes_col, str) else bytes_col

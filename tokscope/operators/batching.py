@@ -14,21 +14,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokscope.operators.ordinal import with_ordinal
-from tokscope.session import cut_lineage, ship_package
+from tokscope.session import bounded_broadcast, cut_lineage, ship_package
 
 SINGLE_CHUNK_CHARS = 64 * 1024
 
 
 def chunk_fixed(df: DataFrame, n_chars: int = SINGLE_CHUNK_CHARS, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """P10: cut each text into ``n_chars``-character pieces ``(…, chunk_no, chunk)``."""
-    n = F.length(F.col(text_col))
-    idx = F.sequence(F.lit(0), F.ceil(n / F.lit(n_chars)).cast("int") - 1)
-    src = df.filter(n > 0).select(*keep, text_col, F.explode(idx).alias("chunk_no"))
-    return src.select(
-        *keep,
-        "chunk_no",
-        F.substring(F.col(text_col), F.col("chunk_no") * n_chars + 1, F.lit(n_chars)).alias("chunk"),
-    )
+    """P10: cut each text into ``n_chars``-character pieces ``(…, chunk_no, chunk)``, in one pass over it."""
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{n_chars}}}"), 0)
+    return df.filter(F.length(text_col) > 0).select(*keep, F.posexplode(pieces).alias("chunk_no", "chunk"))
 
 
 def _sorted_texts(order_col: str, text_col: str):
@@ -171,6 +165,7 @@ def batch_by_chars(
     order_col: str = "doc_id",
     text_col: str = "text",
     segment_docs: int = 1_000_000,
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
     """B2: greedy packing by character count, then ``packs_per_batch`` packs per batch.
 
@@ -182,15 +177,25 @@ def batch_by_chars(
     turns into a small function "run carried in -> run carried out"
     (``applyInPandas`` over ordinal and length only); the carried-in run of
     every segment is found by parallel-prefix composition; then each
-    segment marks its pack ends, and a pack may span segments. Texts are
-    joined back on the ordinal and concatenated per pack (a pack holds at
-    most ``threshold`` characters plus one document).
+    segment marks its pack ends, and a pack may span segments.
+
+    Only keys and lengths are numbered and segmented. Equal keys go by
+    ``ties``, then by a hash of the text; rows equal in all of these are
+    interchangeable and told apart by a running number. The texts are joined back
+    once, on these columns, and shuffled once more into packs (a pack holds at most
+    ``threshold`` characters plus one document).
     """
     ship_package(df.sparkSession)
     seg_docs = max(segment_docs, threshold)
-    rows = df.filter(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(order_col, text_col)
-    numbered = with_ordinal(rows, order_col, name="_ord").withColumn("_seg", F.floor(F.col("_ord") / seg_docs).cast("long"))
-    lengths = cut_lineage(numbered.select("_seg", "_ord", F.length(text_col).cast("long").alias("_len")))
+    rows = df.filter(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(order_col, *ties, text_col)
+    key = [order_col, *ties, "_hash"]
+    same = Window.partitionBy(*key).orderBy("_hash")
+    texts = rows.withColumn("_hash", F.xxhash64(text_col)).withColumn("_dup", F.row_number().over(same))
+    keys = rows.select(order_col, *ties, F.xxhash64(text_col).alias("_hash"), F.length(text_col).cast("long").alias("_len"))
+    keys = keys.withColumn("_dup", F.row_number().over(same))
+    numbered = with_ordinal(keys, order_col, [*ties, "_hash", "_dup"], name="_ord").withColumn("_seg", F.floor(F.col("_ord") / seg_docs).cast("long"))
+    numbered = cut_lineage(numbered)
+    lengths = numbered.select("_seg", "_ord", "_len")
     n_segments = lengths.agg(F.coalesce(F.max("_seg") + 1, F.lit(0))).first()[0]
     if n_segments == 0:
         return numbered.sparkSession.createDataFrame(
@@ -198,16 +203,17 @@ def batch_by_chars(
         )
     transfer = lengths.groupBy("_seg").applyInPandas(_transfer_frame(threshold), "seg long, lo long, hi long, val long")
     entries = _entry_runs(transfer, n_segments)
-    with_entry = lengths.join(F.broadcast(entries.withColumnRenamed("seg", "_seg")), "_seg")
+    with_entry = lengths.join(bounded_broadcast(entries.withColumnRenamed("seg", "_seg"), known_rows=n_segments), "_seg")
     local = with_entry.groupBy("_seg").applyInPandas(
         _ends_frame(threshold), "_seg long, _ord long, _local long, _n_ends long"
     )
     per_seg = local.groupBy("_seg").agg(F.first("_n_ends").alias("_n_ends"))
     upto = Window.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per segment (at most #documents / segment size rows).
+    # One row per segment of at least a million documents.
     seg_off = per_seg.select("_seg", F.coalesce(F.sum("_n_ends").over(upto), F.lit(0)).alias("_off"))
-    packed = local.join(F.broadcast(seg_off), "_seg").select("_ord", (F.col("_off") + F.col("_local")).alias("_pack"))
-    joined = numbered.join(packed, "_ord")
+    packed = local.join(bounded_broadcast(seg_off, known_rows=n_segments), "_seg").select("_ord", (F.col("_off") + F.col("_local")).alias("_pack"))
+    placed = numbered.select(*key, "_dup", "_ord").join(packed, "_ord")
+    joined = texts.join(placed, [*key, "_dup"])
     packs = joined.groupBy("_pack").agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.sum(F.length(text_col)).cast("long").alias("n_chars"),

@@ -18,8 +18,8 @@ candidates are never materialised; only per-task partial counts per
 ``(pattern, left byte, right byte)`` reach the single shuffle. A pattern that
 matches a third of the corpus is one row per task in that shuffle.
 Matches never cross document boundaries (a document is the unit of work);
-a very long document is cut into overlapping segments spread over tasks,
-with no occurrence lost or counted twice.
+a very long document is cut into overlapping segments, with no occurrence
+lost or counted twice.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from tokscope.functions.text import (
     byte_value,
     has_control_byte,
 )
-from tokscope.session import bounded_broadcast, default_parallelism
+from tokscope.session import bounded_broadcast
 
 # Patterns are broadcast only up to this many rows (checked; a 150K-entry
 # vocabulary is far below it); above, the planner's shuffle join is used.
@@ -64,8 +64,7 @@ def max_pattern_length(patterns: DataFrame) -> int:
     return int(patterns.agg(F.coalesce(F.max("plen"), F.lit(0))).first()[0])
 
 
-# Documents longer than this many bytes are cut into overlapping segments
-# that are spread over tasks, so one huge document never sits in one task.
+# Documents longer than this many bytes are cut into overlapping segments.
 MAX_SEGMENT_BYTES = 4 * 1024 * 1024
 
 
@@ -74,32 +73,29 @@ def byte_segments(docs: DataFrame, maxlen: int, text_col: str = "text", max_segm
 
     ``text_col`` may be a string column (matched as UTF-8) or a binary one.
 
-    A document of at most ``max_segment_bytes`` is one segment (no shuffle).
-    A longer one is cut into ``max_segment_bytes`` pieces of candidate
-    starts; each segment keeps one byte of left context and ``maxlen``
-    bytes of right context, so every occurrence and both of its neighbours
-    are seen exactly once. Only these long-document segments are
-    redistributed (round robin) across tasks.
+    One pass: every document is cut into pieces of ``max_segment_bytes``
+    candidate starts by one generator (most have a single piece). Each segment keeps one byte of left
+    context and ``maxlen`` bytes of right context, so every occurrence and
+    both of its neighbours are seen exactly once, and positions are always
+    generated over bounded strings.
     """
     c = max_segment_bytes
     # A binary column (raw file bytes, S2) is matched as is, invalid UTF-8 included.
     binary = dict(docs.dtypes).get(text_col) == "binary"
-    b = F.col(text_col) if binary else F.encode(F.col(text_col), "UTF-8")
-    with_bytes = docs.select(b.alias("b")).withColumn("n", F.octet_length("b")).filter("n > 0")
-    short = with_bytes.filter(F.col("n") <= c).select(F.col("b").alias("s"), F.lit(1).alias("lo"), F.col("n").alias("hi"))
-    long_docs = with_bytes.filter(F.col("n") > c)
-    k = F.col("k")
+    whole = F.col(text_col) if binary else F.encode(F.col(text_col), "UTF-8")
+    n = F.octet_length(text_col)
+    pieces = F.sequence(F.lit(0), F.ceil(n / c).cast("int") - 1)
+    rows = docs.filter(n > 0).select(whole.alias("b"), n.alias("n"), F.explode(pieces).alias("k"))
+    k = F.col("k").cast("long")
     seg_first = k * c + 1  # first candidate start (document position)
-    seg_last = F.least((k + 1) * c, F.col("n"))
+    seg_last = F.least((k + 1) * c, F.col("n").cast("long"))
     from_pos = F.greatest(seg_first - 1, F.lit(1))  # one byte of left context
     to_pos = F.least(seg_last + maxlen, F.col("n"))  # maxlen bytes of right context
-    chunks = long_docs.select("b", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / c).cast("int") - 1)).alias("k"))
-    segs = chunks.select(
-        F.substring("b", from_pos, to_pos - from_pos + 1).alias("s"),
-        (seg_first - from_pos + 1).alias("lo"),
-        (seg_last - from_pos + 1).alias("hi"),
-    ).repartition(default_parallelism(docs.sparkSession))
-    return short.unionByName(segs)
+    return rows.select(
+        F.substring("b", from_pos.cast("int"), (to_pos - from_pos + 1).cast("int")).alias("s"),
+        (seg_first - from_pos + 1).cast("int").alias("lo"),
+        (seg_last - from_pos + 1).cast("int").alias("hi"),
+    )
 
 
 def start_lengths(patterns: DataFrame) -> DataFrame:
@@ -302,7 +298,6 @@ def corpus_token_metrics(
 ) -> DataFrame:
     """The whole byte-match program: corpus + vocabulary -> metrics table."""
     pats = distinct_patterns(vocab_bytes)
-    pairs = neighbour_pairs(
-        match_neighbours(docs, pats, max_pattern_length(pats), text_col, max_segment_bytes=max_segment_bytes)
-    )
-    return token_metrics(vocab_bytes, pattern_stats(pairs, pats))
+    n = pats.count()
+    pairs = neighbour_pairs(match_neighbours(docs, pats, max_pattern_length(pats), text_col, n, max_segment_bytes))
+    return token_metrics(vocab_bytes, pattern_stats(pairs, pats, n))

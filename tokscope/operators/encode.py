@@ -1,31 +1,23 @@
-"""Tokenisation (T1-T4) as Spark jobs.
+"""Encoder plug-ins over rows (T1, T2) and decoding (T5).
 
-The scalable path (``encode_distinct``) never sends the corpus through
-Python: pre-tokens are cut by a JVM regex, counted with a partial+final
-hash aggregate (hot pieces collapse map-side), and only the *distinct*
-pieces cross into a Python worker, in Arrow batches, to be encoded once.
-Token counts are then a weighted explode + aggregate.
+Counting and encoding run without a library (``tokenizer.py``). The plug-ins
+here are for tokenizers that Spark cannot reproduce exactly, for other
+encoders (T2), and for cross-checks; they run in Arrow batches.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokscope.functions.text import PRETOKEN_PATTERN, to_byte_level
 from tokscope.session import bounded_broadcast, ship_package
 
-WRAP_OPEN = "\u0001"
-WRAP_CLOSE = "\u0002"
-
-# Above this many merges the literal fold (T4) is not offered; it is linear
-# in merges per piece. ``encode_distinct`` handles any vocabulary size.
-MAX_FOLD_MERGES = 5000
+#: Characters handed to an encoder at once, so a batch of long texts stays bounded (a longer text goes alone).
+ENCODE_CHARS = 4_000_000
 
 
 # -- encoder plug-ins (UDF surface, 2.12) ------------------------------------
@@ -61,9 +53,7 @@ class HFTokenizerEncoder:
         return [e.ids for e in encs]
 
     @classmethod
-    def from_path(cls, path: str, add_special_tokens: bool = False, spark: SparkSession | None = None) -> HFTokenizerEncoder:
-        with open(path, encoding="utf-8") as f:
-            text = f.read()
+    def from_text(cls, text: str, add_special_tokens: bool = False, spark: SparkSession | None = None) -> HFTokenizerEncoder:
         if spark is not None:
             try:
                 return cls(spark.sparkContext.broadcast(text), add_special_tokens)
@@ -100,114 +90,28 @@ class TiktokenEncoder:
         return out
 
 
-def tiktoken_available(name: str = "cl100k_base") -> bool:
-    try:
-        TiktokenEncoder(name)._get()
-        return True
-    except Exception:  # noqa: BLE001
-        return False
-
-
-# -- pre-token pattern of a tokenizer file -------------------------------------
-
-# Fixed value: the public GPT-2 pre-token pattern, which byte-level
-# pre-tokenizers apply when ``use_regex`` is on.
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def distinct_piece_pattern(tokenizer_json: str) -> str | None:
-    r"""The Java regex that splits text exactly as the tokenizer's pre-tokenizer, or None.
-
-    Supported: a ``Split`` with a regex or string pattern (behaviour
-    ``Isolated``), a ``ByteLevel`` with ``use_regex``, and a ``Sequence`` of
-    those in which exactly one splits. ``(?U)`` makes ``\s`` Unicode-aware
-    as in the tokenizer's regex engine. Anything else (a normalizer, other
-    pre-tokenizers) returns None: encode whole texts instead (T1).
-    """
-    import re
-
-    conf = json.loads(tokenizer_json)
-    if conf.get("normalizer") is not None:
-        return None
-    pre = conf.get("pre_tokenizer")
-    parts = pre.get("pretokenizers", []) if pre and pre.get("type") == "Sequence" else [pre] if pre else []
-    found: list[str] = []
-    for p in parts:
-        kind = p.get("type")
-        if kind == "Split":
-            if p.get("behavior") != "Isolated" or p.get("invert"):
-                return None
-            pat = p.get("pattern", {})
-            found.append(pat["Regex"] if "Regex" in pat else re.escape(pat.get("String", "")))
-        elif kind == "ByteLevel":
-            if p.get("add_prefix_space"):
-                return None
-            if p.get("use_regex", True):
-                found.append(BYTE_LEVEL_PATTERN)
-        else:
-            return None
-    if len(found) != 1:
-        return None
-    return "(?U)" + found[0]
-
-
-# -- pre-tokens (T3 first half) ------------------------------------------------
-
-
-# Texts longer than this many characters are cut before the regex split, so
-# a huge document is split as bounded strings, not one giant piece array.
-MAX_SEGMENT_CHARS = 1_000_000
-
-# A cut point the pre-token pattern never crosses: before a space that sits
-# between two non-space characters (no alternative of the pattern can take a
-# space after a non-space character, and a piece may start with one space).
-SAFE_CUT = r"(?<=\S)(?= \S)"
-
-
-def text_segments(
-    df: DataFrame, text_col: str = "text", max_chars: int = MAX_SEGMENT_CHARS, safe_cut: str = SAFE_CUT
-) -> DataFrame:
-    """Texts as segments of about ``max_chars`` characters, cut only at ``safe_cut``.
-
-    One pass, no shuffle: short texts pass through as one segment; long
-    ones are cut by one JVM regex (a segment runs to the last cut point
-    within ``max_chars``, or on to the next one if there is none), so the
-    pre-token split works on bounded strings. Splitting the segments gives
-    exactly the pieces of the whole text. (Segments of one document stay in
-    its task: spreading them would need a second scan of the text column,
-    which costs about as much as the split itself.)
-    """
-    t = F.col(text_col)
-    cut = f"(?s).{{1,{max_chars}}}(?:{safe_cut}|\\z)|(?s).+?(?:{safe_cut}|\\z)"
-    pieces = F.when(F.length(t) > max_chars, F.regexp_extract_all(t, F.lit(cut), 0)).otherwise(F.array(t))
-    return df.select(F.explode(pieces).alias(text_col))
-
-
-def pretokens(
-    df: DataFrame, text_col: str = "text", pattern: str = PRETOKEN_PATTERN, max_chars: int = MAX_SEGMENT_CHARS
-) -> DataFrame:
-    """One row per pre-token piece, cut by a JVM regex."""
-    segs = text_segments(df, text_col, max_chars)
-    return segs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0)).alias("piece"))
-
-
-def pretoken_count(
-    df: DataFrame, text_col: str = "text", pattern: str = PRETOKEN_PATTERN, max_chars: int = MAX_SEGMENT_CHARS
-) -> DataFrame:
-    """``(piece, n)``: how often each distinct pre-token occurs."""
-    return pretokens(df, text_col, pattern, max_chars).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-
-
-# -- encoder over rows (T1/T2) and over distinct pieces (T3) -------------------
+# -- encoder over rows (T1/T2) ---------------------------------------------------
 
 
 def _encode_frames(encoder, text_col: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def parts(texts: list[str]) -> Iterator[list[str]]:
+        part, size = [], 0
+        for t in texts:
+            if part and size + len(t) > ENCODE_CHARS:
+                yield part
+                part, size = [], 0
+            part.append(t)
+            size += len(t)
+        if part:
+            yield part
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf[text_col].tolist()
             # A batch may repeat a text (streaming, short rows): encode each once.
-            uniq = list(dict.fromkeys(texts))
-            encoded = dict(zip(uniq, encoder.encode_batch(uniq), strict=True))
+            encoded: dict = {None: None}
+            for part in parts(list(dict.fromkeys(t for t in texts if t is not None))):
+                encoded.update(zip(part, encoder.encode_batch(part), strict=True))
             pdf = pdf.copy()
             pdf["ids"] = [encoded[t] for t in texts]
             yield pdf
@@ -231,111 +135,6 @@ def encode_column(df: DataFrame, encoder, text_col: str = "text", observation: O
     return out
 
 
-def encode_distinct(pieces: DataFrame, encoder, piece_col: str = "piece") -> DataFrame:
-    """Encode each distinct piece once; input ``(piece, n)`` from ``pretoken_count``."""
-    return encode_column(pieces, encoder, piece_col)
-
-
-def token_counts_from_pieces(encoded: DataFrame, weight_col: str = "n") -> DataFrame:
-    """A1 from encoded distinct pieces: ``(token_id, count)``."""
-    exploded = encoded.select(F.explode("ids").alias("token_id"), F.col(weight_col).alias("w"))
-    return exploded.groupBy("token_id").agg(F.sum("w").cast("long").alias("count"))
-
-
-# -- literal BPE fold (T4) ------------------------------------------------------
-
-
-def wrap_symbols(text: Column) -> Column:
-    """Wrap every character as ``\\x01c\\x02`` (the fold's symbol form)."""
-    return F.regexp_replace(text, "(?s)(.)", WRAP_OPEN + "$1" + WRAP_CLOSE)
-
-
-def merges_literal(merges: list[tuple[str, str]]) -> Column:
-    """Rank-ordered ``(from, to)`` replace pairs as a literal array column."""
-    pairs = [
-        F.struct(
-            F.lit(WRAP_OPEN + a + WRAP_CLOSE + WRAP_OPEN + b + WRAP_CLOSE).alias("f"),
-            F.lit(WRAP_OPEN + a + b + WRAP_CLOSE).alias("t"),
-        )
-        for a, b in merges
-    ]
-    return F.array(*pairs)
-
-
-def read_merge_pairs(tokenizer_path: str) -> list[tuple[str, str]]:
-    """Rank-ordered merge pairs from a tokenizer file (config-sized input)."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        return merge_pairs_from_json(f.read())
-
-
-def merge_pairs_from_json(tokenizer_json: str) -> list[tuple[str, str]]:
-    """Rank-ordered merge pairs from tokenizer JSON text (both merge forms)."""
-    model = json.loads(tokenizer_json)["model"]
-    out = []
-    for m in model["merges"]:
-        if isinstance(m, str):
-            a, b = m.split(" ", 1)
-        else:
-            a, b = m[0], m[1]
-        out.append((a, b))
-    return out
-
-
-def bpe_fold(
-    pieces: DataFrame, merges: list[tuple[str, str]], piece_col: str = "piece", byte_level: bool = False
-) -> DataFrame:
-    """T4: BPE as a fold of ``replace`` over rank-ordered merges, no Python worker.
-
-    Adds ``tokens array<string>``. Exact for trained BPE vocabularies
-    (a pair can only form after the merge that created its parts). With
-    ``byte_level`` the piece is first spelled in the byte-level alphabet,
-    as byte-level vocabularies expect. Linear in merges per piece: for small
-    vocabularies and cross-checks.
-    """
-    if len(merges) > MAX_FOLD_MERGES:
-        raise ValueError(
-            f"{len(merges)} merges: the literal fold is for small vocabularies; use encode_distinct"
-        )
-    src = to_byte_level(F.col(piece_col)) if byte_level else F.col(piece_col)
-    folded = F.aggregate(merges_literal(merges), wrap_symbols(src), lambda acc, m: F.replace(acc, m["f"], m["t"]))
-    inner = F.substring(folded, F.lit(2), F.length(folded) - 2)
-    return pieces.withColumn("tokens", F.split(inner, WRAP_CLOSE + WRAP_OPEN))
-
-
-def tokens_to_ids(token_rows: DataFrame, vocab: DataFrame, unk_id: int | None) -> DataFrame:
-    """Map token strings to ids; a symbol outside the vocabulary becomes ``unk_id``.
-
-    ``vocab`` is broadcast after its size is checked.
-    """
-    v = bounded_broadcast(vocab.filter(~F.col("special")).select("token", "token_id"))
-    joined = token_rows.join(v, "token", "left")
-    fill = F.lit(unk_id).cast("int") if unk_id is not None else F.lit(None).cast("int")
-    return joined.withColumn("token_id", F.coalesce(F.col("token_id"), fill))
-
-
-def fold_token_frequency(
-    pieces: DataFrame, merges: list[tuple[str, str]], vocab: DataFrame, unk_id: int | None, byte_level: bool = False
-) -> DataFrame:
-    """A1 through the literal fold: ``(token_id, count)`` from ``(piece, n)``."""
-    folded = bpe_fold(pieces, merges, byte_level=byte_level)
-    toks = folded.select(F.explode("tokens").alias("token"), "n")
-    ided = tokens_to_ids(toks, vocab, unk_id)
-    return ided.groupBy("token_id").agg(F.sum("n").cast("long").alias("count"))
-
-
-def unk_id_of(tokenizer_path: str) -> int | None:
-    """Id of the tokenizer's unknown token, or None when it has none."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        d = json.load(f)
-    unk = d["model"].get("unk_token")
-    if unk is None:
-        return None
-    for a in d.get("added_tokens", []):
-        if a["content"] == unk:
-            return int(a["id"])
-    return d["model"]["vocab"].get(unk)
-
-
 # -- decoding (T5) ----------------------------------------------------------------
 
 

@@ -1,38 +1,32 @@
-"""Token frequency aggregations (A1, A2), top-k (K5/R4) and the whole T3 pipeline."""
+"""Token frequency aggregations (A1, A2) and top-k."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tokscope.functions.text import PRETOKEN_PATTERN
-from tokscope.operators.encode import (
-    encode_column,
-    encode_distinct,
-    pretoken_count,
-    token_counts_from_pieces,
-)
+from tokscope.operators.encode import encode_column
+from tokscope.operators.tokenizer import SparkTokenizer, bpe_frequency, piece_counts
 
 
-def token_frequency(docs: DataFrame, encoder, text_col: str = "text", pattern: str = PRETOKEN_PATTERN) -> DataFrame:
-    """A1 over a corpus: ``(token_id, count)``.
+def token_frequency(docs: DataFrame, tok: SparkTokenizer, text_col: str = "text", observation: Observation | None = None) -> DataFrame:
+    """A1 over a corpus: ``(token_id, count)``, exact for every tokenizer.
 
-    ``scan -> explode(pre-tokens) -> groupBy(piece) -> encode distinct ->
-    explode(ids) -> groupBy(token_id)``. Two shuffles, both after a
-    map-side partial aggregate, so a piece or token holding a third of all
-    rows costs one row per task in the shuffle. Valid for encoders whose
-    pre-token split is context free (the fixture's is).
+    Where the tokenizer's split and model run in Spark (``tok.spec.native``):
+    ``scan -> explode(pieces) -> groupBy(piece) -> merges by join -> explode ->
+    groupBy(token_id)``; a piece or token holding a third of all rows costs one
+    row per task in the shuffles. Otherwise every row is encoded whole by the
+    library plug-in; ``observation`` then counts the rows it failed on.
     """
-    pieces = pretoken_count(docs, text_col, pattern)
-    return token_counts_from_pieces(encode_distinct(pieces, encoder))
+    if tok.spec.native:
+        return bpe_frequency(piece_counts(docs, tok.spec, text_col), tok.spec, tok.merges, tok.vocab)
+    return token_frequency_whole_text(docs, tok.library_encoder(), text_col, observation)
 
 
-def token_frequency_whole_text(docs: DataFrame, encoder, text_col: str = "text") -> DataFrame:
-    """A1 by encoding each row whole (T1): for encoders without a context-free split."""
-    encoded = encode_column(docs.select(text_col), encoder, text_col)
-    return encoded.select(F.explode("ids").alias("token_id")).groupBy("token_id").agg(
-        F.count(F.lit(1)).alias("count")
-    )
+def token_frequency_whole_text(docs: DataFrame, encoder, text_col: str = "text", observation: Observation | None = None) -> DataFrame:
+    """A1 by encoding each row whole (T1) with a plug-in; failed rows are counted by ``observation``."""
+    encoded = encode_column(docs.select(text_col), encoder, text_col, observation)
+    return encoded.select(F.explode("ids").alias("token_id")).groupBy("token_id").agg(F.count(F.lit(1)).alias("count"))
 
 
 def distinct_token_count(freq: DataFrame, key: str = "token_id", approx: bool = False) -> DataFrame:

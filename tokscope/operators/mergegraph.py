@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokscope.session import bounded_broadcast, bounded_rows, cut_lineage
+from tokscope.session import bounded_broadcast, cut_lineage
 
 MAX_CLOSURE_ROUNDS = 100
 
@@ -25,7 +25,7 @@ def merge_edges(merges: DataFrame, vocab: DataFrame, vocab_rows: int | None = No
     closure-to-text parity rule uses it.
     """
     v = vocab.select("token", "token_id")
-    n = vocab_rows if vocab_rows is not None else bounded_rows(v)
+    n = vocab_rows if vocab_rows is not None else v.count()
     lv = bounded_broadcast(v.select(F.col("token").alias("left"), F.col("token_id").alias("left_id")), known_rows=n)
     rv = bounded_broadcast(v.select(F.col("token").alias("right"), F.col("token_id").alias("right_id")), known_rows=n)
     mv = bounded_broadcast(v.select(F.col("token").alias("merged"), F.col("token_id").alias("merged_id")), known_rows=n)
@@ -50,6 +50,14 @@ def merge_edges(merges: DataFrame, vocab: DataFrame, vocab_rows: int | None = No
     return edges, unresolved
 
 
+def require_resolved(unresolved: DataFrame, show: int = 5) -> None:
+    """Raise if any merge did not resolve, naming the first few (vocabulary-sized input)."""
+    rows = unresolved.orderBy("rank").limit(show).collect()
+    if rows:
+        named = ", ".join(f"#{r['rank']} {r['left']!r}+{r['right']!r}" for r in rows)
+        raise ValueError(f"merges that the vocabulary does not hold: {named}")
+
+
 def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.select("ancestor", "descendant").distinct()
 
@@ -76,27 +84,6 @@ def merge_closure(edges: DataFrame, max_rounds: int = MAX_CLOSURE_ROUNDS) -> Dat
     raise ValueError(f"merge closure did not converge in {max_rounds} rounds")
 
 
-def merge_closure_recursive(edges: DataFrame) -> DataFrame:
-    """G1 as one SQL statement (recursive CTE): the same pairs, one job.
-
-    Semi-naive: each step extends paths by one edge; ``UNION ALL`` plus a
-    final ``DISTINCT``. Depth is bounded by the longest merge chain.
-    """
-    spark = edges.sparkSession
-    distinct_edges(edges).createOrReplaceTempView("_tokscope_edges")
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(ancestor, descendant) AS (
-            SELECT ancestor, descendant FROM _tokscope_edges
-            UNION ALL
-            SELECT w.ancestor, e.descendant
-            FROM walk w JOIN _tokscope_edges e ON w.descendant = e.ancestor
-        )
-        SELECT DISTINCT ancestor, descendant FROM walk
-        """
-    )
-
-
 def closure_adjacency(closure: DataFrame) -> DataFrame:
     """``ancestor -> sorted unique descendants``.
 
@@ -119,7 +106,7 @@ def closure_to_text(
     (the analysed program builds a dict, so the last write wins).
     """
     dv = vocab_decoded.select("token_id", "decoded")
-    n = vocab_rows if vocab_rows is not None else bounded_rows(dv)
+    n = vocab_rows if vocab_rows is not None else dv.count()
     first_seen = edges.groupBy("ancestor").agg(F.min("order_key").alias("order_key"))
     named = (
         closure.join(

@@ -27,12 +27,14 @@ def _parts(df: DataFrame, partitions: int | None) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def split_points(df: DataFrame, key: str, buckets: int, rel_error: float = 0.001) -> list[float]:
+def split_points(df: DataFrame, key: str, buckets: int) -> list[float]:
     """Strictly increasing split points for ``buckets`` ordered buckets of ``key``.
 
     ``approxQuantile`` runs one job and returns at most ``buckets - 1``
-    values to the driver (a bound independent of the data size).
+    values to the driver (a bound independent of the data size). Its error is
+    a quarter of a bucket, so that many buckets are really told apart.
     """
+    rel_error = 1 / (4 * max(buckets, 1))
     probs = [i / buckets for i in range(1, buckets)]
     qs = df.approxQuantile(key, probs, rel_error) if probs else []
     inner = sorted({float(q) for q in qs if math.isfinite(q)})

@@ -50,9 +50,7 @@ def rarest_script_tokens(
     vocab_rows: int | None = None,
 ) -> DataFrame:
     """R2 (+P3/P4, T5): tokens whose decoded text holds a character of
-    ``ranges``, as ``(token_id, token, freq, descendant_freq)``.
-
-    Sort order is ascending ``freq`` then ``token_id`` (apply ``ordered_rarest``).
+    ``ranges``, as ``(token_id, token, freq, descendant_freq)``; ``ordered_rarest`` ranks them.
     """
     dv = bounded_broadcast(vocab_decoded.select("token_id", F.col("decoded").alias("token")), known_rows=vocab_rows)
     return with_desc.join(dv, "token_id").filter(contains_script("token", ranges)).select(
@@ -61,7 +59,8 @@ def rarest_script_tokens(
 
 
 def ordered_rarest(rarest: DataFrame) -> DataFrame:
-    return rarest.orderBy("freq", "token_id")
+    """R2 in order: ``rank`` (from 0) by ascending frequency, then id; sorted by it."""
+    return with_ordinal(rarest, "freq", ["token_id"], "rank").orderBy("rank")
 
 
 def rank_by_survival_ratio(rarest: DataFrame) -> DataFrame:
@@ -70,7 +69,8 @@ def rank_by_survival_ratio(rarest: DataFrame) -> DataFrame:
 
 
 def ordered_by_ratio(ranked: DataFrame) -> DataFrame:
-    return ranked.orderBy("ratio", "freq", "token_id")
+    """R3 in order: ``rank`` (from 0) by ascending ratio, then frequency, then id; sorted by it."""
+    return with_ordinal(ranked, "ratio", ["freq", "token_id"], "rank").orderBy("rank")
 
 
 def entropy_rank_curve(metrics: DataFrame, value_col: str = "entropy", tie: str = "token_id") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +15,13 @@ from tokscope.operators.bytematch import (
     pattern_stats,
     token_metrics,
 )
-from tokscope.operators.encode import HFTokenizerEncoder, pretoken_count
 from tokscope.operators.frequency import token_frequency
-from tokscope.operators.mergegraph import merge_closure, merge_edges
+from tokscope.operators.mergegraph import merge_closure, merge_edges, require_resolved
 from tokscope.operators.ranking import descendant_frequency, zero_fill
+from tokscope.operators.tokenizer import SparkTokenizer, piece_counts
 from tokscope.session import (
     FIXTURE_TOKENIZER,
     bounded_broadcast,
-    bounded_rows,
     default_parallelism,
     ensure_checkpoint_dir,
     read_table,
@@ -31,7 +29,7 @@ from tokscope.session import (
 )
 from tokscope.sinks.writers import read_or_compute
 from tokscope.sources.tables import drop_empty_text
-from tokscope.sources.vocab import load_merges, load_vocab, read_tokenizer, vocab_with_bytes
+from tokscope.sources.vocab import vocab_with_bytes
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -74,42 +72,36 @@ class Context:
         return spread(drop_empty_text(self.table("documents").select("doc_id", "text")))
 
     @cached_property
-    def tokenizer(self) -> DataFrame:
-        return read_tokenizer(self.spark, self.tokenizer_path)
+    def tok(self) -> SparkTokenizer:
+        """The tokenizer file: spec, vocabulary and merges (cached, config-sized)."""
+        return SparkTokenizer(self.spark, self.tokenizer_path)
 
-    @cached_property
+    @property
     def vocab(self) -> DataFrame:
-        """Vocabulary table, cached: it is read by many branches of a plan
-        (and by later queries with the same plan), and parsing a production
-        tokenizer file costs seconds. Config-sized; recomputed from the file
-        if a cached block is lost."""
-        return load_vocab(self.tokenizer).cache()
+        return self.tok.vocab
 
     @cached_property
     def vocab_rows(self) -> int:
-        """Vocabulary size, counted once (bounded count) for broadcast decisions."""
-        return bounded_rows(self.vocab)
+        """Vocabulary size, counted once, for broadcast decisions."""
+        return self.vocab.count()
 
     @cached_property
     def vocab_bytes(self) -> DataFrame:
         return vocab_with_bytes(self.vocab, self.vocab_mode)
 
-    @cached_property
+    @property
     def merges(self) -> DataFrame:
-        return load_merges(self.tokenizer).cache()
-
-    @cached_property
-    def encoder(self) -> HFTokenizerEncoder:
-        return HFTokenizerEncoder.from_path(self.tokenizer_path, spark=self.spark)
+        return self.tok.merges
 
     @cached_property
     def pieces(self) -> DataFrame:
-        return pretoken_count(self.docs)
+        """``(piece, is_added, n)`` of the corpus, split as the tokenizer does."""
+        return piece_counts(self.docs, self.tok.spec)
 
     @cached_property
     def freq(self) -> DataFrame:
-        """``(token_id, count)`` over the corpus (T3 + A1)."""
-        return token_frequency(self.docs, self.encoder)
+        """``(token_id, count)`` over the corpus (T3 + T4 + A1)."""
+        return token_frequency(self.docs, self.tok)
 
     @cached_property
     def filled(self) -> DataFrame:
@@ -117,16 +109,16 @@ class Context:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return merge_edges(self.merges, self.vocab, self.vocab_rows)[0]
+        edges, unresolved = merge_edges(self.merges, self.vocab, self.vocab_rows)
+        require_resolved(unresolved)
+        return edges
 
     @cached_property
     def closure(self) -> DataFrame:
         """G1, reused across jobs (K6): the closure depends only on the
         vocabulary, so it is saved once per tokenizer content under the
         shared checkpoint folder and read back afterwards."""
-        with open(self.tokenizer_path, "rb") as f:
-            digest = hashlib.sha1(f.read()).hexdigest()[:16]
-        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/merge-closure-{digest}"
+        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/merge-closure-{self.tok.spec.digest}"
         return read_or_compute(self.spark, path, lambda: merge_closure(self.edges))
 
     @cached_property

@@ -9,18 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tokscope.functions.text import CJK_RANGES
 from tokscope.operators.bytematch import corpus_token_metrics
-from tokscope.operators.encode import HFTokenizerEncoder, distinct_piece_pattern
-from tokscope.operators.frequency import token_frequency, token_frequency_whole_text, top_k
-from tokscope.operators.mergegraph import closure_to_text, merge_closure, merge_edges
+from tokscope.operators.frequency import token_frequency, top_k
+from tokscope.operators.mergegraph import closure_to_text, merge_closure, merge_edges, require_resolved
 from tokscope.operators.ranking import descendant_frequency, rank_by_survival_ratio, rarest_script_tokens, zero_fill
+from tokscope.operators.tokenizer import SparkTokenizer
 from tokscope.sinks.writers import read_or_compute, write_frequencies, write_merge_closure, write_metrics, write_ranked
 from tokscope.sources.tables import drop_empty_text, load_frequencies
-from tokscope.sources.vocab import load_merges, load_vocab, read_tokenizer, vocab_with_bytes
+from tokscope.sources.vocab import vocab_with_bytes
 
 
 def count_token_frequencies(
@@ -28,18 +28,15 @@ def count_token_frequencies(
 ) -> DataFrame:
     """Corpus -> ``{"<id>": count}`` JSON (K1); returns the top ``report`` tokens (K5).
 
-    Uses distinct-piece encoding (T3) when the tokenizer's pre-token split
-    can be reproduced exactly in Spark, else encodes whole texts (T1).
+    Exact for every tokenizer: split and byte-pair model run in Spark where they
+    can be reproduced, else whole texts go through the library plug-in. Rows
+    the plug-in fails on raise after the count is written, with their number.
     """
-    with open(tokenizer_path, encoding="utf-8") as f:
-        pattern = distinct_piece_pattern(f.read())
-    encoder = HFTokenizerEncoder.from_path(tokenizer_path, spark=spark)
-    text = drop_empty_text(docs, text_col)
-    if pattern is not None:
-        freq = token_frequency(text, encoder, text_col, pattern)
-    else:
-        freq = token_frequency_whole_text(text, encoder, text_col)
-    write_frequencies(freq, out_path, "json_object")
+    tok = SparkTokenizer(spark, tokenizer_path)
+    failures = Observation("encoder_failures")
+    write_frequencies(token_frequency(drop_empty_text(docs, text_col), tok, text_col, failures), out_path, "json_object")
+    if not tok.spec.native and (failed := failures.get["failed"]):
+        raise RuntimeError(f"{failed} of {failures.get['rows']} texts could not be encoded; the counts in {out_path} are without them")
     return top_k(load_frequencies(spark, out_path), report)
 
 
@@ -51,7 +48,7 @@ def score_vocabulary(
     ``mode`` says how token strings spell bytes (``byte_level`` for GPT-2
     style vocabularies, ``text`` for character-level ones).
     """
-    vocab = vocab_with_bytes(load_vocab(read_tokenizer(spark, tokenizer_path)), mode)
+    vocab = vocab_with_bytes(SparkTokenizer(spark, tokenizer_path).vocab, mode)
     metrics = corpus_token_metrics(drop_empty_text(docs, text_col), vocab, text_col)
     write_metrics(metrics, out_csv)
     return metrics
@@ -70,11 +67,13 @@ def rank_script_tokens(
 
     Returns the survival ranking.
     """
-    tok = read_tokenizer(spark, tokenizer_path)
-    vocab = load_vocab(tok)
+    tok = SparkTokenizer(spark, tokenizer_path)
+    vocab = tok.vocab
     decoded = vocab_with_bytes(vocab, mode)
-    edges, _ = merge_edges(load_merges(tok), vocab)
-    closure = read_or_compute(spark, f"{out_dir}/closure_table", lambda: merge_closure(edges))
+    edges, unresolved = merge_edges(tok.merges, vocab)
+    require_resolved(unresolved)
+    # The saved closure is keyed by the file's content: another tokenizer in the same folder gets its own.
+    closure = read_or_compute(spark, f"{out_dir}/closure_table-{tok.spec.digest}", lambda: merge_closure(edges))
     write_merge_closure(closure, closure_to_text(closure, decoded, edges), f"{out_dir}/include", f"{out_dir}/include_str")
     filled = zero_fill(vocab, load_frequencies(spark, freq_path))
     rarest = rarest_script_tokens(descendant_frequency(closure, filled), decoded, ranges)

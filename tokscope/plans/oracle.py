@@ -12,11 +12,15 @@ from __future__ import annotations
 import json
 from functools import lru_cache
 
-from tokscope.functions.text import PRETOKEN_PATTERN, SURVIVAL_SENTINEL
 from tokscope.plans import queries as Q
 from tokscope.session import FIXTURE_BYTE_LEVEL_TOKENIZER, FIXTURE_TOKENIZER
 
 
+# Stated here again, not imported: a wrong value in the engine must show.
+PRETOKEN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+SENTINEL = "-100000000.0"
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -51,7 +55,7 @@ merges(rank, a, b) AS (VALUES
 docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND length(text) > 0),
 pieces AS (
   SELECT piece, count(*)::BIGINT AS n
-  FROM (SELECT unnest(regexp_extract_all(text, {_q(PRETOKEN_PATTERN)})) AS piece FROM docs)
+  FROM (SELECT unnest(regexp_extract_all(text, {_q(PRETOKEN)})) AS piece FROM docs)
   GROUP BY piece),
 fold(piece, n, step, s) AS (
   SELECT piece, n, 0, regexp_replace(piece, '(?s)(.)', chr(1) || '\\1' || chr(2), 'g') FROM pieces
@@ -166,6 +170,53 @@ pat AS (
     return sql, sorted({len(t) for t in vocab if t})
 
 
+def _byte_level_frequency(path: str) -> str:
+    """Token counts of the byte-level vocabulary.
+
+    The look-ahead of the public pattern (white space leaves its last
+    character to the next word) is replayed on the pieces of the pattern
+    without it: a run of white space before more text gives up its last
+    character, which joins the next piece if it is a space.
+    """
+    vocab, special, merges, _ = _tokenizer(path)
+    vocab_rows = ",\n  ".join(f"({i}, {_q(t)})" for t, i in sorted({**vocab, **special}.items(), key=lambda kv: kv[1]))
+    merge_rows = ",\n  ".join(f"({r}, {_q(a)}, {_q(b)})" for r, (a, b) in enumerate(merges, start=1))
+    byte = "('0x' || x)::INTEGER"
+    char = (
+        f"chr(CASE WHEN {byte} BETWEEN 33 AND 126 OR {byte} BETWEEN 161 AND 172 OR {byte} >= 174 THEN {byte} "
+        f"WHEN {byte} <= 32 THEN {byte} + 256 WHEN {byte} <= 160 THEN {byte} - 127 + 289 ELSE 323 END)"
+    )
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+    return f"""WITH RECURSIVE vocab(token_id, token) AS (VALUES
+  {vocab_rows}),
+merges(rank, a, b) AS (VALUES
+  {merge_rows}),
+raw AS (
+  SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM (
+    SELECT doc_id, regexp_extract_all(text, {_q(pattern)}) AS ps FROM documents WHERE text IS NOT NULL AND length(text) > 0)),
+around AS (
+  SELECT *, lag(p) OVER w AS before, lead(p) OVER w AS after FROM raw WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+flags AS (
+  SELECT *, regexp_full_match(p, '\\s+') AND length(p) > 1 AND after IS NOT NULL AS gives,
+         regexp_full_match(before, '\\s+') AND length(before) > 1 AS takes FROM around),
+shifted AS (
+  SELECT CASE WHEN gives THEN substr(p, 1, length(p) - 1) WHEN takes AND right(before, 1) = ' ' THEN ' ' || p ELSE p END AS piece FROM flags
+  UNION ALL
+  SELECT right(p, 1) FROM flags WHERE gives AND right(p, 1) <> ' '),
+pieces AS (SELECT piece, count(*)::BIGINT AS n FROM shifted GROUP BY piece),
+spelled AS (
+  SELECT piece, n, list_transform(regexp_extract_all(hex(encode(piece)), '..'), lambda x: {char}) AS cs FROM pieces),
+fold(piece, n, step, s) AS (
+  SELECT piece, n, 0, list_aggregate(list_transform(cs, lambda c: chr(1) || c || chr(2)), 'string_agg', '') FROM spelled
+  UNION ALL
+  SELECT f.piece, f.n, f.step + 1,
+         replace(f.s, chr(1) || m.a || chr(2) || chr(1) || m.b || chr(2), chr(1) || m.a || m.b || chr(2))
+  FROM fold f JOIN merges m ON m.rank = f.step + 1),
+tokens AS (
+  SELECT n, unnest(string_split(substr(s, 2, length(s) - 2), chr(2) || chr(1))) AS token FROM fold WHERE step = {len(merges)})
+SELECT v.token_id::INTEGER AS token_id, sum(t.n)::BIGINT AS count FROM tokens t JOIN vocab v ON v.token = t.token GROUP BY v.token_id"""
+
+
 def _with(body: str, byte: bool = False) -> str:
     ctes = _base_ctes() + (_byte_ctes() if byte else "")
     return f"WITH RECURSIVE {ctes}\n{body}"
@@ -175,7 +226,7 @@ R = Q.ROUND
 
 
 def oracle_sql() -> dict[str, str]:
-    sentinel = repr(SURVIVAL_SENTINEL)
+    sentinel = SENTINEL
     ratio = (
         f"round(coalesce(CASE WHEN freq + descendant_freq <> 0 THEN freq / (freq + descendant_freq) END, {sentinel}), {R})"
     )
@@ -215,9 +266,14 @@ def oracle_sql() -> dict[str, str]:
         ),
         "zero_fill": _with("SELECT token_id, freq FROM filled"),
         "descendant_frequency": _with("SELECT token_id, freq, descendant_freq FROM with_desc"),
-        "rarest_script_tokens": _with("SELECT token_id::INTEGER AS token_id, token, freq, descendant_freq FROM rarest"),
+        "rarest_script_tokens": _with(
+            "SELECT token_id::INTEGER AS token_id, token, freq, descendant_freq, "
+            "(row_number() OVER (ORDER BY freq, token_id) - 1)::BIGINT AS rank FROM rarest ORDER BY rank"
+        ),
         "rank_by_survival_ratio": _with(
-            f"SELECT token_id::INTEGER AS token_id, token, freq, descendant_freq, {ratio} AS ratio FROM rarest"
+            "SELECT token_id, token, freq, descendant_freq, ratio, "
+            "(row_number() OVER (ORDER BY ratio, freq, token_id) - 1)::BIGINT AS rank FROM ("
+            f"SELECT token_id::INTEGER AS token_id, token, freq, descendant_freq, {ratio} AS ratio FROM rarest) ORDER BY rank"
         ),
         "byte_token_frequency": _with("SELECT h AS token_hex, freq FROM stats", byte=True),
         "standalone_frequency": _with("SELECT h AS token_hex, standalone FROM stats", byte=True),
@@ -278,8 +334,10 @@ def oracle_sql() -> dict[str, str]:
     sql["running_token_frequency"] = sql["token_frequency"]
     sql["write_frequencies"] = sql["token_frequency"]
     sql["progress_metrics"] = _with(
-        "SELECT 0::INTEGER AS batch_id, (SELECT count(*) FROM docs)::BIGINT AS n_docs, "
-        "(SELECT count(DISTINCT token_id) FROM freq)::BIGINT AS unique_tokens"
+        "SELECT b.k::INTEGER AS batch_id, (SELECT count(*) FROM docs WHERE doc_id % 4 = b.k)::BIGINT AS n_docs, "
+        "(SELECT count(DISTINCT t.token_id) FROM tok_ids t JOIN (SELECT DISTINCT unnest("
+        f"regexp_extract_all(text, {_q(PRETOKEN)})) AS piece, doc_id % 4 AS k FROM docs) p ON p.piece = t.piece WHERE p.k <= b.k)::BIGINT AS unique_tokens "
+        "FROM (SELECT unnest(range(4)) AS k) b"
     )
     sql["write_metrics"] = _with(
         f"SELECT token, freq_in_corpus, round(standalone_ratio, {R}) AS standalone_ratio, "
@@ -298,10 +356,38 @@ def oracle_sql() -> dict[str, str]:
         "SELECT h AS token_hex, freq, standalone FROM stats"
     )
     sql["scan_text"] = (
-        "SELECT coalesce(sum(length(text) - length(replace(text, chr(10), '')) + 1), 0)::BIGINT AS n_lines "
+        "SELECT sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines, sum(length(text) + 1)::BIGINT AS n_chars "
         "FROM documents WHERE text IS NOT NULL"
     )
-    sql["write_merge_closure"] = sql["merge_closure"]
+    sql["scan_bytes"] = (
+        "SELECT sum(octet_length(encode(text)) + 2)::BIGINT AS n_bytes, "
+        "sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_newlines, "
+        "sum(length(text) - length(replace(text, chr(13), '')) + 1)::BIGINT AS n_returns FROM documents WHERE text IS NOT NULL"
+    )
+    sql["scan_table"] = "SELECT doc_id, lang AS text FROM documents"
+    sql["skip_malformed"] = (
+        "WITH f AS (SELECT conv_id, text FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k "
+        "FROM conversations) WHERE k = 1), "
+        "r AS (SELECT text IS NOT NULL AS ok FROM f UNION ALL SELECT false FROM f WHERE conv_id % 5 = 0 "
+        "UNION ALL SELECT false FROM f WHERE conv_id % 7 = 0) SELECT ok, count(*)::BIGINT AS n FROM r GROUP BY ok"
+    )
+    # The longest whole characters within the first bytes, and one mark if a character was cut.
+    sql["replace_invalid"] = (
+        "SELECT doc_id, substr(text, 1, m) || CASE WHEN octet_length(encode(substr(text, 1, m))) < least(40, octet_length(encode(text))) "
+        "THEN chr(65533) ELSE '' END AS head FROM (SELECT doc_id, text, list_max(list_filter(range(0, 41), "
+        "lambda k: octet_length(encode(substr(text, 1, k))) <= 40)) AS m FROM documents WHERE text IS NOT NULL AND length(text) > 0)"
+    )
+    sql["flatten"] = "SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL AND length(text) > 0"
+    sql["empty_result_check"] = (
+        "SELECT count(*)::BIGINT AS n_docs, count(*) > 0 AS some_written, false AS none_written "
+        "FROM documents WHERE text IS NOT NULL AND length(text) > 0"
+    )
+    sql["reuse_closure"] = sql["merge_closure"]
+    sql["token_frequency_byte_level"] = _byte_level_frequency(FIXTURE_BYTE_LEVEL_TOKENIZER)
+    sql["write_merge_closure"] = _with(
+        "SELECT c.ancestor::INTEGER AS ancestor, c.descendant::INTEGER AS descendant, f.freq AS descendant_freq, v.token AS descendant_text "
+        "FROM closure c JOIN filled f ON f.token_id = c.descendant JOIN vocab_all v ON v.token_id = c.descendant"
+    )
     sql["sort_by_frequency_desc"] = _with("SELECT token_id, count FROM freq ORDER BY count DESC, token_id")
     sql["batch_lines"] = (
         "SELECT batch_no, count(*)::BIGINT AS n_lines, string_agg(line, chr(10) ORDER BY doc_id, i) AS text FROM ("

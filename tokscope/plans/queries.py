@@ -15,23 +15,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokscope.functions.text import LATIN1_LETTER_RANGES, byte_length, contains_script, has_control_byte, utf8_bytes
-from tokscope.operators.batching import batch_by_chars, batch_by_count, batch_docs_newline, batch_lines, chunk_fixed
+from tokscope.functions.text import LATIN1_LETTER_RANGES, byte_length, contains_script, has_control_byte, replace_invalid, utf8_bytes
+from tokscope.operators.batching import batch_by_chars, batch_by_count, batch_docs_newline, batch_lines, chunk_fixed, flatten
 from tokscope.operators.bytematch import byte_token_frequency, neighbor_counts, neighbor_entropy
-from tokscope.operators.encode import bpe_fold, decode_sequences, encode_column, encode_distinct, read_merge_pairs
-from tokscope.operators.frequency import distinct_token_count, sort_by_frequency_desc, top_k
+from tokscope.operators.encode import decode_sequences
+from tokscope.operators.frequency import distinct_token_count, sort_by_frequency_desc, token_frequency, top_k
 from tokscope.operators.mergegraph import closure_adjacency, closure_to_text, distinct_edges
-from tokscope.operators.ranking import entropy_rank_curve, rank_by_survival_ratio, rarest_script_tokens, shuffle_rows
+from tokscope.operators.ranking import (
+    entropy_rank_curve,
+    ordered_by_ratio,
+    ordered_rarest,
+    rank_by_survival_ratio,
+    rarest_script_tokens,
+    shuffle_rows,
+)
+from tokscope.operators.tokenizer import bpe_ids, bpe_tokens, encode_documents
 from tokscope.plans.context import Context
-from tokscope.session import FIXTURE_BYTE_LEVEL_TOKENIZER, default_parallelism, scratch_path
-from tokscope.sinks.writers import write_frequencies, write_merge_closure, write_metrics, write_ranked
+from tokscope.session import FIXTURE_BYTE_LEVEL_TOKENIZER, scratch_path, table_path
+from tokscope.sinks.writers import read_or_compute, write_frequencies, write_merge_closure, write_metrics, write_ranked
 from tokscope.sources.tables import (
     conversations_as_jsonl,
     corpus_from_jsonl_tree,
     line_count,
     load_frequencies,
     load_metrics,
+    newline_count,
     parse_conversation_lines,
+    scan_bytes,
+    scan_conversations,
+    scan_table,
     scan_text,
 )
 
@@ -42,6 +54,7 @@ NEWLINE_BATCH_DOCS = 100
 LINE_BATCH = 50
 PACK_THRESHOLD = 65536
 TOP_K = 20
+CUT_BYTES = 40
 ROUND = 6
 
 
@@ -53,7 +66,7 @@ def _ctx(spark: SparkSession, sf_dir: str) -> Context:
 
 
 def q_pretoken_count(spark, sf_dir):
-    return _ctx(spark, sf_dir).pieces
+    return _ctx(spark, sf_dir).pieces.select("piece", "n")
 
 
 def q_token_frequency(spark, sf_dir):
@@ -74,21 +87,26 @@ def q_distinct_token_count(spark, sf_dir):
 
 def q_encode_distinct(spark, sf_dir):
     c = _ctx(spark, sf_dir)
-    enc = encode_distinct(c.pieces.repartition(default_parallelism(spark)), c.encoder)
+    ids = bpe_ids(c.pieces.select("piece", "is_added"), c.tok.spec, c.merges, c.vocab)
+    enc = c.pieces.join(ids, ["piece", "is_added"])
     return enc.select("piece", "n", F.size("ids").alias("n_tokens"), F.array_join("ids", ",").alias("ids"))
 
 
 def q_bpe_fold(spark, sf_dir):
     c = _ctx(spark, sf_dir)
-    pieces = c.pieces.repartition(default_parallelism(spark))
-    folded = bpe_fold(pieces, read_merge_pairs(c.tokenizer_path))
+    folded = bpe_tokens(c.pieces, c.tok.spec, c.merges, c.vocab)
     return folded.select("piece", "n", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("tokens"))
 
 
+def q_token_frequency_byte_level(spark, sf_dir):
+    """A1 with the byte-level fixture: look-ahead split, byte alphabet."""
+    return Context(spark, sf_dir, FIXTURE_BYTE_LEVEL_TOKENIZER, vocab_mode="byte_level").freq
+
+
 def q_decode_sequence(spark, sf_dir):
-    """T1 then T5: every document encoded whole and decoded back."""
+    """T1 then T5: every document encoded and decoded back."""
     c = _ctx(spark, sf_dir)
-    encoded = encode_column(c.docs.select("doc_id", "text"), c.encoder, "text").select("doc_id", "ids")
+    encoded = encode_documents(c.docs.select("doc_id", "text"), c.tok.spec, c.merges, c.vocab)
     return decode_sequences(encoded, c.vocab_bytes, "doc_id", vocab_rows=c.vocab_rows)
 
 
@@ -146,13 +164,13 @@ def q_descendant_frequency(spark, sf_dir):
 
 def q_rarest_script_tokens(spark, sf_dir):
     c = _ctx(spark, sf_dir)
-    return rarest_script_tokens(c.with_descendants, c.vocab_bytes, LATIN1_LETTER_RANGES, c.vocab_rows)
+    return ordered_rarest(rarest_script_tokens(c.with_descendants, c.vocab_bytes, LATIN1_LETTER_RANGES, c.vocab_rows))
 
 
 def q_rank_by_survival_ratio(spark, sf_dir):
     c = _ctx(spark, sf_dir)
     r = rank_by_survival_ratio(rarest_script_tokens(c.with_descendants, c.vocab_bytes, LATIN1_LETTER_RANGES, c.vocab_rows))
-    return r.withColumn("ratio", F.round("ratio", ROUND))
+    return ordered_by_ratio(r).withColumn("ratio", F.round("ratio", ROUND))
 
 
 # -- byte-level metrics ------------------------------------------------------------------
@@ -215,7 +233,7 @@ def q_contains_script(spark, sf_dir):
 
 def q_filter_script_tokens(spark, sf_dir):
     p = _ctx(spark, sf_dir).pieces
-    return p.filter(contains_script("piece", LATIN1_LETTER_RANGES))
+    return p.filter(contains_script("piece", LATIN1_LETTER_RANGES)).select("piece", "n")
 
 
 def q_has_control_byte(spark, sf_dir):
@@ -258,11 +276,66 @@ def q_batch_by_chars(spark, sf_dir):
 # -- sources ---------------------------------------------------------------------------------------
 
 
+def _conversation_file(spark, sf_dir) -> str:
+    """The conversations as a JSONL file, with lines that are broken or hold no text among them."""
+    lines = conversations_as_jsonl(_ctx(spark, sf_dir).table("conversations"))
+    number = F.get_json_object("value", "$.id").cast("long")
+    broken = lines.filter(number % 5 == 0).select(F.lit("bad{").alias("value"))
+    no_text = lines.filter(number % 7 == 0).select(F.lit('{"conversations":[{"content":5}]}').alias("value"))
+    path = scratch_path(spark, "conversations-jsonl")
+    lines.unionByName(broken).unionByName(no_text).write.text(path)
+    return path
+
+
 def q_scan_conversations(spark, sf_dir):
+    """S3 over a JSONL file with bad lines."""
+    return scan_conversations(spark, _conversation_file(spark, sf_dir)).select("conv_id", "content")
+
+
+def q_skip_malformed(spark, sf_dir):
+    """Lines of that file by whether they were kept."""
+    parsed = parse_conversation_lines(spark.read.text(_conversation_file(spark, sf_dir)))
+    return parsed.groupBy("ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_scan_table(spark, sf_dir):
+    """Another text column, by name."""
+    return scan_table(spark, table_path(sf_dir, "documents"), "lang", keep=("doc_id",))
+
+
+def q_replace_invalid(spark, sf_dir):
+    """The first bytes of each text, a cut character replaced."""
+    d = _ctx(spark, sf_dir).docs
+    return d.select("doc_id", replace_invalid(F.substring(utf8_bytes("text"), 1, CUT_BYTES)).alias("head"))
+
+
+def q_flatten(spark, sf_dir):
+    """Lists of lines, one row per line."""
+    d = _ctx(spark, sf_dir).docs
+    lists = d.select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    return flatten(lists, "lines", "line")
+
+
+def q_empty_result_check(spark, sf_dir):
+    """Whether counts of all documents, and of none, were worth writing."""
     c = _ctx(spark, sf_dir)
-    lines = conversations_as_jsonl(c.table("conversations"))
-    parsed = parse_conversation_lines(lines)
-    return parsed.filter("ok").select("conv_id", "content")
+    some = write_frequencies(c.freq, scratch_path(spark, "freq-some"))
+    none = write_frequencies(token_frequency(c.docs.filter("doc_id is null"), c.tok), scratch_path(spark, "freq-none"))
+    n = c.docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    return n.select("n_docs", F.lit(some).alias("some_written"), F.lit(none).alias("none_written"))
+
+
+def q_reuse_closure(spark, sf_dir):
+    """K6: the closure saved once and read back instead of computed again."""
+    c = _ctx(spark, sf_dir)
+    path = f"{scratch_path(spark, 'closure-reuse')}/{c.tok.spec.digest}"
+    read_or_compute(spark, path, lambda: c.closure)
+
+    def again():
+        raise AssertionError("the saved closure must be reused")
+
+    f = c.filled.select(F.col("token_id").alias("descendant"), F.col("freq").alias("descendant_freq"))
+    return read_or_compute(spark, path, again).join(f, "descendant").select("ancestor", "descendant", "descendant_freq")
 
 
 def q_line_count(spark, sf_dir):
@@ -320,23 +393,45 @@ def q_write_ranked(spark, sf_dir):
     return spark.read.schema(schema).json(path)
 
 
-def q_scan_text(spark, sf_dir):
-    """S1 + S9: documents written as text files (one folder per source), read back whole, lines counted."""
+def _text_files(spark, sf_dir, ending: str = "") -> str:
+    """Documents as text files, one folder per source, each followed by ``ending`` and a newline."""
     path = scratch_path(spark, "text-files")
     docs = _ctx(spark, sf_dir).table("documents").filter(F.col("text").isNotNull())
-    docs.select("text", "source").write.partitionBy("source").text(path)
-    return line_count(scan_text(spark, path, wholetext=True, normalize_newlines=False))
+    docs.select(F.concat("text", F.lit(ending)).alias("value"), "source").write.partitionBy("source").text(path)
+    return path
+
+
+def q_scan_text(spark, sf_dir):
+    """S1 + S9: CR LF text files read split at lines, newlines normalised; lines and characters counted."""
+    rows = scan_text(spark, _text_files(spark, sf_dir, "\r"))
+    return rows.agg(F.sum(newline_count(F.col("text"))).alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def q_scan_bytes(spark, sf_dir):
+    """The same files as raw bytes; every byte kept."""
+    rows = scan_bytes(spark, _text_files(spark, sf_dir, "\r"))
+    hexes = F.hex("bytes")
+    pairs = F.regexp_extract_all(hexes, F.lit(".."), 0)
+    return rows.agg(
+        F.sum(F.octet_length("bytes")).alias("n_bytes"),
+        F.sum(F.size(F.filter(pairs, lambda x: x == "0A"))).alias("n_newlines"),
+        F.sum(F.size(F.filter(pairs, lambda x: x == "0D"))).alias("n_returns"),
+    )
 
 
 def q_write_merge_closure(spark, sf_dir):
-    """K3: the closure as one JSON object ``{id: [ids]}``, parsed back, with descendant frequencies."""
+    """K3: both closure files, parsed back: ids with descendant frequencies, and their texts."""
     c = _ctx(spark, sf_dir)
     ids_path, text_path = scratch_path(spark, "closure-ids"), scratch_path(spark, "closure-text")
     write_merge_closure(c.closure, closure_to_text(c.closure, c.vocab_bytes, c.edges, vocab_rows=c.vocab_rows), ids_path, text_path)
     obj = spark.read.text(ids_path).select(F.explode(F.from_json("value", "map<string,array<int>>")).alias("a", "ds"))
-    pairs = obj.select(F.col("a").cast("int").alias("ancestor"), F.explode("ds").alias("descendant"))
+    pairs = obj.select(F.col("a").cast("int").alias("ancestor"), F.posexplode("ds").alias("i", "descendant"))
+    named = spark.read.text(text_path).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("token", "names"))
+    named = named.join(c.vocab_bytes.select(F.col("decoded").alias("token"), F.col("token_id").alias("ancestor")), "token")
+    named = named.select("ancestor", F.posexplode("names").alias("i", "descendant_text"))
     f = c.filled.select(F.col("token_id").alias("descendant"), F.col("freq").alias("descendant_freq"))
-    return pairs.join(f, "descendant").select("ancestor", "descendant", "descendant_freq")
+    both = pairs.join(named, ["ancestor", "i"]).join(f, "descendant")
+    return both.select("ancestor", "descendant", "descendant_freq", "descendant_text")
 
 
 def q_corpus_from_jsonl_tree(spark, sf_dir):
@@ -349,6 +444,7 @@ def q_corpus_from_jsonl_tree(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pretoken_count": q_pretoken_count,
     "token_frequency": q_token_frequency,
+    "token_frequency_byte_level": q_token_frequency_byte_level,
     "sort_by_frequency_desc": q_sort_by_frequency_desc,
     "top_tokens_report": q_top_tokens_report,
     "distinct_token_count": q_distinct_token_count,
@@ -390,5 +486,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "write_ranked": q_write_ranked,
     "corpus_from_jsonl_tree": q_corpus_from_jsonl_tree,
     "scan_text": q_scan_text,
+    "scan_bytes": q_scan_bytes,
+    "scan_table": q_scan_table,
+    "skip_malformed": q_skip_malformed,
+    "replace_invalid": q_replace_invalid,
+    "flatten": q_flatten,
+    "empty_result_check": q_empty_result_check,
+    "reuse_closure": q_reuse_closure,
     "write_merge_closure": q_write_merge_closure,
 }

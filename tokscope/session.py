@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -60,8 +61,9 @@ def default_parallelism(spark: SparkSession) -> int:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting is always used when present. Only when it is unset
-    (local tests) a fresh folder is made and registered.
+    The cluster's setting is always used when present. Only a local master
+    (tests, benches) gets a fresh temporary folder; elsewhere an unset folder
+    is an error, since executors would write to disks of their own.
     """
     sc = _context(spark)
     current = sc.getCheckpointDir() if sc is not None else None
@@ -69,6 +71,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master or ""):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share (master is {master!r})")
         conf_dir = tempfile.mkdtemp(prefix="tokscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if sc is not None:
@@ -78,7 +83,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder (never a machine-local temp)."""
+    """A fresh path under the shared checkpoint folder (on a local master that is a temporary folder)."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -97,19 +102,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def bounded_rows(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> int:
-    """Row count of ``df``, counting at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count()
-
-
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
     """Broadcast hint only when ``df`` is checked to hold at most ``max_rows`` rows.
 
-    Above the bound the hint is omitted and the planner picks a shuffle
-    join, so a larger-than-expected side degrades to a slower plan instead
-    of an out-of-memory broadcast.
+    ``known_rows`` is the exact row count if the caller has it; otherwise at
+    most ``max_rows + 1`` rows are counted. Above the bound the hint is omitted and
+    the planner picks a shuffle join, so a larger-than-expected side degrades
+    to a slower plan instead of an out-of-memory broadcast.
     """
-    n = known_rows if known_rows is not None else bounded_rows(df, max_rows)
+    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 

@@ -64,8 +64,9 @@ def write_frequencies(freq: DataFrame, path: str, fmt: str = "parquet") -> bool:
 def write_metrics(metrics: DataFrame, path: str) -> bool:
     """K2: metrics CSV, frequency descending, header, no index column.
 
-    Spark's CSV writer adds no UTF-8 byte-order mark (the analysed program
-    writes one); readers that need it can prepend it.
+    Quotes are doubled, so any CSV reader gets the tokens back, whatever they
+    hold. Spark's CSV writer adds no UTF-8 byte-order mark (the analysed
+    program writes one); readers that need it can prepend it.
     """
     cols = ["token", "freq_in_corpus", "standalone_ratio", "entropy", "length_bytes", "meaningless"]
     (
@@ -77,6 +78,8 @@ def write_metrics(metrics: DataFrame, path: str) -> bool:
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .option("quoteAll", True)
+        .option("escape", '"')
+        .option("emptyValue", "")
         .csv(path)
     )
     return not _written_empty(metrics.sparkSession, path, "csv", "metrics")

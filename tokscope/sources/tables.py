@@ -37,26 +37,49 @@ def drop_empty_text(df: DataFrame, col: str = "text") -> DataFrame:
     return df.filter(F.col(col).isNotNull() & (F.length(col) > 0))
 
 
-def scan_text(spark: SparkSession, path: str, wholetext: bool = True, normalize_newlines: bool = True) -> DataFrame:
-    """UTF-8 text files. ``wholetext`` gives one row per file.
+def scan_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """Files as raw bytes, ``(path, block, line, bytes)``, one row per line with its newline kept.
 
-    With ``normalize_newlines`` CR LF and lone CR become LF, as text-mode
-    reading does.
+    Files are split over tasks at line borders, whatever their size, and read
+    twice (the second time only to see which files end without a newline). All rows
+    of a file, by ``block`` then ``line``, are its bytes: CR stays, invalid UTF-8 stays.
     """
-    df = spark.read.text(path, wholetext=wholetext).withColumn("path", F.input_file_name())
-    if normalize_newlines:
-        df = df.withColumn("value", F.regexp_replace("value", "\r\n?", "\n"))
-    return df.withColumnRenamed("value", "text").select("path", "text")
-
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("value").cast("binary").alias("bytes"),
+    )
+    ends = lines.groupBy("path").agg(
+        F.sum(F.octet_length("bytes") + F.lit(1).cast("long")).alias("with_newlines"),
+        F.max("size").alias("size"),
+        F.max(F.struct("block", "line")).alias("last"),
+    )
+    # One row per file that lacks its last newline.
+    open_end = ends.filter(F.col("with_newlines") > F.col("size")).select("path", F.col("last.block").alias("block"), F.col("last.line").alias("line"), F.lit(True).alias("open"))
+    marked = lines.join(open_end, ["path", "block", "line"], "left")
+    whole = F.when(F.col("open"), F.col("bytes")).otherwise(F.concat("bytes", F.lit(b"\n")))
+    return marked.select("path", "block", "line", whole.alias("bytes"))
 
-def scan_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """Files as raw bytes; invalid UTF-8 is kept as is."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("bytes"))
 
+def scan_text(spark: SparkSession, path: str, normalize_newlines: bool = True, on_invalid: str = "raise", observation: Observation | None = None) -> DataFrame:
+    """UTF-8 text files, ``(path, block, line, text)``, one row per line with its newline kept.
 
-def text_as_bytes(df: DataFrame, col: str = "text") -> DataFrame:
-    """S2 over a table: the UTF-8 bytes of a text column."""
-    return df.withColumn("bytes", F.encode(F.col(col), "UTF-8"))
+    Split over tasks as :func:`scan_bytes`. With ``normalize_newlines`` CR LF
+    and lone CR become LF, as text-mode reading does. Invalid UTF-8 stops the
+    read (``on_invalid='raise'``), or is replaced by U+FFFD (``'replace'``);
+    ``observation`` counts such rows (``invalid``, ``rows``).
+    """
+    if on_invalid not in ("raise", "replace"):
+        raise ValueError(f"on_invalid {on_invalid!r}")
+    rows = scan_bytes(spark, path).withColumn("text", F.col("bytes").cast("string"))
+    if observation is not None:
+        rows = rows.observe(observation, F.count_if(~F.is_valid_utf8("text")).alias("invalid"), F.count(F.lit(1)).alias("rows"))
+    text = F.validate_utf8("text") if on_invalid == "raise" else F.make_valid_utf8("text")
+    if normalize_newlines:
+        text = F.regexp_replace(text, "\r\n?", "\n")
+    return rows.select("path", "block", "line", text.alias("text"))
 
 
 # -- S3: JSONL conversations -------------------------------------------------
@@ -124,10 +147,21 @@ def conversations_as_jsonl(conversations: DataFrame) -> DataFrame:
 # -- S5: directory tree of JSONL ---------------------------------------------
 
 
-def corpus_from_jsonl_tree(spark: SparkSession, root: str, text_field: str = "text") -> DataFrame:
-    """Every JSONL file under ``root`` (any depth); one row per record."""
-    df = spark.read.option("recursiveFileLookup", "true").json(root)
-    return df.select(F.col(text_field).alias("text"))
+def corpus_from_jsonl_tree(spark: SparkSession, root: str, text_field: str = "text", observation: Observation | None = None) -> DataFrame:
+    """Every JSONL file under ``root`` (any depth); one row ``text`` per good record.
+
+    A line that is not JSON, lacks the field or holds something else than a
+    string in it is dropped, as is an empty text; ``observation`` counts
+    what was dropped (``rejected``, ``empty``, ``lines``). No schema is inferred:
+    the corpus is read once.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(root)
+    record = F.try_parse_json(F.trim("value"))
+    value = F.try_variant_get(record, f"$.{text_field}", "variant")
+    rows = lines.select(F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).alias("text"))
+    if observation is not None:
+        rows = rows.observe(observation, F.count_if(F.col("text").isNull()).alias("rejected"), F.count_if(F.col("text") == "").alias("empty"), F.count(F.lit(1)).alias("lines"))
+    return drop_empty_text(rows)
 
 
 # -- S7 / S8: result files read back ----------------------------------------
@@ -144,9 +178,24 @@ METRICS_SCHEMA = T.StructType(
 )
 
 
-def load_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Metrics CSV; malformed rows (wrong field count or types) dropped."""
-    return spark.read.csv(path, header=True, schema=METRICS_SCHEMA, mode="DROPMALFORMED", multiLine=True)
+#: Stands for a missing value when the metrics CSV is read (there are none), so that an empty token stays ''.
+_NO_VALUE = "\u0001missing\u0001"
+
+
+def load_metrics(spark: SparkSession, path: str, observation: Observation | None = None) -> DataFrame:
+    """Metrics CSV (quotes doubled, as CSV readers expect); malformed rows dropped.
+
+    A row with another number of fields or an unreadable value is dropped and
+    counted by ``observation`` (``malformed``, ``rows``).
+    """
+    schema = T.StructType([*METRICS_SCHEMA.fields, T.StructField("_bad", T.StringType())])
+    rows = spark.read.csv(
+        path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", multiLine=True,
+        quote='"', escape='"', nullValue=_NO_VALUE, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
+    if observation is not None:
+        rows = rows.observe(observation, F.count_if(F.col("_bad").isNotNull()).alias("malformed"), F.count(F.lit(1)).alias("rows"))
+    return rows.filter(F.col("_bad").isNull()).drop("_bad")
 
 
 def load_frequencies(spark: SparkSession, path: str) -> DataFrame:

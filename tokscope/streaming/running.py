@@ -13,12 +13,12 @@ interrupt, as in the analysed program.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokscope.operators.encode import HFTokenizerEncoder
 from tokscope.operators.frequency import token_frequency
-from tokscope.session import FIXTURE_TOKENIZER, scratch_path
+from tokscope.operators.tokenizer import SparkTokenizer
+from tokscope.session import FIXTURE_TOKENIZER, read_table, scratch_path
 from tokscope.sources.tables import drop_empty_text
 
 
@@ -47,7 +47,7 @@ def _latest_compaction(spark: SparkSession, out_path: str, before: int | None =
 def _totals_upto(spark: SparkSession, out_path: str, last_batch: int | None = None) -> DataFrame:
     """Running totals: newest compaction plus the partials written after it."""
     base, upto = _latest_compaction(spark, out_path, None if last_batch is None else last_batch)
-    parts = _partials(spark, out_path).filter(F.col("token_id").isNotNull() & (F.col("batch_id") > upto))
+    parts = _partials(spark, out_path).filter(F.col("batch_id") > upto)
     if last_batch is not None:
         parts = parts.filter(F.col("batch_id") <= last_batch)
     rows = parts.select("token_id", "count")
@@ -56,24 +56,19 @@ def _totals_upto(spark: SparkSession, out_path: str, last_batch: int | None = No
     return rows.groupBy("token_id").agg(F.sum("count").cast("long").alias("count"))
 
 
-def _writer(encoder, out_path: str, text_col: str, compact_every: int):
+def _writer(tok: SparkTokenizer, out_path: str, text_col: str, compact_every: int):
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        docs = drop_empty_text(batch.select(text_col), text_col)
-        counts = token_frequency(docs, encoder, text_col).withColumn("n_docs", F.lit(None).cast("long"))
-        n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-        # One extra row per batch carries the document count for ST2.
-        marker = n_docs.select(F.lit(None).cast("int").alias("token_id"), F.lit(0).cast("long").alias("count"), "n_docs")
-        (
-            counts.unionByName(marker)
-            .coalesce(1)  # vocabulary-bounded: at most one row per token
-            .write.mode("overwrite")
-            .parquet(f"{out_path}/partials/batch_id={batch_id}")
-        )
+        # One pass: documents are counted while they are split.
+        seen = Observation(f"documents_{batch_id}")
+        docs = drop_empty_text(batch.select(text_col), text_col).observe(seen, F.count(F.lit(1)).alias("n_docs"))
+        token_frequency(docs, tok, text_col).write.mode("overwrite").parquet(f"{out_path}/partials/batch_id={batch_id}")
+        progress = spark.createDataFrame([(int(seen.get["n_docs"]),)], "n_docs long")
+        progress.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/progress/batch_id={batch_id}")
         if compact_every and (batch_id + 1) % compact_every == 0:
             # Deterministic in batch_id, so a replayed batch rewrites the same totals.
             totals = _totals_upto(spark, out_path, batch_id)
-            totals.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/totals/upto={batch_id}")
+            totals.write.mode("overwrite").parquet(f"{out_path}/totals/upto={batch_id}")
 
     return write_batch
 
@@ -83,7 +78,7 @@ def start_running_token_frequency(
     source_dir: str,
     out_path: str,
     checkpoint_path: str,
-    encoder,
+    tok: SparkTokenizer,
     file_glob: str = "*.parquet",
     text_col: str = "text",
     max_files_per_trigger: int | None = None,
@@ -104,7 +99,7 @@ def start_running_token_frequency(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir).select(text_col)
-    writer = stream.writeStream.foreachBatch(_writer(encoder, out_path, text_col, compact_every)).option(
+    writer = stream.writeStream.foreachBatch(_writer(tok, out_path, text_col, compact_every)).option(
         "checkpointLocation", checkpoint_path
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -116,38 +111,52 @@ def running_totals(spark: SparkSession, out_path: str) -> DataFrame:
     return _totals_upto(spark, out_path)
 
 
+#: Batches summed in one window task by ``progress_metrics``.
+_PROGRESS_BLOCK = 1000
+
+
 def progress_metrics(spark: SparkSession, out_path: str) -> DataFrame:
     """ST2: per batch, documents read and distinct tokens seen so far.
 
-    ``(batch_id, n_docs, unique_tokens)``; one row per micro-batch.
+    ``(batch_id, n_docs, unique_tokens)``; one row per micro-batch. The running
+    sum is taken within blocks of batches, and one row per block is added up across them.
     """
-    parts = _partials(spark, out_path)
-    docs = parts.filter(F.col("token_id").isNull()).groupBy("batch_id").agg(F.sum("n_docs").alias("n_docs"))
-    first = parts.filter(F.col("token_id").isNotNull()).groupBy("token_id").agg(F.min("batch_id").alias("batch_id"))
-    new_per_batch = first.groupBy("batch_id").agg(F.count(F.lit(1)).alias("new_tokens"))
-    upto = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        docs.join(new_per_batch, "batch_id", "left")
-        .withColumn("unique_tokens", F.sum(F.coalesce("new_tokens", F.lit(0))).over(upto).cast("long"))
-        .select("batch_id", "n_docs", "unique_tokens")
-    )
+    docs = spark.read.parquet(f"{out_path}/progress").groupBy("batch_id").agg(F.sum("n_docs").alias("n_docs"))
+    first = _partials(spark, out_path).groupBy("token_id").agg(F.min("batch_id").alias("batch_id"))
+    fresh = first.groupBy("batch_id").agg(F.count(F.lit(1)).alias("fresh"))
+    rows = docs.join(fresh, "batch_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(0)))
+    rows = rows.withColumn("block", F.floor(F.col("batch_id") / _PROGRESS_BLOCK))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("block").agg(F.sum("fresh").alias("total")).select("block", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("block").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("upto", F.sum("fresh").over(within)).join(bases, "block")
+    return summed.select("batch_id", "n_docs", (F.col("base") + F.col("upto")).cast("long").alias("unique_tokens"))
+
+
+#: Parts the registered forms feed one after the other, each its own micro-batch.
+REGISTERED_PARTS = 4
+
+
+def _fed_in_parts(spark: SparkSession, sf_dir: str, tokenizer_path: str) -> str:
+    """Feed ``documents`` to a restarted stream part by part (by id modulo); returns the sink folder.
+
+    Every start reads what has arrived since, as one micro-batch, and goes on
+    from the checkpoint.
+    """
+    arrivals, out, ckpt = (scratch_path(spark, f"running-{x}") for x in ("in", "out", "checkpoint"))
+    tok = SparkTokenizer(spark, tokenizer_path)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    for part in range(REGISTERED_PARTS):
+        docs.filter(F.pmod("doc_id", F.lit(REGISTERED_PARTS)) == part).write.mode("append").parquet(arrivals)
+        start_running_token_frequency(spark, arrivals, out, ckpt, tok, compact_every=3).awaitTermination()
+    return out
 
 
 def running_token_frequency_table(spark: SparkSession, sf_dir: str, tokenizer_path: str = FIXTURE_TOKENIZER) -> DataFrame:
-    """Registered form: stream ``documents`` to completion, return the totals."""
-    out = scratch_path(spark, "running-freq")
-    ckpt = scratch_path(spark, "running-freq-ckpt")
-    enc = HFTokenizerEncoder.from_path(tokenizer_path, spark=spark)
-    q = start_running_token_frequency(spark, sf_dir, out, ckpt, enc, file_glob="documents.parquet")
-    q.awaitTermination()
-    return running_totals(spark, out)
+    """Registered form: stream ``documents`` in several batches to completion, return the totals."""
+    return running_totals(spark, _fed_in_parts(spark, sf_dir, tokenizer_path))
 
 
 def running_progress_table(spark: SparkSession, sf_dir: str, tokenizer_path: str = FIXTURE_TOKENIZER) -> DataFrame:
-    """Registered form of ST2: stream ``documents`` and return per-batch progress."""
-    out = scratch_path(spark, "running-progress")
-    ckpt = scratch_path(spark, "running-progress-ckpt")
-    enc = HFTokenizerEncoder.from_path(tokenizer_path, spark=spark)
-    q = start_running_token_frequency(spark, sf_dir, out, ckpt, enc, file_glob="documents.parquet")
-    q.awaitTermination()
-    return progress_metrics(spark, out)
+    """Registered form of ST2: stream ``documents`` in several batches, return per-batch progress."""
+    return progress_metrics(spark, _fed_in_parts(spark, sf_dir, tokenizer_path))
