@@ -3,7 +3,8 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 Each query is fully executed through the ``noop`` sink (no collect to the
-driver). Every headline query first runs once on the small sf0.001 tables
+driver), in a shared folder of its own, so that nothing saved by an earlier
+run (the merge closure) is read back. Every headline query first runs once on the small sf0.001 tables
 (JIT, codegen and Python-worker warm-up), then is timed at the target
 scale. ``value`` is the sum of the timed wall times; ``cold`` gives the
 times of a first run in a fresh session for reference.
@@ -15,6 +16,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -25,6 +27,7 @@ from tokscope.session import get_spark  # noqa: E402
 HEADLINE = [
     "pretoken_count",
     "token_frequency",
+    "token_frequency_byte_level",
     "encode_distinct",
     "bpe_fold",
     "merge_closure",
@@ -40,6 +43,7 @@ HEADLINE = [
 
 def _timed(spark, name: str, sf_dir: str) -> float | None:
     """Wall time of one full execution through the ``noop`` sink; None if it failed."""
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tokscope-bench-"))
     t0 = time.perf_counter()
     try:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from tokscope.operators.encode import HFTokenizerEncoder, TiktokenEncoder, decode_sequences, encode_column
 from tokscope.operators.frequency import distinct_token_count, token_frequency, token_frequency_whole_text, top_k
-from tokscope.operators.tokenizer import SparkTokenizer, bpe_ids, bpe_tokens, encode_documents, parse_spec, piece_counts, split_pieces
+from tokscope.operators.tokenizer import RankFile, SparkTokenizer, bpe_ids, bpe_tokens, encode_documents, parse_spec, piece_counts, split_pieces
 from tokscope.session import FIXTURE_BYTE_LEVEL_TOKENIZER, FIXTURE_TOKENIZER
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +88,23 @@ def test_ids_equal_the_library(spark, tmp_path, texts, name):
     assert counts == {x: flat.count(x) for x in set(flat)}
 
 
+def test_rank_file_equals_the_library(spark, texts):
+    """Rank-file encoding in Spark against the library that defines it."""
+    import base64
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tok = RankFile(spark, path)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.ids for r in encode_documents(df, tok.spec, tok.merges, tok.vocab).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == enc.encode_ordinary(t), t[:80]
+
+
 def test_long_text_is_split_whole(spark, tmp_path):
     # Two million characters, with white space that a cut would split differently.
     text = ("bbb   ccc 12,5 and  more\n" * 80_000)[:2_000_000]

@@ -145,7 +145,12 @@ def to_byte_level(text_col: Column | str) -> Column:
     code point's UTF-8 form is assembled arithmetically (all are < 0x800).
     """
     c = F.col(text_col) if isinstance(text_col, str) else text_col
-    hexes = F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit(".."), 0)
+    return bytes_to_byte_level(F.encode(c, "UTF-8"))
+
+
+def bytes_to_byte_level(raw: Column) -> Column:
+    """Bytes in the byte-level alphabet (see ``to_byte_level``)."""
+    hexes = F.regexp_extract_all(F.hex(raw), F.lit(".."), 0)
 
     def one(h: Column) -> Column:
         b = F.conv(h, 16, 10).cast("int")

@@ -42,17 +42,22 @@ def batch_by_count(
     Every ``batch_size`` non-empty rows in ``order_col`` order form one
     batch; the remainder is kept. Rows are numbered with a distributed
     global ordinal (no single-task window); each batch holds at most
-    ``batch_size`` texts.
+    ``batch_size`` texts. Texts are shuffled once, into the ordinal's buckets:
+    a batch that lies within one bucket is put together there, and only the
+    batches cut by a bucket border (at most two per bucket) move again.
     """
     rows = df.filter(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(order_col, *ties, text_col)
-    numbered = with_ordinal(rows, order_col, ties, name="_ord").withColumn(
+    numbered = with_ordinal(rows, order_col, ties, name="_ord", keep_bucket=True).withColumn(
         "batch_no", F.floor(F.col("_ord") / batch_size).cast("long")
     )
-    texts = _sorted_texts("_ord", text_col)
+    item = F.struct(F.col("_ord"), F.col(text_col).alias("_t"))
+    parts = numbered.groupBy("_b", "batch_no").agg(F.collect_list(item).alias("_items"), F.first("_off").alias("_off"), F.first("_n").alias("_n"))
+    inside = (F.col("batch_no") * batch_size >= F.col("_off")) & ((F.col("batch_no") + 1) * batch_size <= F.col("_off") + F.col("_n"))
+    whole = parts.filter(inside).select("batch_no", "_items")
+    cut = parts.filter(~inside).groupBy("batch_no").agg(F.flatten(F.collect_list("_items")).alias("_items"))
+    texts = F.transform(F.array_sort("_items"), lambda x: x["_t"])
     body = F.array_join(texts, sep) if sep is not None else texts
-    return numbered.groupBy("batch_no").agg(
-        F.count(F.lit(1)).alias("n_docs"), body.alias("text" if sep is not None else "texts")
-    )
+    return whole.unionByName(cut).select("batch_no", F.size("_items").cast("long").alias("n_docs"), body.alias("text" if sep is not None else "texts"))
 
 
 def batch_lines(

@@ -49,6 +49,7 @@ def with_ordinal(
     name: str = "ordinal",
     descending: bool = False,
     partitions: int | None = None,
+    keep_bucket: bool = False,
 ) -> DataFrame:
     """Add a 0-based ``name`` following numeric ``key`` (then ``ties``, ascending).
 
@@ -56,20 +57,22 @@ def with_ordinal(
     when equal keys must be numbered repeatably. All rows with one key value
     share a bucket, so a key value holding a large share of the rows makes
     one large bucket (still correct; the uses here sort unique ids or
-    vocabulary-sized tables).
+    vocabulary-sized tables). With ``keep_bucket`` the bucket ``_b``, the
+    ordinal of its first row ``_off`` and its number of rows ``_n`` are kept; the rows
+    are partitioned by ``_b``.
     """
     k = F.col(key).cast("double")
     keyed = df.withColumn("_k", -k if descending else k)
     splits = split_points(keyed, "_k", _parts(df, partitions))
     bucketed = Bucketizer(splits=splits, inputCol="_k", outputCol="_b", handleInvalid="keep").transform(keyed)
     # NaN keys get bucket len(splits) - 1 from ``keep``; NULL keys get the one after it (nulls last).
-    bucketed = bucketed.withColumn("_b", F.coalesce(F.col("_b"), F.lit(float(len(splits)))))
+    bucketed = bucketed.withColumn("_b", F.coalesce(F.col("_b"), F.lit(float(len(splits)))).cast("int"))
     counts = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = counts.select("_b", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     order = [F.col("_k").asc_nulls_last(), F.col(key).desc() if descending else F.col(key).asc()]
     order += [F.col(t).asc() for t in ties]
     local = bucketed.withColumn("_local", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
     # ``offsets`` has one row per bucket (at most ``partitions`` + 1 rows).
     out = local.join(F.broadcast(offsets), "_b").withColumn(name, (F.col("_off") + F.col("_local") - 1).cast("long"))
-    return out.drop("_k", "_b", "_off", "_local")
+    return out.drop("_k", "_local") if keep_bucket else out.drop("_k", "_b", "_off", "_n", "_local")

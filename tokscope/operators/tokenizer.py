@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokscope.functions.text import to_byte_level
+from tokscope.functions.text import bytes_to_byte_level, to_byte_level
 from tokscope.session import bounded_broadcast
 from tokscope.sources.vocab import load_merges, load_vocab, read_tokenizer
 
@@ -45,6 +45,31 @@ class SparkTokenizer:
         return HFTokenizerEncoder.from_text(self.spec.text, add_special_tokens, self.spark)
 
 
+class RankFile:
+    """A rank file (one ``base64 rank`` line per token) opened in a session, for ``token_frequency`` and the like.
+
+    Such encoders join the neighbours whose union has the lowest rank, so every
+    split of a token into two tokens is a merge with the token's rank; a
+    piece that is a token is taken whole. ``pattern`` is the encoding's split.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, pattern: str = BYTE_LEVEL_PATTERN):
+        self.spark, self.path = spark, path
+        fields = F.split("value", " ")
+        raw = spark.read.text(path).filter("value <> ''").select(fields[1].cast("int").alias("token_id"), F.unbase64(fields[0]).alias("raw"))
+        self.vocab = raw.select("token_id", bytes_to_byte_level(F.col("raw")).alias("token"), F.lit(False).alias("special")).cache()
+        cuts = self.vocab.filter(F.length("token") > 1).select("token", F.col("token_id").alias("rank"), F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("k"))
+        pairs = cuts.select("rank", F.substring("token", F.lit(1), F.col("k")).alias("left"), F.expr("substring(token, k + 1)").alias("right"))
+        known = bounded_broadcast(self.vocab.select(F.col("token").alias("part")))
+        pairs = pairs.join(known, F.col("left") == F.col("part"), "left_semi").join(known, F.col("right") == F.col("part"), "left_semi")
+        self.merges = pairs.cache()
+        longest = self.vocab.agg(F.max(F.length("token"))).first()[0] or 1
+        self.spec = TokenizerSpec("", (Stage("(?U)" + pattern),), {}, True, True, "", None, True, longest, ("\x01", "\x02", "\x03"))
+
+    def library_encoder(self):
+        raise NotImplementedError("rank files are always encoded by Spark")
+
+
 def java_literal(text: str) -> str:
     """A Java regex that matches ``text`` itself."""
     return "".join(c if c.isalnum() or c == "_" else f"\\x{{{ord(c):X}}}" for c in text)

@@ -29,7 +29,7 @@ from tokscope.operators.ranking import (
     rarest_script_tokens,
     shuffle_rows,
 )
-from tokscope.operators.tokenizer import bpe_ids, bpe_tokens, encode_documents
+from tokscope.operators.tokenizer import RankFile, bpe_ids, bpe_tokens, encode_documents
 from tokscope.plans.context import Context
 from tokscope.session import FIXTURE_BYTE_LEVEL_TOKENIZER, scratch_path, table_path
 from tokscope.sinks.writers import read_or_compute, write_frequencies, write_merge_closure, write_metrics, write_ranked
@@ -103,6 +103,13 @@ def q_token_frequency_byte_level(spark, sf_dir):
     return Context(spark, sf_dir, FIXTURE_BYTE_LEVEL_TOKENIZER, vocab_mode="byte_level").freq
 
 
+def q_encode_gpt(spark, sf_dir):
+    """Token counts by a public rank file (``gpt``-style encoding), found on every machine by its package."""
+    import public_tokenizers
+
+    return token_frequency(_ctx(spark, sf_dir).docs, RankFile(spark, public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
 def q_decode_sequence(spark, sf_dir):
     """T1 then T5: every document encoded and decoded back."""
     c = _ctx(spark, sf_dir)
@@ -450,6 +457,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "distinct_token_count": q_distinct_token_count,
     "encode_distinct": q_encode_distinct,
     "bpe_fold": q_bpe_fold,
+    "encode_gpt": q_encode_gpt,
     "decode_sequence": q_decode_sequence,
     "merge_edges": q_merge_edges,
     "merge_closure": q_merge_closure,
