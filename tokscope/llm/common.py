@@ -18,7 +18,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Text bytes handled by one numpy block inside a Python task.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 18
+#: Bytes of one Arrow batch (a larger row is a batch of its own).
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,17 +36,29 @@ def compact(df: DataFrame) -> DataFrame:
     return df.hint("rebalance").coalesce(default_parallelism(df.sparkSession))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared checkpoint folder and read it back."""
+def written(df: DataFrame, name: str, even: bool = True) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared checkpoint folder and read it back.
+
+    With ``even`` false no shuffle is added for it; that suits a large result
+    that comes out of a shuffle anyway.
+    """
     spark = df.sparkSession
     ship_package(spark)
     path = scratch_path(spark, name)
-    compact(df).write.parquet(path)
+    (compact(df) if even else df.coalesce(default_parallelism(spark))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def python_tasks(spark: SparkSession) -> None:
+    """Prepare a session for Python tasks over texts: ship the code, bound the Arrow batches.
+
+    A batch of 10,000 long texts would be hundreds of MB in the worker and
+    again in the JVM; unless the session says otherwise, a batch ends after ``BATCH_BYTES``.
+    """
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).lower() in ("64m", "64mb", "67108864b", "67108864"):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -185,11 +199,11 @@ __all__ = [
     "ensure_checkpoint_dir",
     "mix64",
     "powers",
+    "python_tasks",
     "prefix_hash",
     "read_table",
     "scratch_path",
     "shingle_hashes",
-    "shuffle_parts",
     "strip_spaces",
     "text_blocks",
     "word_hashes",

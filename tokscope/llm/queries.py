@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokscope.llm.common import documents, read_table
+from tokscope.llm.common import default_parallelism, documents, read_table
 from tokscope.llm.decontaminate import find_leaks
 from tokscope.llm.html_extract import extract
 from tokscope.llm.lang_id import identify_languages
@@ -23,9 +23,14 @@ from tokscope.llm.url_filter import filter_urls
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
+def _few_files(df: DataFrame) -> DataFrame:
+    """Results that end in a shuffle: their rows are small, one file per core holds them."""
+    return df.coalesce(default_parallelism(df.sparkSession))
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), min_chars=40, min_docs=5)
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    return _few_files(kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +38,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(documents(spark, sf_dir), width=4, percent=85)
+    return _few_files(ngram_components(documents(spark, sf_dir), width=4, percent=85))
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +60,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir), max_tokens=1024)
+    return _few_files(pack_documents(documents(spark, sf_dir), max_tokens=1024))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir), min_length=100, with_kept=False)
+    return _few_files(remove_repeats(documents(spark, sf_dir), min_length=100, with_kept=False))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

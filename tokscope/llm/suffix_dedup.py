@@ -9,8 +9,8 @@ earlier (smaller ``doc_id``, or earlier in the same document).
    anchor by anchor. Neighbouring windows with one anchor form a segment; one
    row per segment is shuffled (about one per 37 bytes of text), and rows whose
    anchor occurs once end here.
-2. *Copies.* Segments with equal bytes are one entry; all but the first
-   occurrence are repeats as a whole.
+2. *Copies.* Of segments with equal bytes, all but the first occurrence are
+   repeats as a whole (those within a batch are told before the shuffle).
 3. *Interval expansion.* Where an anchor has several different segments, their
    bytes are gathered (once each). A task concatenates the segments of its
    anchors, builds the Burrows-Wheeler transform, and extends intervals
@@ -30,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokscope.llm.common import _BYTE_CODE, mix64, powers, prefix_hash, text_blocks, written
-from tokscope.session import ship_package
+from tokscope.llm.common import _BYTE_CODE, mix64, powers, prefix_hash, python_tasks, text_blocks, written
 
 MIN_LENGTH = 100
 SEED = 28
@@ -96,130 +95,163 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, seed: int = SEE
     return row_of[start].astype(np.int64), start, size, apos, anchor, digest
 
 
-SEGMENT = "anchor long, digest long, doc_id long, row_mark int, start int, size int, lead int"
+SEGMENT = "anchor long, digest long, doc_id long, row_mark int, start int, size int, lead int, copy boolean"
+
+
+def local_copies(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, mark: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether an equal segment stands earlier among the given ones."""
+    order = np.lexsort((at, mark, doc, anchor, digest))
+    d, a = digest[order], anchor[order]
+    same = np.concatenate([[False], (d[1:] == d[:-1]) & (a[1:] == a[:-1])])
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    first = order[head]
+    out = np.zeros(len(order), bool)
+    out[order] = same & ((doc[first] != doc[order]) | (mark[first] != mark[order]) | (at[first] != at[order]))
+    return out
 
 
 def _segment_rows(length: int):
-    """Task: one row per segment; ``lead`` is the distance from its start to its anchor."""
+    """Task: one row per segment; ``lead`` is the distance from its start to its anchor.
+
+    A segment that repeats one of the same batch is a ``copy`` whatever the
+    rest holds. It gets an anchor of its own, so that a segment
+    which very many documents share is shuffled at most once per batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             marks = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), np.int32)
+            parts = []
             for first, _, data, offsets in text_blocks(batch):
                 row, start, size, apos, anchor, digest = segments(data, offsets, length)
-                cols = [anchor.view(np.int64), digest.view(np.int64), ids[first + row], marks[first + row]]
-                cols += [(start - offsets[row]).astype(np.int32), size.astype(np.int32), (apos - start).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in SEGMENT.split(", ")])
+                parts.append((anchor, digest, ids[first + row], marks[first + row], start - offsets[row], size, apos - start))
+            if not parts:
+                continue
+            anchor, digest, doc, mark, start, size, lead = (np.concatenate(c) for c in zip(*parts, strict=True))
+            copy = local_copies(anchor, digest, doc, mark, start + lead)
+            anchor[copy] = mix64(digest[copy] + start[copy].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + doc[copy].astype(np.uint64))
+            cols = [anchor.view(np.int64), digest.view(np.int64), doc, mark, start.astype(np.int32), size.astype(np.int32), lead.astype(np.int32), copy]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in SEGMENT.split(", ")])
 
     return run
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of a text (values below 2**16) whose terminators are told apart by place.
+def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
+    """Suffixes sorted by at least their first ``length`` symbols (prefix doubling).
 
-    ``text`` is 0 at terminators; a suffix ends at its terminator, and of two
-    suffixes equal up to their terminators the earlier one comes first.
+    ``text`` holds codes from 0 on. Longer common prefixes are left in any
+    order: intervals of strings of up to ``length`` symbols are unions of
+    such ties, so the expansion sees the same intervals either way.
     """
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    rank = np.zeros(n, np.int64)
-    # Every terminator has a rank of its own.
-    new = (text[order][1:] != text[order][:-1]) | (text[order][1:] == 0)
-    rank[order[1:]] = np.cumsum(new)
-    step = 1
-    while rank[order[-1]] < n - 1:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+    bits = int(text.max()).bit_length() or 1
+    step = max(1, min(62 // bits, length))
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key[: n - k] |= text[k:].astype(np.int64) << (bits * (step - 1 - k))
+    while True:
+        order = np.argsort(key)
         ranked = key[order]
+        rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
+        if step >= length or rank[order[-1]] == n - 1:
+            return order
+        key = rank * (n + 1)
+        key[: n - step] += rank[step:] + 1
         step *= 2
-        if step > n:
-            break
-    return order
 
 
-def expand_intervals(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
-    """Marks ``b`` with ``b[i]`` true if suffixes ``sa[i-1]`` and ``sa[i]`` share less than ``length`` symbols.
+def expand_intervals(text: np.ndarray, sa: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Split the suffixes by their first ``length`` symbols with the Burrows-Wheeler transform.
+
+    Breadth-first backward extension: an interval of ``sa`` holds the suffixes
+    that begin with some string; each symbol before them (in the transform)
+    gives the interval of the string longer by one. An interval is followed only if one
+    of its borders is new, so common prefixes come out by increasing
+    length, and the search ends at ``length``. Symbol 0 separates texts and is
+    never extended over. An interval of one suffix is not followed: a suffix
+    that is unique from ``u`` symbols on makes the one before it unique from ``u + 1`` on.
 
-    Breadth-first backward extension: an interval of the suffix array holds
-    the suffixes that begin with some string; each symbol found before
-    them (in the transform) gives the interval of the longer string. An interval is
-    followed only if it separates neighbours not separated yet, so common prefixes come
-    out by increasing length, and the search ends at ``length``.
+    Returns, in suffix order, the borders found and whether each suffix shares its first ``length``
+    symbols with another one; of those that do, two are equal if no border lies between them.
     """
     n = len(text)
     bwt = text[sa - 1]
-    # Position of each suffix's one-symbol extension: stable order of the transform.
-    lf = np.empty(n, np.int64)
-    lf[np.argsort(bwt, kind="stable")] = np.arange(n)
-    apart = np.zeros(n + 1, bool)
-    apart[0] = apart[n] = True
-    begins, ends = np.array([0]), np.array([n])
-    level = 0
-    while len(begins) and level < length:
-        sizes = ends - begins
-        which = np.repeat(np.arange(len(begins)), sizes)
-        at = np.repeat(begins - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(len(which))
-        if level == 0:
-            # The empty string's interval: one interval per symbol.
-            first = np.searchsorted(text[sa], np.unique(text))
-            lo, hi = first, np.append(first[1:], n)
-        else:
-            # Same interval and symbol are neighbours after a stable sort by target, as targets of a symbol are consecutive.
-            symbol = bwt[at]
-            key = which * 65536 + symbol
-            order = np.argsort(key, kind="stable")
-            k = key[order]
-            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            tail = np.append(head[1:], len(k)) - 1
-            lo, hi = lf[at[order[head]]], lf[at[order[tail]]] + 1
-            real = symbol[order[head]] != 0
-            lo, hi = lo[real], hi[real]
-        fresh = ~apart[hi] | ~apart[lo]
-        apart[lo] = True
-        apart[hi] = True
-        begins, ends = lo[fresh], hi[fresh]
+    # A suffix's place after one more symbol: the stable order of the transform's symbols.
+    lf = np.empty(n, np.int32)
+    lf[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
+    border = np.zeros(n + 1, bool)
+    border[[0, n]] = True
+    unique = np.full(n + 1, length + 1, np.int64)
+    lo = np.searchsorted(text[sa], np.unique(text))
+    hi = np.append(lo[1:], n)
+    real = text[sa[lo]] != 0
+    border[lo] = True
+    lo, hi = lo[real], hi[real]
+    level = 1
+    while True:
+        one = hi - lo == 1
+        unique[sa[lo[one]]] = np.minimum(unique[sa[lo[one]]], level)
+        lo, hi = lo[~one], hi[~one]
+        if level >= length or not len(lo):
+            break
+        sizes = hi - lo
+        which = np.repeat(np.arange(len(lo), dtype=np.int32), sizes)
+        at = np.repeat((lo - np.concatenate([[0], np.cumsum(sizes)[:-1]])).astype(np.int32), sizes) + np.arange(len(which), dtype=np.int32)
+        inner = bwt[at] != 0
+        which, at = which[inner], at[inner]
+        place = lf[at]
+        # Sorted by place, one interval's suffixes with one symbol before them are neighbours.
+        order = np.argsort(place)
+        place, which, symbol = place[order], which[order], bwt[at[order]]
+        head = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (symbol[1:] != symbol[:-1])])) if len(place) else np.zeros(0, np.int64)
+        lo, hi = place[head], place[np.append(head[1:], len(place)) - 1] + 1 if len(place) else np.zeros(0, np.int64)
+        fresh = ~(border[lo] & border[hi])
+        border[lo] = True
+        border[hi] = True
+        lo, hi = lo[fresh], hi[fresh]
         level += 1
-    return apart[:n]
+    # unique from u on at p: unique from u + k on at p - k.
+    reach = np.minimum.accumulate((unique + np.arange(n + 1))[::-1])[::-1] - np.arange(n + 1)
+    return border[:n], reach[sa] > length
 
 
 def repeated_windows(segs: list[bytes], places: list[tuple], length: int) -> list[np.ndarray]:
     """Per segment: starts (within it) of the windows that an earlier segment also holds.
 
-    ``places`` orders the segments; the order must be strict.
+    ``places`` orders the segments strictly.
     """
-    total = sum(len(s) + 1 for s in segs)
-    text = np.zeros(total, np.int32)
-    owner, at = np.empty(total, np.int32), 0
-    starts = np.empty(len(segs), np.int64)
-    for i, s in enumerate(segs):
-        text[at : at + len(s)] = np.frombuffer(s, np.uint8)
-        text[at : at + len(s)] += 1
-        owner[at : at + len(s) + 1] = i
-        starts[i] = at
-        at += len(s) + 1
-    sa = suffix_array(text)
-    apart = expand_intervals(text, sa, length)
-    lengths = np.fromiter((len(s) for s in segs), np.int64, len(segs))
-    within = sa - starts[owner[sa]]
-    whole = within + length <= lengths[owner[sa]]
-    group = np.cumsum(apart)
+    sizes = np.fromiter((len(s) for s in segs), np.int64, len(segs))
+    raw = np.frombuffer(b"\0".join(segs) + b"\0", np.uint8)
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    # Dense codes from 1 on, 0 between segments (whatever bytes they hold).
+    code = np.zeros(256, np.int32)
+    present = np.flatnonzero(np.bincount(raw, minlength=256))
+    code[present] = np.arange(1, len(present) + 1)
+    text = code[raw]
+    text[starts + sizes] = 0
+    sa = suffix_order(text, length)
+    border, shared = expand_intervals(text, sa, length)
+    owner = np.repeat(np.arange(len(segs)), sizes + 1)[sa]
+    within = sa - starts[owner]
+    pick = np.flatnonzero(shared & (within + length <= sizes[owner]))
+    group = np.cumsum(border)[pick]
+    owner, within = owner[pick], within[pick]
     order = np.empty(len(segs), np.int64)
     order[sorted(range(len(segs)), key=places.__getitem__)] = np.arange(len(segs))
-    place = order[owner[sa]]
-    first = np.full(group[-1] + 1, len(segs), np.int64)
-    np.minimum.at(first, group[whole], place[whole])
-    again = whole & (place > first[group])
+    place = order[owner]
+    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    first = np.minimum.reduceat(place, heads) if len(group) else place
+    again = place > np.repeat(first, np.diff(np.append(heads, len(group))))
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(segs)
-    who, where = owner[sa[again]], within[again]
+    who, where = owner[again], within[again]
     by = np.argsort(who, kind="stable")
     who, where = who[by], where[by]
     cuts = np.flatnonzero(np.diff(who)) + 1
-    for part, w in zip(np.split(where, cuts), who[np.concatenate([[0], cuts]).astype(int)] if len(who) else [], strict=False):
-        out[w] = part
+    if len(who):
+        for k, part in zip(who[np.concatenate([[0], cuts])], np.split(where, cuts), strict=True):
+            out[k] = part
     return out
 
 
@@ -233,13 +265,18 @@ def _expand_rows(length: int):
         def spans() -> pa.RecordBatch:
             # Windows of different anchors never are equal, so one transform serves many anchors.
             found = repeated_windows([r[5] for r in held], [(r[1], r[2], r[3] + r[4]) for r in held], length)
-            doc, mark, lo = [], [], []
+            doc, mark, start, size = [], [], [], []
             for r, windows in zip(held, found, strict=True):
-                doc += [r[1]] * len(windows)
-                mark += [r[2]] * len(windows)
-                lo.append(windows + r[3])
-            start = np.concatenate(lo).astype(np.int32) if lo else np.zeros(0, np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(mark, pa.int32()), pa.array(start), pa.array(np.full(len(start), length, np.int32))], ["doc_id", "row_mark", "start", "size"])
+                if len(windows):
+                    # Windows that overlap are one span.
+                    w = np.sort(windows)
+                    gaps = np.flatnonzero(np.diff(w) > length)
+                    begins, ends = w[np.append(0, gaps + 1)], w[np.append(gaps, len(w) - 1)] + length
+                    doc += [r[1]] * len(begins)
+                    mark += [r[2]] * len(begins)
+                    start += (begins + r[3]).tolist()
+                    size += (ends - begins).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((doc, pa.int64()), (mark, pa.int32()), (start, pa.int32()), (size, pa.int32()))], ["doc_id", "row_mark", "start", "size"])
 
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
@@ -284,20 +321,20 @@ def _cut_rows(with_kept: bool):
 def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """Spans to remove: ``doc_id, row_mark, start, size`` (they may overlap)."""
     spark = docs.sparkSession
-    ship_package(spark)
+    python_tasks(spark)
     rows = docs.select("doc_id", "text", "row_mark")
     found = rows.mapInArrow(_segment_rows(min_length), SEGMENT)
+    # One shuffle by anchor serves all of these; equal segments stand side by side, the first occurrence first.
     by_anchor = Window.partitionBy("anchor")
-    shared = written(found.withColumn("k", F.count(F.lit(1)).over(by_anchor)).filter("k > 1").drop("k"), "repeat-segments")
-
-    place = F.struct("doc_id", "row_mark", (F.col("start") + F.col("lead")).alias("at"))
-    firsts = shared.groupBy("anchor", "digest").agg(F.min(place).alias("first"), F.first("size").alias("size"), F.first("lead").alias("lead"))
-    firsts = written(firsts, "repeat-firsts")
-    copies = shared.join(firsts.select("anchor", "digest", "first"), ["anchor", "digest"]).filter(place != F.col("first")).select("doc_id", "row_mark", "start", "size")
-
-    several = firsts.withColumn("k", F.count(F.lit(1)).over(by_anchor)).filter("k > 1")
-    several = several.select("anchor", "first.doc_id", "first.row_mark", (F.col("first.at") - F.col("lead")).alias("start"), "lead", "size")
-    wanted = written(several.groupBy("doc_id", "row_mark").agg(F.collect_list(F.struct("anchor", "start", "lead", "size")).alias("parts")), "repeat-wanted")
+    in_order = Window.partitionBy("anchor", "digest").orderBy("doc_id", "row_mark", F.col("start") + F.col("lead"))
+    found = found.withColumn("r", F.rank().over(in_order)).withColumn("lo", F.min("digest").over(by_anchor)).withColumn("hi", F.max("digest").over(by_anchor))
+    found = found.withColumn("again", F.col("copy") | (F.col("r") > 1)).filter("again or lo < hi")
+    kept = found.select("anchor", "doc_id", "row_mark", "start", "size", "lead", "again")
+    found = written(kept, "repeat-segments", even=False)
+    copies = found.filter("again").select("doc_id", "row_mark", "start", "size")
+
+    several = found.filter("not again").groupBy("doc_id", "row_mark").agg(F.collect_set(F.struct("anchor", "start", "lead", "size")).alias("parts"))
+    wanted = written(several, "repeat-wanted")
     few = wanted.count() <= MAX_BROADCAST_IDS
     ids = wanted.select("doc_id").distinct()
     texts = rows.join(F.broadcast(ids), "doc_id", "left_semi") if few else rows
