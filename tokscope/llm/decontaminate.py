@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokscope.llm.common import mix64, shingle_hashes, text_blocks, word_hashes
-from tokscope.session import ship_package
+from tokscope.llm.common import mix64, python_tasks, shingle_hashes, text_blocks, word_hashes
 
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
@@ -186,7 +185,7 @@ LEAK = "item_id long, similarity double, word_start long, n_words int, distance
 
 def leak_finder(spark: SparkSession, items: list[tuple[int, str]], similarity: float, radius: int, width: int):
     """Column function ``text -> array of`` :data:`LEAK` for some benchmark items."""
-    ship_package(spark)
+    python_tasks(spark)
     shared = spark.sparkContext.broadcast(([i for i, _ in items], [t for _, t in items]))
     key = uuid.uuid4().hex
 

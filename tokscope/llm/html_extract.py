@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokscope.session import ship_package
+from tokscope.llm.common import python_tasks
+
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math select option xmp noembed noframes".split())
@@ -291,7 +292,7 @@ def extract(pages: DataFrame) -> DataFrame:
     without text, gives ''. Broken markup is repaired. Text without any markup
     is the main text. Repeated rows are extracted each. ``n_chars`` counts code points.
     """
-    ship_package(pages.sparkSession)
+    python_tasks(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

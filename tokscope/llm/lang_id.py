@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokscope.llm.common import mix64, text_blocks
-from tokscope.session import ship_package
+from tokscope.llm.common import mix64, python_tasks, text_blocks
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -89,7 +88,7 @@ class LanguageModel:
 
 def train(docs: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS, smoothing: float = 0.5) -> LanguageModel | None:
     """Fit on the rows of ``text, lang`` with a language; None if there are none."""
-    ship_package(docs.sparkSession)
+    python_tasks(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -139,7 +138,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     Repeated rows are scored each; other columns are not read.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    python_tasks(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokscope.llm.common import written
-from tokscope.session import ship_package
+from tokscope.llm.common import python_tasks, written
 
 MAX_TOKENS = 1024
 END_ID = 2
@@ -101,7 +100,7 @@ def encode_pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: str
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    ship_package(docs.sparkSession)
+    python_tasks(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
