@@ -4,19 +4,21 @@ Every document is the set of its word n-grams, each set sorted by one global
 order: rare n-grams first, the few frequent ones (at least one in ``2**18`` of
 all) last, hash order within both. Two sets with similarity ``t`` share an
 n-gram among their first ``n - ceil(t n) + 1``, so only these prefixes are
-shuffled, and only n-grams that two different sets have in their prefix go on.
+shuffled, and only n-grams that two different sets have in their prefix go on,
+for those documents that have a partner there whose sketch (members per hash
+range, a bound of every overlap from above) allows a link.
 
 Candidates are verified inside tasks with a prefix tree: ordered sets that
 begin alike share the nodes of their common part, a probe walks the tree
 once for all of them, and a subtree is left as soon as its remaining lengths
 cannot reach the needed overlap. Documents with equal sets are one node from
 the start. First each prefix n-gram's documents are compared with one *leader*
-(linear in the group, which settles groups of copies). What still lies in
-different components afterwards is looked through block by block on sketches,
-counts of members per hash range, whose sums of minima bound every
-overlap from above; only pairs of different components that may still link
-are fetched and verified, until none is left. Never do all pairs of a group
-leave a task.
+(linear in the group, which settles groups of copies). For what still lies in
+different components is joined to families, again unless sketches forbid it.
+Within a family, block by block, the
+shared prefix n-grams of each pair are counted: sets that are linked share far
+more of them than one, which leaves few pairs to fetch and verify; a document's closest one in each other component comes first,
+then the others, until none is left.
 """
 
 from __future__ import annotations
@@ -28,9 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokscope.llm.common import mix64, shingle_hashes, text_blocks, word_hashes, written
+from tokscope.llm.common import mix64, python_tasks, shingle_hashes, text_blocks, word_hashes, written
 from tokscope.llm.components import connected_components
-from tokscope.session import ship_package
 
 #: An n-gram is frequent if it makes up at least one in so many of all set members; so there are at most as many.
 FREQUENT_SHARE = 1 << 18
@@ -41,6 +42,8 @@ BLOCK_SETS = 256
 #: Documents fetched by broadcast id up to this number (8 bytes each), by a shuffle join beyond.
 MAX_BROADCAST_IDS = 2_000_000
 LEADER_ROUNDS = 2
+#: Rows of one leading document that are counted in one task.
+ROWS_PER_LEAD = 5_000
 
 
 def needed_overlap(n: int, m: int, percent: int) -> int:
@@ -120,10 +123,11 @@ class PrefixTree:
 
 
 def _set_rows(width: int):
-    """Task: ``(0, doc_id, n, h1, h2)`` per document and ``(1, n-gram, count, 0, 0)`` per locally frequent n-gram."""
+    """Task: ``(0, doc_id, n, h1, h2, sketch)`` per document, ``(1, n-gram, count)`` per locally frequent n-gram, ``(2, 0, members)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
+        names = ["kind", "id", "n", "h1", "h2", "sketch"]
 
         def frequent() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -131,20 +135,22 @@ def _set_rows(width: int):
             k = int(often.sum()) + 1
             zero = pa.array(np.zeros(k, np.int64))
             kind = pa.array(np.append(np.ones(k - 1, np.int32), 2), pa.int32())
-            return pa.RecordBatch.from_arrays([kind, pa.array(np.append(values[often].view(np.int64), 0)), pa.array(np.append(counts[often], total)), zero, zero], ["kind", "id", "n", "h1", "h2"])
+            return pa.RecordBatch.from_arrays([kind, pa.array(np.append(values[often].view(np.int64), 0)), pa.array(np.append(counts[often], total)), zero, zero, pa.nulls(k, pa.binary())], names)
 
         for batch in batches:
             n, h1, h2 = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
+            sketches = []
             for first, _, data, offsets in text_blocks(batch):
                 for k, s in enumerate(_sets(data, offsets, width), first):
                     n[k], h1[k], h2[k] = len(s), mix64(s.copy()).sum(), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum()
+                    sketches.append(sketch(s))
                     held.append(s)
                     total += len(s)
                 if total >= _COUNT_CHUNK:
                     yield frequent()
                     held, total = [], 0
             kind = pa.array(np.zeros(batch.num_rows, np.int32))
-            yield pa.RecordBatch.from_arrays([kind, batch.column(0), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["kind", "id", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([kind, batch.column(0), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sketches, pa.binary())], names)
         if held:
             yield frequent()
 
@@ -225,99 +231,250 @@ def _linked(width: int, percent: int, shared):
     return run
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """How many members of a sorted 63-bit set fall into each of ``2**k`` hash ranges (about four a range)."""
-    k = max(3, int(np.ceil(np.log2(max(len(values), 1) / 4))))
+def shared_prefix_needed(n: int, m: int, percent: int) -> int:
+    """N-grams that two linked sets must share within their prefixes.
+
+    Of two prefixes one ends first in the global order; whatever the sets
+    share and is not in both prefixes then lies behind that one, in at most
+    ``n - prefix_length(n)`` places.
+    """
+    behind = max(n - prefix_length(n, percent), m - prefix_length(m, percent))
+    return max(1, needed_overlap(n, m, percent) - behind)
+
+
+def sketch(values: np.ndarray) -> bytes:
+    """Members of a sorted 63-bit set per hash range, about 16 a range, one byte each; empty if one overflows."""
+    k = max(3, int(np.ceil(np.log2(max(len(values), 1) / 16))))
     counts = np.bincount((values >> np.uint64(63 - k)).astype(np.int64), minlength=1 << k)
-    return np.minimum(counts, 255).astype(np.uint8)
+    return counts.astype(np.uint8).tobytes() if counts.max() <= 255 else b""
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """Upper bound of the intersection of two sets from their sketches (255 counts as unbounded)."""
-    a, b = (x.astype(np.int32) for x in (a, b))
-    while len(a) > len(b):
-        a = a.reshape(-1, 2).sum(axis=1) + 1_000_000 * (a.reshape(-1, 2) >= 255).any(axis=1)
-    while len(b) > len(a):
-        b = b.reshape(-1, 2).sum(axis=1) + 1_000_000 * (b.reshape(-1, 2) >= 255).any(axis=1)
-    return int(np.minimum(np.where(a == 255, 1 << 30, a), np.where(b == 255, 1 << 30, b)).astype(np.int64).sum())
+    """Upper bound of the intersection of two sets by their sketches: ranges share at most the smaller count."""
+    if len(a) != len(b):
+        if len(a) > len(b):
+            a, b = b, a
+        if not len(a):
+            return 1 << 62
+        b = b.reshape(len(a), -1).sum(axis=1)
+    return int(np.minimum(a, b).sum(dtype=np.int64))
+
+
+def _families(percent: int):
+    """Task over ``(lead, token, block, other, side, doc_id, n, root, sketch)``, groups (the first four) together.
+
+    Joins components that have documents whose sizes and sketches allow a link,
+    directly or through others: edges ``(a, b)`` of component roots, at most one
+    per component and leading document, not one per pair.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, lead, rows, edges = None, None, [], []
+        parent: dict[int, int] = {}
+        apart: set[tuple[int, int]] = set()
 
-def _may_link(n: int, a: np.ndarray, m: int, b: np.ndarray, percent: int) -> bool:
-    if 100 * min(n, m) < percent * max(n, m):
-        return False
-    return overlap_bound(a, b) >= needed_overlap(n, m, percent)
+        def find(x: int) -> int:
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
 
+        def close() -> None:
+            rows.sort(key=lambda r: (r[2], r[1]))
+            for i, (side, doc, n, root, own) in enumerate(rows):
+                for side2, doc2, m, root2, other in rows[i + 1 :]:
+                    if percent * m > 100 * n:
+                        break
+                    if root2 == root or (side == side2 and side != 2) or find(root) == find(root2):
+                        continue
+                    if (doc, doc2) in apart:
+                        continue
+                    if overlap_bound(own, other) >= needed_overlap(n, m, percent):
+                        parent[find(root)] = find(root2)
+                        edges.append((root, root2))
+                    else:
+                        apart.add((doc, doc2))
 
-def _sketch_rows(width: int):
-    """Task: ``(doc_id, n, sketch)``."""
+        def out() -> pa.RecordBatch:
+            a, b = [e[0] for e in edges], [e[1] for e in edges]
+            edges.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
+                if row[:4] != group:
+                    close()
+                    rows = []
+                    if row[0] != lead:
+                        parent.clear()
+                        apart.clear()
+                    elif len(apart) >= 200_000:
+                        apart.clear()
+                    group, lead = row[:4], row[0]
+                rows.append((*row[4:8], np.frombuffer(row[8], np.uint8)))
+            if edges:
+                yield out()
+        close()
+        yield out()
+
+    return run
+
+
+def _alike(percent: int):
+    """Task over ``(lead, token, block, other, side, doc_id, n, sketch)``, groups (the first four) together.
+
+    Keeps ``(token, doc_id, n)`` of documents that some other document of the
+    n-gram may be linked with, by sizes and sketches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, lead, rows, kept = None, None, [], []
+        known: dict[tuple[int, int], bool] = {}
+
+        def close() -> None:
+            rows.sort(key=lambda r: (r[2], r[1]))
+            good = [False] * len(rows)
+            for i, (side, doc, n, own) in enumerate(rows):
+                for j in range(i + 1, len(rows)):
+                    side2, doc2, m, other = rows[j]
+                    if percent * m > 100 * n:
+                        break
+                    if (good[i] and good[j]) or (side == side2 and side != 2):
+                        continue
+                    key = (doc, doc2)
+                    if key not in known:
+                        known[key] = overlap_bound(own, other) >= needed_overlap(n, m, percent)
+                    if known[key]:
+                        good[i] = good[j] = True
+            kept.extend((group[1], r[1], r[2]) for r, ok in zip(rows, good, strict=True) if ok)
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*kept, strict=True)) or [[]] * 3
+            kept.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["token", "doc_id", "n"])
+
         for batch in batches:
-            n, out = [], []
-            for _, _, data, offsets in text_blocks(batch):
-                for s in _sets(data, offsets, width):
-                    n.append(len(s))
-                    out.append(sketch(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(out, pa.binary())], ["doc_id", "n", "sketch"])
+            for row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if row[:4] != group:
+                    close()
+                    rows = []
+                    if row[0] != lead or len(known) >= 200_000:
+                        known.clear()
+                    group, lead = row[:4], row[0]
+                rows.append((*row[4:7], np.frombuffer(row[7], np.uint8)))
+            if kept:
+                yield out()
+        close()
+        yield out()
 
     return run
 
 
-def _pair_filter(percent: int):
-    """Column function: whether two sets may link, by sizes and sketches."""
+def _led(t: DataFrame, sketches: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows ``token, doc_id, n, lead, k`` with sketches, those of one leading document together, in even parts."""
+    led = t.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_LEAD).alias("parts"))
+    # A document that leads very many rows has its n-grams dealt into parts, a large group its pairs of blocks.
+    rows = t.join(led, "lead").withColumn("part", F.pmod(F.xxhash64("token"), F.col("parts"))).withColumn("blocks", F.ceil(F.col("k") / BLOCK_SETS).cast("int"))
+    rows = _dealt(rows).join(sketches, "doc_id").select("lead", "token", "block", "other", "side", *columns, "sketch", "part")
+    return rows.repartition("lead", "part", "block", "other").sortWithinPartitions("lead", "part", "block", "other", "token")
+
+
+def _family_edges(t: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Edges between components that may be linked, enough to join all that may.
+
+    ``t`` has ``token, doc_id, n, root, lead, k``, with all documents of an n-gram.
+    """
+    return _led(t, sketches, ["doc_id", "n", "root"]).mapInArrow(_families(percent), "a long, b long")
+
 
-    @F.arrow_udf("boolean")
-    def may(n: pa.Array, a: pa.Array, m: pa.Array, b: pa.Array) -> pa.Array:
-        sides = [[np.frombuffer(x, np.uint8) for x in col.to_pylist()] for col in (a, b)]
-        return pa.array([_may_link(i, x, j, y, percent) for i, x, j, y in zip(n.to_pylist(), sides[0], m.to_pylist(), sides[1], strict=True)], pa.bool_())
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Deal the documents of groups of ``blocks`` blocks into all pairs of blocks: adds ``block, other, side``.
 
-    return may
+    ``side`` is 0 or 1 in a pair of two blocks, 2 where a block meets itself.
+    """
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    side = F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
+    return rows.withColumn("block", F.least("b", "o")).withColumn("other", F.greatest("b", "o")).withColumn("side", side)
 
 
-def _candidates(percent: int, per_component: int | None):
-    """Task over rows sorted by group, ``(g1, g2, g3, probe, doc_id, root, n, sketch)``: pairs that may link.
+def _block_pairs(percent: int, closest: bool):
+    """Task over ``(family, block, other, side, doc_id, n, root, prefix)``, blocks together: candidates.
 
-    Only pairs of different components; with ``per_component``, each document
-    names its closest ones in every other component up to that number.
+    Counts the prefix n-grams every two documents share and yields pairs of
+    different components that share enough to be linked, ``(g1, lead_root,
+    doc_id, root)``; with ``closest`` only each document's best in every component.
     """
 
     def solve(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-        rows.sort(key=lambda r: (r[3], r[1]))
-        for i, (kind, doc, root, n, own) in enumerate(rows):
-            near: dict[int, list] = {}
-            for kind2, doc2, root2, m, other in rows[i + 1 :]:
-                if percent * m > 100 * n:
-                    break
-                if root2 == root or (kind == kind2 and kind != 2):
+        if len({r[3] for r in rows}) < 2:
+            return
+        stored = [r for r in rows if r[0] != 1]
+        flat = np.concatenate([r[4] for r in stored])
+        owner = np.repeat(np.arange(len(stored)), [len(r[4]) for r in stored])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for side, doc, n, root, prefix in rows:
+            if side == 0:
+                continue
+            lo, hi = np.searchsorted(flat, prefix), np.searchsorted(flat, prefix, side="right")
+            k = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+            shared = np.bincount(owner[at], minlength=len(stored))
+            best: dict[int, tuple[int, int]] = {}
+            for j in np.flatnonzero(shared):
+                _, doc2, m, root2, _ = stored[j]
+                # Within a block every pair is met twice, and told once.
+                if root2 == root or (side == 2 and doc2 >= doc) or 100 * min(n, m) < percent * max(n, m):
                     continue
-                if (bound := overlap_bound(own, other)) >= needed_overlap(n, m, percent):
-                    near.setdefault(root2, []).append((-bound, doc2))
-            for root2, found in near.items():
-                for _, doc2 in sorted(found)[:per_component]:
-                    yield doc, root, doc2, root2
+                if (c := int(shared[j])) >= shared_prefix_needed(n, m, percent):
+                    if not closest:
+                        yield doc, root, doc2, root2
+                    elif (c, -doc2) > best.get(root2, (0, 0)):
+                        best[root2] = (c, -doc2)
+            for root2, (_, doc2) in best.items():
+                yield doc, root, -doc2, root2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows, pairs = None, [], []
 
         def out() -> pa.RecordBatch:
             cols = list(zip(*pairs, strict=True)) or [[]] * 4
+            pairs.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["g1", "lead_root", "doc_id", "root"])
 
         for batch in batches:
-            for *g, kind, doc, root, n, data in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
-                if g != group:
+            prefixes = batch.column(7)
+            for k, row in enumerate(zip(*(batch.column(j).to_pylist() for j in range(7)), strict=True)):
+                if row[:3] != group:
                     pairs.extend(solve(rows))
-                    group, rows = g, []
-                rows.append((kind, doc, root, n, np.frombuffer(data, np.uint8)))
+                    group, rows = row[:3], []
+                rows.append((*row[3:7], np.sort(prefixes[k].values.to_numpy())))
             if pairs:
                 yield out()
-                pairs = []
         pairs.extend(solve(rows))
         yield out()
 
     return run
 
 
+def _candidates(prefixes: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """Pairs ``(g1, lead_root, doc_id, root)`` to verify from ``prefixes(family, doc_id, n, prefix, root)``."""
+    split = prefixes.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    rows = _dealt(prefixes.join(split.select("family", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("blocks")), "family"))
+    rows = rows.select("family", "block", "other", "side", "doc_id", "n", "root", "prefix")
+    rows = rows.repartition("family", "block", "other").sortWithinPartitions("family", "block", "other")
+    return rows.mapInArrow(_block_pairs(percent, closest), "g1 long, lead_root long, doc_id long, root long")
+
+
+def _enough(n: str, m: str, percent: int, share: float = 1.0):
+    """Column: ``c`` is at least ``share`` of :func:`shared_prefix_needed` of two sizes."""
+    overlap = F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / (100 + percent))
+    behind = F.ceil(F.lit(percent) * F.greatest(n, m) / 100) - 1
+    return F.col("c") >= F.greatest(F.lit(1), (overlap - behind) * share)
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, run) -> DataFrame:
     """Links among ``pairs(g1, lead_root, doc_id, root)``: each ``g1`` is looked up in the trees of its partners.
 
@@ -328,6 +485,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, run) -> DataFrame:
     members = pairs.join(sizes, "g1").withColumn("g2", chunk).withColumn("g3", F.lit(0))
     groups = members.select("g1", "g2", "g3", F.lit(0).alias("probe"), "doc_id", "root")
     leaders = members.select("g1", "g2", "g3", F.lit(1).alias("probe"), F.col("g1").alias("doc_id"), F.col("lead_root").alias("root")).distinct()
+    # Only the texts that are looked at are shuffled.
+    ids = pairs.select("doc_id").unionByName(pairs.select(F.col("g1").alias("doc_id"))).distinct()
+    if ids.count() <= MAX_BROADCAST_IDS:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     rows = groups.unionByName(leaders).join(texts, "doc_id").select("g1", "g2", "g3", "probe", "doc_id", "root", "text")
     rows = rows.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "probe", "doc_id")
     return rows.mapInArrow(run, "a long, b long")
@@ -346,10 +507,10 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
     row is its own component, null. Empty tables give an empty result.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    python_tasks(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = written(rows.mapInArrow(_set_rows(width), "kind int, id long, n long, h1 long, h2 long"), "ngram-sets")
-    sets = first.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "h1", "h2")
+    first = written(rows.mapInArrow(_set_rows(width), "kind int, id long, n long, h1 long, h2 long, sketch binary"), "ngram-sets")
+    sets = first.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "h1", "h2", "sketch")
     total = first.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
     counts = first.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(total / FREQUENT_SHARE, 2))
     # At most FREQUENT_SHARE n-grams by definition.
@@ -363,71 +524,69 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
     prefixes = rows.filter("doc_id is not null").mapInArrow(_prefix_rows(width, percent, shared), "token long, doc_id long, n int")
     tokens = prefixes.withColumn("k", F.count(F.lit(1)).over(window)).filter("k > 1").select("token", "doc_id", "n")
     tokens = tokens.join(same, "doc_id").select("token", F.col("rep").alias("doc_id"), "n").distinct()
-    tokens = tokens.withColumn("k", F.count(F.lit(1)).over(window)).filter("k > 1").select("token", "doc_id", "n")
-    tokens = written(tokens, "ngram-tokens")
+    tokens = written(_grouped(tokens, window), "ngram-tokens", even=False)
+    # Most shared prefix n-grams are chance; rows without any partner alike enough end here.
+    # Rows of one id with different texts have no common sketch; an empty one allows everything.
+    one = F.when(F.min("sketch") == F.max("sketch"), F.min("sketch")).otherwise(F.lit(b""))
+    sketches = sets.filter("doc_id is not null").groupBy("doc_id").agg(one.alias("sketch"))
+    alike = _led(tokens, sketches, ["doc_id", "n"]).mapInArrow(_alike(percent), "token long, doc_id long, n int").distinct()
+    tokens = written(_grouped(alike, window), "ngram-alike", even=False)
 
     wanted = written(tokens.select("doc_id").distinct(), "ngram-wanted")
     few = wanted.count() <= MAX_BROADCAST_IDS
-    texts = written(rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), "ngram-texts")
-
-    sketches = written(texts.mapInArrow(_sketch_rows(width), "doc_id long, n int, sketch binary").dropDuplicates(["doc_id"]), "ngram-sketches")
+    texts = written(rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), "ngram-texts", even=False)
+    sketches = written(sketches.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), "ngram-sketches")
 
     links = written(same.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "ngram-links")
-    roots, tested = None, None
-    run, may = _linked(width, percent, shared), _pair_filter(percent)
-    steps: list[int | str | None] = [*(f"leader {k}" for k in range(LEADER_ROUNDS)), 1, None]
+    run = _linked(width, percent, shared)
+    roots, tested, families = None, None, None
+
+    def rooted(df: DataFrame, key: str = "doc_id", name: str = "root") -> DataFrame:
+        if roots is None:
+            return df.withColumn(name, F.col(key))
+        return df.join(roots.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+
     turn = 0
     while True:
-        step = steps[min(turn, len(steps) - 1)]
-        rooted = roots if roots is None else roots.select(F.col("node").alias("doc_id"), "root")
-        t = tokens.withColumn("root", F.col("doc_id")) if rooted is None else tokens.join(rooted, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        t = t.withColumn("lo", F.min("root").over(window)).withColumn("hi", F.max("root").over(window)).filter("lo <> hi").drop("lo", "hi")
-        if isinstance(step, str):
+        if turn < LEADER_ROUNDS:
+            t = _several_roots(rooted(tokens), window)
             order = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
             lead = F.first(F.struct("doc_id", "n", "root")).over(window.orderBy(order))
-            pairs = t.withColumn("lead", lead).filter("root <> lead.root and 100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % percent)
-            pairs = pairs.select(F.col("lead.doc_id").alias("g1"), F.col("lead.root").alias("lead_root"), "doc_id", "root").distinct()
-            pairs = pairs.join(sketches, "doc_id").join(sketches.select(F.col("doc_id").alias("g1"), F.col("n").alias("n1"), F.col("sketch").alias("sketch1")), "g1")
-            pairs = pairs.filter(may("n", "sketch", "n1", "sketch1")).select("g1", "lead_root", "doc_id", "root")
+            pairs = t.drop("lead").withColumn("lead", lead).filter("root <> lead.root and 100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % percent)
+            pairs = pairs.groupBy(F.col("lead.doc_id").alias("g1"), F.col("lead.root").alias("lead_root"), F.col("lead.n").alias("n1"), "doc_id", "root", "n").agg(F.count(F.lit(1)).alias("c"))
+            # A leader leads only some of the n-grams it shares; half of what is needed is worth a look, the rest comes later.
+            pairs = pairs.filter(_enough("n1", "n", percent, 0.5)).select("g1", "lead_root", "doc_id", "root")
         else:
-            groups = _residual_groups(t).join(sketches, "doc_id").select("g1", "g2", "g3", "probe", "doc_id", "root", "n", "sketch")
-            groups = groups.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "doc_id")
-            pairs = groups.mapInArrow(_candidates(percent, step), "g1 long, lead_root long, doc_id long, root long").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["g1", "doc_id"], "left_anti")
+            if families is None:
+                edges = written(_family_edges(_several_roots(rooted(tokens), window), sketches, percent), "ngram-maybe")
+                # Components that may be linked, directly or through others, are one family.
+                family = connected_components(edges, "ngram-families").select(F.col("node").alias("root"), F.col("root").alias("family"))
+                prefix = rooted(tokens).join(family, "root").groupBy("family", "doc_id", "n").agg(F.collect_list("token").alias("prefix"))
+                families = written(prefix, "ngram-prefixes")
+            pairs = _candidates(rooted(families), percent, turn == LEADER_ROUNDS)
+            if tested is not None:
+                pairs = pairs.join(tested, ["g1", "doc_id"], "left_anti")
         pairs = written(pairs, f"ngram-pairs{turn}")
-        if pairs.isEmpty():
-            if step is None:
-                break
-        else:
+        if not pairs.isEmpty():
             links = links.unionByName(written(_verify(pairs, texts, run), f"ngram-found{turn}"))
             both = pairs.select("g1", "doc_id").unionByName(pairs.select(F.col("doc_id").alias("g1"), F.col("g1").alias("doc_id")))
             tested = both if tested is None else tested.unionByName(both)
-            roots = None
-        if roots is None:
             roots = connected_components(links, "ngram-roots")
+        elif roots is None:
+            roots = connected_components(links, "ngram-roots")
+        elif turn > LEADER_ROUNDS:
+            break
         turn += 1
     out = sets.join(roots, sets["doc_id"] == roots["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _residual_groups(t: DataFrame) -> DataFrame:
-    """Blocks of documents that share a prefix n-gram but lie in different components.
+def _grouped(t: DataFrame, window) -> DataFrame:
+    """Rows ``token, doc_id, n`` of n-grams of several documents, with their number ``k`` and smallest id ``lead``."""
+    return t.withColumn("k", F.count(F.lit(1)).over(window)).withColumn("lead", F.min("doc_id").over(window)).filter("k > 1")
 
-    N-grams with the same documents are one group. A group of more than
-    ``BLOCK_SETS`` documents is dealt into pairs of blocks.
-    """
-    mark = F.xxhash64("doc_id")
-    lists = t.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(doc_id))").alias("x"), F.sum(mark % 1_000_000_007).alias("s"))
-    one = lists.groupBy("m", "x", "s").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("blocks"))
-    rows = t.join(one, "token").withColumn("b", F.pmod(mark, F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    rows = rows.select("*", other)
-    return rows.select(
-        F.col("token").alias("g1"),
-        F.least("b", "o").cast("long").alias("g2"),
-        F.greatest("b", "o").cast("int").alias("g3"),
-        F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).alias("probe"),
-        "doc_id",
-        "root",
-    )
+
+def _several_roots(t: DataFrame, window) -> DataFrame:
+    """The n-grams whose documents lie in more than one component, with all their rows."""
+    t = t.withColumn("lo", F.min("root").over(window)).withColumn("hi", F.max("root").over(window))
+    return t.filter("lo <> hi").drop("lo", "hi")
