@@ -33,7 +33,7 @@ RADIUS = 19
 BLOCKS, BLOCK_BITS = 4, 16
 #: Benchmark text broadcast at once; a larger benchmark is matched in several passes.
 MAX_BROADCAST_CHARS = 32_000_000
-#: Items per multi-index table (a table has up to ``4 * 2517`` entries per item).
+#: Items per multi-index table (a table has up to ``4 * 2517`` entries of two bytes per item).
 ITEMS_PER_TABLE = 500
 
 #: Separators of words here: ASCII bytes that are neither letters nor digits.
@@ -62,16 +62,16 @@ class _Table:
         for b in range(BLOCKS):
             own = (prints >> np.uint64(BLOCK_BITS * b)) & np.uint64((1 << BLOCK_BITS) - 1)
             keys = (own[:, None] ^ flips[None, :]).ravel().astype(np.int64)
-            items = np.repeat(np.arange(len(prints)), len(flips))
+            items = np.repeat(np.arange(len(prints), dtype=np.int16), len(flips))
             order = np.argsort(keys, kind="stable")
-            self.blocks.append((np.searchsorted(keys[order], np.arange((1 << BLOCK_BITS) + 1)), items[order]))
+            self.blocks.append((np.searchsorted(keys[order], np.arange((1 << BLOCK_BITS) + 1)).astype(np.int32), items[order]))
 
     def lookup(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(window, item, distance)`` of all pairs within the radius, each once."""
         found = []
         for b, (starts, items) in enumerate(self.blocks):
             key = ((prints >> np.uint64(BLOCK_BITS * b)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
-            n = starts[key + 1] - starts[key]
+            n = (starts[key + 1] - starts[key]).astype(np.int64)
             at = np.repeat(starts[key] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             found.append(np.repeat(np.arange(len(prints)), n) * len(self.prints) + items[at])
         pair = np.unique(np.concatenate(found))
@@ -105,13 +105,9 @@ class Benchmark:
         self.weights = np.array([1.0 + np.log(n / df[int(h)]) for h in self.known])
         self.maps = [self._weighted(s) for s in self.shingles]
         prints = [_fingerprints((_signs(s) * self.weight(s)[:, None]).sum(axis=0)[None, :])[0] for s in self.shingles]
-        self.groups = []
-        sizes = np.array(self.lengths)
-        for length in sorted(set(self.lengths)):
-            members = np.flatnonzero(sizes == length)
-            for k in range(0, len(members), ITEMS_PER_TABLE):
-                own = members[k : k + ITEMS_PER_TABLE]
-                self.groups.append((length, own, _Table(np.array([prints[i] for i in own], np.uint64), radius)))
+        # One index for items of all lengths, so that its size does not grow with their number of lengths.
+        self.tables = [(k, _Table(np.array(prints[k : k + ITEMS_PER_TABLE], np.uint64), radius)) for k in range(0, len(prints), ITEMS_PER_TABLE)]
+        self.sizes = np.array(self.lengths, np.int64)
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -143,7 +139,7 @@ class Benchmark:
         """Best window per matching item of one document: ``{item: (similarity, start, words, distance)}``."""
         best: dict[int, tuple[float, int, int, int]] = {}
         by_width: dict[int, tuple] = {}
-        for length, members, table in self.groups:
+        for length in sorted(set(self.lengths)):
             width = min(self.width, length)
             if len(words) < length:
                 continue
@@ -172,8 +168,11 @@ class Benchmark:
                 sums = np.concatenate([np.zeros((1, 64), np.float64), np.cumsum(_signs(h[first:end]) * w[first:end, None], axis=0, dtype=np.float64)])
                 # The tolerance keeps a sum that is zero up to rounding on the side a direct sum puts it.
                 prints = _fingerprints(sums[mine - first + span] - sums[mine - first] - 1e-9)
-                for k, j, distance in zip(*table.lookup(prints), strict=True):
-                    item, start = int(members[j]), int(mine[k])
+                found = [(window, item + base, distance) for base, table in self.tables for window, item, distance in [table.lookup(prints)]]
+                window, item_of, distances = (np.concatenate(c) for c in zip(*found, strict=True))
+                sized = np.flatnonzero(self.sizes[item_of] == length)
+                for k, item, distance in zip(window[sized].tolist(), item_of[sized].tolist(), distances[sized].tolist(), strict=True):
+                    start = int(mine[k])
                     sim = self.jaccard(h[start : start + span], item)
                     if sim >= self.similarity - 1e-12 and (item not in best or sim > best[item][0]):
                         best[item] = (sim, start, length, int(distance))
