@@ -89,3 +89,32 @@ def test_odd_rows(spark, odd, empty):
     left = drop_contaminated(odd, items)
     assert left.columns == odd.columns and left.filter(F.col("doc_id") == 5).count() == 0 and left.count() == odd.count() - 3
     assert find_leaks(empty, items).count() == 0 and find_leaks(odd, items.limit(0)).count() == 0
+
+
+def test_documents_shorter_than_the_item(spark):
+    """A passage minus some words is one window, compared by exact similarity over the whole document."""
+    rng = np.random.default_rng(12)
+    vocab = [f"w{i}" for i in range(900)]
+    items = {i: rng.choice(vocab, 60).tolist() for i in range(30)} | {30: ["one", "two", "three"], 31: rng.choice(vocab, 6).tolist()}
+    docs = {}
+    for i in range(30):
+        for cut, off in ((1, 0), (2, 0), (2, 1), (8, 3), (20, 0)):
+            docs[len(docs)] = items[i][off : off + 60 - cut]
+    docs[len(docs)] = ["one", "two"]
+    df = collections.Counter(s for w in items.values() for s in set(shingles(w)))
+    weight = lambda s: 1 + math.log(len(items) / df.get(s, 1))
+    want = {}
+    for d, w in docs.items():
+        for i, iw in items.items():
+            if len(w) < len(iw):
+                a, b = collections.Counter(shingles(w)), collections.Counter(shingles(iw))
+                both = sum(min(n, b[s]) * weight(s) for s, n in a.items() if s in b)
+                sim = both / (sum(n * weight(s) for s, n in a.items()) + sum(n * weight(s) for s, n in b.items()) - both)
+                if sim >= 0.8:
+                    want[d, i] = (sim, len(w))
+    make = lambda d, name: spark.createDataFrame([(k, " ".join(w)) for k, w in d.items()], f"{name} long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.n_words) for r in find_leaks(make(docs, "doc_id"), make(items, "item_id")).collect()}
+    assert len(want) >= 120 and set(got) <= set(want) and len(got) >= 0.98 * len(want)
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in got)
+    assert all(k in got for k, (sim, _) in want.items() if sim > 0.95)
+    assert drop_contaminated(make(docs, "doc_id"), make(items, "item_id")).count() == len(docs) - len({d for d, _ in got})

@@ -3,7 +3,8 @@
 Every benchmark item has a 64-bit SimHash of its weighted five-word shingles.
 Documents are read once: wherever a document shares shingles with the
 benchmark, each window of an item's size gets its SimHash (prefix sums of the
-shingles' +-weights, so a window costs one subtraction). Fingerprints are cut
+shingles' +-weights, so a window costs one subtraction); for items longer than
+the document, the whole document is the window. Fingerprints are cut
 into four blocks of 16 bits; two fingerprints within ``radius`` bits
 agree within ``radius // 4`` bits in at least one block, so looking every block up
 in tables of all neighbours of the items' blocks finds all of them. Candidates
@@ -135,13 +136,22 @@ class Benchmark:
         both = sum(min(w, theirs[h]) for h, w in mine.items() if h in theirs)
         return both / (sum(mine.values()) + sum(theirs.values()) - both)
 
+    def covers(self, words: np.ndarray, length: int) -> bool:
+        """Whether a document shorter than an item of ``length`` words can be similar enough to be compared with it.
+
+        It needs full shingles as the item has them, and their weight at most
+        is ``other_weight`` each while the item's at least is one each.
+        """
+        mine, theirs = len(words) - self.width + 1, length - self.width + 1
+        return mine > 0 and mine * self.other_weight >= self.similarity * theirs
+
     def match_row(self, words: np.ndarray) -> dict[int, tuple[float, int, int, int]]:
         """Best window per matching item of one document: ``{item: (similarity, start, words, distance)}``."""
         best: dict[int, tuple[float, int, int, int]] = {}
         by_width: dict[int, tuple] = {}
         for length in sorted(set(self.lengths)):
             width = min(self.width, length)
-            if len(words) < length:
+            if len(words) < length and not self.covers(words, length):
                 continue
             if width not in by_width:
                 if width < self.width:
@@ -153,7 +163,9 @@ class Benchmark:
                 hit, w = self.contains(h), self.weight(h)
                 by_width[width] = (h, hit, np.concatenate([[0], np.cumsum(w)]), np.concatenate([[0], np.cumsum(w * hit)]), w)
             h, hit, all_w, hit_w, w = by_width[width]
-            span = length - width + 1
+            # A document shorter than the item is one window, the whole of it.
+            n_words = min(length, len(words))
+            span = n_words - width + 1
             starts = np.arange(len(h) - span + 1)
             total = all_w[starts + span] - all_w[starts]
             starts = starts[hit_w[starts + span] - hit_w[starts] >= self.similarity * total - 1e-9]
@@ -175,7 +187,7 @@ class Benchmark:
                     start = int(mine[k])
                     sim = self.jaccard(h[start : start + span], item)
                     if sim >= self.similarity - 1e-12 and (item not in best or sim > best[item][0]):
-                        best[item] = (sim, start, length, int(distance))
+                        best[item] = (sim, start, n_words, int(distance))
         return best
 
 
