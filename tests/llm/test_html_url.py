@@ -89,3 +89,13 @@ def test_filter_applies_mined_rules(spark):
 
 def test_registered_query_counts_every_page(spark):
     assert op2_url_filter(spark, SF).count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
+def test_tokens_late_in_a_long_url_are_mined(spark):
+    """A bad query key and a bad folder behind many other tokens, on pages without a label too."""
+    deep = lambda i: "/".join(f"x{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for k in range(14))
+    tail = lambda i: ("/zbad/", "/", "/?zbadkey=1", "/?zok=1")[i % 4]
+    pages = [(i, f"https://a.example.edu/{deep(i)}{tail(i)}") for i in range(400)]
+    labels = [(i, int(i % 2), 0) for i in range(300)]
+    out = filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert {r.page_id for r in out if r.verdict == "block"} == {i for i in range(400) if i % 2 == 0}

@@ -21,7 +21,7 @@ from tokscope.llm.common import ascii_lower, written
 #: Host rules of the result contract: host and path, verdict.
 HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 _BLOCKED = "=blocked"
-#: Mined rules up to this number are broadcast (a rule has at most ``max_tokens`` tokens); more are joined by a shuffle.
+#: Mined rules up to this number are broadcast (a rule has few tokens); more are joined by a shuffle.
 MAX_BROADCAST_RULES = 100_000
 
 
@@ -31,7 +31,6 @@ class MiningOptions:
     min_confidence: float = 0.8
     #: A rule needs at least this many blocked URLs, however small the labelled set is.
     min_count: int = 20
-    max_tokens: int = 12
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -61,11 +60,15 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, options: MiningOptions = MiningOptions()) -> DataFrame:
-    """Rules ``rule_tokens, confidence, support`` from rows of ``tokens`` (array) and ``blocked`` (boolean)."""
+    """Rules ``rule_tokens, confidence, support`` from rows of ``tokens`` (array) and ``blocked`` (boolean).
+
+    Token sets are mined whole. FP-growth itself first drops tokens below the
+    support over all rows, which bounds what is left of long sets and changes no rule.
+    """
     spark = labelled.sparkSession
     schema = "rule_tokens array<string>, confidence double, support double"
     items = labelled.filter(F.col("blocked").isNotNull() & (F.size("tokens") > 0))
-    items = items.select(F.when(F.col("blocked"), F.array_append(F.slice("tokens", 1, options.max_tokens), F.lit(_BLOCKED))).otherwise(F.slice("tokens", 1, options.max_tokens)).alias("items"))
+    items = items.select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(_BLOCKED))).otherwise(F.col("tokens")).alias("items"))
     items = written(items, "url-items")
     n = items.count()
     if not n:
