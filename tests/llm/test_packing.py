@@ -80,3 +80,13 @@ def test_odd_rows(odd, empty):
     assert [r.ids for r in rows if r.doc_id in (1, 2, 6)] == [[2]] * 3
     assert sum(r.piece == 0 for r in rows) == odd.count()
     assert pack_documents(empty).count() == 0
+
+
+def test_added_tokens_are_single_ids(spark):
+    """As `tokenizers` at its defaults, apart from ``add_special_tokens=False``."""
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n", "<|endoftext", "plain", "<|endoftext|> 漢字 it's"]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [[*e.ids, 2] for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275, 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in pack_documents(df, with_ids=True).collect()} == dict(enumerate(want))
