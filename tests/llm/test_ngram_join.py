@@ -101,3 +101,13 @@ def test_odd_rows(odd, empty):
     assert all(r.component_id == r.doc_id for r in rows)
     assert {r.doc_id: r.n_shingles for r in rows}[1] == 0
     assert ngram_components(empty).count() == 0
+
+
+def test_empty_sketches_bound_nothing():
+    import numpy as np
+
+    from tokscope.llm.ngram_join import overlap_bound
+
+    none, some = np.zeros(0, np.uint8), np.ones(8, np.uint8)
+    assert overlap_bound(none, none) == overlap_bound(none, some) == overlap_bound(some, none) == 1 << 62
+    assert overlap_bound(some, some) == 8

@@ -251,11 +251,12 @@ def sketch(values: np.ndarray) -> bytes:
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
     """Upper bound of the intersection of two sets by their sketches: ranges share at most the smaller count."""
+    # An empty sketch says nothing, whatever the other one is.
+    if not len(a) or not len(b):
+        return 1 << 62
     if len(a) != len(b):
         if len(a) > len(b):
             a, b = b, a
-        if not len(a):
-            return 1 << 62
         b = b.reshape(len(a), -1).sum(axis=1)
     return int(np.minimum(a, b).sum(dtype=np.int64))
 
