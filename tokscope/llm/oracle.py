@@ -82,8 +82,48 @@ verdict AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS bas
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND chars / greatest(word_chars, 1) <= 0.5 AS kept FROM verdict"""
 
+_LEXICAL_SEARCH = f"""
+WITH pattern AS (SELECT '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+' AS p),
+doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, {_LOWER}), p)) AS term FROM documents, pattern),
+sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM doc_terms GROUP BY doc_id),
+corpus AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+tfs AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM doc_terms GROUP BY doc_id, term),
+dfs AS (SELECT term, count(*)::BIGINT AS df FROM tfs GROUP BY term),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {_LOWER}), p)) AS term FROM benchmark, pattern),
+scored AS (
+  SELECT a.item_id, t.doc_id,
+         sum(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+             * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * big_n) // big_l)))))::BIGINT AS score
+  FROM asked a JOIN tfs t USING (term) JOIN dfs USING (term) JOIN sizes s ON s.doc_id = t.doc_id, corpus
+  GROUP BY a.item_id, t.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scored WHERE score > 0)
+SELECT item_id, r::INTEGER AS rank, doc_id, score FROM ranked WHERE r <= 10"""
+
+_HARD_NEGATIVES = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS r FROM pairs WHERE same) WHERE r <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.positive_id, n.other_id AS negative_id, p.positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id) AS r
+  FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+  WHERE 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score)
+SELECT anchor_id, positive_id, r::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE r <= 5"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": _LINE_DEDUP,
     "op3_ngram_join": _NGRAM_JOIN,
     "op6_quality_rules": _QUALITY_RULES,
+    "op12_lexical_search": _LEXICAL_SEARCH,
+    "op13_hard_negatives": _HARD_NEGATIVES,
 }

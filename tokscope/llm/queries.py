@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokscope.llm.common import default_parallelism, documents, read_table
+from tokscope.llm.common import default_parallelism, documents, read_table, scratch_path
 from tokscope.llm.decontaminate import find_leaks
+from tokscope.llm.hard_negatives import mine_hard_negatives
 from tokscope.llm.html_extract import extract
 from tokscope.llm.lang_id import identify_languages
+from tokscope.llm.lexical_search import search
 from tokscope.llm.line_dedup import dedup_lines
 from tokscope.llm.ngram_join import ngram_components
 from tokscope.llm.oracle import ORACLE_SQL
@@ -18,6 +20,7 @@ from tokscope.llm.packing import pack_documents
 from tokscope.llm.quality_lm import classify
 from tokscope.llm.quality_rules import quality_rules
 from tokscope.llm.suffix_dedup import remove_repeats
+from tokscope.llm.token_files import read_tokens, token_digests, write_tokens
 from tokscope.llm.url_filter import filter_urls
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -72,6 +75,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", "similarity", "word_start", "n_words", "distance")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    write_tokens(documents(spark, sf_dir), path)
+    return token_digests(read_tokens(spark, path))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return mine_hard_negatives(rows, F.col("id") % 100 == 0, scale=256, positives=5, negatives=5, low_percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_url_filter": op2_url_filter,
@@ -83,4 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_token_files": op11_token_files,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
