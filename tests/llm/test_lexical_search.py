@@ -65,7 +65,7 @@ def test_tree_prunes_and_stays_exact():
     for g in range(40):
         base = rng.choice(width, 20, replace=False)
         for _ in range(60):
-            rows.append({int(t): int(rng.integers(1, 4)) * 10_000_000 for t in rng.choice(base, 15, replace=False)})
+            rows.append({int(t): 10_000_000 + int(rng.integers(0, 3)) for t in rng.choice(base, 19, replace=False)})
     cols = np.concatenate([np.array(sorted(r), np.int64) for r in rows])
     values = np.concatenate([np.array([r[t] for t in sorted(r)], np.int64) for r in rows])
     tree = BallTree(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), cols, values, width)

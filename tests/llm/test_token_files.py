@@ -51,9 +51,9 @@ def test_words_encode_like_whole_texts(docs, library):
 
 @pytest.mark.parametrize(("encoding", "name"), [("dictionary", "RLE_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")])
 def test_file_layout(spark, library, encoding, name):
-    docs = spark.range(4000).selectExpr("id as doc_id", "concat('some words about ', id, ' ', repeat('hill river ', cast(id % 40 as int))) as text").repartition(3)
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('some words about ', id, ' ', repeat(sha2(string(id), 256), 1 + cast(id % 4 as int))) as text").repartition(3)
     path = scratch_path(spark, "layout")
-    write_tokens(docs, path, layout=TokenLayout(encoding, row_group_bytes=64 << 10, page_rows=100))
+    write_tokens(docs, path, layout=TokenLayout(encoding, row_group_bytes=32 << 10, page_rows=100))
     groups, last = 0, -1
     for file in sorted(glob.glob(path.removeprefix("file:") + "/ids/*.parquet")):
         meta = pq.ParquetFile(file).metadata
