@@ -41,12 +41,25 @@ def test_words_encode_like_whole_texts(docs, library):
     assert encoder.by_word
     odd = ["", " ", "á b́", "x ́y", "ΣΑΣ ΟΔΟΣ", "İstanbul Straße ﬁn", "it's they'll I'VE 's", "12 34a５", "tab\tand\r\nend\n", "\x1c!\x1c ! \x85  !　x", "<|endoftext|> a<|startoftext|>b", "한국어 각 각", "ẹ̇ ̣̇", "a" * 3000, "\x00 \x0b\x0c.", "👩‍👩‍👧 👍🏽"]
     texts = odd + list(filter(None, docs.values()))
-    assert encoder.encode(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    small = TextEncoder(NAME)
+    small.closes[:] = False
+    assert [x.tolist() for t in texts for x in small.encode([t])] == want
     with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
         assert not splits_at_space(json.load(f))
     other = TextEncoder("byte_bpe_50k.json")
     whole = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    assert other.encode(texts) == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in other.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_are_forgotten(docs, library, monkeypatch):
+    monkeypatch.setattr("tokscope.llm.token_files.MEMO_WORDS", 50)
+    encoder = TextEncoder(NAME)
+    texts = list(filter(None, docs.values()))[:60]
+    for text in texts:
+        assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert 0 < len(encoder.memo) + len(encoder.old) < len({w for t in texts for w in t.split()})
 
 
 @pytest.mark.parametrize(("encoding", "name"), [("dictionary", "RLE_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")])

@@ -1,19 +1,20 @@
 """Quality classifier: interpolated modified Kneser-Ney model of trusted text.
 
-Text is read as a sequence of 32 character classes (a-z, other lower-case
-letters, capitals, digits, usual punctuation, other marks, space). Four-grams of
-classes fit 20 bits, so the count tables are bounded by ``2**20`` rows per
-language however large the corpus is, while the counts themselves cover all
-trusted documents. Counts of all orders, continuation counts, discounts and
-back-off masses are joined by (language, context) in Spark, sharded by hash.
-The finished tables (at most ``2**20`` log probabilities per language, at most
-``MAX_LANGUAGES`` languages) are broadcast, and each document's perplexity is
-looked up in one pass over its text, without moving it.
-
-Thresholds are quantiles of the trusted documents' perplexity, per language,
-under models of the same kind that were trained without them (``FOLDS`` folds by id).
-Toxic documents look like ordinary text to that model; they are told by word
-n-grams of the documents labelled toxic (``toxic_words.py``), cut in the same way.
+Per language, character four-grams of trusted documents are counted; counts of
+all orders, continuation counts, discounts and back-off masses are joined by
+(language, context) in Spark, sharded by hash, into one table of n-grams with
+their interpolated log probability and the back-off weight they have as a
+context. That table grows with the trusted text and is never gathered.
+
+Documents are scored block by block (a stretch of one input partition): each
+block asks for the distinct n-grams its documents hold, the requests meet the
+table in a sharded join, and the answers meet the block's texts in a
+co-grouped task, which adds up every document's bits.
+
+Thresholds are quantiles, per language, of trusted documents that a model
+trained without them scored: of the mean perplexity, and of the second worst
+word (ordinary prose whose only fault are a few foreign words, such as insults,
+has an ordinary mean).
 """
 
 from __future__ import annotations
@@ -22,276 +23,356 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tokscope.llm.common import python_tasks, text_blocks, written
-from tokscope.llm.toxic_words import toxicity, weights
+from tokscope.llm.common import python_tasks, written
 
-CLASS_BITS = 5
-CLASSES = 1 << CLASS_BITS
 ORDER = 4
-CELLS = 1 << (CLASS_BITS * ORDER)
-#: Languages with a model of their own: at most so many, those with most trusted text. The others share the pooled model.
-MAX_LANGUAGES = 32
-#: A language has a model of its own from this much trusted text on; with less it shares the pooled one.
-OWN_DOCS, OWN_CHARS = 50, 50_000
-#: With fewer trusted documents a language is not covered by the model: only :data:`MAX_MARKS` judges it.
-COVERED_DOCS = 10
-#: A document of no covered language is rejected if more than this share of its characters are capitals, digits, punctuation or symbols.
+SYMBOL_BITS = 12
+SYMBOLS = 1 << SYMBOL_BITS
+#: A key is an n-gram's symbols with its order above them.
+ORDER_SHIFT = SYMBOL_BITS * ORDER
+#: One trusted document in so many is held out of the model that thresholds are taken from.
+FOLDS = 2
+#: Text bytes of a scoring block, on average, and of the arrays handled at once.
+BLOCK_BYTES, CHUNK_CHARS = 16 << 20, 1 << 19
+#: Share of capitals, digits, punctuation and symbols above which a document goes whose language has no threshold.
 MAX_MARKS = 0.35
-#: Trusted documents are scored by models trained on the other folds.
-FOLDS = 3
-POOLED = ""
-#: Trusted ids up to this number are broadcast (8 bytes each); beyond it they are joined by a shuffle.
-MAX_BROADCAST_IDS = 2_000_000
-PUNCTUATION = ".,;:!?'\"()-–—’“”«»¿¡…"
+#: Letters of the words looked at one by one, and the marks that may follow them.
+MIN_LETTERS, MARKS = 4, ".,;:!?"
+ADDED = ("model", "n_scored", "perplexity", "threshold", "worst_word", "word_threshold", "kept")
 
 
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    out = np.full(sys.maxunicode + 1, 31, np.uint32)
-    for i in range(sys.maxunicode + 1):
-        c = chr(i)
-        if c.isspace():
-            out[i] = 0
-        elif "a" <= c <= "z":
-            out[i] = 1 + i - 97
-        elif c.isupper() or c.istitle():
-            out[i] = 28
-        elif c.isalpha():
-            out[i] = 27
-        elif c.isdigit():
-            out[i] = 29
-    for c in PUNCTUATION:
-        out[ord(c)] = 30
-    return out
-
-
-@lru_cache(maxsize=1)
-def _marks() -> np.ndarray:
-    """Characters that are capitals, digits, punctuation or symbols in any script (combining marks belong to letters)."""
+def _symbols() -> np.ndarray:
+    """Symbol of every code point: itself below 2048, above one of 2048 by a hash."""
+    points = np.arange(sys.maxunicode + 1, dtype=np.uint64)
+    far = 2048 + ((points * np.uint64(0x9E3779B1)) >> np.uint64(13)) % np.uint64(2048)
+    return np.where(points < 2048, points, far).astype(np.int64)
+
+
+@lru_cache(maxsize=2)
+def _kinds(letters: bool) -> np.ndarray:
+    """Whether each code point is a letter; or else a capital, digit, punctuation mark or symbol of any script."""
+    if letters:
+        return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
     categories = ("Lu", "Lt", "Nd", "Nl", "No", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sm", "Sc", "Sk", "So")
     return np.fromiter((unicodedata.category(chr(i)) in categories for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def mark_shares(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Share of :func:`_marks` among the characters of each row of a block."""
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le", "surrogatepass"), np.uint32)
-    bounds = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    sums = np.concatenate([[0], np.cumsum(_marks()[points])])[bounds]
-    return np.diff(sums) / np.maximum(np.diff(bounds), 1)
-
-
-def fourgrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class four-grams of a block, one per character, and the character offsets of rows.
-
-    The three classes before a row's first character are spaces (class 0).
-    """
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le", "surrogatepass"), np.uint32)
-    bounds = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    cls = _classes()[points]
-    code = cls.copy()
-    n = len(cls)
-    since = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
-    for k in range(1, ORDER):
-        back = np.zeros(n, np.uint32)
-        back[k:] = cls[: n - k] if k < n else 0
-        back[since < k] = 0
-        code |= back << np.uint32(CLASS_BITS * k)
-    return code, bounds
+class Stretch:
+    """Some texts as code points, each after ``ORDER - 1`` spaces; runs of white space are one space."""
+
+    def __init__(self, texts: list[str]):
+        pad = " " * (ORDER - 1)
+        plain = [" ".join(t.split()) for t in texts]
+        whole = "".join(pad + t for t in plain) + pad
+        self.points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.sizes = np.array([len(t) for t in plain], dtype=np.int64)
+        ends = np.cumsum(self.sizes + ORDER - 1)
+        self.begins = ends - self.sizes  # of the texts, in points
+        self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])  # of the texts, among their characters
+
+    def places(self) -> np.ndarray:
+        """Places of the texts' characters among the points."""
+        return np.arange(self.bounds[-1]) + np.repeat(self.begins - self.bounds[:-1], self.sizes)
+
+    def grams(self) -> np.ndarray:
+        """The four-gram that ends at each character."""
+        at, symbol = self.places(), _symbols()[self.points]
+        out = symbol[at].copy()
+        for k in range(1, ORDER):
+            out |= symbol[at - k] << (SYMBOL_BITS * k)
+        return out
+
+    def mark_shares(self) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(_kinds(False)[self.points[self.places()]])])[self.bounds]
+        return np.diff(sums) / np.maximum(self.sizes, 1)
+
+    def second_worst(self, bits: np.ndarray) -> np.ndarray:
+        """Second highest mean bits among each text's words (0 with fewer than two).
+
+        Words are runs of ``MIN_LETTERS`` letters or more between two spaces, with
+        at most one of ``MARKS`` behind; the character after the letters counts with them.
+        """
+        letter = _kinds(True)[self.points]
+        edge = np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8))
+        begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        after, beyond = (self.points[np.minimum(ends + k, len(self.points) - 1)] for k in (0, 1))
+        follows = (after == 32) | (np.isin(after, [ord(c) for c in MARKS]) & (beyond == 32))
+        fit = (ends - begins >= MIN_LETTERS) & (self.points[np.maximum(begins - 1, 0)] == 32) & follows
+        begins, ends = begins[fit], ends[fit]
+        text = np.searchsorted(self.begins, begins, side="right") - 1
+        shift = self.begins[text] - self.bounds[text]
+        sums = np.concatenate([[0], np.cumsum(bits)])
+        first, last = begins - shift, np.minimum(ends + 1 - shift, self.bounds[text + 1])
+        mean = (sums[last] - sums[first]) / np.maximum(last - first, 1)
+        by = np.lexsort((-mean, text))
+        nth = np.arange(len(by)) - np.searchsorted(text[by], text[by])
+        out = np.zeros(len(self.sizes))
+        out[text[by][nth == 1]] = mean[by][nth == 1]
+        return out
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``CHUNK_CHARS`` characters (a longer text is one of its own)."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t) > CHUNK_CHARS:
+            yield first, i
+            first, size = i, 0
+        size += len(t)
+    if first < len(texts):
+        yield first, len(texts)
+
+
+# -- training -----------------------------------------------------------------------
 
 
 def count_fourgrams(docs: DataFrame) -> DataFrame:
-    """Counts ``lang, code, n`` over all rows of ``text, lang`` (null language: pooled only)."""
+    """Counts ``lang, code, n, n_held`` over all rows of ``text, lang, held``; ``n_held`` is the part of held-out rows."""
     python_tasks(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        counted = 0
+        sums: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, total in sums.items():
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at].astype(np.int64))], ["lang", "code", "n"])
+            for (lang, held), (code, n) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n), pa.array(n * held)], ["lang", "code", "n", "n_held"])
             sums.clear()
 
         for batch in batches:
-            langs = np.array([x or POOLED for x in batch.column(1).to_pylist()], dtype=object)
-            for first, _, data, offsets in text_blocks(batch):
-                code, bounds = fourgrams(data, offsets)
-                own = langs[first : first + len(bounds) - 1]
-                # Sums have 32 bits; they are told before they could overflow.
-                if counted + len(code) >= 1 << 31:
-                    yield from out()
-                    counted = 0
-                counted += len(code)
-                for lang in set(own):
-                    # 4 MB each: however many languages there are, a task holds 16.
-                    if lang not in sums and len(sums) >= 16:
-                        yield from out()
-                    rows = np.flatnonzero(own == lang)
-                    mask = np.repeat(own == lang, np.diff(bounds)) if len(rows) < len(own) else slice(None)
-                    sums.setdefault(lang, np.zeros(CELLS, np.int32))
-                    at, n = np.unique(code[mask], return_counts=True)
-                    sums[lang][at] += n.astype(np.int32)
+            texts, langs, helds = (batch.column(i).to_pylist() for i in range(3))
+            rows: dict[tuple[str, bool], list[str]] = {}
+            for text, lang, held in zip(texts, langs, helds, strict=True):
+                rows.setdefault((lang, held), []).append(text or "")
+            for key, some in rows.items():
+                for a, b in _chunks(some):
+                    code, n = np.unique(Stretch(some[a:b]).grams(), return_counts=True)
+                    if key in sums:
+                        both = np.concatenate([sums[key][0], code])
+                        code, at = np.unique(both, return_inverse=True)
+                        n = np.bincount(at, weights=np.concatenate([sums[key][1], n])).astype(np.int64)
+                    sums[key] = code, n
+            if sum(len(c) for c, _ in sums.values()) > 1 << 21:
+                yield from out()
         yield from out()
 
-    counts = docs.select("text", "lang").mapInArrow(run, "lang string, code int, n long")
-    return counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = docs.select("text", "lang", "held").mapInArrow(run, "lang string, code long, n long, n_held long")
+    return counts.groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("n_held").alias("n_held"))
 
 
-def _shift(col: Column, symbols: int) -> Column:
-    return F.shiftright(col, CLASS_BITS * symbols)
+def _suffix(code: Column, order: int) -> Column:
+    return code.bitwiseAND(F.lit((1 << (SYMBOL_BITS * order)) - 1))
 
 
 def kneser_ney_tables(counts: DataFrame) -> list[DataFrame]:
     """Discounted probabilities and back-off masses, one table per order, by sharded joins.
 
-    ``counts`` has ``lang, code, n`` of the highest order. Lower orders use
-    continuation counts (different left neighbours). The tables, from order 1
-    up, have ``lang, code, prob, backoff``: ``prob`` is ``max(c - D(c), 0) /
+    ``counts`` has ``lang, model, code, n`` of the highest order. Lower orders
+    use continuation counts (different left neighbours). The tables, from order 1
+    up, have ``lang, model, code, prob, backoff``: ``prob`` is ``(c - D(c)) /
     c(context)`` of the n-gram and ``backoff`` the mass its context leaves to
-    the next lower order. Counts and contexts are joined by (language, context);
-    each order is written before the next one is derived from it.
+    the next lower order. Each order is written before the next one is derived from it.
     """
-    parts = []
-    grams = counts.select("lang", "code", F.col("n").cast("double").alias("c"))
+    parts, by = [], ["lang", "model"]
+    grams = counts.select(*by, "code", F.col("n").cast("double").alias("c"))
     for order in range(ORDER, 0, -1):
-        freq = grams.groupBy("lang").agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
-        # Modified Kneser-Ney discounts; a language without singletons or pairs falls back to 0.5.
+        freq = grams.groupBy(*by).agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
+        # Modified Kneser-Ney discounts, kept off their bounds so that no probability is zero; 0.5 without singletons or pairs.
         y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
         def discount(k: int, a: str, b: str, y: Column = y) -> Column:
             d = F.lit(float(k)) - (k + 1) * y * F.try_divide(F.col(b), F.col(a))
-            return F.greatest(F.lit(0.0), F.least(F.lit(float(k)), F.coalesce(d, F.lit(0.5)))).alias(f"d{k}")
+            return F.greatest(F.lit(0.1), F.least(F.lit(k - 0.1), F.coalesce(d, F.lit(0.5)))).alias(f"d{k}")
 
-        discounts = freq.select("lang", discount(1, "n1", "n2"), discount(2, "n2", "n3"), discount(3, "n3", "n4"))
+        discounts = freq.select(*by, discount(1, "n1", "n2"), discount(2, "n2", "n3"), discount(3, "n3", "n4"))
         d = F.when(F.col("c") < 1.5, F.col("d1")).when(F.col("c") < 2.5, F.col("d2")).otherwise(F.col("d3"))
-        # One row per language, at most MAX_LANGUAGES + 1.
-        g = grams.join(F.broadcast(discounts), "lang").withColumn("d", d).withColumn("context", _shift(F.col("code"), 1))
-        mass = g.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
-        g = g.join(mass, ["lang", "context"])
-        parts.append(written(g.select("lang", "code", ((F.col("c") - F.col("d")) / F.col("total")).alias("prob"), (F.col("left") / F.col("total")).alias("backoff")), f"lm-order{order}"))
+        g = grams.join(discounts, by).withColumn("d", d).withColumn("context", F.shiftright("code", SYMBOL_BITS))
+        mass = g.groupBy(*by, "context").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
+        g = g.join(mass, [*by, "context"])
+        parts.append(written(g.select(*by, "code", ((F.col("c") - F.col("d")) / F.col("total")).alias("prob"), (F.col("left") / F.col("total")).alias("backoff")), f"lm-order{order}"))
         if order > 1:
-            lower = F.col("code").bitwiseAND(F.lit((1 << (CLASS_BITS * (order - 1))) - 1))
-            grams = written(grams.select("lang", lower.alias("code")).groupBy("lang", "code").agg(F.count(F.lit(1)).cast("double").alias("c")), f"lm-counts{order - 1}")
+            grams = written(grams.select(*by, _suffix(F.col("code"), order - 1).alias("code")).groupBy(*by, "code").agg(F.count(F.lit(1)).cast("double").alias("c")), f"lm-counts{order - 1}")
     return parts[::-1]
 
 
-#: Models whose tables are gathered by one job (up to ``2**20`` rows each).
-MODELS_PER_JOB = 4
-
-
-def log_tables(tables: list[DataFrame], langs: list[str]) -> dict[str, np.ndarray]:
-    """Dense log2 probabilities of all four-grams, per language, from :func:`kneser_ney_tables`."""
-    out = {}
-    for first in range(0, len(langs), MODELS_PER_JOB):
-        group = langs[first : first + MODELS_PER_JOB]
-        number = F.array_position(F.lit(group), F.col("lang")).cast("int")
-        p = {lang: np.full(1, 1.0 / CLASSES) for lang in group}
-        for order, table in enumerate(tables, 1):
-            # At most CLASSES ** order rows a language.
-            rows = table.filter(F.col("lang").isin(group)).select(number.alias("i"), "code", "prob", "backoff").toArrow()
-            which, codes, probs, backs = (rows.column(k).to_numpy() for k in range(4))
-            contexts = 1 << (CLASS_BITS * (order - 1))
-            for i, lang in enumerate(group, 1):
-                mine = which == i
-                code = codes[mine]
-                back = np.ones(contexts)
-                back[code >> CLASS_BITS] = backs[mine]
-                # The next lower order drops the oldest class: codes modulo its number of cells.
-                p[lang] = np.repeat(back, CLASSES) * np.resize(p[lang], contexts * CLASSES)
-                p[lang][code] += probs[mine]
-        for lang in group:
-            out[lang] = np.log2(np.maximum(p[lang], 1e-12)).astype(np.float32)
-    return out
+def interpolated(tables: list[DataFrame]) -> DataFrame:
+    """The model table ``lang, key, p0, b0, p1, b1`` from :func:`kneser_ney_tables`.
 
+    ``p`` is the interpolated log2 probability of the n-gram ``key``, ``b`` the log2
+    back-off weight it has as a context (null where it is none or not seen), of models 0 and 1.
+    """
+    by, rows, lower = ["lang", "model"], [], None
+    for order, table in enumerate(tables, 1):
+        if lower is None:
+            p = F.lit(1.0 / SYMBOLS)
+            full = table
+        else:
+            p = F.col("lower")
+            full = table.withColumn("shorter", _suffix(F.col("code"), order - 1)).join(lower.select(*by, F.col("code").alias("shorter"), F.col("p").alias("lower")), [*by, "shorter"])
+        full = full.select(*by, "code", (F.col("prob") + F.col("backoff") * p).alias("p"), "backoff")
+        if order < ORDER:
+            full = lower = written(full, f"lm-full{order}")
+        key = F.col("code") + F.lit(order << ORDER_SHIFT)
+        context = F.shiftright("code", SYMBOL_BITS) + F.lit((order - 1) << ORDER_SHIFT)
+        nothing = F.lit(None).cast("double")
+        rows.append(full.select(*by, key.alias("key"), F.log2("p").alias("p"), nothing.alias("b")))
+        rows.append(full.select(*by, context.alias("key"), nothing.alias("p"), F.log2("backoff").alias("b")))
+    all_rows = rows[0]
+    for r in rows[1:]:
+        all_rows = all_rows.unionByName(r)
+    values = [F.max(F.when(F.col("model") == m, F.col(c))).cast("float").alias(f"{c}{m}") for m in (0, 1) for c in ("p", "b")]
+    return all_rows.groupBy("lang", "key").agg(*values)
+
+
+def train(trusted: DataFrame) -> DataFrame:
+    """:func:`interpolated` of all rows of ``text, lang, held``: model 0 of all of them, model 1 without the held-out ones."""
+    counts = written(count_fourgrams(trusted), "lm-counts")
+    both = counts.select("lang", "code", F.explode(F.array(F.struct(F.lit(0).alias("model"), "n"), F.struct(F.lit(1).alias("model"), (F.col("n") - F.col("n_held")).alias("n")))).alias("x"))
+    return written(interpolated(kneser_ney_tables(both.select("lang", "x.model", "code", "x.n").filter("n > 0"))), "lm-model")
+
+
+# -- scoring ------------------------------------------------------------------------
+
+
+def _keys(grams: np.ndarray) -> np.ndarray:
+    """Keys of all n-grams and contexts that scoring distinct four-grams may look up."""
+    out, codes = [], np.unique(grams)
+    for order in range(ORDER, 0, -1):
+        out.append(codes + (order << ORDER_SHIFT))
+        codes = np.unique(np.concatenate([codes & ((1 << (SYMBOL_BITS * (order - 1))) - 1), codes >> SYMBOL_BITS]))
+    return np.concatenate([[0], *out[::-1]])
 
-def log_table(tables: list[DataFrame], lang: str) -> np.ndarray:
-    """The table of one language from :func:`log_tables`."""
-    return log_tables(tables, [lang])[lang]
 
+def requests(docs: DataFrame) -> DataFrame:
+    """Distinct ``block, lang, key`` of the rows ``block, lang, text``, whose blocks each lie in one task, in a row."""
 
-def _models(tables: list[DataFrame], own: list[str], fold: int) -> dict[str, np.ndarray]:
-    """Tables of ``own`` and the pooled model, trained without ``fold``."""
-    found = log_tables(tables, [f"{x}\0{fold}" for x in [*own, POOLED]])
-    return {name[:-2]: table for name, table in found.items()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, np.ndarray] = {}
+        current = None
 
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, grams in seen.items():
+                keys = _keys(grams)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), current)), pa.array([lang] * len(keys), pa.string()), pa.array(keys)], ["block", "lang", "key"])
+            seen.clear()
 
-def train(trusted: DataFrame, own: list[str]) -> list[DataFrame]:
-    """Tables of :func:`kneser_ney_tables` from all rows of ``text, lang, fold``.
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if current is not None and blocks[a] != current:
+                    yield from out()
+                current = int(blocks[a])
+                rows: dict[str, list[str]] = {}
+                for lang, text in zip(langs[a:b], texts[a:b], strict=True):
+                    rows.setdefault(lang, []).append(text or "")
+                for lang, some in rows.items():
+                    for c, d in _chunks(some):
+                        grams = np.unique(Stretch(some[c:d]).grams())
+                        seen[lang] = np.union1d(seen[lang], grams) if lang in seen else grams
+        yield from out()
 
-    Models are of the languages ``own`` and the pooled one (''), each once
-    without each fold and once (as fold ``FOLDS``) of all.
+    return docs.select("block", "lang", "text").mapInArrow(run, "block long, lang string, key long")
+
+
+class BlockModel:
+    """The answers to one block's requests for one language."""
+
+    def __init__(self, keys: np.ndarray, values: list[np.ndarray]):
+        by = np.argsort(keys)
+        self.keys, self.values = keys[by], [v[by].astype(np.float64) for v in values]
+
+    def _find(self, keys: np.ndarray, column: int) -> np.ndarray:
+        """Values of a column, NaN where there is none."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[column][at], np.nan)
+
+    def covers(self, model: int) -> bool:
+        return len(self.keys) > 0 and not np.isnan(self._find(np.zeros(1, np.int64), 2 * model + 1)[0])
+
+    def bits(self, grams: np.ndarray, model: int) -> np.ndarray:
+        """Minus log2 probability of the last symbol of each four-gram."""
+        codes, inverse = np.unique(grams, return_inverse=True)
+        total, todo = np.zeros(len(codes)), np.arange(len(codes))
+        for order in range(ORDER, 0, -1):
+            mine = codes[todo] & ((1 << (SYMBOL_BITS * order)) - 1)
+            p = self._find(mine + (order << ORDER_SHIFT), 2 * model)
+            seen = ~np.isnan(p)
+            total[todo[seen]] -= p[seen]
+            todo, mine = todo[~seen], mine[~seen]
+            total[todo] -= np.nan_to_num(self._find((mine >> SYMBOL_BITS) + ((order - 1) << ORDER_SHIFT), 2 * model + 1))
+        total[todo] += SYMBOL_BITS
+        return total[inverse]
+
+
+SCORES = T.StructType([T.StructField("n_scored", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("bits", "worst", "held_bits", "held_worst", "marks")])
+
+
+def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    langs, texts, held = (docs.column(c).to_pylist() for c in ("lang", "text", "held"))
+    texts = [t or "" for t in texts]
+    asked = np.array(answers.column("lang").to_pylist(), dtype=object)
+    keys, values = answers.column("key").to_numpy(), [answers.column(c).to_numpy() for c in ("p0", "b0", "p1", "b1")]
+    out = {f.name: np.full(len(texts), np.nan) for f in SCORES.fields}
+    out["n_scored"] = np.zeros(len(texts), np.int64)
+    order = np.argsort(np.array(langs, dtype=object), kind="stable")
+    for lang in dict.fromkeys(langs):
+        mine = asked == lang
+        model = BlockModel(keys[mine], [v[mine] for v in values])
+        rows = order[[langs[i] == lang for i in order]]
+        for a, b in _chunks([texts[i] for i in rows]):
+            some = rows[a:b]
+            stretch = Stretch([texts[i] for i in some])
+            grams = stretch.grams()
+            out["n_scored"][some], out["marks"][some] = stretch.sizes, stretch.mark_shares()
+            for number, (mean, worst) in enumerate((("bits", "worst"), ("held_bits", "held_worst"))):
+                if not model.covers(number) or (number and not any(held[i] for i in some)):
+                    continue
+                bits = model.bits(grams, number)
+                sums = np.concatenate([[0], np.cumsum(bits)])[stretch.bounds]
+                with np.errstate(invalid="ignore"):
+                    out[mean][some] = np.diff(sums) / np.where(stretch.sizes > 0, stretch.sizes, np.nan)
+                out[worst][some] = stretch.second_worst(bits)
+    result = docs.select(["row", "lang", "held"])
+    for name, values in out.items():
+        result = result.append_column(name, pa.array(values, from_pandas=True))
+    return result
+
+
+def scored(docs: DataFrame, model: DataFrame, keep: list[str]) -> DataFrame:
+    """Score every row of ``text, lang, held``: ``row`` (a struct of the columns ``keep``), ``lang, held`` and ``SCORES``.
+
+    A block is a stretch of rows of one partition, so both readings of ``docs``
+    must deal its rows alike, see :func:`_stable`.
     """
-    key = F.concat(F.coalesce("lang", F.lit(POOLED)), F.lit("\0"), F.col("fold").cast("string"))
-    counts = written(count_fourgrams(trusted.select("text", key.alias("lang"))), "lm-counts")
-    counts = counts.select(F.expr("left(lang, length(lang) - 2)").alias("lang"), F.expr("right(lang, 1)").cast("int").alias("fold"), "code", "n")
-    rows = counts.filter(F.col("lang").isin(own) & (F.col("lang") != POOLED)).unionByName(counts.withColumn("lang", F.lit(POOLED)))
-    rows = rows.withColumn("without", F.explode(F.expr(f"filter(sequence(0, {FOLDS}), f -> f <> fold)")))
-    name = F.concat("lang", F.lit("\0"), F.col("without").cast("string"))
-    return kneser_ney_tables(written(rows.groupBy(name.alias("lang"), "code").agg(F.sum("n").alias("n")), "lm-model"))
+    python_tasks(docs.sparkSession)
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    rows = max(1, BLOCK_BYTES * size["n"] // max(size["b"] or 1, 1))
+    place = F.monotonically_increasing_id()
+    per_part = -(-(1 << 33) // rows)
+    numbered = docs.withColumn("place", place)
+    block = F.shiftright("place", 33) * per_part + F.floor(F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) / rows).cast("long")
+    numbered = numbered.withColumn("block", block)
+    answers = requests(numbered).join(model, ["lang", "key"])
+    left = numbered.select("block", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "lang", "held", "text")
+    schema = T.StructType([left.schema["row"], left.schema["lang"], left.schema["held"], *SCORES.fields])
+    return left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block, schema)
 
 
-def scorer(spark: SparkSession, tables: dict[str, np.ndarray], cuts: dict[str, float]):
-    """Column function ``(text, lang) -> struct(model, n_scored, bits, cut, marks)``.
-
-    ``bits`` is the mean log2 perplexity per character, ``cut`` the entry of
-    ``cuts`` for the language (null if there is none) and ``marks`` the share of language-free marks.
-    """
-    python_tasks(spark)
-    shared = spark.sparkContext.broadcast((tables, cuts))
-
-    @F.arrow_udf("model string, n_scored long, bits double, cut double, marks double")
-    def score(text: pa.Array, lang: pa.Array) -> pa.Array:
-        model, cut_of = shared.value
-        given = [x or POOLED for x in lang.to_pylist()]
-        names = [x if x in model else POOLED for x in given]
-        langs = np.array(names, dtype=object)
-        n_chars, bits, marks = np.zeros(len(text), np.int64), np.full(len(text), np.nan), np.zeros(len(text))
-        for first, last, data, offsets in text_blocks(pa.RecordBatch.from_arrays([text], ["text"])):
-            code, bounds = fourgrams(data, offsets)
-            own, sizes = langs[first:last], np.diff(bounds)
-            total = np.zeros(last - first)
-            for name in set(own):
-                mask = np.repeat(own == name, sizes)
-                row = np.repeat(np.flatnonzero(own == name), sizes[own == name])
-                total += np.bincount(row, weights=model[name][code[mask]], minlength=last - first)
-            n_chars[first:last] = sizes
-            bits[first:last] = np.where(sizes > 0, -total / np.maximum(sizes, 1), np.nan)
-            if any(x not in cut_of for x in given[first:last]):
-                marks[first:last] = mark_shares(data, offsets)
-        cut = pa.array([cut_of.get(x) for x in given], pa.float64())
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(n_chars), pa.array(bits, from_pandas=True), cut, pa.array(marks)], ["model", "n_scored", "bits", "cut", "marks"])
-
-    return score
-
-
-def cuts_of(trusted: DataFrame, tables: list[DataFrame], own: list[str], quantile: float) -> dict[str, float]:
-    """Largest accepted ``bits`` per language that the trusted rows ``text, lang, fold`` cover.
-
-    Each is scored by models that were trained without its fold, by that of its
-    language and by the pooled one. A language of ``own`` takes the quantile of
-    the former; another one with ``COVERED_DOCS`` trusted documents takes the
-    pooled model's quantile over all languages, or over its own if that is larger.
-    """
-    spark, parts = trusted.sparkSession, []
-    for fold in range(FOLDS):
-        score = scorer(spark, _models(tables, own, fold), {})
-        mine = trusted.filter(F.col("fold") == fold).select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), score("text", "lang").alias("s"), score("text", F.lit(None).cast("string")).alias("p"))
-        parts.append(written(mine.select("lang", "s.bits", F.col("p.bits").alias("pooled")).filter("bits is not null"), f"trusted-scores{fold}"))
-    good = parts[0]
-    for part in parts[1:]:
-        good = good.unionByName(part)
-    at = lambda c: F.percentile_approx(c, F.lit(quantile), F.lit(10_000)).alias(c)
-    general = good.agg(at("pooled")).first()[0]
-    # One row per language with trusted text.
-    rows = good.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), at("bits"), at("pooled")).filter(F.col("n") >= COVERED_DOCS).collect()
-    return {r["lang"]: r["bits"] if r["lang"] in own and r["lang"] != POOLED else max(general, r["pooled"]) for r in rows}
+def _stable(docs: DataFrame) -> DataFrame:
+    """``docs``, written first if its plan has a shuffle, which may deal rows differently when it runs again."""
+    return written(docs, "lm-docs") if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -300,83 +381,80 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter((F.col("quality") == 1) & (toxic == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
-def toxic_ids(labels: DataFrame) -> DataFrame:
-    """Ids labelled toxic and not trusted by another label."""
-    if "toxic" not in labels.columns:
-        return labels.select("doc_id").limit(0)
-    found = labels.filter((F.col("toxic") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return found.join(trusted_ids(labels), "doc_id", "left_anti")
+def cuts_of(held: DataFrame, quantile: float, typical: float, word_quantile: float, margin: float) -> DataFrame:
+    """Thresholds ``lang, cut, usual, word_cut`` in bits from held-out trusted rows ``lang, held_bits, held_worst``.
 
+    ``cut`` is ``margin`` times the ``quantile`` of the mean bits, ``usual`` their
+    ``typical`` quantile, and ``word_cut`` ``margin`` times the ``word_quantile`` of the second worst word among documents
+    up to ``usual`` (beyond it stand, say, texts in two languages, whose worst
+    words tell nothing). Where it is larger, a normal bound for one more
+    document after ``n`` is taken instead of a quantile (mean + z * (1 + (z^2 + 1) / 4 / (n - 1)) *
+    sqrt(1 + 1 / n) * deviation): with few held-out documents, the largest
+    of them says little. One document alone bounds nothing: its language has no cut.
+    """
 
-def toxic_rule(docs: DataFrame, labels: DataFrame, trusted: DataFrame, quantile: float):
-    """Function ``text -> boolean column`` that tells toxic text; None without toxic documents.
+    def cut(column: str, q: float, name: str) -> Column:
+        z = NormalDist().inv_cdf(q)
+        n = F.count(column).cast("double")
+        bound = F.avg(column) + z * (1 + (z * z + 1) / 4 / (n - 1)) * F.sqrt(1 + 1 / n) * F.stddev_samp(column)
+        return F.when(n > 1, F.greatest(F.percentile_approx(column, F.lit(q), F.lit(10_000)), bound) * margin).alias(name)
 
-    The cut is the ``quantile`` of the trusted documents' toxicity by the n-grams of the other folds.
-    """
-    ids = written(toxic_ids(labels), "toxic-ids")
-    toxic = docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "doc_id", "left_semi")
-    table = weights(toxic.select("text", "lang", "fold"), trusted, FOLDS)
-    if table.isEmpty():
-        return None
-    score = toxicity(table, FOLDS)
-    cut = trusted.filter("length(text) > 0").agg(F.percentile_approx(score(F.col("text"), F.col("fold")), F.lit(quantile), F.lit(10_000))).first()[0] or 0.0
-    return lambda text: score(F.coalesce(text, F.lit("")), F.lit(FOLDS)) > F.lit(cut)
+    usual = F.percentile_approx("held_bits", F.lit(typical), F.lit(10_000)).alias("usual")
+    means = held.groupBy("lang").agg(cut("held_bits", quantile, "cut"), usual)
+    words = held.join(means, "lang").filter(F.col("held_bits") <= F.col("usual")).groupBy("lang").agg(cut("held_worst", word_quantile, "word_cut"))
+    return means.join(words, "lang", "left")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, margin: float = 1.05, min_chars: int = 1) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, typical: float = 0.95, word_quantile: float = 0.985, margin: float = 1.05, min_chars: int = 1, keep: list[str] | None = None) -> DataFrame:
     """Keep or reject every document by its perplexity under the trusted model.
 
-    ``docs`` needs ``doc_id, text``, and ``lang`` if there is one; its columns
-    pass through, except that columns named like a result are replaced. ``labels`` needs
-    ``doc_id, quality`` (1 is trusted) and may have ``toxic``. Adds ``model``,
-    ``n_scored``, ``perplexity``, ``threshold``, ``kept``. A document is rejected if its mean log2
-    perplexity exceeds ``margin`` times the ``quantile`` of its language's trusted
-    documents, scored by models trained without them (:func:`cuts_of`), or if a
-    word n-gram tells it as toxic beyond their quantile (:func:`toxic_rule`).
-
-    Documents are scored where they lie; only counts and the trusted
-    documents' scores are shuffled.
+    ``docs`` needs ``doc_id, text``, and ``lang`` if there is one; its columns (or those of ``keep``) pass through, except
+    that columns named like a result are replaced. ``labels`` needs ``doc_id,
+    quality`` (1 is trusted) and may have ``toxic``. Adds ``model`` (the
+    language, null where no trusted text covers it), ``n_scored``,
+    ``perplexity`` (per character), ``threshold``, ``worst_word`` (perplexity per
+    character of the second worst word), ``word_threshold``, ``kept``. A
+    document is rejected if its perplexity exceeds the threshold, or if it is
+    no higher than usual and the worst word exceeds its own, see :func:`cuts_of`.
 
     Edge cases: a null or empty text (fewer than ``min_chars`` characters) is
-    rejected, with a null perplexity. A language with less trusted text than
-    ``OWN_DOCS`` and ``OWN_CHARS``, or beyond ``MAX_LANGUAGES``, uses the pooled
-    model. Where trusted text covers too little of a language (fewer than
-    ``COVERED_DOCS`` documents; rows without a language count as one), perplexity tells
-    nothing: ``threshold`` is null and only ``MAX_MARKS`` rejects. Without any trusted text nothing can be judged: every non-empty
-    document is kept, with null perplexity. Repeated rows are judged each.
+    rejected, with a null perplexity. Rows without a language count as one.
+    Where a language has no trusted documents, or no two held-out ones,
+    perplexity tells nothing: ``threshold`` is null and only ``MAX_MARKS``
+    rejects. Repeated rows are judged each.
     """
-    spark = docs.sparkSession
-    added = ("model", "n_scored", "perplexity", "threshold", "kept")
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
+    return _judged(docs, labels, (quantile, typical, word_quantile, margin), min_chars, keep).select("row.*", *ADDED)
+
+
+def _judged(docs: DataFrame, labels: DataFrame, levels: tuple[float, float, float, float], min_chars: int, keep: list[str] | None) -> DataFrame:
+    """``row`` (a struct of the kept columns) and the columns ``ADDED``."""
+    docs = _stable(docs)
     has_lang = "lang" in [c.lower() for c in docs.columns]
-    lang = F.col("lang").cast("string") if has_lang else F.lit(None).cast("string")
-    text = F.col("text").cast("string")
+    keep = docs.columns if keep is None else keep
+    keep = [c for c in keep if c.lower() not in ADDED]
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if has_lang else F.lit("")
+    given = docs.select(row, F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"), (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0).alias("held"))
     ids = written(trusted_ids(labels), "trusted-ids")
-    given = base.select("doc_id", text.alias("text"), lang.alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
-    trusted = given.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "doc_id", "left_semi")
-    # One row per language with trusted text.
-    amounts = trusted.filter("length(text) > 0").groupBy(F.coalesce("lang", F.lit(POOLED)).alias("lang")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars")).collect()
-    if not amounts:
-        empty = F.lit(None).cast("double")
-        kept = F.length(F.coalesce(text, F.lit(""))) >= min_chars
-        return base.select("*", F.lit(None).cast("string").alias("model"), F.lit(0).cast("long").alias("n_scored"), empty.alias("perplexity"), empty.alias("threshold"), kept.alias("kept"))
-    enough = [r for r in amounts if r["lang"] != POOLED and r["docs"] >= OWN_DOCS and r["chars"] >= OWN_CHARS]
-    own = [r["lang"] for r in sorted(enough, key=lambda r: (-r["chars"], r["lang"]))[:MAX_LANGUAGES]]
-    tables = train(trusted, own)
-    cuts = {x: v * margin for x, v in cuts_of(trusted, tables, own, quantile).items()}
-    score = scorer(spark, _models(tables, own, FOLDS), cuts)
-    judged = base.withColumn("__llm_s", score(text, lang))
-    fits = F.when(F.col("__llm_s.cut").isNull(), F.col("__llm_s.marks") <= MAX_MARKS).otherwise(F.col("__llm_s.bits") <= F.col("__llm_s.cut"))
-    toxic = toxic_rule(given, labels, trusted, quantile)
-    kept = (F.col("__llm_s.n_scored") >= min_chars) & fits
-    kept = kept if toxic is None else kept & ~toxic(text)
-    added_cols = [F.col("__llm_s.model"), F.col("__llm_s.n_scored"), F.pow(F.lit(2.0), "__llm_s.bits").alias("perplexity"), F.pow(F.lit(2.0), "__llm_s.cut").alias("threshold"), F.coalesce(kept, F.lit(False)).alias("kept")]
-    return judged.select(*[F.col(f"`{c}`") for c in base.columns], *added_cols)
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`classify` keeps, with the columns of ``docs``."""
-    added = ("model", "n_scored", "perplexity", "threshold", "kept")
-    if any(c.lower() in added for c in docs.columns):
-        raise ValueError(f"columns {added} are results of the classifier; rename them first")
-    return classify(docs, labels, **options).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = train(given.join(ids, "doc_id", "left_semi").select("text", "lang", "held"))
+    scores = written(scored(given, model, ["row", "doc_id"]), "lm-scores")
+    trusted = scores.filter("held and held_bits is not null").select(F.col("row.doc_id").alias("doc_id"), "lang", "held_bits", "held_worst").join(ids, "doc_id", "left_semi")
+    cuts = written(cuts_of(trusted, *levels), "lm-cuts")
+    judged = scores.join(cuts, "lang", "left")
+    known = F.col("cut").isNotNull() & F.col("bits").isNotNull()
+    words = (F.col("bits") > F.col("usual")) | F.col("word_cut").isNull() | (F.col("worst") <= F.col("word_cut"))
+    fits = F.when(known, (F.col("bits") <= F.col("cut")) & words).otherwise(F.col("marks") <= MAX_MARKS)
+    kept = F.coalesce((F.col("n_scored") >= min_chars) & fits, F.lit(False))
+    power = lambda c: F.pow(F.lit(2.0), F.col(c))
+    threshold = [F.when(known, power(c)) for c in ("cut", "word_cut")]
+    return judged.select(
+        F.col("row.row").alias("row"), F.when(F.col("bits").isNotNull(), F.col("lang")).alias("model"), "n_scored", power("bits").alias("perplexity"), threshold[0].alias("threshold"),
+        F.when(F.col("bits").isNotNull(), power("worst")).alias("worst_word"), threshold[1].alias("word_threshold"), kept.alias("kept"),
+    )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, typical: float = 0.95, word_quantile: float = 0.985, margin: float = 1.05, min_chars: int = 1) -> DataFrame:
+    """The rows of ``docs`` that :func:`classify` keeps, with the columns of ``docs``, whatever their names."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__llm_row"), "doc_id", "text", *(["lang"] if "lang" in [c.lower() for c in docs.columns] else []))
+    judged = _judged(whole, labels, (quantile, typical, word_quantile, margin), min_chars, ["__llm_row"])
+    return judged.filter("kept").select("row.__llm_row.*")

@@ -49,8 +49,7 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = classify(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "model", "n_scored", "perplexity", "threshold", "kept")
+    return classify(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

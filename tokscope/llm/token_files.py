@@ -41,10 +41,10 @@ PARTS = "part int, first_token long, n_tokens long, n_docs long"
 # Fixed by the vocabulary file: its normalizer and split, under which words parted by ASCII white space never affect each other.
 WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: White space at which such texts are cut into words (all of it is ``\s`` and is removed by the split).
-CUTS = str.maketrans("\t\n\r", "   ")
-#: Characters of the words that a worker remembers before it forgets them all.
-MEMO_CHARS = 8 << 20
+#: Marks that a word may end in; each is a piece of its own after letters.
+MARKS = frozenset(",.;:!?")
+#: Words that a worker remembers, and words encoded in one call.
+MEMO_WORDS, CHUNK_WORDS = 400_000, 256
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,12 @@ def splits_at_space(spec: dict) -> bool:
 
 
 class TextEncoder:
-    """Encodes texts with the ``tokenizers`` library, each distinct word once where the file allows that."""
+    """Encodes texts with the ``tokenizers`` library, each distinct word once where the file allows that.
+
+    Words seen lately are remembered in two generations of at most
+    ``MEMO_WORDS``: a full one becomes the old one, from which words still in
+    use are taken over.
+    """
 
     def __init__(self, name: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -103,23 +108,51 @@ class TextEncoder:
         path = tokenizer_path(name)
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_word = splits_at_space(json.load(f))
-        self.memo: dict[str, list[int]] = {}
-        self.memo_chars = 0
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+            spec = json.load(f)
+        self.by_word = splits_at_space(spec)
+        suffix = spec["model"].get("end_of_word_suffix")
+        vocabulary = spec["model"]["vocab"]
+        self.closes = np.zeros(1 + max(self.tokenizer.get_vocab().values()), dtype=bool)
+        if self.by_word and suffix:
+            self.closes[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        return (np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _learn(self, words: set[str]) -> None:
+        """Add the ids of ``words`` to the memo."""
+        memo, letters, others = self.memo, [], []
+        for w in words:
+            # A run of letters is one piece of the split, so its last token, and no other, ends a word.
+            (letters if w.isascii() and w.isalpha() and self.closes.any() else others).append(w)
+        chunks = [letters[i : i + CHUNK_WORDS] for i in range(0, len(letters), CHUNK_WORDS)]
+        for chunk, ids in zip(chunks, self._ids([" ".join(c) for c in chunks]), strict=True):
+            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            memo.update(zip(chunk, (raw[a:b] for a, b in zip([0, *ends], ends)), strict=True))
+        memo.update(zip(others, (ids.tobytes() for ids in self._ids(others)), strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, as 32-bit integers."""
         if not self.by_word:
-            return self._ids(texts)
-        if self.memo_chars > MEMO_CHARS:
-            self.memo, self.memo_chars = {}, 0
-        words = [t.translate(CUTS).split(" ") for t in texts]
-        new = list(set(chain.from_iterable(words)).difference(self.memo))
-        self.memo_chars += sum(map(len, new))
-        self.memo.update(zip(new, self._ids(new), strict=True))
-        return [list(chain.from_iterable(map(self.memo.__getitem__, w))) for w in words]
+            return list(self._ids(texts))
+        if len(self.memo) > MEMO_WORDS:
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
+        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new = set(chain.from_iterable(words)).difference(memo)
+        for w in new.intersection(old):
+            memo[w] = old[w]
+        # The split parts letters from marks and the normalizer lower-cases, so "Word," is "word" and ",".
+        forms = {}
+        for w in new.difference(old):
+            low = w.lower() if w.isascii() else w
+            forms[w] = (low[:-1], low[-1]) if low[-1:] in MARKS and low.isascii() and low[:-1].isalpha() else (low, "")
+        self._learn(set(chain.from_iterable(forms.values())).difference(memo))
+        for w, (stem, mark) in forms.items():
+            memo[w] = memo[stem] + memo[mark]
+        return [np.frombuffer(b"".join(map(memo.__getitem__, w)), dtype=np.int32) for w in words]
 
 
 @lru_cache(maxsize=2)
@@ -132,13 +165,13 @@ def _encode_in_order(tokenizer: str, end_id: int | None):
         encoder = text_encoder(tokenizer)
         part = TaskContext.get().partitionId()
         position = 0
-        tail = [] if end_id is None else [end_id]
+        tail = np.array([] if end_id is None else [end_id], dtype=np.int32)
         for batch in batches:
-            rows = [np.array(ids + tail, dtype=np.int32) for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
-            sizes = np.array([len(r) for r in rows], dtype=np.int64)
+            rows = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+            sizes = np.array([len(r) + len(tail) for r in rows], dtype=np.int64)
             ends = np.cumsum(sizes)
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x for r in rows for x in (r, tail)] or [tail[:0]])))
             starts = position + ends - sizes
             position += int(sizes.sum())
             columns = [pa.array(np.full(len(rows), part, np.int32)), pa.array(starts), batch.column(0), pa.array(sizes.astype(np.int32)), ids]
