@@ -44,7 +44,7 @@ def test_words_encode_like_whole_texts(docs, library):
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in encoder.encode(texts)] == want
     small = TextEncoder(NAME)
-    small.closes[:] = False
+    small.has_closes = False
     assert [x.tolist() for t in texts for x in small.encode([t])] == want
     with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
         assert not splits_at_space(json.load(f))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,7 +45,7 @@ WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Marks that a word may end in; each is a piece of its own after letters.
 MARKS = frozenset(",.;:!?")
 #: Words that a worker remembers, and words encoded in one call.
-MEMO_WORDS, CHUNK_WORDS = 400_000, 256
+MEMO_WORDS, CHUNK_WORDS = 700_000, 256
 
 
 @dataclass(frozen=True)
@@ -93,6 +94,20 @@ def splits_at_space(spec: dict) -> bool:
     )
 
 
+def _form(word: str) -> tuple[str, str] | None:
+    """A word as lower-case letters that the normalizer leaves as they are and the mark behind them; None if it is not.
+
+    Letters are those below U+2000, without the two capitals whose lower case depends on more than the letter.
+    """
+    low = word.lower()
+    stem, mark = (low[:-1], low[-1]) if low[-1:] in MARKS else (low, "")
+    if not stem.isalpha():
+        return None
+    if stem.isascii() or (max(stem) < "\u2000" and "\u0130" not in word and "\u03a3" not in word and unicodedata.is_normalized("NFC", stem)):
+        return stem, mark
+    return None
+
+
 class TextEncoder:
     """Encodes texts with the ``tokenizers`` library, each distinct word once where the file allows that.
 
@@ -103,7 +118,7 @@ class TextEncoder:
 
     def __init__(self, name: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         path = tokenizer_path(name)
         self.tokenizer = Tokenizer.from_file(path)
@@ -115,28 +130,31 @@ class TextEncoder:
         self.closes = np.zeros(1 + max(self.tokenizer.get_vocab().values()), dtype=bool)
         if self.by_word and suffix:
             self.closes[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.has_closes = bool(self.closes.any())
+        # The same model without normalizer and regular expressions, for words that these leave as they are.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        return (np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> Iterator[np.ndarray]:
+        return (np.array(e.ids, dtype=np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
 
-    def _learn(self, words: set[str]) -> None:
-        """Add the ids of ``words`` to the memo."""
-        memo, letters, others = self.memo, [], []
-        for w in words:
-            # A run of letters is one piece of the split, so its last token, and no other, ends a word.
-            (letters if w.isascii() and w.isalpha() and self.closes.any() else others).append(w)
+    def _learn(self, letters: list[str], others: list[str]) -> None:
+        """Add the ids of words to the memo; ``letters`` are stems of :func:`_form`."""
+        memo = self.memo
         chunks = [letters[i : i + CHUNK_WORDS] for i in range(0, len(letters), CHUNK_WORDS)]
-        for chunk, ids in zip(chunks, self._ids([" ".join(c) for c in chunks]), strict=True):
+        # A run of letters is one piece of the split, so its last token, and no other, ends a word.
+        for chunk, ids in zip(chunks, self._ids(self.bare, [" ".join(c) for c in chunks]), strict=True):
             raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
             memo.update(zip(chunk, (raw[a:b] for a, b in zip([0, *ends], ends)), strict=True))
-        memo.update(zip(others, (ids.tobytes() for ids in self._ids(others)), strict=True))
+        memo.update(zip(others, (ids.tobytes() for ids in self._ids(self.tokenizer, others)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as 32-bit integers."""
         if not self.by_word:
-            return list(self._ids(texts))
+            return list(self._ids(self.tokenizer, texts))
         if len(self.memo) > MEMO_WORDS:
             self.memo, self.old = {}, self.memo
         memo, old = self.memo, self.old
@@ -145,13 +163,16 @@ class TextEncoder:
         for w in new.intersection(old):
             memo[w] = old[w]
         # The split parts letters from marks and the normalizer lower-cases, so "Word," is "word" and ",".
-        forms = {}
+        forms, others = {}, []
         for w in new.difference(old):
-            low = w.lower() if w.isascii() else w
-            forms[w] = (low[:-1], low[-1]) if low[-1:] in MARKS and low.isascii() and low[:-1].isalpha() else (low, "")
-        self._learn(set(chain.from_iterable(forms.values())).difference(memo))
+            if (form := _form(w) if self.has_closes else None) is not None:
+                forms[w] = form
+            else:
+                others.append(w)
+        stems = {stem for stem, _ in forms.values()}.difference(memo)
+        self._learn(list(stems), others + [m for m in MARKS if m not in memo])
         for w, (stem, mark) in forms.items():
-            memo[w] = memo[stem] + memo[mark]
+            memo[w] = memo[stem] + memo[mark] if mark else memo[stem]
         return [np.frombuffer(b"".join(map(memo.__getitem__, w)), dtype=np.int32) for w in words]
 
 
