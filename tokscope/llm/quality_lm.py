@@ -40,6 +40,8 @@ SYMBOLS = 1 << SYMBOL_BITS
 ORDER_SHIFT = SYMBOL_BITS * ORDER
 #: One trusted document in so many is held out of the model that thresholds are taken from.
 FOLDS = 2
+#: Trusted ids up to this number are broadcast (8 bytes each); beyond it they are joined by a shuffle.
+MAX_BROADCAST_IDS = 2_000_000
 #: Text bytes of a scoring block, on average, and of the arrays handled at once.
 BLOCK_BYTES, CHUNK_CHARS = 16 << 20, 1 << 19
 #: Share of capitals, digits, punctuation and symbols above which a document goes whose language has no threshold.
@@ -436,7 +438,8 @@ def _judged(docs: DataFrame, labels: DataFrame, levels: tuple[float, float, floa
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if has_lang else F.lit("")
     given = docs.select(row, F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"), (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0).alias("held"))
     ids = written(trusted_ids(labels), "trusted-ids")
-    model = train(given.join(ids, "doc_id", "left_semi").select("text", "lang", "held"))
+    few = ids.count() <= MAX_BROADCAST_IDS
+    model = train(given.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text", "lang", "held"))
     scores = written(scored(given, model, ["row", "doc_id"]), "lm-scores")
     trusted = scores.filter("held and held_bits is not null").select(F.col("row.doc_id").alias("doc_id"), "lang", "held_bits", "held_worst").join(ids, "doc_id", "left_semi")
     cuts = written(cuts_of(trusted, *levels), "lm-cuts")
