@@ -129,11 +129,11 @@ def test_pieces_are_the_text(spark, texts):
 
 def test_what_cannot_be_reproduced_is_said():
     cases = [
-        ({"normalizer": {"type": "NFC"}}, "normalizer"),
-        ({"pre_tokenizer": {"type": "Whitespace"}}, "pre-tokenizer Whitespace"),
-        ({"pre_tokenizer": {"type": "Split", "pattern": {"Regex": " "}, "behavior": "Removed", "invert": False}}, "Removed"),
+        ({"normalizer": {"type": "Precompiled"}}, "normalizer Precompiled"),
+        ({"pre_tokenizer": {"type": "UnicodeScripts"}}, "pre-tokenizer UnicodeScripts"),
+        ({"pre_tokenizer": {"type": "Split", "pattern": {"Regex": " "}, "behavior": "MergedWithNext", "invert": False}}, "MergedWithNext"),
         ({"pre_tokenizer": {"type": "Split", "pattern": {"Regex": "a*"}, "behavior": "Isolated", "invert": False}}, "match nothing"),
-        ({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, "add_prefix_space"),
+        ({"normalizer": {"type": "Lowercase"}, "added_tokens": [{**_added(500, "<X>"), "normalized": True}]}, "is normalized"),
         ({"added_tokens": [{**_added(500, "<x>"), "lstrip": True}]}, "surroundings"),
     ]
     for change, reason in cases:
@@ -145,7 +145,10 @@ def test_what_cannot_be_reproduced_is_said():
 
 
 def test_other_tokenizers_are_encoded_whole(spark, tmp_path):
-    path = public_tokenizers.path("word_bpe_49k.json")
+    conf = _file(public_tokenizers.path("word_bpe_49k.json"))
+    conf["pre_tokenizer"] = {"type": "UnicodeScripts"}
+    path = str(tmp_path / "tokenizer.json")
+    (tmp_path / "tokenizer.json").write_text(json.dumps(conf), encoding="utf-8")
     tok = SparkTokenizer(spark, path)
     assert not tok.spec.native
     texts = ["Hello  World, it's 42", "naïve CAFÉ"]

@@ -9,18 +9,25 @@ from tokscope.operators.encode import encode_column
 from tokscope.operators.tokenizer import SparkTokenizer, bpe_frequency, piece_counts
 
 
-def token_frequency(docs: DataFrame, tok: SparkTokenizer, text_col: str = "text", observation: Observation | None = None) -> DataFrame:
+def token_frequency(docs: DataFrame, tok: SparkTokenizer, text_col: str = "text", observation: Observation | None = None, add_special_tokens: bool = False) -> DataFrame:
     """A1 over a corpus: ``(token_id, count)``, exact for every tokenizer.
 
     Where the tokenizer's split and model run in Spark (``tok.spec.native``):
-    ``scan -> explode(pieces) -> groupBy(piece) -> merges by join -> explode ->
+    ``scan -> explode(pieces) -> groupBy(piece) -> entries by join -> explode ->
     groupBy(token_id)``; a piece or token holding a third of all rows costs one
     row per task in the shuffles. Otherwise every row is encoded whole by the
-    library plug-in; ``observation`` then counts the rows it failed on.
+    library plug-in; ``observation`` then counts the rows it failed on. With
+    ``add_special_tokens`` each text that is not null also counts the ids of the post-processor's template.
     """
-    if tok.spec.native:
-        return bpe_frequency(piece_counts(docs, tok.spec, text_col), tok.spec, tok.merges, tok.vocab)
-    return token_frequency_whole_text(docs, tok.library_encoder(), text_col, observation)
+    if not tok.spec.native:
+        return token_frequency_whole_text(docs, tok.library_encoder(add_special_tokens), text_col, observation)
+    freq = bpe_frequency(piece_counts(docs, tok.spec, text_col), tok.spec, tok.merges, tok.vocab)
+    around = [*tok.spec.before, *tok.spec.after] if add_special_tokens else []
+    if not around:
+        return freq
+    texts = docs.agg(F.count(text_col).alias("n"))
+    extra = texts.select(F.explode(F.array(*map(F.lit, around))).alias("token_id"), F.col("n").alias("count"))
+    return freq.unionByName(extra).groupBy("token_id").agg(F.sum("count").alias("count")).filter("count > 0")
 
 
 def token_frequency_whole_text(docs: DataFrame, encoder, text_col: str = "text", observation: Observation | None = None) -> DataFrame:

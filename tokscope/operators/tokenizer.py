@@ -2,10 +2,10 @@
 
 A tokenizer file (config-sized) is read once through Spark, by the same path
 as every other input. From it come the *stages* that cut a text into pieces
-(added tokens first, then each pre-tokenizer split), as JVM regular
-expressions that emit matches **and** the text between them, and the
-parameters of the byte-pair model, which is run as joins on the distinct
-pieces (T4). What cannot be reproduced exactly is said (``reason``), and callers
+(added tokens first, then the normalizer chain, then each pre-tokenizer split), as JVM regular
+expressions and column expressions, and the parameters of the model (byte-pair,
+WordPiece or Unigram), which is run as joins on the distinct
+pieces (T4, ``subwords.py``). What cannot be reproduced exactly is said (``reason``), and callers
 then encode whole texts with a library plug-in.
 """
 
@@ -20,11 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokscope.functions.text import bytes_to_byte_level, to_byte_level
+from tokscope.operators.normalize import Step, Unsupported, chain, java_literal, normalized
+from tokscope.operators.subwords import LONG, _per_piece, entry_bitmap, merged_symbols, substrings, unigram_tokens, wordpiece_tokens
 from tokscope.session import bounded_broadcast
 from tokscope.sources.vocab import load_merges, load_vocab, read_tokenizer
 
 # Fixed value: the public GPT-2 pre-token pattern, which byte-level
 # pre-tokenizers apply when ``use_regex`` is on.
+# Punctuation of the public BERT split: ASCII marks and category P.
+BERT_PUNCTUATION = r"[!-/:-@\[-`{-~\p{P}]"
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -64,26 +68,27 @@ class RankFile:
         pairs = pairs.join(known, F.col("left") == F.col("part"), "left_semi").join(known, F.col("right") == F.col("part"), "left_semi")
         self.merges = pairs.cache()
         longest = self.vocab.agg(F.max(F.length("token"))).first()[0] or 1
-        self.spec = TokenizerSpec("", (Stage("(?U)" + pattern),), {}, True, True, "", None, True, longest, ("\x01", "\x02", "\x03"))
+        # The bitmap is over the tokens; a vocabulary is config-sized.
+        tokens = {r["token"]: r["token_id"] for r in self.vocab.select("token", "token_id").collect()}
+        self.spec = TokenizerSpec("", (Stage("(?U)" + pattern),), {}, True, True, "", None, True, longest, ("\x01", "\x02", "\x03"), bitmap=entry_bitmap(tokens), ranks=tokens)
 
     def library_encoder(self):
         raise NotImplementedError("rank files are always encoded by Spark")
 
 
-def java_literal(text: str) -> str:
-    """A Java regex that matches ``text`` itself."""
-    return "".join(c if c.isalnum() or c == "_" else f"\\x{{{ord(c):X}}}" for c in text)
-
-
 @dataclass(frozen=True)
 class Stage:
-    """One cut: ``pattern`` matches become pieces, and so does the text between them.
+    """One cut: of ``pattern`` matches and the text between them, ``keep`` says which become pieces (all, matches or gaps).
 
-    ``final``: its matches are whole tokens (added tokens) that later stages leave alone.
+    ``final``: its matches are whole tokens (added tokens) that later stages
+    leave alone. With ``steps`` the stage rewrites pieces instead of cutting them.
     """
 
-    pattern: str
+    pattern: str = ""
     final: bool = False
+    keep: str = "all"
+    steps: tuple[Step, ...] = ()
+    first_only: bool = False
 
 
 @dataclass(frozen=True)
@@ -100,6 +105,23 @@ class TokenizerSpec:
     ignore_merges: bool
     max_token_chars: int
     marks: tuple[str, str, str] = field(repr=False)
+    model: str = "BPE"
+    #: Marks of inner pieces (WordPiece) and of word ends (byte-pair).
+    prefix: str = ""
+    suffix: str = ""
+    unk: str = ""
+    max_piece_chars: int = 1 << 30
+    #: Score of an unknown symbol (Unigram).
+    unk_score: float = 0.0
+    #: Bitmap of what can stand in a piece: results of merges, or vocabulary entries.
+    bitmap: str | None = field(default=None, repr=False)
+    #: Every merge comes after all merges that make its parts, as training produces them.
+    ordered: bool = True
+    #: Rank of every token of a rank file.
+    ranks: dict[str, int] | None = field(default=None, repr=False)
+    #: Ids that the post-processor's template for one text puts before and after it.
+    before: tuple[int, ...] = ()
+    after: tuple[int, ...] = ()
 
     @property
     def digest(self) -> str:
@@ -118,32 +140,72 @@ def read_spec(spark: SparkSession, path: str) -> TokenizerSpec:
 def parse_spec(text: str) -> TokenizerSpec:
     conf = json.loads(text)
     model = conf["model"]
+    kind = model.get("type", "BPE")
     added = {a["content"]: int(a["id"]) for a in conf.get("added_tokens", [])}
     vocab = model.get("vocab", {})
+    entries = list(vocab) if isinstance(vocab, dict) else [t for t, _ in vocab]
     stages, byte_level, reason = _stages(conf)
-    if not reason and model.get("type", "BPE") != "BPE":
-        reason = f"model {model.get('type')}"
-    for key in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "fuse_unk"):
+    if not reason and kind not in ("BPE", "WordPiece", "Unigram"):
+        reason = f"model {kind}"
+    # Unigram always joins neighbouring unknown symbols, as the path here does.
+    for key in ("dropout", "byte_fallback", *(("fuse_unk", "continuing_subword_prefix") if kind == "BPE" else ())):
         if not reason and model.get(key):
             reason = f"model option {key}"
     unk = model.get("unk_token")
-    unk_id = None if unk is None else added.get(unk, vocab.get(unk) if isinstance(vocab, dict) else None)
-    alphabet = set("".join(vocab)) if isinstance(vocab, dict) else set()
+    unk_id = model.get("unk_id") if kind == "Unigram" else None if unk is None else added.get(unk, vocab.get(unk) if isinstance(vocab, dict) else None)
+    alphabet = set("".join(entries))
     # Characters no token holds: two mark symbol borders in the fold, one stands for them where a text has them.
     marks = tuple(c for c in map(chr, [*range(1, 32), *range(0xE000, 0xE100)]) if c not in alphabet)[:3]
-    longest = max((len(t) for t in vocab), default=1) if isinstance(vocab, dict) else 1
-    return TokenizerSpec(text, stages, added, byte_level, not reason, reason, unk_id, bool(model.get("ignore_merges")), longest, marks)
+    suffix = model.get("end_of_word_suffix") or ""
+    prefix = (model.get("continuing_subword_prefix") or "") if kind == "WordPiece" else ""
+    longest = max((len(t.removesuffix(suffix) if suffix else t.removeprefix(prefix)) for t in entries), default=1)
+    merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+    last = {a + b: rank for rank, (a, b) in enumerate(merges)}
+    ordered = all(last.get(part, -1) < rank for rank, pair in enumerate(merges) for part in pair)
+    before, after, template = _template(conf.get("post_processor"), added)
+    return TokenizerSpec(
+        text, stages, added, byte_level, not reason, reason, unk_id, bool(model.get("ignore_merges")), longest, marks, kind,
+        prefix=prefix, suffix=suffix, unk=unk or "", max_piece_chars=model.get("max_input_chars_per_word", 100) if kind == "WordPiece" else 1 << 30,
+        unk_score=min((x for _, x in vocab), default=0.0) - 10 if kind == "Unigram" else 0.0,
+        bitmap=entry_bitmap(last if kind == "BPE" else entries), ordered=ordered, before=before, after=after,
+    )
+
+
+def _template(post: dict | None, added: dict[str, int]) -> tuple[tuple[int, ...], tuple[int, ...], bool]:
+    """Special ids before and after one text, and whether the post-processor is one that only adds them."""
+    kind = (post or {}).get("type")
+    if kind == "Sequence":
+        known = [_template(p, added) for p in post.get("processors", [])]
+        return tuple(i for b, _, _ in reversed(known) for i in b), tuple(i for _, a, _ in known for i in a), all(ok for _, _, ok in known)
+    if kind in ("BertProcessing", "RobertaProcessing"):
+        return (int(post["cls"][1]),), (int(post["sep"][1]),), True
+    if kind == "TemplateProcessing":
+        sides: tuple[list[int], list[int]] = ([], [])
+        seen = 0
+        for part in post.get("single", []):
+            if "Sequence" in part:
+                seen = 1
+            else:
+                sides[seen].extend(int(i) for i in post["special_tokens"][part["SpecialToken"]["id"]]["ids"])
+        return tuple(sides[0]), tuple(sides[1]), True
+    return (), (), kind in (None, "ByteLevel")
 
 
 def _stages(conf: dict) -> tuple[tuple[Stage, ...] | None, bool, str]:
     """``(stages, byte level, reason why not exact)``."""
-    if conf.get("normalizer") is not None:
-        return None, False, "a normalizer"
     stages: list[Stage] = []
-    for normalized in (False, True):
-        group = [a for a in conf.get("added_tokens", []) if bool(a.get("normalized")) == normalized and a["content"]]
+    for is_normalized in (False, True):
+        if is_normalized:
+            try:
+                if steps := tuple(chain(conf.get("normalizer"))):
+                    stages.append(Stage(steps=steps))
+            except Unsupported as what:
+                return None, False, str(what)
+        group = [a for a in conf.get("added_tokens", []) if bool(a.get("normalized")) == is_normalized and a["content"]]
         if any(a.get("single_word") or a.get("lstrip") or a.get("rstrip") for a in group):
             return None, False, "an added token that looks at its surroundings"
+        if group and is_normalized and conf.get("normalizer") is not None:
+            return None, False, "an added token that is normalized"
         if group:
             # Leftmost, then longest.
             longest_first = sorted((a["content"] for a in group), key=lambda c: (-len(c), c))
@@ -152,28 +214,54 @@ def _stages(conf: dict) -> tuple[tuple[Stage, ...] | None, bool, str]:
     parts = [] if not pre else pre.get("pretokenizers", []) if pre.get("type") == "Sequence" else [pre]
     byte_level = False
     for p in parts:
-        kind = p.get("type")
         if byte_level:
             return None, False, "a split of byte-level text"
-        if kind == "Split":
-            if p.get("behavior") != "Isolated" or p.get("invert"):
-                return None, False, f"split behavior {p.get('behavior')}"
-            pat = p.get("pattern", {})
-            pattern = pat["Regex"] if "Regex" in pat else java_literal(pat.get("String", ""))
-            if not pattern or _may_be_empty(pattern):
-                return None, False, "a split pattern that can match nothing"
-            stages.append(Stage("(?U)" + pattern))
-        elif kind == "ByteLevel":
-            if p.get("add_prefix_space"):
-                return None, False, "add_prefix_space"
-            if p.get("use_regex", True):
-                stages.append(Stage("(?U)" + BYTE_LEVEL_PATTERN))
-            byte_level = True
-        else:
-            return None, False, f"pre-tokenizer {kind}"
+        more, reason = _pre_stages(p)
+        if reason:
+            return None, False, reason
+        stages += more
+        byte_level = p.get("type") == "ByteLevel"
     return tuple(stages), byte_level, ""
 
 
+def _pre_stages(p: dict) -> tuple[list[Stage], str]:
+    """Stages of one pre-tokenizer, or the reason why there are none."""
+    kind = p.get("type")
+    if kind == "Split":
+        behavior = p.get("behavior")
+        keep = "all" if behavior == "Isolated" and not p.get("invert") else {True: "matches", False: "gaps"}[bool(p.get("invert"))] if behavior == "Removed" else None
+        if keep is None:
+            return [], f"split behavior {behavior}"
+        pat = p.get("pattern", {})
+        pattern = pat["Regex"] if "Regex" in pat else java_literal(pat.get("String", ""))
+        if not pattern or _may_be_empty(pattern):
+            return [], "a split pattern that can match nothing"
+        return [Stage("(?U)" + pattern, keep=keep)], ""
+    if kind == "ByteLevel":
+        spaced = Stage(steps=(lambda t: F.when((t == "") | t.startswith(" "), t).otherwise(F.concat(F.lit(" "), t)),))
+        return [spaced] * bool(p.get("add_prefix_space")) + [Stage("(?U)" + BYTE_LEVEL_PATTERN)] * bool(p.get("use_regex", True)), ""
+    if kind == "Whitespace":
+        return [Stage(r"(?U)\w+|[^\w\s]+", keep="matches")], ""
+    if kind == "WhitespaceSplit":
+        return [Stage(r"(?U)\s+", keep="gaps")], ""
+    if kind == "BertPreTokenizer":
+        return [Stage(r"(?U)\s", keep="gaps"), Stage(BERT_PUNCTUATION)], ""
+    if kind == "Punctuation" and p.get("behavior", "Isolated") == "Isolated":
+        return [Stage(BERT_PUNCTUATION)], ""
+    if kind == "Digits":
+        return [Stage(r"\p{N}" if p.get("individual_digits") else r"\p{N}+")], ""
+    if kind == "Metaspace":
+        mark, scheme = p.get("replacement", "\u2581"), p.get("prepend_scheme", "always")
+
+        def marked(t: Column) -> Column:
+            plain = F.translate(t, " ", mark)
+            return plain if scheme == "never" else F.when((plain == "") | plain.startswith(mark), plain).otherwise(F.concat(F.lit(mark), plain))
+
+        rewrite = [Stage(steps=(lambda t: F.translate(t, " ", mark),)), Stage(steps=(marked,), first_only=True)] if scheme == "first" else [Stage(steps=(marked,))]
+        return rewrite + [Stage(f"{java_literal(mark)}[^{java_literal(mark)}]*")] * bool(p.get("split", True)), ""
+    return [], f"pre-tokenizer {kind}"
+
+
 def _may_be_empty(pattern: str) -> bool:
     """Whether a pattern may match the empty string (unknown syntax counts as yes)."""
     plain = re.sub(r"\\[pP]\{\^?\w+\}|\\[pP]\w", "[a]", pattern)
@@ -187,9 +275,11 @@ def _may_be_empty(pattern: str) -> bool:
     return compiled.match("") is not None or alternatives_only_look
 
 
-def _cut(text: Column, pattern: str) -> Column:
-    """Matches of ``pattern`` and the text between them, in order; together they are the text."""
-    return F.regexp_extract_all(text, F.lit(f"(?:{pattern})|(?:(?!{pattern})(?s:.))++"), 0)
+def _cut(text: Column, stage: Stage) -> Column:
+    """Matches of the stage's pattern, the text between them, or both, in order."""
+    gap = f"(?:(?!{stage.pattern})(?s:.))++"
+    found = {"all": f"(?:{stage.pattern})|{gap}", "matches": stage.pattern, "gaps": gap}[stage.keep]
+    return F.regexp_extract_all(text, F.lit(found), 0)
 
 
 def split_pieces(df: DataFrame, spec: TokenizerSpec, text_col: str = "text", keep: tuple[str, ...] = (), position: str | None = None) -> DataFrame:
@@ -199,19 +289,36 @@ def split_pieces(df: DataFrame, spec: TokenizerSpec, text_col: str = "text", kee
     """
     if spec.stages is None:
         raise ValueError(f"the tokenizer's split cannot be reproduced: {spec.reason}")
-    items = F.array(F.struct(F.col(text_col).alias("t"), F.lit(False).alias("a")))
+    whole = F.struct(F.col(text_col).alias("t"), F.lit(False).alias("a"))
+    rows, items, part = df, F.array(whole), F.lit(0)
     for stage in spec.stages:
-        items = _next(items, stage)
+        if any(getattr(step, "by_row", False) for step in stage.steps):
+            # Unicode forms are computed in a projection, one text a row.
+            rows = rows.select(*keep, F.posexplode(items).alias("_part", "_x"))
+            text = F.when(F.col("_x.a"), F.col("_x.t")).otherwise(normalized(F.col("_x.t"), list(stage.steps)))
+            rows = rows.select(*keep, "_part", F.array(F.struct(text.alias("t"), F.col("_x.a").alias("a"))).alias("_items"))
+            items, part = F.col("_items"), F.col("_part")
+        else:
+            items = _next(items, stage, part)
     items = F.filter(items, lambda x: x["t"] != "")
     if position:
-        rows = df.select(*keep, F.posexplode(items).alias(position, "_x"))
-        return rows.select(*keep, position, F.col("_x.t").alias("piece"), F.col("_x.a").alias("is_added"))
-    return df.select(*keep, F.explode(items).alias("_x")).select(*keep, F.col("_x.t").alias("piece"), F.col("_x.a").alias("is_added"))
+        rows = rows.select(*keep, part.alias("_p"), F.posexplode(items).alias("_q", "_x"))
+        place = F.col("_p").cast("long") * (1 << 32) + F.col("_q")
+        return rows.select(*keep, place.alias(position), F.col("_x.t").alias("piece"), F.col("_x.a").alias("is_added"))
+    return rows.select(*keep, F.explode(items).alias("_x")).select(*keep, F.col("_x.t").alias("piece"), F.col("_x.a").alias("is_added"))
+
 
+def _next(items: Column, stage: Stage, part: Column) -> Column:
+    if stage.steps:
+
+        def rewrite(x: Column, i: Column) -> Column:
+            skip = x["a"] | ((part + i) > 0) if stage.first_only else x["a"]
+            return F.struct(F.when(skip, x["t"]).otherwise(normalized(x["t"], list(stage.steps))).alias("t"), x["a"].alias("a"))
+
+        return F.transform(items, rewrite)
 
-def _next(items: Column, stage: Stage) -> Column:
     def cut(x: Column) -> Column:
-        parts = F.transform(_cut(x["t"], stage.pattern), lambda t: F.struct(t.alias("t"), (t.rlike(rf"\A(?:{stage.pattern})\z") if stage.final else F.lit(False)).alias("a")))
+        parts = F.transform(_cut(x["t"], stage), lambda t: F.struct(t.alias("t"), (t.rlike(rf"\A(?:{stage.pattern})\z") if stage.final else F.lit(False)).alias("a")))
         return F.when(x["a"], F.array(x)).otherwise(parts)
 
     return F.flatten(F.transform(items, cut))
@@ -222,13 +329,7 @@ def piece_counts(df: DataFrame, spec: TokenizerSpec, text_col: str = "text") ->
     return split_pieces(df, spec, text_col).groupBy("piece", "is_added").agg(F.count(F.lit(1)).alias("n"))
 
 
-# -- byte-pair encoding as joins (T4) --------------------------------------------
-
-
-def _symbols(spec: TokenizerSpec) -> Column:
-    """The piece in the model's alphabet, as characters; border marks inside it are replaced."""
-    text = to_byte_level(F.col("piece")) if spec.byte_level else F.translate(F.col("piece"), spec.marks[0] + spec.marks[1], spec.marks[2] * 2)
-    return F.filter(F.split(text, ""), lambda c: c != "")
+# -- models as joins (T1, T4) ------------------------------------------------------
 
 
 def bpe_tokens(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -238,40 +339,53 @@ def bpe_tokens(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab:
     substrings of each piece (up to the longest token) are equi-joined with the
     results of all merges; the few hits, by rank, are then folded over the
     piece. The cost of a piece depends on its length, not on the number of merges.
-    Exact for trained vocabularies (a pair can only form after the merges of its parts).
+    That is exact where every merge comes after those that make its parts
+    (``spec.ordered``, checked when the file is read); other merge lists, and pieces of more than
+    ``LONG`` symbols, are run pair by pair (``merged_symbols``).
     """
     if not spec.native:
         raise ValueError(f"byte-pair encoding in Spark does not cover {spec.reason}")
-    opens, closes, _ = spec.marks
-    base = pieces.withColumn("c", _symbols(spec)).withColumn("n_c", F.size("c"))
-    # All substrings of 2..max_token_chars characters that start at one place are built by extension, so each costs one character.
-    longest = spec.max_token_chars
-    subs = F.expr(
-        f"flatten(transform(sequence(1, n_c - 1), i -> transform(sequence(2, least({longest}, n_c - i + 1)), k -> array_join(slice(c, i, k), ''))))"
-    )
-    candidates = base.filter("not is_added and n_c > 1").select("piece", F.explode(F.array_distinct(subs)).alias("whole"))
-    rules = merges.select(F.concat("left", "right").alias("whole"), "rank", "left", "right")
-    # A merge list has at most as many rows as its vocabulary; the hint is given only below the checked bound.
-    hits = candidates.join(bounded_broadcast(rules), "whole")
-    folded = hits.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("rank", "left", "right"))).alias("rules"))
-    both = base.join(folded, "piece", "left")
-    wrapped = F.concat(F.lit(opens), F.array_join("c", closes + opens), F.lit(closes))
-
-    def merge(acc: Column, m: Column) -> Column:
-        pair = F.concat(F.lit(opens), m["left"], F.lit(closes + opens), m["right"], F.lit(closes))
-        return F.replace(acc, pair, F.concat(F.lit(opens), m["left"], m["right"], F.lit(closes)))
-
-    done = F.aggregate(F.coalesce("rules", F.array().cast("array<struct<rank:int,left:string,right:string>>")), wrapped, merge)
-    tokens = F.split(F.substring(done, F.lit(2), F.length(done) - 2), closes + opens)
-    tokens = F.when(F.col("is_added"), F.array("piece")).when(F.col("n_c") == 1, F.col("c")).otherwise(tokens)
-    out = both.withColumn("tokens", tokens).drop("c", "n_c", "rules")
+    opens, closes, other = spec.marks
+    spelled = to_byte_level(F.col("piece")) if spec.byte_level else F.translate(F.col("piece"), opens + closes, other * 2)
+    base = pieces.withColumn("spelled", spelled).withColumn("n_c", F.when(F.col("is_added"), F.lit(0)).otherwise(F.length("spelled")))
+    chars = F.filter(F.split("spelled", ""), lambda c: c != "")
+    if spec.suffix:
+        chars = F.transform(chars, lambda c, i: F.when(i + 1 == F.col("n_c"), F.concat(c, F.lit(spec.suffix))).otherwise(c))
+    single = base.withColumn("c", F.when(F.col("is_added"), F.array("piece")).otherwise(chars)) if not spec.ordered else base.filter(F.col("n_c") > LONG).withColumn("c", chars)
+    out = merged_symbols(single, spec.text, spec.ranks).select(*pieces.columns, "spelled", "tokens")
+    if spec.ordered:
+        # A merge list has at most as many rows as its vocabulary; the hint is given only below the checked bound.
+        rules = bounded_broadcast(merges.select(F.concat("left", "right").alias("whole"), "rank", "left", "right"))
+        rows = substrings(base.filter(F.col("n_c") <= LONG), 2, spec.max_token_chars, spec.bitmap, suffix=spec.suffix).join(rules, "whole", "left")
+        hit = F.when(F.col("rank").isNotNull(), F.struct("rank", "left", "right"))
+        both = _per_piece(rows, [*pieces.columns, "spelled", "n_c"], F.array_sort(F.collect_set(hit)).alias("rules")).withColumn("c", chars)
+        wrapped = F.concat(F.lit(opens), F.array_join("c", closes + opens), F.lit(closes))
+
+        def merge(acc: Column, m: Column) -> Column:
+            pair = F.concat(F.lit(opens), m["left"], F.lit(closes + opens), m["right"], F.lit(closes))
+            return F.replace(acc, pair, F.concat(F.lit(opens), m["left"], m["right"], F.lit(closes)))
+
+        done = F.aggregate("rules", wrapped, merge)
+        tokens = F.when(F.col("n_c") == 1, F.col("c")).otherwise(F.split(F.substring(done, F.lit(2), F.length(done) - 2), closes + opens))
+        out = both.withColumn("tokens", tokens).select(*pieces.columns, "spelled", "tokens").unionByName(out)
+    out = out.withColumn("tokens", F.when(F.col("is_added"), F.array("piece")).otherwise(F.col("tokens")))
     if spec.ignore_merges:
         # A piece that is a token is taken whole.
-        spelled = to_byte_level(F.col("piece")) if spec.byte_level else F.col("piece")
         known = bounded_broadcast(vocab.filter(~F.col("special")).select(F.col("token").alias("_whole"))).distinct()
-        out = out.withColumn("_spelled", spelled).join(known, F.col("_spelled") == F.col("_whole"), "left")
-        out = out.withColumn("tokens", F.when(F.col("_whole").isNotNull() & ~F.col("is_added"), F.array("_spelled")).otherwise(F.col("tokens"))).drop("_spelled", "_whole")
-    return out
+        out = out.join(known, F.col("spelled") == F.col("_whole"), "left")
+        out = out.withColumn("tokens", F.when(F.col("_whole").isNotNull() & ~F.col("is_added"), F.array("spelled")).otherwise(F.col("tokens")))
+    return out.select(*pieces.columns, "tokens")
+
+
+def piece_tokens(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Add ``tokens array<string>`` to distinct pieces by the tokenizer's model."""
+    if not spec.native:
+        raise ValueError(f"encoding in Spark does not cover {spec.reason}")
+    if spec.model == "WordPiece":
+        return wordpiece_tokens(pieces, vocab, spec.bitmap, spec.max_token_chars, spec.prefix, spec.unk, spec.max_piece_chars)
+    if spec.model == "Unigram":
+        return unigram_tokens(pieces, vocab.filter(F.col("score").isNotNull()), spec.bitmap, spec.max_token_chars, spec.unk_score, spec.text)
+    return bpe_tokens(pieces, spec, merges, vocab)
 
 
 def _with_ids(rows: DataFrame, spec: TokenizerSpec, vocab: DataFrame) -> DataFrame:
@@ -289,7 +403,7 @@ def _with_ids(rows: DataFrame, spec: TokenizerSpec, vocab: DataFrame) -> DataFra
 
 def bpe_ids(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(piece, ids array<int>)`` of distinct pieces ``(piece, is_added)``."""
-    tokens = bpe_tokens(pieces.select("piece", "is_added"), spec, merges, vocab)
+    tokens = piece_tokens(pieces.select("piece", "is_added"), spec, merges, vocab)
     rows = _with_ids(tokens.select("piece", "is_added", F.posexplode("tokens").alias("i", "token")), spec, vocab)
     ids = rows.groupBy("piece", "is_added").agg(F.array_sort(F.collect_list(F.struct("i", "token_id"))).alias("x"))
     out = pieces.select("piece", "is_added").join(ids, ["piece", "is_added"], "left")
@@ -298,20 +412,24 @@ def bpe_ids(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: Da
 
 def bpe_frequency(counts: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: DataFrame) -> DataFrame:
     """A1: ``(token_id, count)`` from ``piece_counts``."""
-    tokens = bpe_tokens(counts, spec, merges, vocab)
+    tokens = piece_tokens(counts, spec, merges, vocab)
     rows = _with_ids(tokens.select("is_added", "n", F.explode("tokens").alias("token")), spec, vocab)
     return rows.groupBy("token_id").agg(F.sum("n").cast("long").alias("count"))
 
 
-def encode_documents(docs: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col: str = "text", add_special_tokens: bool = False) -> DataFrame:
     """T1 by distinct pieces: ``(key, ids array<int>)`` of every text, in order.
 
     Pieces carry their position; ids of distinct pieces are joined back. A
-    row's ids are one list, as in any whole-text encoding.
+    row's ids are one list, as in any whole-text encoding, between those of the
+    post-processor's template if special tokens are asked for.
     """
     pieces = split_pieces(docs, spec, text_col, (key,), "pos")
     encoded = bpe_ids(pieces.select("piece", "is_added").distinct(), spec, merges, vocab)
     rows = pieces.join(encoded, ["piece", "is_added"])
     lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("x"))
     out = docs.select(key).join(lists, key, "left")
-    return out.select(key, F.coalesce(F.flatten(F.transform("x", lambda e: e["ids"])), F.array().cast("array<int>")).alias("ids"))
+    ids = F.coalesce(F.flatten(F.transform("x", lambda e: e["ids"])), F.array().cast("array<int>"))
+    if add_special_tokens:
+        ids = F.concat(*[F.array(*[F.lit(i) for i in part]).cast("array<int>") if isinstance(part, tuple) else part for part in (spec.before, ids, spec.after)])
+    return out.select(key, ids.alias("ids"))

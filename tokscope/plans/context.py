@@ -25,6 +25,7 @@ from tokscope.session import (
     default_parallelism,
     ensure_checkpoint_dir,
     read_table,
+    scratch_path,
     ship_package,
 )
 from tokscope.sinks.writers import read_or_compute
@@ -103,9 +104,16 @@ class Context:
         """``(token_id, count)`` over the corpus (T3 + T4 + A1)."""
         return token_frequency(self.docs, self.tok)
 
+    @cached_property
+    def kept_freq(self) -> DataFrame:
+        """``freq`` written once (vocabulary-sized), for plans that use it more than once."""
+        path = scratch_path(self.spark, "freq")
+        self.freq.coalesce(1).write.parquet(path)
+        return self.spark.read.schema("token_id int, count long").parquet(path)
+
     @cached_property
     def filled(self) -> DataFrame:
-        return zero_fill(self.vocab, self.freq)
+        return zero_fill(self.vocab, self.kept_freq)
 
     @cached_property
     def edges(self) -> DataFrame:

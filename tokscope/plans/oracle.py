@@ -13,7 +13,7 @@ import json
 from functools import lru_cache
 
 from tokscope.plans import queries as Q
-from tokscope.session import FIXTURE_BYTE_LEVEL_TOKENIZER, FIXTURE_TOKENIZER
+from tokscope.session import FIXTURE_BYTE_LEVEL_TOKENIZER, FIXTURE_TOKENIZER, FIXTURE_UNIGRAM_TOKENIZER, FIXTURE_WORDPIECE_TOKENIZER
 
 
 # Stated here again, not imported: a wrong value in the engine must show.
@@ -170,27 +170,23 @@ pat AS (
     return sql, sorted({len(t) for t in vocab if t})
 
 
-def _byte_level_frequency(path: str) -> str:
-    """Token counts of the byte-level vocabulary.
+_BYTE = "('0x' || x)::INTEGER"
+_BYTE_CHAR = (
+    f"chr(CASE WHEN {_BYTE} BETWEEN 33 AND 126 OR {_BYTE} BETWEEN 161 AND 172 OR {_BYTE} >= 174 THEN {_BYTE} "
+    f"WHEN {_BYTE} <= 32 THEN {_BYTE} + 256 WHEN {_BYTE} <= 160 THEN {_BYTE} - 127 + 289 ELSE 323 END)"
+)
+
+
+def _byte_level_pieces() -> str:
+    """CTEs ending in ``spelled(piece, n, cs)``: pieces of the byte-level split, as characters of the byte alphabet.
 
     The look-ahead of the public pattern (white space leaves its last
     character to the next word) is replayed on the pieces of the pattern
     without it: a run of white space before more text gives up its last
     character, which joins the next piece if it is a space.
     """
-    vocab, special, merges, _ = _tokenizer(path)
-    vocab_rows = ",\n  ".join(f"({i}, {_q(t)})" for t, i in sorted({**vocab, **special}.items(), key=lambda kv: kv[1]))
-    merge_rows = ",\n  ".join(f"({r}, {_q(a)}, {_q(b)})" for r, (a, b) in enumerate(merges, start=1))
-    byte = "('0x' || x)::INTEGER"
-    char = (
-        f"chr(CASE WHEN {byte} BETWEEN 33 AND 126 OR {byte} BETWEEN 161 AND 172 OR {byte} >= 174 THEN {byte} "
-        f"WHEN {byte} <= 32 THEN {byte} + 256 WHEN {byte} <= 160 THEN {byte} - 127 + 289 ELSE 323 END)"
-    )
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
-    return f"""WITH RECURSIVE vocab(token_id, token) AS (VALUES
-  {vocab_rows}),
-merges(rank, a, b) AS (VALUES
-  {merge_rows}),
+    return f"""
 raw AS (
   SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM (
     SELECT doc_id, regexp_extract_all(text, {_q(pattern)}) AS ps FROM documents WHERE text IS NOT NULL AND length(text) > 0)),
@@ -205,7 +201,18 @@ shifted AS (
   SELECT right(p, 1) FROM flags WHERE gives AND right(p, 1) <> ' '),
 pieces AS (SELECT piece, count(*)::BIGINT AS n FROM shifted GROUP BY piece),
 spelled AS (
-  SELECT piece, n, list_transform(regexp_extract_all(hex(encode(piece)), '..'), lambda x: {char}) AS cs FROM pieces),
+  SELECT piece, n, list_transform(regexp_extract_all(hex(encode(piece)), '..'), lambda x: {_BYTE_CHAR}) AS cs FROM pieces)"""
+
+
+def _byte_level_frequency(path: str) -> str:
+    """Token counts of the byte-level vocabulary."""
+    vocab, special, merges, _ = _tokenizer(path)
+    vocab_rows = ",\n  ".join(f"({i}, {_q(t)})" for t, i in sorted({**vocab, **special}.items(), key=lambda kv: kv[1]))
+    merge_rows = ",\n  ".join(f"({r}, {_q(a)}, {_q(b)})" for r, (a, b) in enumerate(merges, start=1))
+    return f"""WITH RECURSIVE vocab(token_id, token) AS (VALUES
+  {vocab_rows}),
+merges(rank, a, b) AS (VALUES
+  {merge_rows}),{_byte_level_pieces()},
 fold(piece, n, step, s) AS (
   SELECT piece, n, 0, list_aggregate(list_transform(cs, lambda c: chr(1) || c || chr(2)), 'string_agg', '') FROM spelled
   UNION ALL
@@ -217,6 +224,94 @@ tokens AS (
 SELECT v.token_id::INTEGER AS token_id, sum(t.n)::BIGINT AS count FROM tokens t JOIN vocab v ON v.token = t.token GROUP BY v.token_id"""
 
 
+def _rank_file_frequency() -> str:
+    """Token counts by a public rank file: every step joins, in each piece, the first pair whose union has the lowest rank."""
+    import public_tokenizers
+
+    path = _q(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ranks = f"""ranks AS (
+  SELECT rank, list_aggregate(list_transform(regexp_extract_all(hex(from_base64(token)), '..'), lambda x: {_BYTE_CHAR}), 'string_agg', '') AS token
+  FROM read_csv({path}, delim=' ', header=false, quote='', escape='', columns={{'token': 'VARCHAR', 'rank': 'INTEGER'}}))"""
+    return f"""WITH RECURSIVE {ranks},{_byte_level_pieces()},
+fold(piece, n, toks, pair) AS (
+  SELECT piece, n, CASE WHEN r.token IS NULL THEN cs ELSE [r.token] END, 0::BIGINT
+  FROM spelled LEFT JOIN ranks r ON r.token = list_aggregate(cs, 'string_agg', '')
+  UNION ALL
+  SELECT piece, any_value(n), any_value(toks[:i - 1] || [toks[i] || toks[i + 1]] || toks[i + 2:] ORDER BY rank, i), any_value(i ORDER BY rank, i)
+  FROM (SELECT f.piece, f.n, f.toks, i, r.rank,
+               row_number() OVER (PARTITION BY f.piece ORDER BY r.rank, i) AS k
+        FROM (SELECT *, unnest(range(1, len(toks))) AS i FROM fold) f JOIN ranks r ON r.token = f.toks[i] || f.toks[i + 1])
+  WHERE k = 1 GROUP BY piece),
+last AS (SELECT piece, any_value(n) AS n, arg_min(toks, len(toks)) AS toks FROM fold GROUP BY piece),
+tokens AS (SELECT n, unnest(toks) AS token FROM last)
+SELECT r.rank::INTEGER AS token_id, sum(t.n)::BIGINT AS count FROM tokens t JOIN ranks r ON r.token = t.token GROUP BY r.rank"""
+
+
+def _wordpiece(path: str) -> str:
+    """Ids of every document: lower case without accents, words and marks, longest match first, between [CLS] and [SEP]."""
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    rows = ",\n  ".join(f"({i}, {_q(t)})" for t, i in vocab.items() if i > 2)
+    longest = max(len(t.removeprefix("##")) for t in vocab)
+    mark = r"[!-/:-@\[-`{-~\p{P}]"
+    return f"""WITH RECURSIVE vocab(token_id, token) AS (VALUES
+  {rows}),
+words AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (
+    SELECT doc_id, regexp_extract_all(lower(strip_accents(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'))), {_q(mark + "|[^" + mark[1:-1] + r"\s\x{A0}\x{85}\x{2000}-\x{200A}\x{3000}]+")}) AS ws
+    FROM documents WHERE text IS NOT NULL AND length(text) > 0)),
+walk(w, pos, ids) AS (
+  SELECT DISTINCT w, 1, []::INTEGER[] FROM words WHERE length(w) <= 100
+  UNION ALL
+  SELECT w, pos + k, ids || [token_id] FROM (
+    SELECT x.w, x.pos, x.ids, x.k, v.token_id, row_number() OVER (PARTITION BY x.w ORDER BY x.k DESC) AS best
+    FROM (SELECT *, unnest(range(1, least({longest}, length(w) - pos + 1) + 1)) AS k FROM walk WHERE pos <= length(w)) x
+    JOIN vocab v ON v.token = CASE WHEN x.pos > 1 THEN '##' ELSE '' END || substr(x.w, x.pos, x.k)) WHERE best = 1),
+done AS (SELECT w, ids FROM walk WHERE pos = length(w) + 1),
+rows AS (SELECT doc_id, i, coalesce(ids, [0]) AS ids FROM words LEFT JOIN done USING (w)),
+lists AS (SELECT doc_id, flatten(list(ids ORDER BY i)) AS ids FROM rows GROUP BY doc_id)
+SELECT doc_id, (len(ids) + 2)::INTEGER AS n_tokens, array_to_string([1] || ids || [2], ',') AS ids
+FROM (SELECT doc_id, coalesce(ids, []) AS ids FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL AND length(text) > 0) LEFT JOIN lists USING (doc_id))"""
+
+
+def _unigram(path: str) -> str:
+    """Ids of every document: marked words, each by the best-scoring path (earlier start on equal scores), unknown runs as one."""
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    rows = ",\n  ".join(f"({i}, {_q(t)}, {x!r})" for i, (t, x) in enumerate(vocab) if i > 0)
+    unknown = min(x for _, x in vocab) - 10
+    longest = max(len(t) for t, _ in vocab)
+    return f"""WITH RECURSIVE vocab(token_id, token, score) AS (VALUES
+  {rows}),
+marked AS (
+  SELECT doc_id, replace(regexp_replace(nfc_normalize(text), '[\\t\\n\\r]', ' ', 'g'), ' ', '▁') AS t FROM documents WHERE text IS NOT NULL AND length(text) > 0),
+words AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (
+    SELECT doc_id, regexp_extract_all(CASE WHEN starts_with(t, '▁') THEN t ELSE '▁' || t END, '▁[^▁]*') AS ws FROM marked)),
+pieces AS (SELECT DISTINCT w FROM words),
+places AS (
+  SELECT w, s, s + k - 1 AS e, v.token_id, v.score
+  FROM (SELECT w, s, unnest(range(1, least({longest}, length(w) - s + 1) + 1)) AS k FROM (SELECT w, unnest(range(1, length(w) + 1)) AS s FROM pieces)) x
+  JOIN vocab v ON v.token = substr(x.w, x.s, x.k)),
+steps AS (
+  SELECT w, s, e, token_id, score FROM places
+  UNION ALL
+  SELECT w, s, s, 0, {unknown!r} FROM (SELECT w, unnest(range(1, length(w) + 1)) AS s FROM pieces) a
+  WHERE NOT EXISTS (SELECT 1 FROM places p WHERE p.w = a.w AND p.s = a.s AND p.e = a.s)),
+per_end AS (SELECT w, e, list(struct_pack(s := s, token_id := token_id, score := score::DOUBLE) ORDER BY s) AS come FROM steps GROUP BY w, e),
+best(w, e, scores, paths) AS (
+  SELECT w, 0, [0.0::DOUBLE], [[]::INTEGER[]] FROM pieces
+  UNION ALL
+  SELECT b.w, b.e + 1, b.scores || [b.scores[pick.s] + pick.score], b.paths || [b.paths[pick.s] || [pick.token_id]]
+  FROM (SELECT b.*, list_reduce(p.come, lambda x, y: CASE WHEN b.scores[y.s] + y.score > b.scores[x.s] + x.score THEN y ELSE x END) AS pick
+        FROM best b JOIN per_end p ON p.w = b.w AND p.e = b.e + 1) b),
+done AS (
+  SELECT w, list_transform(list_filter(range(1, len(ids) + 1), lambda j: NOT (ids[j] = 0 AND j > 1 AND ids[j - 1] = 0)), lambda j: ids[j]) AS ids
+  FROM (SELECT w, paths[len(paths)] AS ids FROM best WHERE e = length(w))),
+lists AS (SELECT doc_id, flatten(list(ids ORDER BY i)) AS ids FROM words JOIN done USING (w) GROUP BY doc_id)
+SELECT doc_id, len(ids)::INTEGER AS n_tokens, array_to_string(ids, ',') AS ids FROM lists"""
+
+
 def _with(body: str, byte: bool = False) -> str:
     ctes = _base_ctes() + (_byte_ctes() if byte else "")
     return f"WITH RECURSIVE {ctes}\n{body}"
@@ -371,12 +466,21 @@ def oracle_sql() -> dict[str, str]:
         "r AS (SELECT text IS NOT NULL AS ok FROM f UNION ALL SELECT false FROM f WHERE conv_id % 5 = 0 "
         "UNION ALL SELECT false FROM f WHERE conv_id % 7 = 0) SELECT ok, count(*)::BIGINT AS n FROM r GROUP BY ok"
     )
-    # The longest whole characters within the first bytes, and one mark if a character was cut.
+    # Characters by the piece in which their first byte lies; a piece that starts or ends inside one shows a mark there
+    # (of a cut character, every byte but the first is invalid by itself at the start of the next piece).
     sql["replace_invalid"] = (
-        "SELECT doc_id, substr(text, 1, m) || CASE WHEN octet_length(encode(substr(text, 1, m))) < least(40, octet_length(encode(text))) "
-        "THEN chr(65533) ELSE '' END AS head FROM (SELECT doc_id, text, list_max(list_filter(range(0, 41), "
-        "lambda k: octet_length(encode(substr(text, 1, k))) <= 40)) AS m FROM documents WHERE text IS NOT NULL AND length(text) > 0)"
+        "WITH chars AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS i FROM documents "
+        "WHERE text IS NOT NULL AND length(text) > 0), "
+        "sized AS (SELECT *, octet_length(encode(ch)) AS w, (sum(octet_length(encode(ch))) OVER (PARTITION BY doc_id ORDER BY i) - octet_length(encode(ch)))::BIGINT AS b FROM chars), "
+        f"parts AS (SELECT doc_id, i, unnest(range(b // {Q.CUT_BYTES}, (b + w - 1) // {Q.CUT_BYTES} + 1)) AS piece, ch, w, b FROM sized), "
+        f"shown AS (SELECT doc_id, piece, i, CASE WHEN b // {Q.CUT_BYTES} = (b + w - 1) // {Q.CUT_BYTES} THEN ch "
+        f"WHEN b // {Q.CUT_BYTES} = piece THEN chr(65533) "
+        f"ELSE repeat(chr(65533), (b + w - piece * {Q.CUT_BYTES})::INTEGER) END AS x FROM parts) "
+        "SELECT doc_id, piece::INTEGER AS piece, string_agg(x, '' ORDER BY i) AS text FROM shown GROUP BY doc_id, piece"
     )
+    sql["encode_wordpiece"] = _wordpiece(FIXTURE_WORDPIECE_TOKENIZER)
+    sql["encode_unigram"] = _unigram(FIXTURE_UNIGRAM_TOKENIZER)
+    sql["encode_gpt"] = _rank_file_frequency()
     sql["flatten"] = "SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL AND length(text) > 0"
     sql["empty_result_check"] = (
         "SELECT count(*)::BIGINT AS n_docs, count(*) > 0 AS some_written, false AS none_written "

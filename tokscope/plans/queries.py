@@ -31,7 +31,7 @@ from tokscope.operators.ranking import (
 )
 from tokscope.operators.tokenizer import RankFile, bpe_ids, bpe_tokens, encode_documents
 from tokscope.plans.context import Context
-from tokscope.session import FIXTURE_BYTE_LEVEL_TOKENIZER, scratch_path, table_path
+from tokscope.session import FIXTURE_BYTE_LEVEL_TOKENIZER, FIXTURE_UNIGRAM_TOKENIZER, FIXTURE_WORDPIECE_TOKENIZER, scratch_path, table_path
 from tokscope.sinks.writers import read_or_compute, write_frequencies, write_merge_closure, write_metrics, write_ranked
 from tokscope.sources.tables import (
     conversations_as_jsonl,
@@ -110,6 +110,23 @@ def q_encode_gpt(spark, sf_dir):
     return token_frequency(_ctx(spark, sf_dir).docs, RankFile(spark, public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
+def _encoded(spark, sf_dir, path):
+    """Ids of every document, special tokens of the file's template included."""
+    c = Context(spark, sf_dir, path)
+    ids = encode_documents(c.docs.select("doc_id", "text"), c.tok.spec, c.merges, c.vocab, add_special_tokens=True)
+    return ids.select("doc_id", F.size("ids").alias("n_tokens"), F.array_join("ids", ",").alias("ids"))
+
+
+def q_encode_wordpiece(spark, sf_dir):
+    """T1 with a WordPiece file: normalizer, split, longest match first, template."""
+    return _encoded(spark, sf_dir, FIXTURE_WORDPIECE_TOKENIZER)
+
+
+def q_encode_unigram(spark, sf_dir):
+    """T1 with a Unigram file: normalizer, word marks, best path by summed scores."""
+    return _encoded(spark, sf_dir, FIXTURE_UNIGRAM_TOKENIZER)
+
+
 def q_decode_sequence(spark, sf_dir):
     """T1 then T5: every document encoded and decoded back."""
     c = _ctx(spark, sf_dir)
@@ -311,9 +328,11 @@ def q_scan_table(spark, sf_dir):
 
 
 def q_replace_invalid(spark, sf_dir):
-    """The first bytes of each text, a cut character replaced."""
-    d = _ctx(spark, sf_dir).docs
-    return d.select("doc_id", replace_invalid(F.substring(utf8_bytes("text"), 1, CUT_BYTES)).alias("head"))
+    """Every text cut into pieces of so many bytes, cut characters replaced on both sides."""
+    d = _ctx(spark, sf_dir).docs.select("doc_id", utf8_bytes("text").alias("raw"))
+    starts = F.sequence(F.lit(0), F.floor((F.octet_length("raw") - 1) / CUT_BYTES).cast("int"))
+    pieces = d.select("doc_id", "raw", F.explode(starts).alias("piece"))
+    return pieces.select("doc_id", "piece", replace_invalid(F.substring("raw", F.col("piece") * CUT_BYTES + 1, F.lit(CUT_BYTES))).alias("text"))
 
 
 def q_flatten(spark, sf_dir):
@@ -458,6 +477,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "encode_distinct": q_encode_distinct,
     "bpe_fold": q_bpe_fold,
     "encode_gpt": q_encode_gpt,
+    "encode_wordpiece": q_encode_wordpiece,
+    "encode_unigram": q_encode_unigram,
     "decode_sequence": q_decode_sequence,
     "merge_edges": q_merge_edges,
     "merge_closure": q_merge_closure,

@@ -18,6 +18,8 @@ BROADCAST_MAX_ROWS = 2_000_000
 PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 FIXTURE_TOKENIZER = os.path.join(PACKAGE_DIR, "resources", "tokenizer.json")
 FIXTURE_BYTE_LEVEL_TOKENIZER = os.path.join(PACKAGE_DIR, "resources", "tokenizer_byte_level.json")
+FIXTURE_WORDPIECE_TOKENIZER = os.path.join(PACKAGE_DIR, "resources", "tokenizer_wordpiece.json")
+FIXTURE_UNIGRAM_TOKENIZER = os.path.join(PACKAGE_DIR, "resources", "tokenizer_unigram.json")
 
 
 def get_spark(master: str | None = None, app: str = "tokscope", shuffle_partitions: int = 8) -> SparkSession:

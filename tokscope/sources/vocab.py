@@ -19,14 +19,16 @@ def read_tokenizer(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_vocab(tok: DataFrame) -> DataFrame:
-    """``vocab(token_id int, token string, special boolean)``.
+    """``vocab(token_id int, token string, special boolean, score double)``.
 
     ``model.vocab`` plus ``added_tokens`` (the latter win on an id clash,
-    as the tokenizer library does).
+    as the tokenizer library does). ``score`` is that of a scored list
+    (Unigram), whose ids are its places; null in other files.
     """
-    base = tok.select(
-        F.explode(F.variant_get("v", "$.model.vocab", "map<string,int>")).alias("token", "token_id")
-    ).select("token_id", "token", F.lit(False).alias("special"))
+    by_name = tok.select(F.explode(F.try_variant_get("v", "$.model.vocab", "map<string,int>")).alias("token", "token_id"))
+    listed = tok.select(F.posexplode(F.try_variant_get("v", "$.model.vocab", "array<variant>")).alias("token_id", "x"))
+    scored = listed.select("token_id", F.variant_get("x", "$[0]", "string").alias("token"), F.variant_get("x", "$[1]", "double").alias("score"))
+    base = by_name.withColumn("score", F.lit(None).cast("double")).unionByName(scored).select("token_id", "token", F.lit(False).alias("special"), "score")
     added = tok.select(
         F.explode(F.variant_get("v", "$.added_tokens", "array<struct<id:int,content:string,special:boolean>>")).alias(
             "a"
@@ -35,6 +37,7 @@ def load_vocab(tok: DataFrame) -> DataFrame:
         F.col("a.id").alias("token_id"),
         F.col("a.content").alias("token"),
         F.coalesce(F.col("a.special"), F.lit(True)).alias("special"),
+        F.lit(None).cast("double").alias("score"),
     )
     kept_base = base.join(added.select("token_id"), "token_id", "left_anti")
     return kept_base.unionByName(added)
