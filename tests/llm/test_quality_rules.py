@@ -40,12 +40,32 @@ def test_windows_that_overlap_themselves(spark):
     assert [got[i].n_repeat_words for i in range(6)] == [brute(t)[4] for t in texts]
 
 
+PROSE = """The river turns slowly between low hills and old fields of rye.
+Farmers there still mend stone walls by hand each spring, before lambs arrive.
+A narrow bridge carries one road north, past an empty mill and two orchards.
+In autumn, geese rest on its wide bend while fog hides most farm houses.
+Children walk to school along dikes; their teacher lives beside a chapel.
+Nobody remembers who planted those chestnut trees near our market square."""
+
+
 def test_bad_lines_go_first(spark):
-    prose = "\n".join(f"This is sentence {i} of a calm and ordinary text about rivers, fields and hills." for i in range(9))
     menu = "Home | News | Sport | About | Contact"
-    got = judged(spark.createDataFrame([(1, prose + "\n" + menu), (2, "\n".join([menu] * 9 + prose.split("\n")[:3]))], "doc_id long, text string"))
-    assert got[1].kept and got[1].clean_text == prose
-    assert got[2].lost_share > 0.3 and menu not in got[2].clean_text
+    notice = "Please accept cookies and read our privacy policy"
+    shout = "BUY!! NOW!! CHEAP!!"
+    words = "word " * 11 + "and few others"
+    prose = PROSE.split("\n")
+    rows = [(1, "\n".join([*prose, menu, notice, shout, words])), (2, "\n".join([f"Home | {i} | Sport | About | {i}{i} | Contact | Help" for i in range(20)] + prose[:2]))]
+    got = judged(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got[1].kept and not got[1].base_failed and got[1].clean_text == PROSE
+    assert got[2].lost_share > 0.3 and "|" not in got[2].clean_text
+
+
+def test_line_rules_at_any_length(spark):
+    """A phrase in a long paragraph is no boilerplate, many of them are; a word list is one at any length."""
+    paragraph = " ".join(f"{x} {i}" for i, x in enumerate(PROSE.replace("\n", " ").split())) * 3
+    lines = {0: paragraph + " see our privacy policy", 1: ("our privacy policy and terms of use, " * 60).strip(), 2: " ".join(["same"] * 600 + ["other"] * 599), 3: " ".join(["same"] * 600 + ["other"] * 600)}
+    got = judged(spark.createDataFrame(list(lines.items()), "doc_id long, text string"))
+    assert [got[i].clean_text == lines[i] for i in range(4)] == [True, False, False, True]
 
 
 def test_odd_rows(odd, empty):

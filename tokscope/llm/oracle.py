@@ -65,12 +65,14 @@ lines AS (
   SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM base),
 judged AS (
   SELECT doc_id, x, regexp_matches(x, '[^\\x20\\x09-\\x0D]') AS filled,
-         len(string_split_regex(trim(x, ' '), '{_SPACE}+')) AS n,
+         string_split_regex(trim(x, ' '), '{_SPACE}+') AS ws, len(ws) AS n,
+         list_sort(ws)[n // 2 + 1] AS middle, len(list_filter(ws, lambda w: w = middle)) AS same,
+         len(regexp_extract_all(x, '(?i)({_PHRASES})')) AS phrases,
          len(regexp_extract_all(x, '[#*$%&<>]{{2,}}|[!?]{{2,}}')) AS marks, len(regexp_extract_all(x, '[|»›·]')) AS seps
   FROM lines),
 lost AS (
   SELECT doc_id, count(*) FILTER (WHERE filled) - count(DISTINCT x) FILTER (WHERE filled) AS n_dup_lines,
-         sum(CASE WHEN marks > 0.3 * n OR (seps >= 2 AND seps * 4 >= n) OR (length(x) < 400 AND regexp_matches(x, '(?i)({_PHRASES})'))
+         sum(CASE WHEN marks > 0.3 * n OR (seps >= 2 AND seps * 4 >= n) OR phrases * 400 > length(x) OR (n >= 10 AND same > 0.5 * n)
              THEN length(regexp_replace(x, '{_SPACE}', '', 'g')) ELSE 0 END) AS chars
   FROM judged GROUP BY doc_id),
 counts AS (

@@ -32,12 +32,14 @@ BOILERPLATE = (
 class LineRules:
     """Thresholds of the line rules and of the document verdict."""
 
-    #: A line fails when more than this share of its words carries ``SYMBOLS`` or ends in repeated ``!`` / ``?``.
+    #: A line fails with more runs of two or more marks (``#*$%&<>`` or ``!?``) than this share of its words.
     max_marked_words: float = 0.3
     #: A line with at least this many separators (``|``, ``»``, ``›``, ``·``), at least one per four words, is navigation.
     min_separators: int = 2
     #: A line in which one word makes up more than this share of at least ten words is a word list.
     max_same_word: float = 0.5
+    #: A line with a phrase of ``BOILERPLATE`` per so many characters is boilerplate.
+    chars_per_phrase: int = 400
     #: A document is rejected when removed lines hold more than this share of its word characters.
     max_lost: float = 0.5
 
@@ -49,15 +51,18 @@ def words_of(text: Column) -> Column:
 
 def _failed_line(rules: LineRules) -> str:
     """SQL expression over the line variable ``x``: true if a rule fails."""
-    words = f"size(split(trim(x), '{SPACE_CLASS}+'))"
-    words = words.replace("\\", "\\\\")
+    list_of = f"split(trim(x), '{SPACE_CLASS}+')".replace("\\", "\\\\")
+    words = f"size({list_of})"
     marked = r"regexp_count(x, '[#*$%&<>]{2,}|[!?]{2,}')"
     seps = r"regexp_count(x, '[|»›·]')"
     phrases = "|".join(BOILERPLATE)
     punctuation = f"{marked} > {rules.max_marked_words} * {words}"
     navigation = f"({seps} >= {rules.min_separators} and {seps} * 4 >= {words})"
-    boilerplate = f"(length(x) < 400 and x rlike '(?i)({phrases})')"
-    return f"({punctuation} or {navigation} or {boilerplate})"
+    boilerplate = f"regexp_count(x, '(?i)({phrases})') * {rules.chars_per_phrase} > length(x)"
+    # A word that is more than half of a line is the middle one of its sorted words.
+    same = f"transform(array(array_sort({list_of})), w -> size(filter(w, y -> y = w[cast(size(w) div 2 as int)])))[0]"
+    word_list = f"({words} >= 10 and {same} > {rules.max_same_word} * {words})"
+    return f"({punctuation} or {navigation} or {boilerplate} or {word_list})"
 
 
 def _repeated_words(hashes: str) -> str:
