@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from statistics import NormalDist
@@ -43,7 +44,7 @@ FOLDS = 2
 #: Trusted ids up to this number are broadcast (8 bytes each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 #: Text bytes of a scoring block, on average, and of the arrays handled at once.
-BLOCK_BYTES, CHUNK_CHARS = 16 << 20, 1 << 19
+BLOCK_BYTES, CHUNK_CHARS = 24 << 20, 1 << 19
 #: Share of capitals, digits, punctuation and symbols above which a document goes whose language has no threshold.
 MAX_MARKS = 0.35
 #: Letters of the words looked at one by one, and the marks that may follow them.
@@ -321,9 +322,17 @@ class BlockModel:
 SCORES = T.StructType([T.StructField("n_scored", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("bits", "worst", "held_bits", "held_worst", "marks")])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compress the texts (last column) for the shuffle: prose takes less than half."""
+    for batch in batches:
+        packed = [None if t is None else zlib.compress(t.encode(), 1) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], batch.schema.names)
+
+
 def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    langs, texts, held = (docs.column(c).to_pylist() for c in ("lang", "text", "held"))
-    texts = [t or "" for t in texts]
+    langs, held = (docs.column(c).to_pylist() for c in ("lang", "held"))
+    whole = [None if t is None else zlib.decompress(t).decode() for t in docs.column("text").to_pylist()]
+    texts = [t or "" for t in whole]
     asked = np.array(answers.column("lang").to_pylist(), dtype=object)
     keys, values = answers.column("key").to_numpy(), [answers.column(c).to_numpy() for c in ("p0", "b0", "p1", "b1")]
     out = {f.name: np.full(len(texts), np.nan) for f in SCORES.fields}
@@ -347,28 +356,32 @@ def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
                     out[mean][some] = np.diff(sums) / np.where(stretch.sizes > 0, stretch.sizes, np.nan)
                 out[worst][some] = stretch.second_worst(bits)
     result = docs.select(["row", "lang", "held"])
+    if docs.column("with_text")[0].as_py():
+        result = result.append_column("text", pa.array(whole, pa.string()))
+    else:
+        result = result.append_column("text", pa.nulls(len(whole), pa.string()))
     for name, values in out.items():
         result = result.append_column(name, pa.array(values, from_pandas=True))
     return result
 
 
-def scored(docs: DataFrame, model: DataFrame, keep: list[str]) -> DataFrame:
-    """Score every row of ``text, lang, held``: ``row`` (a struct of the columns ``keep``), ``lang, held`` and ``SCORES``.
+def scored(docs: DataFrame, model: DataFrame, with_text: bool) -> DataFrame:
+    """Score every row of ``row, text, lang, held``: ``row, lang, held, text`` (null unless asked for) and ``SCORES``.
 
     A block is a stretch of rows of one partition, so both readings of ``docs``
-    must deal its rows alike, see :func:`_stable`.
+    must deal its rows alike, see :func:`_stable`. Texts move once, compressed.
     """
     python_tasks(docs.sparkSession)
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     rows = max(1, BLOCK_BYTES * size["n"] // max(size["b"] or 1, 1))
-    place = F.monotonically_increasing_id()
     per_part = -(-(1 << 33) // rows)
-    numbered = docs.withColumn("place", place)
+    numbered = docs.withColumn("place", F.monotonically_increasing_id())
     block = F.shiftright("place", 33) * per_part + F.floor(F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) / rows).cast("long")
     numbered = numbered.withColumn("block", block)
     answers = requests(numbered).join(model, ["lang", "key"])
-    left = numbered.select("block", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "lang", "held", "text")
-    schema = T.StructType([left.schema["row"], left.schema["lang"], left.schema["held"], *SCORES.fields])
+    left = numbered.select("block", "row", "lang", "held", F.lit(with_text).alias("with_text"), "text")
+    left = left.mapInArrow(_packed, T.StructType([*left.schema.fields[:-1], T.StructField("text", T.BinaryType())]))
+    schema = T.StructType([*(left.schema[c] for c in ("row", "lang", "held")), T.StructField("text", T.StringType()), *SCORES.fields])
     return left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block, schema)
 
 
@@ -425,23 +438,24 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, typica
     perplexity tells nothing: ``threshold`` is null and only ``MAX_MARKS``
     rejects. Repeated rows are judged each.
     """
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ADDED]
     return _judged(docs, labels, (quantile, typical, word_quantile, margin), min_chars, keep).select("row.*", *ADDED)
 
 
-def _judged(docs: DataFrame, labels: DataFrame, levels: tuple[float, float, float, float], min_chars: int, keep: list[str] | None) -> DataFrame:
-    """``row`` (a struct of the kept columns) and the columns ``ADDED``."""
+def _judged(docs: DataFrame, labels: DataFrame, levels: tuple[float, float, float, float], min_chars: int, keep: list[str]) -> DataFrame:
+    """``row`` (a struct of the columns ``keep``) and the columns ``ADDED``."""
     docs = _stable(docs)
     has_lang = "lang" in [c.lower() for c in docs.columns]
-    keep = docs.columns if keep is None else keep
-    keep = [c for c in keep if c.lower() not in ADDED]
-    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    # The text travels by itself; a text column among the kept ones is put back afterwards.
+    plain = [c for c in keep if c.lower() != "text" or docs.schema[c].dataType != T.StringType()]
+    row = F.struct(F.col("doc_id").alias("id"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in plain]).alias("kept")).alias("row")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if has_lang else F.lit("")
     given = docs.select(row, F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"), (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0).alias("held"))
     ids = written(trusted_ids(labels), "trusted-ids")
     few = ids.count() <= MAX_BROADCAST_IDS
     model = train(given.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text", "lang", "held"))
-    scores = written(scored(given, model, ["row", "doc_id"]), "lm-scores")
-    trusted = scores.filter("held and held_bits is not null").select(F.col("row.doc_id").alias("doc_id"), "lang", "held_bits", "held_worst").join(ids, "doc_id", "left_semi")
+    scores = written(scored(given.drop("doc_id"), model, len(plain) < len(keep)), "lm-scores")
+    trusted = scores.filter("held and held_bits is not null").select(F.col("row.id").alias("doc_id"), "lang", "held_bits", "held_worst").join(ids, "doc_id", "left_semi")
     cuts = written(cuts_of(trusted, *levels), "lm-cuts")
     judged = scores.join(cuts, "lang", "left")
     known = F.col("cut").isNotNull() & F.col("bits").isNotNull()
@@ -451,13 +465,11 @@ def _judged(docs: DataFrame, labels: DataFrame, levels: tuple[float, float, floa
     power = lambda c: F.pow(F.lit(2.0), F.col(c))
     threshold = [F.when(known, power(c)) for c in ("cut", "word_cut")]
     return judged.select(
-        F.col("row.row").alias("row"), F.when(F.col("bits").isNotNull(), F.col("lang")).alias("model"), "n_scored", power("bits").alias("perplexity"), threshold[0].alias("threshold"),
+        F.struct(*[F.col("text").alias(c) if c not in plain else F.col("row.kept")[c].alias(c) for c in keep]).alias("row"), F.when(F.col("bits").isNotNull(), F.col("lang")).alias("model"), "n_scored", power("bits").alias("perplexity"), threshold[0].alias("threshold"),
         F.when(F.col("bits").isNotNull(), power("worst")).alias("worst_word"), threshold[1].alias("word_threshold"), kept.alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, typical: float = 0.95, word_quantile: float = 0.985, margin: float = 1.05, min_chars: int = 1) -> DataFrame:
     """The rows of ``docs`` that :func:`classify` keeps, with the columns of ``docs``, whatever their names."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__llm_row"), "doc_id", "text", *(["lang"] if "lang" in [c.lower() for c in docs.columns] else []))
-    judged = _judged(whole, labels, (quantile, typical, word_quantile, margin), min_chars, ["__llm_row"])
-    return judged.filter("kept").select("row.__llm_row.*")
+    return _judged(docs, labels, (quantile, typical, word_quantile, margin), min_chars, docs.columns).filter("kept").select("row.*")
