@@ -4,8 +4,8 @@ A vocabulary can only apply where one of its entries stands, so every model
 starts from the places at which entries occur in a piece. The substrings of a
 piece of at most ``LONG`` symbols are built in its row; most of those that are
 no entry are dropped in place by a bitmap over a checksum of all entries, the
-rest by an equi-join. A longer piece (text without spaces) goes, alone, through
-the same rule in an Arrow function whose memory grows with its length only.
+rest by an equi-join. A longer piece (text without spaces) is cut into
+overlapping stretches first, so what one row builds stays bounded.
 """
 
 from __future__ import annotations
@@ -70,6 +70,19 @@ def substrings(base: DataFrame, shortest: int, longest: int, bitmap: str | None,
     return base.withColumn("_x", F.explode_outer(F.expr(places))).select(*base.columns, "_x.i", "_x.k", "_x.whole")
 
 
+def stretches(long: DataFrame, longest: int) -> DataFrame:
+    """Long pieces ``(key, spelled, n_c)`` as overlapping stretches of the same columns, for :func:`substrings`.
+
+    Every substring of up to ``longest`` symbols lies in a stretch, and short of its end unless it ends the piece.
+    """
+    rows = long.select("key", "spelled")
+    for size in (LONG * LONG, LONG):  # first large blocks, so that no stretch is looked for in the whole piece
+        starts = f"sequence(0, (least(length(spelled), {LONG * LONG if size == LONG else 1 << 30}) - 1) div {size})"
+        cut = F.expr(f"transform({starts}, s -> substring(spelled, cast(s * {size} + 1 as int), {size + longest}))")
+        rows = rows.select("key", F.explode(cut).alias("spelled"))
+    return rows.withColumn("n_c", F.length("spelled"))
+
+
 def _per_piece(rows: DataFrame, columns: list[str], *hits: Column) -> DataFrame:
     """Rows of :func:`substrings` back to one per piece; ``columns`` are those of the pieces."""
     others = [F.first(c).alias(c) for c in columns if c not in ("piece", "is_added")]

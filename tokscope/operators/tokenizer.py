@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tokscope.functions.text import bytes_to_byte_level, to_byte_level
 from tokscope.operators.normalize import Step, Unsupported, chain, java_literal, normalized
-from tokscope.operators.subwords import LONG, _per_piece, entry_bitmap, merged_symbols, substrings, unigram_tokens, wordpiece_tokens
+from tokscope.operators.subwords import LONG, _per_piece, entry_bitmap, merged_symbols, stretches, substrings, unigram_tokens, wordpiece_tokens
 from tokscope.session import bounded_broadcast
 from tokscope.sources.vocab import load_merges, load_vocab, read_tokenizer
 
@@ -340,8 +340,8 @@ def bpe_tokens(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab:
     results of all merges; the few hits, by rank, are then folded over the
     piece. The cost of a piece depends on its length, not on the number of merges.
     That is exact where every merge comes after those that make its parts
-    (``spec.ordered``, checked when the file is read); other merge lists, and pieces of more than
-    ``LONG`` symbols, are run pair by pair (``merged_symbols``).
+    (``spec.ordered``, checked when the file is read); other merge lists are
+    run pair by pair in an Arrow function (``merged_symbols``).
     """
     if not spec.native:
         raise ValueError(f"byte-pair encoding in Spark does not cover {spec.reason}")
@@ -351,14 +351,18 @@ def bpe_tokens(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab:
     chars = F.filter(F.split("spelled", ""), lambda c: c != "")
     if spec.suffix:
         chars = F.transform(chars, lambda c, i: F.when(i + 1 == F.col("n_c"), F.concat(c, F.lit(spec.suffix))).otherwise(c))
-    single = base.withColumn("c", F.when(F.col("is_added"), F.array("piece")).otherwise(chars)) if not spec.ordered else base.filter(F.col("n_c") > LONG).withColumn("c", chars)
-    out = merged_symbols(single, spec.text, spec.ranks).select(*pieces.columns, "spelled", "tokens")
     if spec.ordered:
         # A merge list has at most as many rows as its vocabulary; the hint is given only below the checked bound.
         rules = bounded_broadcast(merges.select(F.concat("left", "right").alias("whole"), "rank", "left", "right"))
+        hit = F.array_sort(F.collect_set(F.when(F.col("rank").isNotNull(), F.struct("rank", "left", "right")))).alias("rules")
+        columns = [*pieces.columns, "spelled", "n_c"]
         rows = substrings(base.filter(F.col("n_c") <= LONG), 2, spec.max_token_chars, spec.bitmap, suffix=spec.suffix).join(rules, "whole", "left")
-        hit = F.when(F.col("rank").isNotNull(), F.struct("rank", "left", "right"))
-        both = _per_piece(rows, [*pieces.columns, "spelled", "n_c"], F.array_sort(F.collect_set(hit)).alias("rules")).withColumn("c", chars)
+        short = _per_piece(rows, columns, hit)
+        # Long pieces travel by a digest of their text; only the merges that occur in them come back.
+        long = base.filter(F.col("n_c") > LONG).withColumn("key", F.sha2(F.col("piece").cast("binary"), 256))
+        wholes = substrings(stretches(long, spec.max_token_chars), 2, spec.max_token_chars, spec.bitmap, suffix=spec.suffix).select("key", "whole").distinct()
+        found = wholes.join(rules, "whole", "left").groupBy("key").agg(hit)
+        both = short.unionByName(long.join(found, "key").select(*columns, "rules")).withColumn("c", chars)
         wrapped = F.concat(F.lit(opens), F.array_join("c", closes + opens), F.lit(closes))
 
         def merge(acc: Column, m: Column) -> Column:
@@ -367,7 +371,9 @@ def bpe_tokens(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab:
 
         done = F.aggregate("rules", wrapped, merge)
         tokens = F.when(F.col("n_c") == 1, F.col("c")).otherwise(F.split(F.substring(done, F.lit(2), F.length(done) - 2), closes + opens))
-        out = both.withColumn("tokens", tokens).select(*pieces.columns, "spelled", "tokens").unionByName(out)
+        out = both.withColumn("tokens", tokens)
+    else:
+        out = merged_symbols(base.withColumn("c", F.when(F.col("is_added"), F.array("piece")).otherwise(chars)), spec.text, spec.ranks)
     out = out.withColumn("tokens", F.when(F.col("is_added"), F.array("piece")).otherwise(F.col("tokens")))
     if spec.ignore_merges:
         # A piece that is a token is taken whole.
