@@ -58,9 +58,9 @@ def _failed_line(rules: LineRules) -> str:
     phrases = "|".join(BOILERPLATE)
     punctuation = f"{marked} > {rules.max_marked_words} * {words}"
     navigation = f"({seps} >= {rules.min_separators} and {seps} * 4 >= {words})"
-    boilerplate = f"regexp_count(x, '(?i)({phrases})') * {rules.chars_per_phrase} > length(x)"
+    boilerplate = f"(x rlike '(?i)({phrases})' and regexp_count(x, '(?i)({phrases})') * {rules.chars_per_phrase} > length(x))"
     # A word that is more than half of a line is the middle one of its sorted words.
-    same = f"transform(array(array_sort({list_of})), w -> size(filter(w, y -> y = w[cast(size(w) div 2 as int)])))[0]"
+    same = f"transform(array(sort_array({list_of})), w -> size(filter(w, y -> y = w[cast(size(w) div 2 as int)])))[0]"
     word_list = f"({words} >= 10 and {same} > {rules.max_same_word} * {words})"
     return f"({punctuation} or {navigation} or {boilerplate} or {word_list})"
 
