@@ -36,3 +36,18 @@ def test_stages(spark, tmp_path):
     ids = dict(zip(clean, reference_ids(list(clean.values())), strict=True))
     n = check(docs.collect(), ids, 1024)
     assert P.run(spark, SF).select("sequence_id").distinct().count() == n
+
+
+def test_odd_rows_in_every_stage(spark, odd, empty):
+    """Nulls, empty texts, repeated rows, columns named like results, an empty table."""
+    named = {"n_lines": "'a'", "n_dropped": "'b'", "kept": "'c'", "model": "'d'", "threshold": "1", "n_chars": "cast(length(text) as long)", "source": "'s'"}
+    table = odd.selectExpr("*", *(f"{v} as {k}" for k, v in named.items()))
+    for name, stage in P.STAGES:
+        if name == "packing":
+            continue
+        out = stage(spark, table, SF)
+        rows = out.collect()
+        assert out.columns == table.columns, name
+        assert sum(r.doc_id == 5 for r in rows) == 2 and all(r.n_lines == "a" and r.n_dropped == "b" for r in rows), name
+        assert stage(spark, table.limit(0), SF).count() == 0, name
+    assert P.packing(spark, table, SF).filter("doc_id = 5").select("sequence_id", "offset").distinct().count() == 2
