@@ -83,6 +83,31 @@ def merge_closure(edges: DataFrame, max_rounds: int = MAX_CLOSURE_ROUNDS) -> Dat
         c, size = grown, new_size
     raise ValueError(f"merge closure did not converge in {max_rounds} rounds")
 
+def extend_closure(closure: DataFrame, new_edges: DataFrame, max_rounds: int = MAX_CLOSURE_ROUNDS) -> DataFrame:
+    """G1 after edges were added: the pairs that ``new_edges`` add to ``closure``.
+
+    ``closure`` must be transitively closed; the result holds none of its
+    pairs, so the new closure is their union. Semi-naive: a round joins only
+    the pairs that the last round found with all known ones, in front and
+    behind, so old pairs are never joined with each other again. Paths at
+    least double in length each round. Edges that the closure already holds,
+    repeated edges and null ends add nothing; a cycle gives each of its nodes
+    a pair with itself, as in ``merge_closure``.
+    """
+    key = ["ancestor", "descendant"]
+    fresh = cut_lineage(distinct_edges(new_edges.dropna(subset=key)).join(closure, key, "left_anti"))
+    added = fresh
+    for _ in range(max_rounds):
+        if fresh.isEmpty():
+            return added
+        known = closure.select(key).unionByName(added)
+        ahead = fresh.select("ancestor", F.col("descendant").alias("mid")).join(known.select(F.col("ancestor").alias("mid"), "descendant"), "mid")
+        behind = known.select("ancestor", F.col("descendant").alias("mid")).join(fresh.select(F.col("ancestor").alias("mid"), "descendant"), "mid")
+        found = ahead.select(key).unionByName(behind.select(key)).distinct()
+        fresh = cut_lineage(found.join(known, key, "left_anti"))
+        added = added.unionByName(fresh)
+    raise ValueError(f"merge closure did not converge in {max_rounds} rounds")
+
 
 def closure_adjacency(closure: DataFrame) -> DataFrame:
     """``ancestor -> sorted unique descendants``.

@@ -487,6 +487,16 @@ def oracle_sql() -> dict[str, str]:
         "FROM documents WHERE text IS NOT NULL AND length(text) > 0"
     )
     sql["reuse_closure"] = sql["merge_closure"]
+    sql["extend_closure"] = (
+        "WITH RECURSIVE words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), "
+        "steps AS (SELECT w, unnest(range(2, length(w) + 1)) AS i FROM words), "
+        "edges AS (SELECT DISTINCT unnest([w[1:i - 1], w[i:i]]) AS ancestor, w[1:i] AS descendant FROM steps), "
+        "closure(ancestor, descendant) AS (SELECT ancestor, descendant FROM edges UNION "
+        "SELECT c.ancestor, e.descendant FROM closure c JOIN edges e ON c.descendant = e.ancestor) "
+        "SELECT ancestor, count(*)::BIGINT AS n_descendants, sum(length(descendant))::BIGINT AS n_chars, "
+        "max(descendant) AS last_descendant FROM closure GROUP BY ancestor"
+    )
+    sql["stateful_token_frequency"] = sql["token_frequency"]
     sql["token_frequency_byte_level"] = _byte_level_frequency(FIXTURE_BYTE_LEVEL_TOKENIZER)
     sql["write_merge_closure"] = _with(
         "SELECT c.ancestor::INTEGER AS ancestor, c.descendant::INTEGER AS descendant, f.freq AS descendant_freq, v.token AS descendant_text "

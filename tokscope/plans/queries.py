@@ -32,6 +32,7 @@ from tokscope.operators.ranking import (
 from tokscope.operators.tokenizer import RankFile, bpe_ids, bpe_tokens, encode_documents
 from tokscope.plans.context import Context
 from tokscope.session import FIXTURE_BYTE_LEVEL_TOKENIZER, FIXTURE_UNIGRAM_TOKENIZER, FIXTURE_WORDPIECE_TOKENIZER, scratch_path, table_path
+from tokscope.sinks.closure_store import ClosureStore
 from tokscope.sinks.writers import read_or_compute, write_frequencies, write_merge_closure, write_metrics, write_ranked
 from tokscope.sources.tables import (
     conversations_as_jsonl,
@@ -364,6 +365,25 @@ def q_reuse_closure(spark, sf_dir):
     return read_or_compute(spark, path, again).join(f, "descendant").select("ancestor", "descendant", "descendant_freq")
 
 
+def _word_merges(docs: DataFrame) -> DataFrame:
+    """Edges ``(ancestor, descendant)`` of merges that build each distinct lower-case word of ``a-z`` letter by letter."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+    steps = words.select("w", F.explode(F.expr("sequence(2, greatest(length(w), 2))")).alias("i")).filter("i <= length(w)")
+    merged = F.expr("substring(w, 1, i)")
+    parts = F.array(F.expr("substring(w, 1, i - 1)"), F.expr("substring(w, i, 1)"))
+    return steps.select(F.explode(parts).alias("ancestor"), merged.alias("descendant")).distinct()
+
+
+def q_extend_closure(spark, sf_dir):
+    """G1/K6 incremental: merges of the words of half of the documents are saved with their
+    closure, then those of all documents arrive and extend it; descendants per ancestor."""
+    docs = _ctx(spark, sf_dir).docs
+    store = ClosureStore(spark, scratch_path(spark, "closure-store"))
+    store.update(_word_merges(docs.filter("doc_id % 2 = 0")))
+    pairs = store.update(_word_merges(docs))
+    return pairs.groupBy("ancestor").agg(F.count(F.lit(1)).alias("n_descendants"), F.sum(F.length("descendant")).alias("n_chars"), F.max("descendant").alias("last_descendant"))
+
+
 def q_line_count(spark, sf_dir):
     return line_count(_ctx(spark, sf_dir).docs)
 
@@ -378,6 +398,12 @@ def q_running_token_frequency(spark, sf_dir):
     return running_token_frequency_table(spark, sf_dir)
 
 
+def q_stateful_token_frequency(spark, sf_dir):
+    from tokscope.streaming.stateful import stateful_token_frequency_table
+
+    return stateful_token_frequency_table(spark, sf_dir)
+
+
 def q_progress_metrics(spark, sf_dir):
     from tokscope.streaming.running import running_progress_table
 
@@ -509,6 +535,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "line_count": q_line_count,
     "shuffle_rows": q_shuffle_rows,
     "running_token_frequency": q_running_token_frequency,
+    "stateful_token_frequency": q_stateful_token_frequency,
     "progress_metrics": q_progress_metrics,
     "write_frequencies": q_write_frequencies,
     "write_metrics": q_write_metrics,
@@ -522,5 +549,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten": q_flatten,
     "empty_result_check": q_empty_result_check,
     "reuse_closure": q_reuse_closure,
+    "extend_closure": q_extend_closure,
     "write_merge_closure": q_write_merge_closure,
 }

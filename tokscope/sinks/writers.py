@@ -112,12 +112,12 @@ def write_ranked(ranked: DataFrame, path: str, key: str, ties: tuple[str, ...] =
 
 def read_or_compute(spark: SparkSession, path: str, compute) -> DataFrame:
     """K6: reuse a saved table when present, else compute, save and reuse it."""
-    if not _committed(spark, path):
+    if not committed(spark, path):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def _committed(spark: SparkSession, path: str) -> bool:
+def committed(spark: SparkSession, path: str) -> bool:
     """True when a write to ``path`` finished (its ``_SUCCESS`` marker exists)."""
     try:
         spark.read.text(f"{path.rstrip('/')}/_SUCCESS").limit(1).collect()
