@@ -1,6 +1,9 @@
 import html as H
 import re
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import SF
@@ -99,3 +102,11 @@ def test_tokens_late_in_a_long_url_are_mined(spark):
     labels = [(i, int(i % 2), 0) for i in range(300)]
     out = filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     assert {r.page_id for r in out if r.verdict == "block"} == {i for i in range(400) if i % 2 == 0}
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div>text, more ", "<p><span>", "<svg>", "<select>", "<header>", "<li>", "<td>", "<button><p>", "<blockquote>a, b ", "<", "<a ", "<!-", "<a href=\"", "</p>", "<body>", "<div><i></b>"])
+def test_malformed_pages_take_linear_time(part):
+    page = f"<body><article><p>{LONG}</p></article>" + part * ((1 << 20) // len(part))
+    began = time.process_time()
+    assert isinstance(main_text(page), str)
+    assert time.process_time() - began < 8

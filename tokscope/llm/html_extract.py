@@ -12,6 +12,7 @@ page is handled on its own inside a task; pages are not shuffled.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -51,31 +52,48 @@ _WORDS = re.compile(r"[a-z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "score", "text_len", "link_len")
+    __slots__ = ("tag", "attrs", "parent", "children", "score", "text_len", "link_len", "commas")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
-        self.score, self.text_len, self.link_len = 0.0, 0, 0
+        self.score, self.text_len, self.link_len, self.commas = 0.0, 0, 0, 0
 
 
 def parse(html: str) -> Node:
-    """Tree of a page. Unclosed and stray tags are repaired, never an error."""
+    """Tree of a page in linear time. Unclosed and stray tags are repaired, never an error."""
     root = Node("html", "", None)
     open_ = [root]
+    # Places in ``open_`` by tag, and of all blocks; the root is in neither.
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    block_places: list[int] = []
+    # Raw elements for which no end tag follows any more.
+    endless: set[str] = set()
     pos, n = 0, len(html)
 
     def text(part: str) -> None:
         if part:
             open_[-1].children.append(unescape(part) if "&" in part else part)
 
+    def enter(node: Node) -> None:
+        places[node.tag].append(len(open_))
+        if node.tag in BLOCK:
+            block_places.append(len(open_))
+        open_.append(node)
+
+    def last(tags: tuple[str, ...] | list[str]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
     def close(tags: tuple[str, ...] | list[str], barrier: frozenset | tuple | list) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in tags:
-                del open_[i:]
-                return
-            if open_[i].tag in barrier:
-                return
+        at = last(tags)
+        reach = last(barrier) if barrier is not BLOCK else block_places[-1] if block_places else 0
+        if not at or at < reach:
+            return
+        while len(open_) > at:
+            tag = open_.pop().tag
+            places[tag].pop()
+            if tag in BLOCK:
+                block_places.pop()
 
     while pos < n:
         at = html.find("<", pos)
@@ -104,7 +122,7 @@ def parse(html: str) -> Node:
                 close((tag,), () if tag in BLOCK else BLOCK)
             continue
         if tag in ("html", "body"):
-            if tag == "body" and not any(x.tag == "body" for x in open_):
+            if tag == "body" and not places["body"]:
                 close(("head",), ())
             else:
                 continue
@@ -122,23 +140,25 @@ def parse(html: str) -> Node:
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
+            if end is None:
+                endless.add(tag)
             if tag in ("svg", "math", "select", "option", "noscript", "template") and end is None:
                 continue
             pos = end.end() if end else n
             continue
         if not m[3].endswith("/") or tag in BLOCK:
-            open_.append(node)
+            enter(node)
     return root
 
 
-def excluded(node: Node) -> bool:
-    """Whether an element is furniture: by its name, role, visibility, class or id."""
+def excluded(node: Node, in_article: bool) -> bool:
+    """Whether an element is furniture: by its name, role, visibility, class or id. Headers of an article are not."""
     tag = node.tag
     if tag in SKIPPED:
         return True
     if tag == "header":
-        return not _in_article(node)
+        return not in_article
     if not node.attrs or tag in ("html", "body", "article", "main"):
         return False
     for name, a, b, c, flag in _ATTR.findall(node.attrs):
@@ -159,43 +179,27 @@ def excluded(node: Node) -> bool:
     return False
 
 
-def _in_article(node: Node) -> bool:
-    p = node.parent
-    while p is not None:
-        if p.tag in ("article", "main"):
-            return True
-        p = p.parent
-    return False
-
-
 def _prune(root: Node) -> None:
-    """Drop furniture and add up text and link lengths bottom up (without recursion)."""
-    order, stack = [], [root]
+    """Drop furniture and add up text, link lengths and commas bottom up (without recursion)."""
+    order: list[Node] = []
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not excluded(c)]
+        node, inside = stack.pop()
+        inside = inside or node.tag in ("article", "main")
+        node.children = [c for c in node.children if isinstance(c, str) or not excluded(c, inside)]
         order.append(node)
-        stack.extend(c for c in node.children if not isinstance(c, str))
+        stack.extend((c, inside) for c in node.children if not isinstance(c, str))
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, str):
                 node.text_len += len(c.strip())
+                node.commas += c.count(",") + c.count("،") + c.count("、") + c.count("，")
             else:
                 node.text_len += c.text_len
+                node.commas += c.commas
                 node.link_len += c.text_len if c.tag == "a" else c.link_len
 
 
-def _commas(node: Node) -> int:
-    n, stack = 0, [node]
-    while stack:
-        for c in stack.pop().children:
-            if isinstance(c, str):
-                n += c.count(",") + c.count("،") + c.count("、") + c.count("，")
-            else:
-                stack.append(c)
-    return n
-
-
 def _density(node: Node) -> float:
     return node.link_len / node.text_len if node.text_len else 0.0
 
@@ -215,7 +219,7 @@ def best_container(root: Node) -> tuple[Node, list[Node]]:
         plain = node.tag in ("div", "section", "article", "main", "body") and any(isinstance(c, str) and c.strip() for c in node.children)
         if not (node.tag in _PARAGRAPH or plain) or not node.text_len:
             continue
-        points = (1 + _commas(node) + min(node.text_len / 100, 3.0)) * (1 - _density(node))
+        points = (1 + node.commas + min(node.text_len / 100, 3.0)) * (1 - _density(node))
         target, share, level = (node, 1.0, 0) if plain else (node.parent, 1.0, 0)
         while target is not None and level < 6:
             if not target.score:
@@ -290,7 +294,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Other columns are ignored. Edge cases: a null or empty page, or one
     without text, gives ''. Broken markup is repaired. Text without any markup
-    is the main text. Repeated rows are extracted each. ``n_chars`` counts code points.
+    is the main text. Very long pages take time in proportion to their length, also malformed ones. Repeated rows are extracted each. ``n_chars`` counts code points.
     """
     python_tasks(pages.sparkSession)
 
