@@ -496,6 +496,12 @@ def oracle_sql() -> dict[str, str]:
         "SELECT ancestor, count(*)::BIGINT AS n_descendants, sum(length(descendant))::BIGINT AS n_chars, "
         "max(descendant) AS last_descendant FROM closure GROUP BY ancestor"
     )
+    by_source = f"WITH p AS (SELECT source, unnest(regexp_extract_all(text, {_q(PRETOKEN)})) AS piece FROM documents) "
+    sql["distinct_pieces_sketched"] = (
+        by_source + "SELECT source, false AS is_total, count(DISTINCT piece)::BIGINT AS n_distinct, true AS within_error FROM p GROUP BY source "
+        "UNION ALL SELECT NULL, true, count(DISTINCT piece)::BIGINT, true FROM p"
+    )
+    sql["heavy_pieces"] = by_source + f"SELECT piece, count(*)::BIGINT AS count FROM p GROUP BY piece ORDER BY count DESC, piece LIMIT {Q.TOP_K}"
     sql["stateful_token_frequency"] = sql["token_frequency"]
     sql["token_frequency_byte_level"] = _byte_level_frequency(FIXTURE_BYTE_LEVEL_TOKENIZER)
     sql["write_merge_closure"] = _with(

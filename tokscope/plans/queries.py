@@ -29,7 +29,8 @@ from tokscope.operators.ranking import (
     rarest_script_tokens,
     shuffle_rows,
 )
-from tokscope.operators.tokenizer import RankFile, bpe_ids, bpe_tokens, encode_documents
+from tokscope.operators.sketches import distinct_sketches, merged_distinct, top_k_verified, within_error
+from tokscope.operators.tokenizer import RankFile, bpe_ids, bpe_tokens, encode_documents, split_pieces
 from tokscope.plans.context import Context
 from tokscope.session import FIXTURE_BYTE_LEVEL_TOKENIZER, FIXTURE_UNIGRAM_TOKENIZER, FIXTURE_WORDPIECE_TOKENIZER, scratch_path, table_path
 from tokscope.sinks.closure_store import ClosureStore
@@ -384,6 +385,32 @@ def q_extend_closure(spark, sf_dir):
     return pairs.groupBy("ancestor").agg(F.count(F.lit(1)).alias("n_descendants"), F.sum(F.length("descendant")).alias("n_chars"), F.max("descendant").alias("last_descendant"))
 
 
+def _pieces_by_source(spark, sf_dir) -> DataFrame:
+    """``(source, piece)`` of every document, split as the tokenizer does."""
+    c = _ctx(spark, sf_dir)
+    return split_pieces(c.table("documents").select("source", "text"), c.tok.spec, keep=("source",)).select("source", "piece")
+
+
+def q_distinct_pieces_sketched(spark, sf_dir):
+    """A2 by one sketch per source, merged for all (null source, ``is_total``): exact count, and whether the estimate is within five standard errors."""
+    pieces = _pieces_by_source(spark, sf_dir)
+    path = scratch_path(spark, "sketches")
+    distinct_sketches(pieces, "piece", ["source"]).write.parquet(path)
+    sketches = spark.read.parquet(path)
+    exact = pieces.groupBy("source").agg(F.count_distinct("piece").alias("n")).withColumn("is_total", F.lit(False))
+    exact = exact.unionByName(pieces.agg(F.count_distinct("piece").alias("n")).selectExpr("string(null) as source", "n", "true as is_total"))
+    estimate = merged_distinct(sketches, ["source"]).withColumn("is_total", F.lit(False))
+    estimate = estimate.unionByName(merged_distinct(sketches).selectExpr("string(null) as source", "n_distinct", "true as is_total"))
+    e, x = estimate.alias("e"), exact.alias("x")
+    both = x.join(e, F.expr("x.source <=> e.source and x.is_total = e.is_total"))
+    return both.select("x.source", "x.is_total", F.col("x.n").alias("n_distinct"), within_error(F.col("e.n_distinct"), F.col("x.n")).alias("within_error"))
+
+
+def q_heavy_pieces(spark, sf_dir):
+    """The most frequent pieces from one summary per source, verified."""
+    return top_k_verified(_pieces_by_source(spark, sf_dir), "piece", TOP_K, by=["source"])
+
+
 def q_line_count(spark, sf_dir):
     return line_count(_ctx(spark, sf_dir).docs)
 
@@ -500,6 +527,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sort_by_frequency_desc": q_sort_by_frequency_desc,
     "top_tokens_report": q_top_tokens_report,
     "distinct_token_count": q_distinct_token_count,
+    "distinct_pieces_sketched": q_distinct_pieces_sketched,
+    "heavy_pieces": q_heavy_pieces,
     "encode_distinct": q_encode_distinct,
     "bpe_fold": q_bpe_fold,
     "encode_gpt": q_encode_gpt,
