@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import SF
+from tokscope.llm import decontaminate
 from tokscope.llm.decontaminate import BLOCKS, _Table, drop_contaminated, find_leaks
 from tokscope.llm.queries import op10_decontamination
 
@@ -118,3 +119,18 @@ def test_documents_shorter_than_the_item(spark):
     assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in got)
     assert all(k in got for k, (sim, _) in want.items() if sim > 0.95)
     assert drop_contaminated(make(docs, "doc_id"), make(items, "item_id")).count() == len(docs) - len({d for d, _ in got})
+
+
+def test_several_passes_find_the_same_passages(spark, monkeypatch):
+    # Distances are left out: each part weighs shingles by its own items.
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("found", F.lit("x"))
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    def leaks():
+        return sorted(tuple(r)[:5] for r in find_leaks(docs, bench).collect())
+
+    once = leaks()
+    clean = sorted(map(tuple, drop_contaminated(docs, bench).collect()), key=repr)
+    size = bench.agg(F.sum(F.length("text"))).first()[0]
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_CHARS", size // 3 + 1)
+    assert once and leaks() == once
+    assert sorted(map(tuple, drop_contaminated(docs, bench).collect()), key=repr) == clean

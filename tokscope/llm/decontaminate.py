@@ -19,14 +19,17 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokscope.llm.common import mix64, python_tasks, shingle_hashes, text_blocks, word_hashes
+from tokscope.session import scratch_path
 
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
@@ -194,10 +197,8 @@ class Benchmark:
 LEAK = "item_id long, similarity double, word_start long, n_words int, distance int"
 
 
-def leak_finder(spark: SparkSession, items: list[tuple[int, str]], similarity: float, radius: int, width: int):
-    """Column function ``text -> array of`` :data:`LEAK` for some benchmark items."""
-    python_tasks(spark)
-    shared = spark.sparkContext.broadcast(([i for i, _ in items], [t for _, t in items]))
+def leak_finder(shared, similarity: float, radius: int, width: int):
+    """Column function ``text -> array of`` :data:`LEAK` for the benchmark items ``(ids, texts)`` of a broadcast."""
     key = uuid.uuid4().hex
 
     @F.arrow_udf(f"array<struct<{LEAK.replace(' ', ':').replace(',:', ',')}>>")
@@ -234,17 +235,28 @@ def _benchmark(key: str, shared, width: int, similarity: float, radius: int) ->
     return _built[key]
 
 
-def _with_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float, radius: int, width: int) -> DataFrame:
-    """``docs`` with ``__llm_leaks``: all leaks of a row."""
+def _passes(benchmark: DataFrame, similarity: float, radius: int, width: int) -> Iterator[tuple[Column, Broadcast, bool]]:
+    """Per part of the benchmark: the leaks of a row as a column, the part's broadcast, and whether it is the only one.
+
+    A part has at most about ``MAX_BROADCAST_CHARS`` characters of text.
+    """
+    spark = benchmark.sparkSession
+    python_tasks(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-size // MAX_BROADCAST_CHARS))
-    columns = []
     for k in range(passes):
-        # At most about MAX_BROADCAST_CHARS characters of benchmark text per pass.
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
-        columns.append(leak_finder(docs.sparkSession, [(r["item_id"], r["text"]) for r in part], similarity, radius, width)(F.col("text").cast("string")))
-    return docs.withColumn("__llm_leaks", F.concat(*columns) if passes > 1 else columns[0])
+        shared = spark.sparkContext.broadcast(([r["item_id"] for r in part], [r["text"] for r in part]))
+        yield leak_finder(shared, similarity, radius, width)(F.col("text").cast("string")), shared, passes == 1
+
+
+def _stored(df: DataFrame, shared: Broadcast) -> DataFrame:
+    """End a pass: write its rows, partitions as they are, and release its broadcast."""
+    path = scratch_path(df.sparkSession, "leak-pass")
+    df.write.parquet(path)
+    shared.destroy()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = MIN_SIMILARITY, radius: int = RADIUS, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -257,14 +269,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = MIN_SI
 
     Edge cases: null or empty texts match nothing, on either side. Items of
     fewer than five words are one shingle. Items with equal texts are
-    all reported; the earliest of equally similar windows counts. Repeated
+    all reported; the earliest of equally similar windows counts. A benchmark
+    above ``MAX_BROADCAST_CHARS`` is taken in parts, one pass after the other.
+    Shingle weights are those of a part's own items, so distances, and the
+    similarities of edited windows, can differ a little from those of one pass. Repeated
     rows are reported each. Empty tables give an empty result.
     """
-    found = _with_leaks(docs.select("doc_id", "text"), benchmark, similarity, radius, width)
-    return found.select("doc_id", F.explode("__llm_leaks").alias("leak")).select("doc_id", "leak.*")
+    found = None
+    for leaks, shared, only in _passes(benchmark, similarity, radius, width):
+        rows = docs.select("doc_id", F.explode(leaks).alias("leak")).select("doc_id", "leak.*")
+        if only:
+            return rows
+        rows = _stored(rows, shared)
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = MIN_SIMILARITY, radius: int = RADIUS, width: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs`` without a benchmark item in them, all columns unchanged."""
-    found = _with_leaks(docs, benchmark, similarity, radius, width)
-    return found.filter(F.size("__llm_leaks") == 0).drop("__llm_leaks")
+    for leaks, shared, only in _passes(benchmark, similarity, radius, width):
+        docs = docs.withColumn("__llm_leaks", leaks).filter(F.size("__llm_leaks") == 0).drop("__llm_leaks")
+        if only:
+            return docs
+        docs = _stored(docs, shared)
+    return docs
