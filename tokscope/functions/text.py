@@ -141,8 +141,8 @@ def to_byte_level(text_col: Column | str) -> Column:
 
     The inverse of ``byte_level_to_bytes`` (same public rule): bytes
     0x21-0x7E, 0xA1-0xAC and 0xAE-0xFF keep their value as code point;
-    0x00-0x20 map to 256-288, 0x7F-0xA0 to 289-322 and 0xAD to 323. The
-    code point's UTF-8 form is assembled arithmetically (all are < 0x800).
+    0x00-0x20 map to 256-288, 0x7F-0xA0 to 289-322 and 0xAD to 323. Bytes
+    are read as Latin-1, one character each, and the 68 moved ones translated.
     """
     c = F.col(text_col) if isinstance(text_col, str) else text_col
     return bytes_to_byte_level(F.encode(c, "UTF-8"))
@@ -150,15 +150,5 @@ def to_byte_level(text_col: Column | str) -> Column:
 
 def bytes_to_byte_level(raw: Column) -> Column:
     """Bytes in the byte-level alphabet (see ``to_byte_level``)."""
-    hexes = F.regexp_extract_all(F.hex(raw), F.lit(".."), 0)
-
-    def one(h: Column) -> Column:
-        b = F.conv(h, 16, 10).cast("int")
-        keep = b.between(0x21, 0x7E) | b.between(0xA1, 0xAC) | b.between(0xAE, 0xFF)
-        shifted = F.when(b <= 0x20, b + 256).when(b <= 0xA0, b - 0x7F + 289).otherwise(F.lit(323))
-        cp = F.when(keep, b).otherwise(shifted)
-        one_byte = F.lpad(F.hex(cp), 2, "0")
-        two_bytes = F.concat(F.hex(F.shiftright(cp, 6) + 0xC0), F.hex(cp % 64 + 0x80))
-        return F.when(cp < 0x80, one_byte).otherwise(two_bytes)
-
-    return F.unhex(F.array_join(F.transform(hexes, one), "")).cast("string")
+    moved = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+    return F.translate(F.decode(raw, "ISO-8859-1"), "".join(map(chr, moved)), "".join(chr(256 + i) for i in range(len(moved))))

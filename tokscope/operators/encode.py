@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,22 +138,55 @@ def encode_column(df: DataFrame, encoder, text_col: str = "text", observation: O
 # -- decoding (T5) ----------------------------------------------------------------
 
 
+#: Largest id up to which the vocabulary is looked up by place, as a constant of the plan.
+MAX_TABLE_ID = 1_000_000
+
+
 def decode_sequences(seqs: DataFrame, vocab_bytes: DataFrame, key: str, ids_col: str = "ids", vocab_rows: int | None = None) -> DataFrame:
-    """T5: token id sequences back to text, ``(key, text)``.
-
-    Ids are exploded with their positions, joined to their raw bytes (the
-    vocabulary is broadcast after a size check), and each sequence's bytes
-    are put back in order and decoded once, so two partial tokens can form
-    one character (``20 E6 A0`` + ``B9`` -> " 根") while a lone partial token
-    gives U+FFFD. An id outside the vocabulary decodes to nothing and an
-    empty sequence to ``""``. One shuffle on ``key``; a group is one
-    sequence (one document).
+    """T5: token id sequences back to text, ``(key, text)``, one row per key.
+
+    Each sequence's raw token bytes are put in order and decoded once, so two
+    partial tokens can form one character (``20 E6 A0`` + ``B9`` -> " 根") while a
+    lone partial token gives U+FFFD. An id outside the vocabulary decodes to
+    nothing and an empty sequence to ``""``. A sequence is decoded in its row from
+    the vocabulary's bytes by id (config-sized); sequences with one key go together, id by id.
+    A vocabulary that is no such table (repeated, negative or huge ids) is joined
+    to the ids instead, as are repeated keys: one shuffle on ``key``.
     """
     raw = "raw_bytes" if "raw_bytes" in vocab_bytes.columns else "token_bytes"
-    v = bounded_broadcast(vocab_bytes.select("token_id", F.hex(raw).alias("hx")), known_rows=vocab_rows)
+    v = vocab_bytes.select("token_id", F.hex(raw).alias("hx"))
+    table = _hex_by_id(v)
+    if table is None:
+        return _decode_by_join(seqs, v, key, ids_col, vocab_rows)
+    repeated = seqs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(key).alias("_key"))
+    one = F.col(key).eqNullSafe(F.col("_key"))
+    once, twice = seqs, None
+    if not repeated.isEmpty():
+        once, twice = seqs.join(repeated, one, "left_anti"), seqs.join(repeated, one, "left_semi")
+    by_id = F.split(F.lit(",".join(table)), ",")
+    hexes = F.transform(ids_col, lambda x: F.coalesce(F.get(by_id, x), F.lit("")))
+    out = once.select(key, _text(F.coalesce(F.array_join(hexes, ""), F.lit(""))).alias("text"))
+    return out if twice is None else out.unionByName(_decode_by_join(twice, v, key, ids_col, vocab_rows))
+
+
+def _text(hexes: Column) -> Column:
+    return F.make_valid_utf8(F.unhex(hexes).cast("string"))
+
+
+def _hex_by_id(v: DataFrame) -> list[str] | None:
+    """Hex bytes by token id, or None where ids repeat or are not small numbers; the vocabulary is config-sized."""
+    if not v.filter(f"token_id is null or token_id < 0 or token_id > {MAX_TABLE_ID}").isEmpty():
+        return None
+    rows = v.collect()
+    table = [""] * (1 + max((r["token_id"] for r in rows), default=0))
+    for r in rows:
+        table[r["token_id"]] = r["hx"] or ""
+    return table if len({r["token_id"] for r in rows}) == len(rows) else None
+
+
+def _decode_by_join(seqs: DataFrame, v: DataFrame, key: str, ids_col: str, vocab_rows: int | None) -> DataFrame:
     items = seqs.select(key, F.posexplode_outer(ids_col).alias("i", "token_id"))
-    joined = items.join(v, "token_id", "left")
+    joined = items.join(bounded_broadcast(v, known_rows=vocab_rows), "token_id", "left")
     parts = F.array_sort(F.collect_list(F.struct("i", F.coalesce("hx", F.lit("")).alias("hx"))))
     grouped = joined.groupBy(key).agg(parts.alias("p"))
-    text = F.make_valid_utf8(F.unhex(F.array_join(F.transform("p", lambda x: x["hx"]), "")).cast("string"))
-    return grouped.select(key, text.alias("text"))
+    return grouped.select(key, _text(F.array_join(F.transform("p", lambda x: x["hx"]), "")).alias("text"))

@@ -15,14 +15,15 @@ import hashlib
 import json
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokscope.functions.text import bytes_to_byte_level, to_byte_level
 from tokscope.operators.normalize import Step, Unsupported, chain, java_literal, normalized
-from tokscope.operators.subwords import LONG, _per_piece, entry_bitmap, merged_symbols, stretches, substrings, unigram_tokens, wordpiece_tokens
-from tokscope.session import bounded_broadcast
+from tokscope.operators.subwords import LONG, entry_bitmap, model_tokens, pieces_to_ids, stretches, substrings, tokens_to_ids
+from tokscope.session import bounded_broadcast, ship_package
 from tokscope.sources.vocab import load_merges, load_vocab, read_tokenizer
 
 # Fixed value: the public GPT-2 pre-token pattern, which byte-level
@@ -287,12 +288,22 @@ def split_pieces(df: DataFrame, spec: TokenizerSpec, text_col: str = "text", kee
 
     ``position`` names a column that orders the pieces of a row.
     """
+    rows, items, part = _piece_items(df, spec, text_col, keep)
+    if position:
+        rows = rows.select(*keep, part.alias("_p"), F.posexplode(items).alias("_q", "_x"))
+        place = F.col("_p").cast("long") * (1 << 32) + F.col("_q")
+        return rows.select(*keep, place.alias(position), F.col("_x.t").alias("piece"), F.col("_x.a").alias("is_added"))
+    return rows.select(*keep, F.explode(items).alias("_x")).select(*keep, F.col("_x.t").alias("piece"), F.col("_x.a").alias("is_added"))
+
+
+def _piece_items(df: DataFrame, spec: TokenizerSpec, text_col: str, keep: tuple[str, ...]) -> tuple[DataFrame, Column, Column]:
+    """Rows with, as columns, an array of pieces ``(t, a)`` and the row's place among those of its text (one row a text unless a stage works by row)."""
     if spec.stages is None:
         raise ValueError(f"the tokenizer's split cannot be reproduced: {spec.reason}")
     whole = F.struct(F.col(text_col).alias("t"), F.lit(False).alias("a"))
     rows, items, part = df, F.array(whole), F.lit(0)
     for stage in spec.stages:
-        if any(getattr(step, "by_row", False) for step in stage.steps):
+        if _by_row(stage):
             # Unicode forms are computed in a projection, one text a row.
             rows = rows.select(*keep, F.posexplode(items).alias("_part", "_x"))
             text = F.when(F.col("_x.a"), F.col("_x.t")).otherwise(normalized(F.col("_x.t"), list(stage.steps)))
@@ -300,12 +311,11 @@ def split_pieces(df: DataFrame, spec: TokenizerSpec, text_col: str = "text", kee
             items, part = F.col("_items"), F.col("_part")
         else:
             items = _next(items, stage, part)
-    items = F.filter(items, lambda x: x["t"] != "")
-    if position:
-        rows = rows.select(*keep, part.alias("_p"), F.posexplode(items).alias("_q", "_x"))
-        place = F.col("_p").cast("long") * (1 << 32) + F.col("_q")
-        return rows.select(*keep, place.alias(position), F.col("_x.t").alias("piece"), F.col("_x.a").alias("is_added"))
-    return rows.select(*keep, F.explode(items).alias("_x")).select(*keep, F.col("_x.t").alias("piece"), F.col("_x.a").alias("is_added"))
+    return rows, F.filter(items, lambda x: x["t"] != ""), part
+
+
+def _by_row(stage: Stage) -> bool:
+    return any(getattr(step, "by_row", False) for step in stage.steps)
 
 
 def _next(items: Column, stage: Stage, part: Column) -> Column:
@@ -338,10 +348,11 @@ def bpe_tokens(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab:
     A merge can only apply to a piece that contains its result, so the
     substrings of each piece (up to the longest token) are equi-joined with the
     results of all merges; the few hits, by rank, are then folded over the
-    piece. The cost of a piece depends on its length, not on the number of merges.
+    piece. The cost of a piece depends on its length, not on the number of merges,
+    and ``pieces`` is computed once.
     That is exact where every merge comes after those that make its parts
     (``spec.ordered``, checked when the file is read); other merge lists are
-    run pair by pair in an Arrow function (``merged_symbols``).
+    run pair by pair in an Arrow function (``model_tokens``).
     """
     if not spec.native:
         raise ValueError(f"byte-pair encoding in Spark does not cover {spec.reason}")
@@ -353,27 +364,30 @@ def bpe_tokens(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab:
         chars = F.transform(chars, lambda c, i: F.when(i + 1 == F.col("n_c"), F.concat(c, F.lit(spec.suffix))).otherwise(c))
     if spec.ordered:
         # A merge list has at most as many rows as its vocabulary; the hint is given only below the checked bound.
-        rules = bounded_broadcast(merges.select(F.concat("left", "right").alias("whole"), "rank", "left", "right"))
-        hit = F.array_sort(F.collect_set(F.when(F.col("rank").isNotNull(), F.struct("rank", "left", "right")))).alias("rules")
+        rules = bounded_broadcast(merges.select(F.concat("left", "right").alias("_result"), "rank", "left", "right").withColumn("_h", F.xxhash64("_result")))
+        # One pass over the pieces. A group is a piece, a long one by its digest; the piece's own columns ride on its head row only.
+        is_long = F.col("n_c") > LONG
+        keys = [F.when(~is_long, F.col("piece")).alias("_short"), F.when(is_long, F.sha2(F.col("piece").cast("binary"), 256)).alias("_long")]
         columns = [*pieces.columns, "spelled", "n_c"]
-        rows = substrings(base.filter(F.col("n_c") <= LONG), 2, spec.max_token_chars, spec.bitmap, suffix=spec.suffix).join(rules, "whole", "left")
-        short = _per_piece(rows, columns, hit)
-        # Long pieces travel by a digest of their text; only the merges that occur in them come back.
-        long = base.filter(F.col("n_c") > LONG).withColumn("key", F.sha2(F.col("piece").cast("binary"), 256))
-        wholes = substrings(stretches(long, spec.max_token_chars), 2, spec.max_token_chars, spec.bitmap, suffix=spec.suffix).select("key", "whole").distinct()
-        found = wholes.join(rules, "whole", "left").groupBy("key").agg(hit)
-        both = short.unionByName(long.join(found, "key").select(*columns, "rules")).withColumn("c", chars)
+        places = substrings(stretches(base.select(*keys, F.struct(*columns).alias("_own"), "spelled", "n_c"), spec.max_token_chars), 2, spec.max_token_chars, suffix=spec.suffix)
+        # Probed on a 64-bit hash, then compared; a row that stands for its piece has no place and finds nothing.
+        same = (F.col("h") == F.col("_h")) & F.coalesce(F.col("whole") == F.col("_result"), F.lit(False))
+        rows = places.withColumn("h", F.xxhash64("whole")).join(rules, same, "left").filter("rank is not null or (is_head and i = 0)")
+        own = F.when(F.col("is_head") & (F.col("i") == 0), F.col("_own"))
+        rows = rows.select("_short", "_long", F.col("_own.is_added").alias("_added"), own.alias("_own"), F.when(F.col("rank").isNotNull(), F.struct("rank", "left", "right")).alias("_rule"))
+        found = rows.groupBy("_short", "_long", "_added").agg(F.first("_own", ignorenulls=True).alias("_own"), F.array_sort(F.collect_set("_rule")).alias("rules"))
+        both = found.select("_own.*", "rules").withColumn("c", chars)
         wrapped = F.concat(F.lit(opens), F.array_join("c", closes + opens), F.lit(closes))
 
         def merge(acc: Column, m: Column) -> Column:
             pair = F.concat(F.lit(opens), m["left"], F.lit(closes + opens), m["right"], F.lit(closes))
             return F.replace(acc, pair, F.concat(F.lit(opens), m["left"], m["right"], F.lit(closes)))
 
-        done = F.aggregate("rules", wrapped, merge)
-        tokens = F.when(F.col("n_c") == 1, F.col("c")).otherwise(F.split(F.substring(done, F.lit(2), F.length(done) - 2), closes + opens))
+        done = F.btrim(F.aggregate("rules", wrapped, merge), F.lit(opens + closes))
+        tokens = F.when(F.col("n_c") == 1, F.col("c")).otherwise(F.split(done, closes + opens))
         out = both.withColumn("tokens", tokens)
     else:
-        out = merged_symbols(base.withColumn("c", F.when(F.col("is_added"), F.array("piece")).otherwise(chars)), spec.text, spec.ranks)
+        out = model_tokens(base, spec)
     out = out.withColumn("tokens", F.when(F.col("is_added"), F.array("piece")).otherwise(F.col("tokens")))
     if spec.ignore_merges:
         # A piece that is a token is taken whole.
@@ -387,10 +401,9 @@ def piece_tokens(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, voca
     """Add ``tokens array<string>`` to distinct pieces by the tokenizer's model."""
     if not spec.native:
         raise ValueError(f"encoding in Spark does not cover {spec.reason}")
-    if spec.model == "WordPiece":
-        return wordpiece_tokens(pieces, vocab, spec.bitmap, spec.max_token_chars, spec.prefix, spec.unk, spec.max_piece_chars)
-    if spec.model == "Unigram":
-        return unigram_tokens(pieces, vocab.filter(F.col("score").isNotNull()), spec.bitmap, spec.max_token_chars, spec.unk_score, spec.text)
+    if spec.model in ("WordPiece", "Unigram"):
+        tokens = model_tokens(pieces.withColumn("spelled", F.when(F.col("is_added"), "").otherwise(F.col("piece"))), spec)
+        return tokens.select(*pieces.columns, F.when(F.col("is_added"), F.array("piece")).otherwise(F.col("tokens")).alias("tokens"))
     return bpe_tokens(pieces, spec, merges, vocab)
 
 
@@ -408,12 +421,9 @@ def _with_ids(rows: DataFrame, spec: TokenizerSpec, vocab: DataFrame) -> DataFra
 
 
 def bpe_ids(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(piece, ids array<int>)`` of distinct pieces ``(piece, is_added)``."""
-    tokens = piece_tokens(pieces.select("piece", "is_added"), spec, merges, vocab)
-    rows = _with_ids(tokens.select("piece", "is_added", F.posexplode("tokens").alias("i", "token")), spec, vocab)
-    ids = rows.groupBy("piece", "is_added").agg(F.array_sort(F.collect_list(F.struct("i", "token_id"))).alias("x"))
-    out = pieces.select("piece", "is_added").join(ids, ["piece", "is_added"], "left")
-    return out.select("piece", "is_added", F.coalesce(F.transform("x", lambda e: e["token_id"]), F.array().cast("array<int>")).alias("ids"))
+    """Add ``ids array<int>`` to distinct pieces ``(piece, is_added, ...)``."""
+    tokens = piece_tokens(pieces, spec, merges, vocab)
+    return tokens_to_ids(tokens, spec).select(*pieces.columns, "ids")
 
 
 def bpe_frequency(counts: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -423,19 +433,57 @@ def bpe_frequency(counts: DataFrame, spec: TokenizerSpec, merges: DataFrame, voc
     return rows.groupBy("token_id").agg(F.sum("n").cast("long").alias("count"))
 
 
-def encode_documents(docs: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col: str = "text", add_special_tokens: bool = False) -> DataFrame:
-    """T1 by distinct pieces: ``(key, ids array<int>)`` of every text, in order.
+#: Characters up to which a text is encoded in its row.
+ROW_CHARS = 1 << 20
+
 
-    Pieces carry their position; ids of distinct pieces are joined back. A
-    row's ids are one list, as in any whole-text encoding, between those of the
-    post-processor's template if special tokens are asked for.
+def encode_documents(docs: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col: str = "text", add_special_tokens: bool = False) -> DataFrame:
+    """``(key, ids array<int>)`` of every text, in order.
+
+    A text of up to ``ROW_CHARS`` characters is split and encoded in its row;
+    a task runs the model once for each distinct piece, and nothing but rows whose
+    normalizer works by row is shuffled. Longer texts, and texts whose key
+    repeats (their pieces go together), are encoded by distinct pieces: pieces carry their
+    position and the ids are joined back. A row's ids are one list, as in any whole-text encoding,
+    between those of the post-processor's template if special tokens are asked for.
     """
+    parts, plain = [], docs.filter(F.col(key).isNotNull() & F.coalesce(F.length(text_col) <= ROW_CHARS, F.lit(True)))
+    others = docs.filter(F.col(key).isNull() | (F.length(text_col) > ROW_CHARS))
+    repeated = docs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
+    if not repeated.isEmpty():
+        twice = docs.filter(F.col(key).isNotNull()).join(repeated, key, "left_semi")
+        plain = plain.join(repeated, key, "left_anti")
+        others = others.join(repeated, key, "left_anti").unionByName(twice)
+    parts.append(_encoded_in_rows(plain, spec, key, text_col))
+    if not others.select(key).isEmpty():
+        parts.append(_encoded_by_pieces(others, spec, merges, vocab, key, text_col))
+    out = reduce(DataFrame.unionByName, parts)
+    if not add_special_tokens:
+        return out
+    around = [F.array(*[F.lit(i) for i in part]).cast("array<int>") for part in (spec.before, spec.after)]
+    return out.select(key, F.concat(around[0], "ids", around[1]).alias("ids"))
+
+
+def _encoded_in_rows(docs: DataFrame, spec: TokenizerSpec, key: str, text_col: str) -> DataFrame:
+    """``(key, ids)`` of texts with unique keys."""
+    if not spec.native:
+        raise ValueError(f"encoding in Spark does not cover {spec.reason}")
+    ship_package(docs.sparkSession)
+    rows, items, part = _piece_items(docs.select(key, text_col), spec, text_col, (key,))
+    rows = rows.select(key, part.alias("_p"), items.alias("_pieces"))
+    rows = rows.withColumn("ids", pieces_to_ids(spec, F.col("_pieces.t"), F.col("_pieces.a")))
+    if not any(map(_by_row, spec.stages)):
+        return rows.select(key, "ids")
+    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "ids"))).alias("x"))
+    out = docs.select(key).join(lists, key, "left")
+    return out.select(key, F.coalesce(F.flatten(F.transform("x", lambda e: e["ids"])), F.array().cast("array<int>")).alias("ids"))
+
+
+def _encoded_by_pieces(docs: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: DataFrame, key: str, text_col: str) -> DataFrame:
+    """``(key, ids)`` by distinct pieces; the pieces of rows with one key go together."""
     pieces = split_pieces(docs, spec, text_col, (key,), "pos")
     encoded = bpe_ids(pieces.select("piece", "is_added").distinct(), spec, merges, vocab)
     rows = pieces.join(encoded, ["piece", "is_added"])
     lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("x"))
     out = docs.select(key).join(lists, key, "left")
-    ids = F.coalesce(F.flatten(F.transform("x", lambda e: e["ids"])), F.array().cast("array<int>"))
-    if add_special_tokens:
-        ids = F.concat(*[F.array(*[F.lit(i) for i in part]).cast("array<int>") if isinstance(part, tuple) else part for part in (spec.before, ids, spec.after)])
-    return out.select(key, ids.alias("ids"))
+    return out.select(key, F.coalesce(F.flatten(F.transform("x", lambda e: e["ids"])), F.array().cast("array<int>")).alias("ids"))

@@ -89,8 +89,7 @@ def q_distinct_token_count(spark, sf_dir):
 
 def q_encode_distinct(spark, sf_dir):
     c = _ctx(spark, sf_dir)
-    ids = bpe_ids(c.pieces.select("piece", "is_added"), c.tok.spec, c.merges, c.vocab)
-    enc = c.pieces.join(ids, ["piece", "is_added"])
+    enc = bpe_ids(c.pieces, c.tok.spec, c.merges, c.vocab)
     return enc.select("piece", "n", F.size("ids").alias("n_tokens"), F.array_join("ids", ",").alias("ids"))
 
 
