@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokscope.session import bounded_broadcast, cut_lineage
+from tokscope.session import bounded_broadcast, cut_columns
 
 MAX_CLOSURE_ROUNDS = 100
 
@@ -66,17 +66,17 @@ def merge_closure(edges: DataFrame, max_rounds: int = MAX_CLOSURE_ROUNDS) -> Dat
     """G1: transitive closure ``(ancestor, descendant)`` by repeated squaring.
 
     Each round joins the closure with itself on the middle node (J3),
-    unions, de-duplicates and is cut with a reliable checkpoint so the plan
+    unions, de-duplicates and is written to the shared checkpoint folder so the plan
     does not grow. Stops when the pair count is stable; more than
     ``max_rounds`` rounds raise, as the analysed program does.
     """
-    c = cut_lineage(distinct_edges(edges))
+    c = cut_columns(distinct_edges(edges))
     size = c.count()
     for _ in range(max_rounds):
         a = c.select("ancestor", F.col("descendant").alias("mid"))
         b = c.select(F.col("ancestor").alias("mid"), "descendant")
         grown = a.join(b, "mid").select("ancestor", "descendant").unionByName(c).distinct()
-        grown = cut_lineage(grown)
+        grown = cut_columns(grown)
         new_size = grown.count()
         if new_size == size:
             return grown
@@ -95,7 +95,7 @@ def extend_closure(closure: DataFrame, new_edges: DataFrame, max_rounds: int = M
     a pair with itself, as in ``merge_closure``.
     """
     key = ["ancestor", "descendant"]
-    fresh = cut_lineage(distinct_edges(new_edges.dropna(subset=key)).join(closure, key, "left_anti"))
+    fresh = cut_columns(distinct_edges(new_edges.dropna(subset=key)).join(closure, key, "left_anti"))
     added = fresh
     for _ in range(max_rounds):
         if fresh.isEmpty():
@@ -104,7 +104,7 @@ def extend_closure(closure: DataFrame, new_edges: DataFrame, max_rounds: int = M
         ahead = fresh.select("ancestor", F.col("descendant").alias("mid")).join(known.select(F.col("ancestor").alias("mid"), "descendant"), "mid")
         behind = known.select("ancestor", F.col("descendant").alias("mid")).join(fresh.select(F.col("ancestor").alias("mid"), "descendant"), "mid")
         found = ahead.select(key).unionByName(behind.select(key)).distinct()
-        fresh = cut_lineage(found.join(known, key, "left_anti"))
+        fresh = cut_columns(found.join(known, key, "left_anti"))
         added = added.unionByName(fresh)
     raise ValueError(f"merge closure did not converge in {max_rounds} rounds")
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tokscope.operators.mergegraph import distinct_edges, extend_closure, merge_closure
-from tokscope.session import cut_lineage
+from tokscope.session import cut_columns
 from tokscope.sinks.writers import committed
 
 COMPACT_EVERY = 20
@@ -64,7 +64,7 @@ class ClosureStore:
         count once; an empty table gives an empty closure.
         """
         key = ["ancestor", "descendant"]
-        edges = cut_lineage(distinct_edges(edges.dropna(subset=key)))
+        edges = cut_columns(distinct_edges(edges.dropna(subset=key)))
         generation, deltas = self.state()
         if generation < 0:
             self._write(0, 0, edges, merge_closure(edges))
