@@ -14,7 +14,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterable
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,6 +124,8 @@ class TokenizerSpec:
     #: Ids that the post-processor's template for one text puts before and after it.
     before: tuple[int, ...] = ()
     after: tuple[int, ...] = ()
+    #: Regular expression of stretches of a spelled piece that no token reaches out of (see :func:`_stretch_pattern`).
+    stretch: str | None = field(default=None, repr=False)
 
     @property
     def digest(self) -> str:
@@ -164,14 +167,38 @@ def parse_spec(text: str) -> TokenizerSpec:
     last = {a + b: rank for rank, (a, b) in enumerate(merges)}
     ordered = all(last.get(part, -1) < rank for rank, pair in enumerate(merges) for part in pair)
     before, after, template = _template(conf.get("post_processor"), added)
+    apart = kind == "BPE" and ordered and not suffix and not model.get("ignore_merges")
     return TokenizerSpec(
         text, stages, added, byte_level, not reason, reason, unk_id, bool(model.get("ignore_merges")), longest, marks, kind,
         prefix=prefix, suffix=suffix, unk=unk or "", max_piece_chars=model.get("max_input_chars_per_word", 100) if kind == "WordPiece" else 1 << 30,
         unk_score=min((x for _, x in vocab), default=0.0) - 10 if kind == "Unigram" else 0.0,
         bitmap=entry_bitmap(last if kind == "BPE" else entries), ordered=ordered, before=before, after=after,
+        stretch=_stretch_pattern(last) if apart else None,
     )
 
 
+#: Alternatives of a stretch pattern; with more of them (nearly all neighbours occur in some token) pieces stay whole.
+MAX_FOLLOWERS = 64
+
+
+def _stretch_pattern(results: Iterable[str]) -> str | None:
+    """Java regex that cuts a spelled piece between neighbours that stand side by side in no merge result.
+
+    No token holds such a border, so no merge joins across it, and both sides are encoded as if they were alone.
+    """
+    follow: dict[str, set[str]] = {}
+    for token in results:
+        for a, b in zip(token, token[1:]):
+            follow.setdefault(a, set()).add(b)
+    groups: dict[frozenset[str], list[str]] = {}
+    for a, after in sorted(follow.items()):
+        groups.setdefault(frozenset(after), []).append(a)
+    if not 0 < len(groups) <= MAX_FOLLOWERS:
+        return None
+    letters = lambda chars: "[" + "".join(java_literal(c) for c in sorted(chars)) + "]"
+    return "(?s)(?:" + "|".join(f"{letters(firsts)}(?={letters(after)})" for after, firsts in groups.items()) + ")*+."
+
+
 def _template(post: dict | None, added: dict[str, int]) -> tuple[tuple[int, ...], tuple[int, ...], bool]:
     """Special ids before and after one text, and whether the post-processor is one that only adds them."""
     kind = (post or {}).get("type")
@@ -288,6 +315,13 @@ def split_pieces(df: DataFrame, spec: TokenizerSpec, text_col: str = "text", kee
 
     ``position`` names a column that orders the pieces of a row.
     """
+    last = spec.stages[-1] if spec.stages else None
+    if not position and last is not None and not last.steps and not last.final:
+        # The last cut makes most of the pieces: it gives plain strings, a part of a text a row.
+        rows, items, _ = _piece_items(df, replace(spec, stages=spec.stages[:-1]), text_col, keep)
+        parts = rows.select(*keep, F.explode(items).alias("_x"))
+        found = F.when(F.col("_x.a"), F.array("_x.t")).otherwise(_cut(F.col("_x.t"), last))
+        return parts.select(*keep, F.explode(found).alias("piece"), F.col("_x.a").alias("is_added")).filter("piece <> ''")
     rows, items, part = _piece_items(df, spec, text_col, keep)
     if position:
         rows = rows.select(*keep, part.alias("_p"), F.posexplode(items).alias("_q", "_x"))
@@ -329,7 +363,9 @@ def _next(items: Column, stage: Stage, part: Column) -> Column:
 
     def cut(x: Column) -> Column:
         parts = F.transform(_cut(x["t"], stage), lambda t: F.struct(t.alias("t"), (t.rlike(rf"\A(?:{stage.pattern})\z") if stage.final else F.lit(False)).alias("a")))
-        return F.when(x["a"], F.array(x)).otherwise(parts)
+        # Added tokens are rare: a text without one is left whole, not cut character by character.
+        whole = x["a"] | ~x["t"].rlike(stage.pattern) if stage.final else x["a"]
+        return F.when(whole, F.array(x)).otherwise(parts)
 
     return F.flatten(F.transform(items, cut))
 
@@ -342,8 +378,8 @@ def piece_counts(df: DataFrame, spec: TokenizerSpec, text_col: str = "text") ->
 # -- models as joins (T1, T4) ------------------------------------------------------
 
 
-def bpe_tokens(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: DataFrame) -> DataFrame:
-    """T4: add ``tokens array<string>`` to distinct pieces ``(piece, is_added, ...)``.
+def bpe_tokens(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: DataFrame, is_spelled: bool = False) -> DataFrame:
+    """T4: add ``tokens array<string>`` to distinct pieces ``(piece, is_added, ...)``, already in the model's alphabet if ``is_spelled``.
 
     A merge can only apply to a piece that contains its result, so the
     substrings of each piece (up to the longest token) are equi-joined with the
@@ -356,15 +392,15 @@ def bpe_tokens(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab:
     """
     if not spec.native:
         raise ValueError(f"byte-pair encoding in Spark does not cover {spec.reason}")
-    opens, closes, other = spec.marks
-    spelled = to_byte_level(F.col("piece")) if spec.byte_level else F.translate(F.col("piece"), opens + closes, other * 2)
-    base = pieces.withColumn("spelled", spelled).withColumn("n_c", F.when(F.col("is_added"), F.lit(0)).otherwise(F.length("spelled")))
+    opens, closes, _ = spec.marks
+    base = pieces.withColumn("spelled", F.col("piece") if is_spelled else _spelled(spec)).withColumn("n_c", F.when(F.col("is_added"), F.lit(0)).otherwise(F.length("spelled")))
     chars = F.filter(F.split("spelled", ""), lambda c: c != "")
     if spec.suffix:
         chars = F.transform(chars, lambda c, i: F.when(i + 1 == F.col("n_c"), F.concat(c, F.lit(spec.suffix))).otherwise(c))
     if spec.ordered:
         # A merge list has at most as many rows as its vocabulary; the hint is given only below the checked bound.
-        rules = bounded_broadcast(merges.select(F.concat("left", "right").alias("_result"), "rank", "left", "right").withColumn("_h", F.xxhash64("_result")))
+        pair, joined = F.concat(F.lit(opens), "left", F.lit(closes + opens), "right", F.lit(closes)), F.concat(F.lit(opens), "left", "right", F.lit(closes))
+        rules = bounded_broadcast(merges.select(F.concat("left", "right").alias("_result"), "rank", pair.alias("pair"), joined.alias("joined")).withColumn("_h", F.xxhash64("_result")))
         # One pass over the pieces. A group is a piece, a long one by its digest; the piece's own columns ride on its head row only.
         is_long = F.col("n_c") > LONG
         keys = [F.when(~is_long, F.col("piece")).alias("_short"), F.when(is_long, F.sha2(F.col("piece").cast("binary"), 256)).alias("_long")]
@@ -374,16 +410,11 @@ def bpe_tokens(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab:
         same = (F.col("h") == F.col("_h")) & F.coalesce(F.col("whole") == F.col("_result"), F.lit(False))
         rows = places.withColumn("h", F.xxhash64("whole")).join(rules, same, "left").filter("rank is not null or (is_head and i = 0)")
         own = F.when(F.col("is_head") & (F.col("i") == 0), F.col("_own"))
-        rows = rows.select("_short", "_long", F.col("_own.is_added").alias("_added"), own.alias("_own"), F.when(F.col("rank").isNotNull(), F.struct("rank", "left", "right")).alias("_rule"))
+        rows = rows.select("_short", "_long", F.col("_own.is_added").alias("_added"), own.alias("_own"), F.when(F.col("rank").isNotNull(), F.struct("rank", "pair", "joined")).alias("_rule"))
         found = rows.groupBy("_short", "_long", "_added").agg(F.first("_own", ignorenulls=True).alias("_own"), F.array_sort(F.collect_set("_rule")).alias("rules"))
         both = found.select("_own.*", "rules").withColumn("c", chars)
         wrapped = F.concat(F.lit(opens), F.array_join("c", closes + opens), F.lit(closes))
-
-        def merge(acc: Column, m: Column) -> Column:
-            pair = F.concat(F.lit(opens), m["left"], F.lit(closes + opens), m["right"], F.lit(closes))
-            return F.replace(acc, pair, F.concat(F.lit(opens), m["left"], m["right"], F.lit(closes)))
-
-        done = F.btrim(F.aggregate("rules", wrapped, merge), F.lit(opens + closes))
+        done = F.btrim(F.aggregate("rules", wrapped, lambda acc, m: F.replace(acc, m["pair"], m["joined"])), F.lit(opens + closes))
         tokens = F.when(F.col("n_c") == 1, F.col("c")).otherwise(F.split(done, closes + opens))
         out = both.withColumn("tokens", tokens)
     else:
@@ -397,6 +428,22 @@ def bpe_tokens(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab:
     return out.select(*pieces.columns, "tokens")
 
 
+def _spelled(spec: TokenizerSpec) -> Column:
+    """``piece`` in the model's alphabet."""
+    opens, closes, other = spec.marks
+    return to_byte_level(F.col("piece")) if spec.byte_level else F.translate(F.col("piece"), opens + closes, other * 2)
+
+
+def stretch_counts(counts: DataFrame, spec: TokenizerSpec) -> DataFrame:
+    """``(piece, is_added, n)`` of the spelled stretches between borders that no token holds, from ``piece_counts``.
+
+    Their tokens are those of the pieces, and there are far fewer different ones.
+    """
+    parts = F.when(F.col("is_added"), F.array("piece")).otherwise(F.regexp_extract_all("spelled", F.lit(spec.stretch), 0))
+    rows = counts.withColumn("spelled", _spelled(spec)).select("is_added", "n", F.explode(parts).alias("piece"))
+    return rows.groupBy("piece", "is_added").agg(F.sum("n").alias("n"))
+
+
 def piece_tokens(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: DataFrame) -> DataFrame:
     """Add ``tokens array<string>`` to distinct pieces by the tokenizer's model."""
     if not spec.native:
@@ -428,7 +475,10 @@ def bpe_ids(pieces: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: Da
 
 def bpe_frequency(counts: DataFrame, spec: TokenizerSpec, merges: DataFrame, vocab: DataFrame) -> DataFrame:
     """A1: ``(token_id, count)`` from ``piece_counts``."""
-    tokens = piece_tokens(counts, spec, merges, vocab)
+    if spec.native and spec.stretch:
+        tokens = bpe_tokens(stretch_counts(counts, spec), spec, merges, vocab, is_spelled=True)
+    else:
+        tokens = piece_tokens(counts, spec, merges, vocab)
     rows = _with_ids(tokens.select("is_added", "n", F.explode("tokens").alias("token")), spec, vocab)
     return rows.groupBy("token_id").agg(F.sum("n").cast("long").alias("count"))
 
