@@ -22,6 +22,7 @@ from tokscope.operators.tokenizer import SparkTokenizer, piece_counts
 from tokscope.session import (
     FIXTURE_TOKENIZER,
     bounded_broadcast,
+    cut_columns,
     default_parallelism,
     ensure_checkpoint_dir,
     read_table,
@@ -147,6 +148,11 @@ class Context:
     def metrics(self) -> DataFrame:
         return token_metrics(self.vocab_bytes, pattern_stats(self.pairs, self.patterns, self.vocab_rows))
 
+    @cached_property
+    def kept_metrics(self) -> DataFrame:
+        """``metrics`` written once (vocabulary-sized), for plans that use them more than once."""
+        return cut_columns(self.metrics)
+
     def with_hex(self, df: DataFrame) -> DataFrame:
         """Replace ``pid`` by the pattern's bytes in hex (``token_hex``)."""
         p = bounded_broadcast(self.patterns.select("pid", F.hex("token_bytes").alias("token_hex")), known_rows=self.vocab_rows)

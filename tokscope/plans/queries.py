@@ -32,7 +32,7 @@ from tokscope.operators.ranking import (
 from tokscope.operators.sketches import distinct_sketches, merged_distinct, top_k_verified, within_error
 from tokscope.operators.tokenizer import RankFile, bpe_ids, bpe_tokens, encode_documents, split_pieces
 from tokscope.plans.context import Context
-from tokscope.session import FIXTURE_BYTE_LEVEL_TOKENIZER, FIXTURE_UNIGRAM_TOKENIZER, FIXTURE_WORDPIECE_TOKENIZER, scratch_path, table_path
+from tokscope.session import FIXTURE_BYTE_LEVEL_TOKENIZER, FIXTURE_UNIGRAM_TOKENIZER, FIXTURE_WORDPIECE_TOKENIZER, cut_columns, scratch_path, table_path
 from tokscope.sinks.closure_store import ClosureStore
 from tokscope.sinks.writers import read_or_compute, write_frequencies, write_merge_closure, write_metrics, write_ranked
 from tokscope.sources.tables import (
@@ -241,7 +241,7 @@ def q_token_metrics(spark, sf_dir):
 
 
 def q_entropy_rank_curve(spark, sf_dir):
-    curve = entropy_rank_curve(_ctx(spark, sf_dir).metrics)
+    curve = entropy_rank_curve(_ctx(spark, sf_dir).kept_metrics)
     return curve.select("x", F.round("y", ROUND).alias("y"))
 
 
@@ -392,12 +392,13 @@ def _pieces_by_source(spark, sf_dir) -> DataFrame:
 
 def q_distinct_pieces_sketched(spark, sf_dir):
     """A2 by one sketch per source, merged for all (null source, ``is_total``): exact count, and whether the estimate is within five standard errors."""
-    pieces = _pieces_by_source(spark, sf_dir)
+    # The texts are split once: a sketch, and a distinct count, of rows is that of the different ones.
+    pieces = cut_columns(_pieces_by_source(spark, sf_dir).distinct())
     path = scratch_path(spark, "sketches")
     distinct_sketches(pieces, "piece", ["source"]).write.parquet(path)
     sketches = spark.read.parquet(path)
-    exact = pieces.groupBy("source").agg(F.count_distinct("piece").alias("n")).withColumn("is_total", F.lit(False))
-    exact = exact.unionByName(pieces.agg(F.count_distinct("piece").alias("n")).selectExpr("string(null) as source", "n", "true as is_total"))
+    exact = pieces.groupBy("source").agg(F.count("piece").alias("n")).withColumn("is_total", F.lit(False))
+    exact = exact.unionByName(pieces.select("piece").distinct().agg(F.count("piece").alias("n")).selectExpr("string(null) as source", "n", "true as is_total"))
     estimate = merged_distinct(sketches, ["source"]).withColumn("is_total", F.lit(False))
     estimate = estimate.unionByName(merged_distinct(sketches).selectExpr("string(null) as source", "n_distinct", "true as is_total"))
     e, x = estimate.alias("e"), exact.alias("x")
