@@ -294,12 +294,12 @@ class BlockModel:
 
     def __init__(self, keys: np.ndarray, values: list[np.ndarray]):
         by = np.argsort(keys)
-        self.keys, self.values = keys[by], [v[by].astype(np.float64) for v in values]
+        self.keys, self.values = keys[by], [v[by] for v in values]
 
     def _find(self, keys: np.ndarray, column: int) -> np.ndarray:
         """Values of a column, NaN where there is none."""
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[column][at], np.nan)
+        return np.where(self.keys[at] == keys, self.values[column][at].astype(np.float64), np.nan)
 
     def covers(self, model: int) -> bool:
         return len(self.keys) > 0 and not np.isnan(self._find(np.zeros(1, np.int64), 2 * model + 1)[0])
@@ -329,22 +329,37 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], batch.schema.names)
 
 
+def _unpacked(packed: pa.Array, rows: np.ndarray) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Rows and their texts (null: empty), about ``CHUNK_CHARS`` characters at a time (a longer text is one of its own)."""
+    texts, first, size = [], 0, 0
+    for i, row in enumerate(rows.tolist()):
+        t = zlib.decompress(packed[row].as_buffer()).decode() if packed[row].is_valid else ""
+        if texts and size + len(t) > CHUNK_CHARS:
+            yield rows[first:i], texts
+            texts, first, size = [], i, 0
+        texts.append(t)
+        size += len(t)
+    if texts:
+        yield rows[first:], texts
+
+
 def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
     langs, held = (docs.column(c).to_pylist() for c in ("lang", "held"))
-    whole = [None if t is None else zlib.decompress(t).decode() for t in docs.column("text").to_pylist()]
-    texts = [t or "" for t in whole]
-    asked = np.array(answers.column("lang").to_pylist(), dtype=object)
+    packed = docs.column("text").combine_chunks()
+    # A language is one number here, not one string a row.
+    asked = answers.column("lang").combine_chunks().dictionary_encode()
+    number_of = {lang: i for i, lang in enumerate(asked.dictionary.to_pylist())}
+    asked = asked.indices.to_numpy(zero_copy_only=False)
     keys, values = answers.column("key").to_numpy(), [answers.column(c).to_numpy() for c in ("p0", "b0", "p1", "b1")]
-    out = {f.name: np.full(len(texts), np.nan) for f in SCORES.fields}
-    out["n_scored"] = np.zeros(len(texts), np.int64)
+    out = {f.name: np.full(len(packed), np.nan) for f in SCORES.fields}
+    out["n_scored"] = np.zeros(len(packed), np.int64)
     order = np.argsort(np.array(langs, dtype=object), kind="stable")
     for lang in dict.fromkeys(langs):
-        mine = asked == lang
+        mine = asked == number_of.get(lang, -1)
         model = BlockModel(keys[mine], [v[mine] for v in values])
         rows = order[[langs[i] == lang for i in order]]
-        for a, b in _chunks([texts[i] for i in rows]):
-            some = rows[a:b]
-            stretch = Stretch([texts[i] for i in some])
+        for some, texts in _unpacked(packed, rows):
+            stretch = Stretch(texts)
             grams = stretch.grams()
             out["n_scored"][some], out["marks"][some] = stretch.sizes, stretch.mark_shares()
             for number, (mean, worst) in enumerate((("bits", "worst"), ("held_bits", "held_worst"))):
@@ -357,9 +372,10 @@ def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
                 out[worst][some] = stretch.second_worst(bits)
     result = docs.select(["row", "lang", "held"])
     if docs.column("with_text")[0].as_py():
-        result = result.append_column("text", pa.array(whole, pa.string()))
+        whole = pa.array((None if not t.is_valid else zlib.decompress(t.as_buffer()) for t in packed), pa.binary())
+        result = result.append_column("text", whole.cast(pa.string()))
     else:
-        result = result.append_column("text", pa.nulls(len(whole), pa.string()))
+        result = result.append_column("text", pa.nulls(len(packed), pa.string()))
     for name, values in out.items():
         result = result.append_column(name, pa.array(values, from_pandas=True))
     return result
