@@ -183,10 +183,10 @@ def neighbour_pairs(matches: DataFrame) -> DataFrame:
     The only shuffle of the byte-match program. Each task first combines
     its matches per key, so at most patterns x 257 x 257 rows (in practice
     far fewer) leave a task, however hot a pattern is. Neighbours are counted
-    by a number each (their 64-bit hash, different for all 256 bytes and none), on which an
+    by a number each (their 32-bit hash, different for all 256 bytes and none), on which an
     aggregate is faster than on binaries, and named afterwards from a table of 257 rows.
     """
-    coded = matches.select("pid", F.xxhash64("left").alias("left"), F.xxhash64("right").alias("right"))
+    coded = matches.select("pid", F.hash("left").alias("left"), F.hash("right").alias("right"))
     counts = coded.groupBy("pid", "left", "right").agg(F.count(F.lit(1)).alias("c"))
     left, right = (F.broadcast(byte_codes(matches.sparkSession).toDF(f"{side}_byte", side)) for side in ("left", "right"))
     return counts.join(left, "left").join(right, "right").select("pid", F.col("left_byte").alias("left"), F.col("right_byte").alias("right"), "c")
@@ -195,7 +195,7 @@ def neighbour_pairs(matches: DataFrame) -> DataFrame:
 def byte_codes(spark: SparkSession) -> DataFrame:
     """``(byte, code)`` of all 256 one-byte binaries and of null."""
     byte = F.when(F.col("id") < 256, F.unhex(F.lpad(F.hex("id"), 2, "0")))
-    return spark.range(257).select(byte.alias("byte")).select("byte", F.xxhash64("byte").alias("code"))
+    return spark.range(257).select(byte.alias("byte")).select("byte", F.hash("byte").alias("code"))
 
 
 def _visible(b) -> F.Column:
