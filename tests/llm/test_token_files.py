@@ -3,6 +3,7 @@ import json
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,22 @@ def test_words_encode_like_whole_texts(docs, library):
     assert [x.tolist() for x in other.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_capitals_and_marks_share_a_word(library, monkeypatch):
+    encoder, sent, ids = TextEncoder(NAME), [], TextEncoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda tokenizer, texts: sent.extend(texts) or ids(tokenizer, texts))
+    texts = ["that*** That!! THAT,", None, "Été*** été,", "", "that<|>\nthat"]
+    flat, ends = encoder.encode_flat(pa.array(texts))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(flat, ends)[:-1]] == want
+    assert sorted(w for t in sent for w in t.split()) == sorted(["that", "été", "***", "!!", ",", "<|>"])  # each once
+
+
+def test_odd_words_encode_like_whole_texts(library):
+    words = ["a<|endoftext|>", "a<|endoftext|>,", "<|ENDOFTEXT|>", "it's", "dogs'", "a'S", "'Re,", "A.B", "a1!", "(a)", "***", "a_b_", "É-", "Ḥ̱!", "İ.", "ΟΔΟΣ.", "a\x0bB.", "a\x0c!", "x\u00a0Y!", "K\u212a!", "b́!", "B!\u0301"]
+    texts = words + [a + b for a in words for b in words] + [f"{a} {b}\t{a}" for a in words for b in words]
+    assert [x.tolist() for x in TextEncoder(NAME).encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_words_are_forgotten(docs, library, monkeypatch):
     monkeypatch.setattr("tokscope.llm.token_files.MEMO_WORDS", 50)
     encoder = TextEncoder(NAME)

@@ -17,12 +17,12 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokscope.llm.common import python_tasks
+from tokscope.llm.common import python_tasks, text_blocks
 from tokscope.llm.packing import tokenizer_path
 from tokscope.session import bounded_broadcast
 
@@ -42,10 +42,12 @@ PARTS = "part int, first_token long, n_tokens long, n_docs long"
 # Fixed by the vocabulary file: its normalizer and split, under which words parted by ASCII white space never affect each other.
 WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Marks that a word may end in; each is a piece of its own after letters.
-MARKS = frozenset(",.;:!?")
-#: Words that a worker remembers, and words encoded in one call.
-MEMO_WORDS, CHUNK_WORDS = 700_000, 256
+#: ASCII punctuation. A run of it that a word ends in is one piece of the split after letters.
+MARKS = string.punctuation
+#: White space that parts words.
+SPACES = " \t\n\r"
+#: Words that a worker remembers, words encoded in one call, and text bytes split into words at once (a longer text by itself).
+MEMO_WORDS, CHUNK_WORDS, WORD_BYTES = 400_000, 256, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -91,20 +93,28 @@ def splits_at_space(spec: dict) -> bool:
         and not steps[1].get("add_prefix_space")
         and not any(c.isspace() for t in spec.get("added_tokens", []) for c in t["content"])
         and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", []))
+        # Letters with marks behind, see _form, hold no added token.
+        and not any(t["content"].rstrip(MARKS).isalpha() or not t["content"].rstrip(MARKS) for t in spec.get("added_tokens", []))
     )
 
+_BYTES = np.arange(256, dtype=np.uint8)
+_IS_SPACE, _IS_MARK = (np.isin(_BYTES, [ord(c) for c in chars]) for chars in (SPACES, MARKS))
+_IS_UPPER = (_BYTES >= 65) & (_BYTES <= 90)
+_LOWERED = np.where(_IS_UPPER, _BYTES | 32, _BYTES).astype(np.uint8)
+_IS_LETTER = (_LOWERED >= 97) & (_LOWERED <= 122)
+
 
 def _form(word: str) -> tuple[str, str] | None:
-    """A word as lower-case letters that the normalizer leaves as they are and the mark behind them; None if it is not.
+    """A word as lower-case letters that the normalizer leaves as they are and the marks behind them; None if it is not.
 
     Letters are those below U+2000, without the two capitals whose lower case depends on more than the letter.
     """
     low = word.lower()
-    stem, mark = (low[:-1], low[-1]) if low[-1:] in MARKS else (low, "")
+    stem = low.rstrip(MARKS)
     if not stem.isalpha():
         return None
     if stem.isascii() or (max(stem) < "\u2000" and "\u0130" not in word and "\u03a3" not in word and unicodedata.is_normalized("NFC", stem)):
-        return stem, mark
+        return stem, low[len(stem) :]
     return None
 
 
@@ -151,29 +161,82 @@ class TextEncoder:
             memo.update(zip(chunk, (raw[a:b] for a, b in zip([0, *ends], ends)), strict=True))
         memo.update(zip(others, (ids.tobytes() for ids in self._ids(self.tokenizer, others)), strict=True))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as 32-bit integers."""
-        if not self.by_word:
-            return list(self._ids(self.tokenizer, texts))
+    def _words_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
         if len(self.memo) > MEMO_WORDS:
             self.memo, self.old = {}, self.memo
         memo, old = self.memo, self.old
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set(chain.from_iterable(words)).difference(memo)
-        for w in new.intersection(old):
-            memo[w] = old[w]
+        found = list(map(memo.get, words))
         # The split parts letters from marks and the normalizer lower-cases, so "Word," is "word" and ",".
-        forms, others = {}, []
-        for w in new.difference(old):
-            if (form := _form(w) if self.has_closes else None) is not None:
+        forms, others, missing = {}, [], [i for i, ids in enumerate(found) if ids is None]
+        for w in map(words.__getitem__, missing):
+            if (ids := old.get(w)) is not None:
+                memo[w] = ids
+            elif (form := _form(w) if self.has_closes else None) is not None:
                 forms[w] = form
             else:
                 others.append(w)
         stems = {stem for stem, _ in forms.values()}.difference(memo)
-        self._learn(list(stems), others + [m for m in MARKS if m not in memo])
+        marks = {mark for _, mark in forms.values()}.difference(memo, others, [""])
+        self._learn(list(stems), [*others, *marks])
         for w, (stem, mark) in forms.items():
-            memo[w] = memo[stem] + memo[mark] if mark else memo[stem]
-        return [np.frombuffer(b"".join(map(memo.__getitem__, w)), dtype=np.int32) for w in words]
+            if mark or w != stem:
+                memo[w] = memo[stem] + memo[mark] if mark else memo[stem]
+        for i in missing:
+            found[i] = memo[words[i]]
+        return found
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty) one after the other, as 32-bit integers, and where each text's ids end."""
+        if not self.by_word:
+            rows = list(self._ids(self.tokenizer, [t or "" for t in texts.to_pylist()]))
+            return np.concatenate([*rows, np.zeros(0, np.int32)]), np.cumsum([len(r) for r in rows], dtype=np.int64)
+        parts, ends, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        for _, _, data, offsets in text_blocks(pa.RecordBatch.from_arrays([texts], ["text"]), limit=WORD_BYTES):
+            words, stops = _block_words(data, offsets)
+            coded = words.dictionary_encode()
+            raws, at = self._words_ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
+            ids = np.frombuffer(b"".join(raws), dtype=np.int32)
+            sizes = np.fromiter(map(len, raws), np.int64, len(raws)) >> 2
+            begins, mine = (np.cumsum(sizes) - sizes)[at], sizes[at]
+            upto = np.concatenate([[0], np.cumsum(mine)])
+            parts.append(ids[np.repeat(begins - upto[:-1], mine) + np.arange(upto[-1])])
+            ends.append(size + upto[stops])
+            size += int(upto[-1])
+        return np.concatenate(parts), np.concatenate(ends)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, as 32-bit integers."""
+        ids, ends = self.encode_flat(pa.array(texts, pa.large_string()))
+        return np.split(ids, ends)[:-1]
+
+
+def _block_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Words of a block of texts (UTF-8 bytes, offsets of the rows) in order, and the number of words up to each row's end.
+
+    Words are parted by ``SPACES`` and rows. Where a word is ASCII letters with nothing but ``MARKS``
+    behind, the letters are lower-cased and the marks are a word of their own: it gives the same ids.
+    """
+    inside = ~_IS_SPACE[data]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    first = offsets[:-1][offsets[:-1] < offsets[1:]]
+    start[first] = inside[first]
+    stops = np.searchsorted(np.flatnonzero(start), offsets[1:])
+    flat, start = data[inside], start[inside]
+    begins = np.flatnonzero(start)
+    letter, mark = _IS_LETTER[flat], _IS_MARK[flat]
+    after = np.zeros(len(flat), bool)  # whether the byte before is a letter of the same word
+    after[1:] = letter[:-1] & ~start[1:]
+    odd = ~(letter | mark) | (letter & ~(after | start)) | (start & ~letter)
+    plain = ~np.logical_or.reduceat(odd, begins) if len(begins) else np.zeros(0, bool)
+    whole = np.repeat(plain, np.diff(begins, append=len(flat)))
+    flat = np.where(whole, _LOWERED[flat], flat)
+    cut = mark & after & whole
+    pieces = np.flatnonzero(start | cut)
+    words = pa.Array.from_buffers(pa.large_string(), len(pieces), [None, pa.py_buffer(np.append(pieces, len(flat))), pa.py_buffer(flat)])
+    # Words up to a row's end, and the cuts in them.
+    return words, np.searchsorted(pieces, np.append(begins, len(flat))[stops])
 
 
 @lru_cache(maxsize=2)
@@ -188,14 +251,14 @@ def _encode_in_order(tokenizer: str, end_id: int | None):
         position = 0
         tail = np.array([] if end_id is None else [end_id], dtype=np.int32)
         for batch in batches:
-            rows = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
-            sizes = np.array([len(r) + len(tail) for r in rows], dtype=np.int64)
-            ends = np.cumsum(sizes)
-            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x for r in rows for x in (r, tail)] or [tail[:0]])))
+            plain, ends = encoder.encode_flat(batch.column(1))
+            whole = np.insert(plain, np.repeat(ends, len(tail)), np.tile(tail, len(ends)))
+            ends = ends + len(tail) * np.arange(1, len(ends) + 1)
+            sizes = np.diff(ends, prepend=0)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(whole))
             starts = position + ends - sizes
             position += int(sizes.sum())
-            columns = [pa.array(np.full(len(rows), part, np.int32)), pa.array(starts), batch.column(0), pa.array(sizes.astype(np.int32)), ids]
+            columns = [pa.array(np.full(len(ends), part, np.int32)), pa.array(starts), batch.column(0), pa.array(sizes.astype(np.int32)), ids]
             yield pa.RecordBatch.from_arrays(columns, ["part", "file_start", "doc_id", "n_tokens", "ids"])
 
     return run
