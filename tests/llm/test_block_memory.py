@@ -1,11 +1,15 @@
-"""A scoring block holds a chunk of its texts at a time."""
+"""A scoring block holds a chunk of its texts at a time, and a written table of texts has small row groups."""
 
+import glob
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 
+from tokscope.llm import common
 from tokscope.llm import quality_lm as Q
+from tokscope.session import ensure_checkpoint_dir
 
 
 def test_texts_of_a_block_are_unpacked_chunk_by_chunk(monkeypatch):
@@ -27,3 +31,18 @@ def test_a_block_without_answers_scores_nothing():
     out = Q._score_block(docs, answers)
     assert out.column("text").to_pylist() == texts and out.column("n_scored").to_pylist() == [7, 0]
     assert out.column("bits").null_count == 2
+
+
+def test_scores_with_texts_have_small_row_groups(spark, monkeypatch):
+    monkeypatch.setattr(common, "TEXT_GROUP_BYTES", 64 << 10)
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/lm-scores-*"))
+    docs = spark.range(1500).selectExpr("id as doc_id", "concat_ws(' ', sha2(string(id), 512), sha2(string(-id), 512), sha2(string(id + 0.5), 512)) as text", "'xx' as lang").coalesce(2)
+    labels = spark.range(1500).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    kept = {r.doc_id: r.text for r in Q.keep_good(docs, labels).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(kept) > 1000 and all(texts[d] == t for d, t in kept.items())
+    (path,) = set(glob.glob(f"{folder}/lm-scores-*")) - before
+    groups = [meta.row_group(g) for f in glob.glob(f"{path}/*.parquet") for meta in [pq.ParquetFile(f).metadata] for g in range(meta.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 1500
+    assert max(g.total_byte_size for g in groups) < 160 << 10

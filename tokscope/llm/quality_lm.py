@@ -403,7 +403,7 @@ def scored(docs: DataFrame, model: DataFrame, with_text: bool) -> DataFrame:
 
 def _stable(docs: DataFrame) -> DataFrame:
     """``docs``, written first if its plan has a shuffle, which may deal rows differently when it runs again."""
-    return written(docs, "lm-docs") if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
+    return written(docs, "lm-docs", texts=True) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -470,7 +470,7 @@ def _judged(docs: DataFrame, labels: DataFrame, levels: tuple[float, float, floa
     ids = written(trusted_ids(labels), "trusted-ids")
     few = ids.count() <= MAX_BROADCAST_IDS
     model = train(given.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text", "lang", "held"))
-    scores = written(scored(given.drop("doc_id"), model, len(plain) < len(keep)), "lm-scores")
+    scores = written(scored(given.drop("doc_id"), model, len(plain) < len(keep)), "lm-scores", texts=True)
     trusted = scores.filter("held and held_bits is not null").select(F.col("row.id").alias("doc_id"), "lang", "held_bits", "held_worst").join(ids, "doc_id", "left_semi")
     cuts = written(cuts_of(trusted, *levels), "lm-cuts")
     judged = scores.join(cuts, "lang", "left")
