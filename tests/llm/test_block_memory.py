@@ -1,6 +1,7 @@
 """A scoring block holds a chunk of its texts at a time, and a written table of texts has small row groups."""
 
 import glob
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -46,3 +47,50 @@ def test_scores_with_texts_have_small_row_groups(spark, monkeypatch):
     groups = [meta.row_group(g) for f in glob.glob(f"{path}/*.parquet") for meta in [pq.ParquetFile(f).metadata] for g in range(meta.num_row_groups)]
     assert sum(g.num_rows for g in groups) == 1500
     assert max(g.total_byte_size for g in groups) < 160 << 10
+
+
+def _block(n: int) -> tuple[pa.Table, pa.Table]:
+    """About ``n`` times 8 KB of text, a block, and a model that has seen the letters alone."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(w) for w in rng.choice(list("abcdefghijklmnop"), (1300, 5))) for _ in range(40)]
+    texts = [texts[i % 40] for i in range(n)]
+    docs = pa.table({"row": range(n), "lang": ["x"] * n, "held": [True] * n, "with_text": [True] * n, "text": pa.array([zlib.compress(t.encode(), 1) for t in texts], pa.binary())})
+    keys = np.array([0, *((1 << Q.ORDER_SHIFT) + i for i in range(97, 123))])
+    answers = pa.table({"lang": ["x"] * len(keys), "key": keys, **{c: np.full(len(keys), -4, np.float32) for c in ("p0", "b0", "p1", "b1")}})
+    return docs, answers
+
+
+def test_texts_go_back_in_small_batches():
+    docs, answers = _block(500)
+    out = Q._score_block(docs, answers)
+    batches = out.to_batches()
+    assert sum(b.num_rows for b in batches) == 500 and max(b.nbytes for b in batches) < 2 * Q.OUT_BYTES
+    assert out.column("text").to_pylist() == [zlib.decompress(t).decode() for t in docs.column("text").to_pylist()]
+
+
+def test_a_block_is_scored_within_little_memory(monkeypatch):
+    """Beside its input and result (Arrow buffers, not counted here); what is free goes back to the system before the result is made."""
+    docs, answers = _block(600)
+    calls = []
+    monkeypatch.setattr(Q, "give_back", lambda: calls.append(1))
+    Q._score_block(docs.slice(0, 1), answers)  # tables of characters
+    tracemalloc.start()
+    Q._score_block(docs, answers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20, peak
+    assert len(calls) == 2
+    common.give_back()
+
+
+def test_counts_go_out_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(Q, "OUT_ROWS", 7)
+    monkeypatch.setattr(Q, "MAX_SUMS", 50)
+    rows = [("abcdefgh " * 3, "x", False), ("hgfedcba", "x", True), ("abcd", "y", False), (None, "y", True)]
+    got = {(r.lang, r.code): (r.n, r.n_held) for r in Q.count_fourgrams(spark.createDataFrame(rows, "text string, lang string, held boolean").coalesce(1)).collect()}
+    want: dict = {}
+    for text, lang, held in rows:
+        for code in Q.Stretch([text or ""]).grams().tolist():
+            n, h = want.get((lang, code), (0, 0))
+            want[lang, code] = (n + 1, h + held)
+    assert got == want

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokscope.llm.common import python_tasks, written
+from tokscope.llm.common import give_back, python_tasks, written
 
 ORDER = 4
 SYMBOL_BITS = 12
@@ -43,8 +43,12 @@ ORDER_SHIFT = SYMBOL_BITS * ORDER
 FOLDS = 2
 #: Trusted ids up to this number are broadcast (8 bytes each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
-#: Text bytes of a scoring block, on average, and of the arrays handled at once.
-BLOCK_BYTES, CHUNK_CHARS = 16 << 20, 1 << 19
+#: Text bytes of a scoring block, on average, and characters handled at once: some dozen arrays of 8 bytes a character live at a time.
+BLOCK_BYTES, CHUNK_CHARS = 16 << 20, 1 << 17
+#: Text bytes and rows of a batch that goes back to the JVM, which holds it outside the heap.
+OUT_BYTES, OUT_ROWS = 1 << 20, 1 << 16
+#: N-grams that a counting task holds before it hands its sums on.
+MAX_SUMS = 1 << 19
 #: Share of capitals, digits, punctuation and symbols above which a document goes whose language has no threshold.
 MAX_MARKS = 0.35
 #: Letters of the words looked at one by one, and the marks that may follow them.
@@ -55,9 +59,11 @@ ADDED = ("model", "n_scored", "perplexity", "threshold", "worst_word", "word_thr
 @lru_cache(maxsize=1)
 def _symbols() -> np.ndarray:
     """Symbol of every code point: itself below 2048, above one of 2048 by a hash."""
-    points = np.arange(sys.maxunicode + 1, dtype=np.uint64)
-    far = 2048 + ((points * np.uint64(0x9E3779B1)) >> np.uint64(13)) % np.uint64(2048)
-    return np.where(points < 2048, points, far).astype(np.int64)
+    out = np.arange(sys.maxunicode + 1, dtype=np.int32).astype(np.int16)
+    for first in range(2048, len(out), CHUNK_CHARS):
+        points = np.arange(first, min(first + CHUNK_CHARS, len(out)), dtype=np.uint64)
+        out[first : first + CHUNK_CHARS] = 2048 + ((points * np.uint64(0x9E3779B1)) >> np.uint64(13)) % np.uint64(2048)
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -88,7 +94,7 @@ class Stretch:
 
     def grams(self) -> np.ndarray:
         """The four-gram that ends at each character."""
-        at, symbol = self.places(), _symbols()[self.points]
+        at, symbol = self.places(), _symbols()[self.points].astype(np.int64)
         out = symbol[at].copy()
         for k in range(1, ORDER):
             out |= symbol[at - k] << (SYMBOL_BITS * k)
@@ -147,7 +153,9 @@ def count_fourgrams(docs: DataFrame) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, held), (code, n) in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n), pa.array(n * held)], ["lang", "code", "n", "n_held"])
+                for a in range(0, len(code), OUT_ROWS):
+                    some = n[a : a + OUT_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(code[a : a + OUT_ROWS]), pa.array(some), pa.array(some * held)], ["lang", "code", "n", "n_held"])
             sums.clear()
 
         for batch in batches:
@@ -163,9 +171,10 @@ def count_fourgrams(docs: DataFrame) -> DataFrame:
                         code, at = np.unique(both, return_inverse=True)
                         n = np.bincount(at, weights=np.concatenate([sums[key][1], n])).astype(np.int64)
                     sums[key] = code, n
-            if sum(len(c) for c, _ in sums.values()) > 1 << 21:
+            if sum(len(c) for c, _ in sums.values()) > MAX_SUMS:
                 yield from out()
         yield from out()
+        give_back()
 
     counts = docs.select("text", "lang", "held").mapInArrow(run, "lang string, code long, n long, n_held long")
     return counts.groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("n_held").alias("n_held"))
@@ -264,7 +273,9 @@ def requests(docs: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for lang, grams in seen.items():
                 keys = _keys(grams)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), current)), pa.array([lang] * len(keys), pa.string()), pa.array(keys)], ["block", "lang", "key"])
+                for a in range(0, len(keys), OUT_ROWS):
+                    some = keys[a : a + OUT_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), current)), pa.array([lang] * len(some), pa.string()), pa.array(some)], ["block", "lang", "key"])
             seen.clear()
 
         for batch in batches:
@@ -285,6 +296,7 @@ def requests(docs: DataFrame) -> DataFrame:
                         grams = np.unique(Stretch(some[c:d]).grams())
                         seen[lang] = np.union1d(seen[lang], grams) if lang in seen else grams
         yield from out()
+        give_back()
 
     return docs.select("block", "lang", "text").mapInArrow(run, "block long, lang string, key long")
 
@@ -327,6 +339,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packed = [None if t is None else zlib.compress(t.encode(), 1) for t in batch.column(batch.num_columns - 1).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], batch.schema.names)
+    give_back()
 
 
 def _unpacked(packed: pa.Array, rows: np.ndarray) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -343,6 +356,19 @@ def _unpacked(packed: pa.Array, rows: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield rows[first:], texts
 
 
+def _whole_texts(packed: pa.Array) -> pa.ChunkedArray:
+    """The texts in pieces of about ``OUT_BYTES``, each of which goes back in a batch of its own."""
+    pieces, texts, size = [], [], 0
+    for t in packed:
+        texts.append(zlib.decompress(t.as_buffer()) if t.is_valid else None)
+        size += len(texts[-1] or b"")
+        if size >= OUT_BYTES:
+            pieces.append(pa.array(texts, pa.binary()).cast(pa.string()))
+            texts, size = [], 0
+    pieces.append(pa.array(texts, pa.binary()).cast(pa.string()))
+    return pa.chunked_array(pieces, pa.string())
+
+
 def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
     langs, held = (docs.column(c).to_pylist() for c in ("lang", "held"))
     packed = docs.column("text").combine_chunks()
@@ -370,10 +396,11 @@ def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
                 with np.errstate(invalid="ignore"):
                     out[mean][some] = np.diff(sums) / np.where(stretch.sizes > 0, stretch.sizes, np.nan)
                 out[worst][some] = stretch.second_worst(bits)
+            del texts, stretch, grams
+    give_back()  # here and not after the block, whose result still has to be sent
     result = docs.select(["row", "lang", "held"])
     if docs.column("with_text")[0].as_py():
-        whole = pa.array((None if not t.is_valid else zlib.decompress(t.as_buffer()) for t in packed), pa.binary())
-        result = result.append_column("text", whole.cast(pa.string()))
+        result = result.append_column("text", _whole_texts(packed))
     else:
         result = result.append_column("text", pa.nulls(len(packed), pa.string()))
     for name, values in out.items():
