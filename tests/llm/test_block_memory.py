@@ -78,7 +78,7 @@ def test_a_block_is_scored_within_little_memory(monkeypatch):
     Q._score_block(docs, answers)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 40 << 20, peak
+    assert peak < 20 << 20, peak
     assert len(calls) == 2
     common.give_back()
 
