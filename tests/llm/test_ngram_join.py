@@ -111,3 +111,81 @@ def test_empty_sketches_bound_nothing():
     none, some = np.zeros(0, np.uint8), np.ones(8, np.uint8)
     assert overlap_bound(none, none) == overlap_bound(none, some) == overlap_bound(some, none) == 1 << 62
     assert overlap_bound(some, some) == 8
+
+
+def test_sketches_tell_unrelated_sets_of_any_size_apart():
+    rng = np.random.default_rng(5)
+    for n in (60, 100, 250, 700, 3000):
+        sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(40)]
+        own = [np.frombuffer(sketch(s), np.uint8) for s in sets]
+        # With 16 members a range one pair in fifty passed, and chance joined all short documents to one family.
+        passed = sum(overlap_bound(own[i], own[j]) >= needed_overlap(len(sets[i]), len(sets[j]), 85) for i in range(40) for j in range(i))
+        assert passed <= 2, n
+
+
+def test_frequent_ngrams_come_last_by_their_counts():
+    from tokscope.llm.ngram_join import _head, _ordered, _places
+
+    hot = _places(np.array([30, 10, 20]), np.array([9, 2, 5]))
+    values = np.array([5, 10, 20, 30, 40], np.uint64)
+    top = 1 << 63
+    assert _ordered(values, hot).tolist() == [5, 40, top, top | 1, top | 2]
+    rng = np.random.default_rng(6)
+    many = np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))
+    for share in (0, 3, 300, 400):
+        hot = _places(rng.choice(many, share, replace=False).view(np.int64), rng.integers(2, 9, share))
+        for k in (0, 1, 60, 399, 400):
+            assert _head(many, hot, k).tolist() == _ordered(many, hot)[:k].tolist()
+
+
+def test_many_sketches_compared_at_once():
+    from tokscope.llm.ngram_join import _Sketches
+
+    rng = np.random.default_rng(7)
+    base = np.unique(rng.integers(0, 1 << 63, 700).astype(np.uint64))
+    sets = sorted((base[rng.random(len(base)) < p] for p in rng.choice([0.65, 0.8, 0.95, 1], 60)), key=len)
+    own = [np.frombuffer(sketch(s), np.uint8) for s in sets]
+    own[7] = own[40] = np.zeros(0, np.uint8)
+    sizes = [len(s) for s in sets]
+    group = _Sketches(sizes, own, 85)
+    for i in range(60):
+        assert group.ends[i] == sum(85 * m <= 100 * sizes[i] for m in sizes)
+        others = np.arange(i + 1, 60)
+        assert group.allow(i, others).tolist() == [overlap_bound(own[i], own[j]) >= needed_overlap(sizes[i], sizes[j], 85) for j in others]
+
+
+def test_tree_walks_to_wanted_sets_only():
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 1 << 62, 90).astype(np.uint64))
+    sets = [base[rng.random(len(base)) < 0.93] for _ in range(60)]
+    tree, among = PrefixTree(sets), rng.random(60) < 0.3
+    every = tree.search(base, 85)
+    assert every and sorted(tree.search(base, 85, among)) == sorted(i for i in every if among[i])
+    assert tree.search(base, 85, np.zeros(60, bool)) == []
+
+
+def test_family_of_near_alike_documents_moves_texts_by_block(spark, monkeypatch):
+    """Before, a text was fetched and shuffled once for every pair that shares enough n-grams."""
+    from tokscope.llm import ngram_join
+
+    rng = random.Random(9)
+    text = [f"w{i}" for i in range(120)]
+    docs = {}
+    for i in range(90):
+        copy = list(text)
+        for k in rng.sample(range(120), rng.choice([1, 4, 5, 6])):
+            copy[k] = f"e{i}x{k}"
+        docs[i] = " ".join(copy)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    moved, dealt = [], ngram_join._dealt
+
+    def counted(rows):
+        rows = dealt(rows)
+        if "text" in rows.columns:
+            moved.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(ngram_join, "_dealt", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == brute(docs, 4, 85)
+    assert moved and max(moved) <= 90 * -(-90 // 16)

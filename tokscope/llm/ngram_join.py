@@ -1,8 +1,8 @@
 """Jaccard self-join of n-gram sets by prefix filtering and prefix trees.
 
 Every document is the set of its word n-grams, each set sorted by one global
-order: rare n-grams first, the few frequent ones (at least one in ``2**18`` of
-all) last, hash order within both. Two sets with similarity ``t`` share an
+order: rare n-grams first, by hash, then the ``2**18`` most frequent ones (as
+counted in chunks), by their counts. Two sets with similarity ``t`` share an
 n-gram among their first ``n - ceil(t n) + 1``, so only these prefixes are
 shuffled, and only n-grams that two different sets have in their prefix go on,
 for those documents that have a partner there whose sketch (members per hash
@@ -13,12 +13,12 @@ begin alike share the nodes of their common part, a probe walks the tree
 once for all of them, and a subtree is left as soon as its remaining lengths
 cannot reach the needed overlap. Documents with equal sets are one node from
 the start. First each prefix n-gram's documents are compared with one *leader*
-(linear in the group, which settles groups of copies). For what still lies in
+(linear in the group, which settles groups of copies). What still lies in
 different components is joined to families, again unless sketches forbid it.
 Within a family, block by block, the
 shared prefix n-grams of each pair are counted: sets that are linked share far
-more of them than one, which leaves few pairs to fetch and verify; a document's closest one in each other component comes first,
-then the others, until none is left.
+more of them than one, which leaves few pairs to look up in the block's tree.
+A text is read once per block, not once per pair.
 """
 
 from __future__ import annotations
@@ -33,9 +33,13 @@ from pyspark.sql import functions as F
 from tokscope.llm.common import mix64, python_tasks, shingle_hashes, text_blocks, word_hashes, written
 from tokscope.llm.components import connected_components
 
-#: An n-gram is frequent if it makes up at least one in so many of all set members; so there are at most as many.
-FREQUENT_SHARE = 1 << 18
+#: So many n-grams at most count as frequent, those with the largest counts.
+MAX_FREQUENT = 1 << 18
+#: Set members counted at a time, and the n-grams told of each time at most.
 _COUNT_CHUNK = 1 << 22
+_COUNT_TOLD = 1 << 16
+#: Counts up to this one (and up to that of one member in ``MAX_FREQUENT``) are told apart when the frequent n-grams are chosen.
+_COUNT_APART = 1 << 12
 _HOT = np.uint64(1 << 63)
 #: Sets compared with each other in one block.
 BLOCK_SETS = 256
@@ -44,6 +48,8 @@ MAX_BROADCAST_IDS = 2_000_000
 LEADER_ROUNDS = 2
 #: Rows of one leading document that are counted in one task.
 ROWS_PER_LEAD = 5_000
+#: N-grams with fewer documents compare sketches pair by pair.
+_FEW = 8
 
 
 def needed_overlap(n: int, m: int, percent: int) -> int:
@@ -63,13 +69,41 @@ def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]
     return [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _ordered(values: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Keys of a sorted set in the global order: frequent n-grams get the top bit and so come last."""
-    if not len(hot) or not len(values):
+def _places(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent n-grams, sorted, and the place of each in the order of their counts."""
+    values = ids.view(np.uint64)
+    place = np.empty(len(values), np.uint64)
+    place[np.lexsort((values, counts))] = np.arange(len(values), dtype=np.uint64)
+    order = np.argsort(values)
+    return values[order], place[order]
+
+
+def _ordered(values: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Keys of a sorted set in the global order: a frequent n-gram is its place with the top bit, and so comes last."""
+    known, place = hot
+    if not len(known) or not len(values):
         return values
-    at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
-    is_hot = hot[at] == values
-    return np.concatenate([values[~is_hot], values[is_hot] | _HOT]) if is_hot.any() else values
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    is_hot = known[at] == values
+    return np.concatenate([values[~is_hot], np.sort(place[at[is_hot]]) | _HOT]) if is_hot.any() else values
+
+
+def _head(values: np.ndarray, hot: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
+    """The first ``size`` of :func:`_ordered`, mostly without looking at the rest."""
+    known, place = hot
+    if not len(known):
+        return values[:size]
+    rare, places, at, left = [], [], 0, size
+    while left > 0 and at < len(values):
+        part = values[at : at + left + 16]
+        spot = np.minimum(np.searchsorted(known, part), len(known) - 1)
+        is_hot = known[spot] == part
+        rare.append(part[~is_hot][:left])
+        places.append(place[spot[is_hot]])
+        at, left = at + len(part), left - len(rare[-1])
+    if left > 0 and places:
+        rare.append(np.sort(np.concatenate(places))[:left] | _HOT)
+    return np.concatenate(rare) if rare else values[:0]
 
 
 class PrefixTree:
@@ -79,10 +113,11 @@ class PrefixTree:
         self.sets = sets
         big = [s.astype(">u8").tobytes() for s in sets]
         order = sorted(range(len(sets)), key=big.__getitem__)
-        self.root = self._node(order, 0) if order else None
+        self.order = np.array(order, np.int64)
+        self.root = self._node(order, 0, 0) if order else None
 
-    def _node(self, order: list[int], depth: int) -> tuple:
-        """``(run of n-grams, depth after it, sets ending here, children, least and largest size below)``."""
+    def _node(self, order: list[int], depth: int, at: int) -> tuple:
+        """``(run of n-grams, depth after it, sets ending here, children, least and largest size below, first and last place in the order)``."""
         first, last = self.sets[order[0]], self.sets[order[-1]]
         m = min(len(first), len(last))
         differ = np.flatnonzero(first[depth:m] != last[depth:m])
@@ -94,26 +129,32 @@ class PrefixTree:
             token, j = self.sets[rest[k]][end], k + 1
             while j < len(rest) and self.sets[rest[j]][end] == token:
                 j += 1
-            children.append(self._node(rest[k:j], end))
+            children.append(self._node(rest[k:j], end, at + len(ends) + k))
             k = j
         sizes = [len(self.sets[i]) for i in order]
-        return first[depth:end], end, ends, children, min(sizes), max(sizes)
+        return first[depth:end], end, ends, children, min(sizes), max(sizes), at, at + len(order)
+
+    def search(self, probe: np.ndarray, percent: int, among: np.ndarray | None = None) -> list[int]:
+        """Indexes of the sets whose similarity with ``probe`` is at least ``percent``.
 
-    def search(self, probe: np.ndarray, percent: int) -> list[int]:
-        """Indexes of the sets whose similarity with ``probe`` is at least ``percent``."""
+        With ``among``, a mask of the sets, only branches that lead to one of those are walked, and only those are told.
+        """
         found, n = [], len(probe)
+        wanted = None if among is None else np.concatenate([[0], np.cumsum(among[self.order])])
         stack = [(self.root, 0)] if self.root and n else []
         while stack:
-            (run, depth, ends, children, least, largest), overlap = stack.pop()
+            (run, depth, ends, children, least, largest, lo, hi), overlap = stack.pop()
             if 100 * largest < percent * n or 100 * n < percent * least:
                 continue
+            if wanted is not None and wanted[lo] == wanted[hi]:
+                continue
             left = n
             if len(run):
                 at = np.searchsorted(probe, run)
                 overlap += int((probe[np.minimum(at, n - 1)] == run).sum())
                 left = n - int(np.searchsorted(probe, run[-1], side="right"))
             for i in ends:
-                if depth and overlap >= needed_overlap(n, depth, percent):
+                if depth and overlap >= needed_overlap(n, depth, percent) and (among is None or among[i]):
                     found.append(i)
             # Below this node at most so many more n-grams can be shared.
             need = needed_overlap(n, max(least, -(-percent * n // 100)), percent)
@@ -123,16 +164,21 @@ class PrefixTree:
 
 
 def _set_rows(width: int):
-    """Task: ``(0, doc_id, n, h1, h2, sketch)`` per document, ``(1, n-gram, count)`` per locally frequent n-gram, ``(2, 0, members)``."""
+    """Task: ``(0, doc_id, n, h1, h2, sketch)`` per document, ``(1, n-gram, count)`` per n-gram of several sets of a chunk, ``(2, 0, members)``.
+
+    Equal sets of a chunk count once. The counts only make the global order, which may be any.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
+        held, seen, total = [], set(), 0
         names = ["kind", "id", "n", "h1", "h2", "sketch"]
 
         def frequent() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= max(2, total // FREQUENT_SHARE)
-            k = int(often.sum()) + 1
+            often = np.flatnonzero(counts >= 2)
+            if len(often) > _COUNT_TOLD:
+                often = often[np.argpartition(counts[often], -_COUNT_TOLD)[-_COUNT_TOLD:]]
+            k = len(often) + 1
             zero = pa.array(np.zeros(k, np.int64))
             kind = pa.array(np.append(np.ones(k - 1, np.int32), 2), pa.int32())
             return pa.RecordBatch.from_arrays([kind, pa.array(np.append(values[often].view(np.int64), 0)), pa.array(np.append(counts[often], total)), zero, zero, pa.nulls(k, pa.binary())], names)
@@ -144,11 +190,13 @@ def _set_rows(width: int):
                 for k, s in enumerate(_sets(data, offsets, width), first):
                     n[k], h1[k], h2[k] = len(s), mix64(s.copy()).sum(), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum()
                     sketches.append(sketch(s))
-                    held.append(s)
-                    total += len(s)
+                    if (key := (n[k], h1[k], h2[k])) not in seen:
+                        seen.add(key)
+                        held.append(s)
+                        total += len(s)
                 if total >= _COUNT_CHUNK:
                     yield frequent()
-                    held, total = [], 0
+                    held, seen, total = [], set(), 0
             kind = pa.array(np.zeros(batch.num_rows, np.int32))
             yield pa.RecordBatch.from_arrays([kind, batch.column(0), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sketches, pa.binary())], names)
         if held:
@@ -167,7 +215,7 @@ def _prefix_rows(width: int, percent: int, shared):
             for first, _, data, offsets in text_blocks(batch):
                 sets = _sets(data, offsets, width)
                 sizes = np.array([len(s) for s in sets], np.int64)
-                heads = [_ordered(s, hot)[: prefix_length(len(s), percent)] for s in sets]
+                heads = [_head(s, hot, prefix_length(len(s), percent)) for s in sets]
                 k = [len(h) for h in heads]
                 own = np.repeat(np.arange(first, first + len(sets)), k)
                 flat = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
@@ -243,8 +291,12 @@ def shared_prefix_needed(n: int, m: int, percent: int) -> int:
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """Members of a sorted 63-bit set per hash range, about 16 a range, one byte each; empty if one overflows."""
-    k = max(3, int(np.ceil(np.log2(max(len(values), 1) / 16))))
+    """Members of a sorted 63-bit set per hash range, one byte each; empty if one overflows.
+
+    Small sets have 4 members a range, larger ones 8 and 16: unrelated sets then hardly ever look alike, whatever their size.
+    """
+    n = max(len(values), 1)
+    k = max(5, int(np.ceil(np.log2(n / 4)))) if n <= 512 else max(7, int(np.ceil(np.log2(n / 8)))) if n <= 4096 else max(9, int(np.ceil(np.log2(n / 16))))
     counts = np.bincount((values >> np.uint64(63 - k)).astype(np.int64), minlength=1 << k)
     return counts.astype(np.uint8).tobytes() if counts.max() <= 255 else b""
 
@@ -261,6 +313,37 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(a, b).sum(dtype=np.int64))
 
 
+class _Sketches:
+    """Sketches of one n-gram's documents, sorted by size, compared one with many."""
+
+    def __init__(self, sizes: list[int], sketches: list[np.ndarray], percent: int):
+        self.sizes, self.sketches, self.percent = np.array(sizes, np.int64), sketches, percent
+        self.lengths = np.array([len(x) for x in sketches], np.int64)
+        #: For each document the first one behind it that is too large.
+        self.ends = np.searchsorted(percent * self.sizes, 100 * self.sizes, side="right")
+        self._folded: dict[int, np.ndarray] = {}
+
+    def _table(self, length: int) -> np.ndarray:
+        """All sketches of at least that length, with so many ranges."""
+        if length not in self._folded:
+            table = np.zeros((len(self.sketches), length), np.int32)
+            for own in np.unique(self.lengths[self.lengths >= length]):
+                at = np.flatnonzero(self.lengths == own)
+                table[at] = np.stack([self.sketches[i] for i in at]).reshape(len(at), length, -1).sum(axis=2, dtype=np.int32)
+            self._folded[length] = table
+        return self._folded[length]
+
+    def allow(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Whether document ``i`` may be linked with each of ``others``; a shorter or empty sketch says nothing."""
+        length = int(self.lengths[i])
+        if not length:
+            return np.ones(len(others), bool)
+        table = self._table(length)
+        bound = np.minimum(table[others], table[i]).sum(axis=1)
+        need = -(-self.percent * (self.sizes[i] + self.sizes[others]) // (100 + self.percent))
+        return (bound >= need) | (self.lengths[others] < length)
+
+
 def _families(percent: int):
     """Task over ``(lead, token, block, other, side, doc_id, n, root, sketch)``, groups (the first four) together.
 
@@ -283,6 +366,9 @@ def _families(percent: int):
 
         def close() -> None:
             rows.sort(key=lambda r: (r[2], r[1]))
+            if len(rows) >= _FEW:
+                close_many()
+                return
             for i, (side, doc, n, root, own) in enumerate(rows):
                 for side2, doc2, m, root2, other in rows[i + 1 :]:
                     if percent * m > 100 * n:
@@ -297,6 +383,24 @@ def _families(percent: int):
                     else:
                         apart.add((doc, doc2))
 
+        def close_many() -> None:
+            tops: dict[int, int] = {}
+            comp = np.array([tops.setdefault(find(r[3]), len(tops)) for r in rows])
+            if len(tops) < 2:
+                return
+            sides = np.array([r[0] for r in rows])
+            group = _Sketches([r[2] for r in rows], [r[4] for r in rows], percent)
+            for i, row in enumerate(rows):
+                others = np.arange(i + 1, group.ends[i])
+                others = others[(comp[others] != comp[i]) & ((sides[others] != row[0]) | (row[0] == 2))]
+                if not len(others):
+                    continue
+                others = others[group.allow(i, others)]
+                for j in others[np.unique(comp[others], return_index=True)[1]]:
+                    parent[find(row[3])] = find(rows[j][3])
+                    edges.append((row[3], rows[j][3]))
+                    comp[comp == comp[j]] = comp[i]
+
         def out() -> pa.RecordBatch:
             a, b = [e[0] for e in edges], [e[1] for e in edges]
             edges.clear()
@@ -335,6 +439,9 @@ def _alike(percent: int):
 
         def close() -> None:
             rows.sort(key=lambda r: (r[2], r[1]))
+            if len(rows) >= _FEW:
+                close_many()
+                return
             good = [False] * len(rows)
             for i, (side, doc, n, own) in enumerate(rows):
                 for j in range(i + 1, len(rows)):
@@ -350,6 +457,19 @@ def _alike(percent: int):
                         good[i] = good[j] = True
             kept.extend((group[1], r[1], r[2]) for r, ok in zip(rows, good, strict=True) if ok)
 
+        def close_many() -> None:
+            sides = np.array([r[0] for r in rows])
+            sketches = _Sketches([r[2] for r in rows], [r[3] for r in rows], percent)
+            good = np.zeros(len(rows), bool)
+            for i, row in enumerate(rows):
+                others = np.arange(i + 1, sketches.ends[i])
+                others = others[(sides[others] != row[0]) | (row[0] == 2)]
+                if good[i]:
+                    others = others[~good[others]]
+                if len(others) and len(others := others[sketches.allow(i, others)]):
+                    good[i] = good[others] = True
+            kept.extend((group[1], rows[i][1], rows[i][2]) for i in np.flatnonzero(good).tolist())
+
         def out() -> pa.RecordBatch:
             cols = list(zip(*kept, strict=True)) or [[]] * 3
             kept.clear()
@@ -400,73 +520,94 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.withColumn("block", F.least("b", "o")).withColumn("other", F.greatest("b", "o")).withColumn("side", side)
 
 
-def _block_pairs(percent: int, closest: bool):
-    """Task over ``(family, block, other, side, doc_id, n, root, prefix)``, blocks together: candidates.
+def _block_links(width: int, percent: int, shared):
+    """Task over ``(family, block, other, side, doc_id, n, root, prefix, text)``, blocks together: verified links.
 
-    Counts the prefix n-grams every two documents share and yields pairs of
-    different components that share enough to be linked, ``(g1, lead_root,
-    doc_id, root)``; with ``closest`` only each document's best in every component.
+    Counts the prefix n-grams every two documents share. Pairs of different
+    components that share enough to be linked are looked up in the tree of the
+    block, unless links that were found join them by then.
     """
 
-    def solve(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
+    def solve(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         if len({r[3] for r in rows}) < 2:
             return
         stored = [r for r in rows if r[0] != 1]
+        if not stored:
+            return
+        parent = {r[3]: r[3] for r in rows}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        docs, sizes = np.array([r[1] for r in stored], np.int64), np.array([r[2] for r in stored], np.int64)
+        behind = np.array([m - prefix_length(m, percent) for m in sizes.tolist()], np.int64)
         flat = np.concatenate([r[4] for r in stored])
         owner = np.repeat(np.arange(len(stored)), [len(r[4]) for r in stored])
         order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        for side, doc, n, root, prefix in rows:
+        flat, owner, tree = flat[order], owner[order], None
+        for side, doc, n, root, prefix, keys in rows:
             if side == 0:
                 continue
             lo, hi = np.searchsorted(flat, prefix), np.searchsorted(flat, prefix, side="right")
             k = hi - lo
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-            shared = np.bincount(owner[at], minlength=len(stored))
-            best: dict[int, tuple[int, int]] = {}
-            for j in np.flatnonzero(shared):
-                _, doc2, m, root2, _ = stored[j]
-                # Within a block every pair is met twice, and told once.
-                if root2 == root or (side == 2 and doc2 >= doc) or 100 * min(n, m) < percent * max(n, m):
-                    continue
-                if (c := int(shared[j])) >= shared_prefix_needed(n, m, percent):
-                    if not closest:
-                        yield doc, root, doc2, root2
-                    elif (c, -doc2) > best.get(root2, (0, 0)):
-                        best[root2] = (c, -doc2)
-            for root2, (_, doc2) in best.items():
-                yield doc, root, -doc2, root2
+            common = np.bincount(owner[at], minlength=len(stored))
+            # As shared_prefix_needed, for all at once.
+            need = -(-percent * (n + sizes) // (100 + percent)) - np.maximum(behind, n - prefix_length(n, percent))
+            among = (common >= np.maximum(need, 1)) & (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes))
+            if side == 2:
+                # Within a block every pair is met twice, and looked at once.
+                among &= docs < doc
+            for j in np.flatnonzero(among):
+                among[j] = find(stored[j][3]) != find(root)
+            if not among.any():
+                continue
+            tree = tree or PrefixTree([r[5] for r in stored])
+            for j in tree.search(keys, percent, among):
+                a, b = find(root), find(stored[j][3])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    yield doc, stored[j][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, pairs = None, [], []
+        hot = shared.value
+        group, rows, links = None, [], []
 
         def out() -> pa.RecordBatch:
-            cols = list(zip(*pairs, strict=True)) or [[]] * 4
-            pairs.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["g1", "lead_root", "doc_id", "root"])
+            a, b = [x[0] for x in links], [x[1] for x in links]
+            links.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
             prefixes = batch.column(7)
-            for k, row in enumerate(zip(*(batch.column(j).to_pylist() for j in range(7)), strict=True)):
-                if row[:3] != group:
-                    pairs.extend(solve(rows))
-                    group, rows = row[:3], []
-                rows.append((*row[3:7], np.sort(prefixes[k].values.to_numpy())))
-            if pairs:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True))
+            for first, _, data, offsets in text_blocks(batch):
+                for k, s in enumerate(_sets(data, offsets, width), first):
+                    if keys[k][:3] != group:
+                        links.extend(solve(rows))
+                        group, rows = keys[k][:3], []
+                    rows.append((*keys[k][3:], np.sort(prefixes[k].values.to_numpy()), _ordered(s, hot)))
+            if links:
                 yield out()
-        pairs.extend(solve(rows))
+        links.extend(solve(rows))
         yield out()
 
     return run
 
 
-def _candidates(prefixes: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Pairs ``(g1, lead_root, doc_id, root)`` to verify from ``prefixes(family, doc_id, n, prefix, root)``."""
+def _family_links(prefixes: DataFrame, texts: DataFrame, percent: int, run) -> DataFrame:
+    """Links within the families of ``prefixes(family, doc_id, n, root, prefix)``, verified in pairs of blocks.
+
+    A text is shuffled once per pair of blocks, so a family of ``m`` documents moves ``m / BLOCK_SETS`` times its texts.
+    """
     split = prefixes.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    rows = _dealt(prefixes.join(split.select("family", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("blocks")), "family"))
-    rows = rows.select("family", "block", "other", "side", "doc_id", "n", "root", "prefix")
+    rows = prefixes.join(split.select("family", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("blocks")), "family")
+    rows = _dealt(rows.join(texts, "doc_id")).select("family", "block", "other", "side", "doc_id", "n", "root", "prefix", "text")
     rows = rows.repartition("family", "block", "other").sortWithinPartitions("family", "block", "other")
-    return rows.mapInArrow(_block_pairs(percent, closest), "g1 long, lead_root long, doc_id long, root long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _enough(n: str, m: str, percent: int, share: float = 1.0):
@@ -512,10 +653,7 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = written(rows.mapInArrow(_set_rows(width), "kind int, id long, n long, h1 long, h2 long, sketch binary"), "ngram-sets")
     sets = first.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "h1", "h2", "sketch")
-    total = first.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
-    counts = first.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(total / FREQUENT_SHARE, 2))
-    # At most FREQUENT_SHARE n-grams by definition.
-    hot = np.sort(np.asarray(counts.select("id").toPandas()["id"], np.int64).view(np.uint64))
+    hot = _frequent(first)
     shared = spark.sparkContext.broadcast(hot)
 
     filled = sets.filter("n_shingles > 0 and doc_id is not null")
@@ -540,48 +678,55 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
 
     links = written(same.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "ngram-links")
     run = _linked(width, percent, shared)
-    roots, tested, families = None, None, None
+    roots = None
 
     def rooted(df: DataFrame, key: str = "doc_id", name: str = "root") -> DataFrame:
         if roots is None:
             return df.withColumn(name, F.col(key))
         return df.join(roots.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
-    turn = 0
-    while True:
-        if turn < LEADER_ROUNDS:
-            t = _several_roots(rooted(tokens), window)
-            order = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-            lead = F.first(F.struct("doc_id", "n", "root")).over(window.orderBy(order))
-            pairs = t.drop("lead").withColumn("lead", lead).filter("root <> lead.root and 100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % percent)
-            pairs = pairs.groupBy(F.col("lead.doc_id").alias("g1"), F.col("lead.root").alias("lead_root"), F.col("lead.n").alias("n1"), "doc_id", "root", "n").agg(F.count(F.lit(1)).alias("c"))
-            # A leader leads only some of the n-grams it shares; half of what is needed is worth a look, the rest comes later.
-            pairs = pairs.filter(_enough("n1", "n", percent, 0.5)).select("g1", "lead_root", "doc_id", "root")
-        else:
-            if families is None:
-                edges = written(_family_edges(_several_roots(rooted(tokens), window), sketches, percent), "ngram-maybe")
-                # Components that may be linked, directly or through others, are one family.
-                family = connected_components(edges, "ngram-families").select(F.col("node").alias("root"), F.col("root").alias("family"))
-                prefix = rooted(tokens).join(family, "root").groupBy("family", "doc_id", "n").agg(F.collect_list("token").alias("prefix"))
-                families = written(prefix, "ngram-prefixes")
-            pairs = _candidates(rooted(families), percent, turn == LEADER_ROUNDS)
-            if tested is not None:
-                pairs = pairs.join(tested, ["g1", "doc_id"], "left_anti")
-        pairs = written(pairs, f"ngram-pairs{turn}")
+    for turn in range(LEADER_ROUNDS):
+        t = _several_roots(rooted(tokens), window)
+        order = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
+        lead = F.first(F.struct("doc_id", "n", "root")).over(window.orderBy(order))
+        pairs = t.drop("lead").withColumn("lead", lead).filter("root <> lead.root and 100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % percent)
+        pairs = pairs.groupBy(F.col("lead.doc_id").alias("g1"), F.col("lead.root").alias("lead_root"), F.col("lead.n").alias("n1"), "doc_id", "root", "n").agg(F.count(F.lit(1)).alias("c"))
+        # A leader leads only some of the n-grams it shares; half of what is needed is worth a look, the rest comes later.
+        pairs = written(pairs.filter(_enough("n1", "n", percent, 0.5)).select("g1", "lead_root", "doc_id", "root"), f"ngram-pairs{turn}")
         if not pairs.isEmpty():
             links = links.unionByName(written(_verify(pairs, texts, run), f"ngram-found{turn}"))
-            both = pairs.select("g1", "doc_id").unionByName(pairs.select(F.col("doc_id").alias("g1"), F.col("g1").alias("doc_id")))
-            tested = both if tested is None else tested.unionByName(both)
             roots = connected_components(links, "ngram-roots")
         elif roots is None:
             roots = connected_components(links, "ngram-roots")
-        elif turn > LEADER_ROUNDS:
-            break
-        turn += 1
+    edges = written(_family_edges(_several_roots(rooted(tokens), window), sketches, percent), "ngram-maybe")
+    if not edges.isEmpty():
+        # Components that may be linked, directly or through others, are one family.
+        family = connected_components(edges, "ngram-families").select(F.col("node").alias("root"), F.col("root").alias("family"))
+        prefix = rooted(tokens).join(family, "root").groupBy("family", "doc_id", "n", "root").agg(F.collect_list("token").alias("prefix"))
+        families = written(prefix, "ngram-prefixes")
+        found = written(_family_links(families, texts, percent, _block_links(width, percent, shared)), "ngram-linked")
+        if not found.isEmpty():
+            roots = connected_components(links.unionByName(found), "ngram-roots")
     out = sets.join(roots, sets["doc_id"] == roots["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def _frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ``MAX_FREQUENT`` n-grams with the largest counts, and their places; counts that are alike all go or all stay."""
+    total = first.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
+    counts = written(first.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")), "ngram-frequent")
+    # As many n-grams at most have this count.
+    most = max(_COUNT_APART, total // MAX_FREQUENT + 1)
+    least, n = most, 0
+    for row in sorted(counts.groupBy(F.least("n", F.lit(most)).alias("n")).count().collect(), reverse=True):
+        n += row["count"]
+        if n > MAX_FREQUENT:
+            break
+        least = row["n"]
+    rows = counts.filter(F.col("n") >= least).toPandas()
+    return _places(np.asarray(rows["id"], np.int64), np.asarray(rows["n"], np.int64))
+
+
 def _grouped(t: DataFrame, window) -> DataFrame:
     """Rows ``token, doc_id, n`` of n-grams of several documents, with their number ``k`` and smallest id ``lead``."""
     return t.withColumn("k", F.count(F.lit(1)).over(window)).withColumn("lead", F.min("doc_id").over(window)).filter("k > 1")
