@@ -78,3 +78,30 @@ def test_interrupted_update_is_done_over(spark, tmp_path):
     spark.createDataFrame([(7, 8)], SCHEMA).write.parquet(str(tmp_path / "c/gen=0/delta=1/edges"))
     assert pairs(store.pairs()) == {(1, 2)}
     assert pairs(store.update(spark.createDataFrame([(1, 2), (2, 3)], SCHEMA))) == {(1, 2), (2, 3), (1, 3)}
+
+
+def test_long_cycle_and_chain_end(spark):
+    edges = [(i, (i + 1) % 40) for i in range(40)] + [(100 + i, 101 + i) for i in range(35)] + [(5, 100)]
+    assert pairs(merge_closure(spark.createDataFrame(edges, SCHEMA))) == walked(edges)
+    with pytest.raises(ValueError):
+        merge_closure(spark.createDataFrame(edges, SCHEMA), max_rounds=3)
+
+
+def test_a_pair_is_found_once_per_length_of_its_paths(spark, monkeypatch):
+    """Before, a round found a pair once for each node between its ends, and joined all pairs again to see that none is new."""
+    from tokscope.operators import mergegraph
+
+    cut, made = mergegraph.cut_columns, []
+
+    def counted(df):
+        made.append(cut(df))
+        return made[-1]
+
+    monkeypatch.setattr(mergegraph, "cut_columns", counted)
+    # Words letter by letter: the letters lead to very many nodes and nothing leads to them.
+    words = ["".join(random.Random(i).choices("abc", k=12)) for i in range(40)]
+    edges = sorted({(p, w[:i]) for w in words for i in range(2, 13) for p in (w[: i - 1], w[i - 1])})
+    want = walked(edges)
+    assert pairs(merge_closure(spark.createDataFrame(edges, "ancestor string, descendant string"))) == want
+    # Edges, letters, each round's pairs of exact and of any length, and the closure.
+    assert sum(df.count() for df in made) < 3.2 * len(want)

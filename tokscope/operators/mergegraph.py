@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tokscope.session import bounded_broadcast, cut_columns
 
 MAX_CLOSURE_ROUNDS = 100
+#: Rounds of a closure after which each is looked through for new pairs, that is paths of more than 15 edges.
+CHECK_AFTER = 3
 
 
 def merge_edges(merges: DataFrame, vocab: DataFrame, vocab_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -63,50 +65,70 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 
 
 def merge_closure(edges: DataFrame, max_rounds: int = MAX_CLOSURE_ROUNDS) -> DataFrame:
-    """G1: transitive closure ``(ancestor, descendant)`` by repeated squaring.
-
-    Each round joins the closure with itself on the middle node (J3),
-    unions, de-duplicates and is written to the shared checkpoint folder so the plan
-    does not grow. Stops when the pair count is stable; more than
+    """G1: transitive closure ``(ancestor, descendant)`` with paths that double in length each round.
+
+    A round knows the pairs ``paths`` that fewer than ``2**k`` edges join and the
+    pairs ``exact`` that ``2**k`` edges join, and joins the two on the middle
+    node (J3): a path is cut at one place only, so a pair is found once for each
+    length of its paths and not once for each node in between. What a round
+    finds is de-duplicated and written to the shared checkpoint folder so the
+    plan does not grow; pairs of several rounds are de-duplicated at the end.
+    Stops when no path is left that long or, after ``CHECK_AFTER`` rounds, as
+    there are cycles then, when a round finds no new pair; more than
     ``max_rounds`` rounds raise, as the analysed program does.
     """
-    c = cut_columns(distinct_edges(edges))
-    size = c.count()
-    for _ in range(max_rounds):
-        a = c.select("ancestor", F.col("descendant").alias("mid"))
-        b = c.select(F.col("ancestor").alias("mid"), "descendant")
-        grown = a.join(b, "mid").select("ancestor", "descendant").unionByName(c).distinct()
-        grown = cut_columns(grown)
-        new_size = grown.count()
-        if new_size == size:
-            return grown
-        c, size = grown, new_size
+    key = ["ancestor", "descendant"]
+    exact = cut_columns(distinct_edges(edges))
+    # Nothing leads to these nodes, so no path is continued at them; as ancestors they may have very many pairs.
+    tops = _cut_known(exact.select("ancestor").distinct().join(exact.select(F.col("descendant").alias("ancestor")).distinct(), "ancestor", "left_anti"))
+    paths = exact
+    for k in range(max_rounds):
+        exact = cut_columns(_joined(exact, exact, tops).distinct())
+        if exact.isEmpty():
+            return cut_columns(paths.distinct()) if k else paths
+        found = cut_columns(_joined(paths, exact, tops).unionByName(exact).distinct())
+        if k >= CHECK_AFTER and found.join(paths, key, "left_anti").isEmpty():
+            return cut_columns(paths.distinct())
+        paths = paths.unionByName(found)
     raise ValueError(f"merge closure did not converge in {max_rounds} rounds")
 
+
+def _cut_known(nodes: DataFrame) -> DataFrame:
+    """Cut the lineage of a few nodes, to be joined by broadcast where they are few indeed."""
+    return bounded_broadcast(cut_columns(nodes))
+
+
+def _joined(front: DataFrame, behind: DataFrame, tops: DataFrame) -> DataFrame:
+    """Pairs joined by a pair of ``front`` and then one of ``behind``, repeats included; ``tops`` are no descendants in ``front``."""
+    behind = behind.join(tops, "ancestor", "left_anti").withColumnRenamed("ancestor", "mid")
+    return front.select("ancestor", F.col("descendant").alias("mid")).join(behind, "mid").select("ancestor", "descendant")
+
+
 def extend_closure(closure: DataFrame, new_edges: DataFrame, max_rounds: int = MAX_CLOSURE_ROUNDS) -> DataFrame:
     """G1 after edges were added: the pairs that ``new_edges`` add to ``closure``.
 
     ``closure`` must be transitively closed; the result holds none of its
-    pairs, so the new closure is their union. Semi-naive: a round joins only
-    the pairs that the last round found with all known ones, in front and
-    behind, so old pairs are never joined with each other again. Paths at
-    least double in length each round. Edges that the closure already holds,
-    repeated edges and null ends add nothing; a cycle gives each of its nodes
-    a pair with itself, as in ``merge_closure``.
+    pairs, so the new closure is their union. A path with new edges is, perhaps,
+    a known pair and then steps of one new edge and, perhaps, a known pair
+    each: the closure of the steps is made as in :func:`merge_closure`, and known
+    pairs are joined in front of it once, so they are never joined with each
+    other again. Edges that the closure already holds, repeated edges and null
+    ends add nothing; a cycle gives each of its nodes a pair with itself, as in
+    ``merge_closure``.
     """
     key = ["ancestor", "descendant"]
-    fresh = cut_columns(distinct_edges(new_edges.dropna(subset=key)).join(closure, key, "left_anti"))
-    added = fresh
-    for _ in range(max_rounds):
-        if fresh.isEmpty():
-            return added
-        known = closure.select(key).unionByName(added)
-        ahead = fresh.select("ancestor", F.col("descendant").alias("mid")).join(known.select(F.col("ancestor").alias("mid"), "descendant"), "mid")
-        behind = known.select("ancestor", F.col("descendant").alias("mid")).join(fresh.select(F.col("ancestor").alias("mid"), "descendant"), "mid")
-        found = ahead.select(key).unionByName(behind.select(key)).distinct()
-        fresh = cut_columns(found.join(known, key, "left_anti"))
-        added = added.unionByName(fresh)
-    raise ValueError(f"merge closure did not converge in {max_rounds} rounds")
+    known = closure.select(key)
+    fresh = cut_columns(distinct_edges(new_edges.dropna(subset=key)).join(known, key, "left_anti"))
+    if fresh.isEmpty():
+        return fresh
+    # Where known pairs go on behind a new edge, and where they lead to one: by nodes first, as a node may have very many pairs.
+    after = _cut_known(fresh.select("descendant").distinct().join(known.select(F.col("ancestor").alias("descendant")).distinct(), "descendant"))
+    behind = known.join(after.withColumnRenamed("descendant", "ancestor"), "ancestor", "left_semi").withColumnRenamed("ancestor", "mid")
+    steps = fresh.select("ancestor", F.col("descendant").alias("mid")).join(behind, "mid").select(key).unionByName(fresh)
+    steps = merge_closure(steps, max_rounds)
+    none = steps.select("ancestor").distinct().join(known.select(F.col("descendant").alias("ancestor")).distinct(), "ancestor", "left_anti")
+    found = _joined(known, steps, _cut_known(none)).unionByName(steps).distinct()
+    return cut_columns(found.join(known, key, "left_anti"))
 
 
 def closure_adjacency(closure: DataFrame) -> DataFrame:

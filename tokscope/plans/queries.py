@@ -368,10 +368,11 @@ def q_reuse_closure(spark, sf_dir):
 def _word_merges(docs: DataFrame) -> DataFrame:
     """Edges ``(ancestor, descendant)`` of merges that build each distinct lower-case word of ``a-z`` letter by letter."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
-    steps = words.select("w", F.explode(F.expr("sequence(2, greatest(length(w), 2))")).alias("i")).filter("i <= length(w)")
-    merged = F.expr("substring(w, 1, i)")
-    parts = F.array(F.expr("substring(w, 1, i - 1)"), F.expr("substring(w, i, 1)"))
-    return steps.select(F.explode(parts).alias("ancestor"), merged.alias("descendant")).distinct()
+    # Words that begin alike share their merges: the beginnings are made distinct, each has its two edges.
+    begun = words.select(F.explode(F.expr("transform(sequence(2, greatest(length(w), 2)), i -> substring(w, 1, i))")).alias("descendant"))
+    begun = begun.filter("length(descendant) > 1").distinct()
+    parts = F.expr("array_distinct(array(left(descendant, length(descendant) - 1), right(descendant, 1)))")
+    return begun.select(F.explode(parts).alias("ancestor"), "descendant")
 
 
 def q_extend_closure(spark, sf_dir):
