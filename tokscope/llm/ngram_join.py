@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokscope.llm.common import mix64, python_tasks, shingle_hashes, text_blocks, word_hashes, written
+from tokscope.llm.common import drop_shuffles, mix64, python_tasks, shingle_hashes, text_blocks, word_hashes, written
 from tokscope.llm.components import connected_components
 
 #: So many n-grams at most count as frequent, those with the largest counts.
 MAX_FREQUENT = 1 << 18
 #: Set members counted at a time, and the n-grams told of each time at most.
 _COUNT_CHUNK = 1 << 22
-_COUNT_TOLD = 1 << 16
+_COUNT_TOLD = 1 << 15
 #: Counts up to this one (and up to that of one member in ``MAX_FREQUENT``) are told apart when the frequent n-grams are chosen.
 _COUNT_APART = 1 << 12
 _HOT = np.uint64(1 << 63)
@@ -663,13 +663,16 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
     prefixes = rows.filter("doc_id is not null").mapInArrow(_prefix_rows(width, percent, shared), "token long, doc_id long, n int")
     tokens = prefixes.withColumn("k", F.count(F.lit(1)).over(window)).filter("k > 1").select("token", "doc_id", "n")
     tokens = tokens.join(same, "doc_id").select("token", F.col("rep").alias("doc_id"), "n").distinct()
+    drop_shuffles(spark)
     tokens = written(_grouped(tokens, window), "ngram-tokens", even=False)
+    drop_shuffles(spark)
     # Most shared prefix n-grams are chance; rows without any partner alike enough end here.
     # Rows of one id with different texts have no common sketch; an empty one allows everything.
     one = F.when(F.min("sketch") == F.max("sketch"), F.min("sketch")).otherwise(F.lit(b""))
     sketches = sets.filter("doc_id is not null").groupBy("doc_id").agg(one.alias("sketch"))
     alike = _led(tokens, sketches, ["doc_id", "n"]).mapInArrow(_alike(percent), "token long, doc_id long, n int").distinct()
     tokens = written(_grouped(alike, window), "ngram-alike", even=False)
+    drop_shuffles(spark)
 
     wanted = written(tokens.select("doc_id").distinct(), "ngram-wanted")
     few = wanted.count() <= MAX_BROADCAST_IDS
@@ -704,6 +707,7 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
         family = connected_components(edges, "ngram-families").select(F.col("node").alias("root"), F.col("root").alias("family"))
         prefix = rooted(tokens).join(family, "root").groupBy("family", "doc_id", "n", "root").agg(F.collect_list("token").alias("prefix"))
         families = written(prefix, "ngram-prefixes")
+        drop_shuffles(spark)
         found = written(_family_links(families, texts, percent, _block_links(width, percent, shared)), "ngram-linked")
         if not found.isEmpty():
             roots = connected_components(links.unionByName(found), "ngram-roots")
